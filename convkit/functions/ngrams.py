@@ -15,12 +15,15 @@ def _c(col) -> Column:
 def ngrams(tokens, n: int) -> Column:
     """All contiguous n-grams of ``tokens`` joined by one space.
 
-    Guarded by size: ``sequence(0, -1)`` would count down.
+    Built with ``zip_with`` over shifted slices: no index lambda that would
+    re-evaluate the token expression per element.
     """
     t = _c(tokens)
-    k = F.size(t) - n
-    return F.when(k < 0, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(0), k), lambda i: F.array_join(F.slice(t, i + 1, n), " ")))
+    k = F.greatest(F.size(t) - n + 1, F.lit(0))
+    g = F.slice(t, 1, k)
+    for j in range(1, n):
+        g = F.zip_with(g, F.slice(t, j + 1, k), lambda a, b: F.concat(a, F.lit(" "), b))
+    return g
 
 
 def ngrams_upto(tokens, max_n: int) -> Column:

@@ -29,10 +29,11 @@ def blockword_regex(words: list[str]) -> str | None:
 
 def has_repetition(tokens: Column) -> Column:
     """Three equal consecutive tokens somewhere in the array."""
-    n = F.size(tokens)
-    return F.when(n < 3, F.lit(False)).otherwise(
-        F.exists(F.sequence(F.lit(2), n - 1),
-                 lambda i: (F.get(tokens, i - 2) == F.get(tokens, i)) & (F.get(tokens, i - 1) == F.get(tokens, i))))
+    k = F.greatest(F.size(tokens) - 2, F.lit(0))
+    a, b, c = F.slice(tokens, 1, k), F.slice(tokens, 2, k), F.slice(tokens, 3, k)
+    e1 = F.zip_with(a, c, lambda x, y: x == y)
+    e2 = F.zip_with(b, c, lambda x, y: x == y)
+    return F.exists(F.zip_with(e1, e2, lambda x, y: x & y), lambda x: x)
 
 
 def skip_reason(src, tgt, block_regex: str | None = None, leaves_only: bool = False) -> Column:

@@ -28,7 +28,7 @@ def get_spark(app: str = "convkit", master: str | None = None,
     if master:
         builder = builder.master(master)
     # static settings can only go in before the context exists
-    builder = builder.config("spark.ui.enabled", "false")
+    builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     spark = builder.getOrCreate()
     for k, v in _DEFAULTS.items():
         if k != "spark.ui.enabled" and spark.conf.get(k, None) is None:

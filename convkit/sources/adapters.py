@@ -90,14 +90,11 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(previous line, line) pairs inside each document."""
-    d = table(spark, sf_dir, "documents")
-    lines = F.split(F.col("text"), "\n")
-    # pairs built with a positional transform: no window, no shuffle
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(lines) - 1, F.lit(1))),
-                        lambda i: F.struct(i.alias("line_no"), F.get(lines, i - 1).alias("src"),
-                                           F.get(lines, i).alias("tgt")))
-    return (d.select("doc_id", F.explode(F.when(F.size(lines) > 1, pairs)).alias("p"))
-             .select("doc_id", "p.line_no", "p.src", "p.tgt"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.split(F.col("text"), "\n").alias("ls"))
+    k = F.greatest(F.size("ls") - 1, F.lit(0))
+    z = F.zip_with(F.slice("ls", 1, k), F.slice("ls", 2, k), lambda a, b: F.struct(a.alias("src"), b.alias("tgt")))
+    return (d.select("doc_id", F.posexplode(z).alias("i", "p"))
+             .select("doc_id", (F.col("i") + 1).alias("line_no"), "p.src", "p.tgt"))
 
 
 def state_action(spark: SparkSession, sf_dir: str) -> DataFrame:

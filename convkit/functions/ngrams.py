@@ -31,11 +31,13 @@ def ngrams_upto(tokens, max_n: int) -> Column:
     return F.concat(*[ngrams(tokens, n) for n in range(1, max_n + 1)])
 
 
+def _tag(n: int):
+    return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"))
+
+
 def tagged_ngrams(tokens, max_n: int) -> Column:
     """array<struct<n int, g string>> for n = 1..max_n (one explode gives all n)."""
-    parts = [F.transform(ngrams(tokens, n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("g")))
-             for n in range(1, max_n + 1)]
-    return F.concat(*parts)
+    return F.concat(*[F.transform(ngrams(tokens, n), _tag(n)) for n in range(1, max_n + 1)])
 
 
 def _lcs(a: list, b: list) -> int:

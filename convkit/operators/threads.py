@@ -145,7 +145,7 @@ def conv_instances(comments: DataFrame, subs: DataFrame, *, max_len: int = 30, m
         ch = Q.turn_weights(ch.withColumn("cid", F.col("name")), discard_hashes, block_regex,
                             bits=hash_bits).drop("cid")
     ch = (ch.withColumn("context", F.slice("turns", 1, F.greatest(F.size("turns") - 1, F.lit(0))))
-            .withColumn("response", F.element_at("turns", -1)))
+            .withColumn("response", F.try_element_at("turns", F.lit(-1))))
     if clean:
         src = T.join_turns("context")
         ch = ch.withColumn("skip_reason", F.coalesce(
@@ -203,7 +203,7 @@ def conv_stats(instances: DataFrame, shard: Column | None = None) -> DataFrame:
     return r.select("month", F.when(F.col("_g") == 1, F.lit("all")).otherwise(F.col("shard")).alias("shard"),
                     "selected", "total",
                     F.when(F.col("_g") == 1, F.lit(None).cast("double"))
-                     .otherwise(F.round(F.col("_sum_len") / F.nullif(F.col("selected"), F.lit(0)), 2)).alias("avg_len"))
+                     .otherwise(F.round(F.col("_sum_len") / F.nullif(F.col("selected"), F.lit(0)), 6)).alias("avg_len"))
 
 
 def leaf_ratio(comments: DataFrame) -> DataFrame:

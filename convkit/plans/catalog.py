@@ -43,3 +43,280 @@ def q_thread_pairs(spark, sf):
 def q_quality_filter(spark, sf):
     p = AD.doc_pairs(spark, sf)
     return Q.quality_filter(p).select("doc_id", "line_no", "skip_reason")
+
+
+# --- scalar text functions (F1-F9) over every conversation turn -------------
+from convkit.functions import ngrams as NG  # noqa: E402
+from convkit.operators import corpus as CO  # noqa: E402
+from convkit.operators import ngram_stats as NS  # noqa: E402
+from convkit.sources.tables import table  # noqa: E402
+
+
+def _turn_fn(fn):
+    def run(spark, sf):
+        c = table(spark, sf, "conversations")
+        return c.select("conv_id", "turn", fn(F.col("text")).alias("out"))
+    return run
+
+
+QUERIES["minimal_norm"] = _turn_fn(T.minimal_norm)
+QUERIES["gpt_norm"] = _turn_fn(T.gpt_norm)
+QUERIES["eval_clean"] = _turn_fn(T.eval_clean)
+QUERIES["unescape_line"] = _turn_fn(T.unescape_line)
+QUERIES["ws_norm"] = _turn_fn(T.ws_norm)
+QUERIES["detokenise"] = _turn_fn(lambda c: T.detokenise(
+    F.concat(F.array(F.lit("<s>")), F.transform(T.words(c), lambda w: F.concat(F.lit("▁"), w)),
+             F.array(F.lit("</s>")))))
+QUERIES["strip_punct"] = _turn_fn(lambda c: F.array_join(T.strip_punct(T.words(T.eval_clean(c))), " "))
+
+
+# --- extraction operators ---------------------------------------------------
+
+def _admitted(spark, sf):
+    s = TH.submission_filter(AD.submissions(spark, sf))
+    return s, TH.comment_admission(AD.comments(spark, sf), s)
+
+
+@query("submission_filter")
+def q_submission_filter(spark, sf):
+    s = TH.submission_filter(AD.submissions(spark, sf))
+    return s.select("month", "sid", "num_comments", "title")
+
+
+@query("comment_admission")
+def q_comment_admission(spark, sf):
+    _, c = _admitted(spark, sf)
+    return c.select("month", "name", "n_char", "body")
+
+
+@query("comment_meta")
+def q_comment_meta(spark, sf):
+    s, c = _admitted(spark, sf)
+    # every comment, including those whose submission is missing
+    allc = AD.comments(spark, sf).withColumn("name", F.concat(F.lit("t1_"), F.col("id")))
+    return TH.comment_meta(allc, s).select("month", "name", "subreddit", "domain",
+                                           F.coalesce("title", F.lit("")).alias("title"))
+
+
+@query("score_filter")
+def q_score_filter(spark, sf):
+    _, c = _admitted(spark, sf)
+    return c.filter(TH.score_of("score") >= 1).select("month", "name", TH.score_of("score").alias("score"))
+
+
+@query("subreddit_block")
+def q_subreddit_block(spark, sf):
+    s = TH.submission_filter(AD.submissions(spark, sf))
+    allc = AD.comments(spark, sf).withColumn("name", F.concat(F.lit("t1_"), F.col("id")))
+    m = TH.comment_meta(allc, s)
+    bl = AD.block_subreddits(spark, sf).withColumnRenamed("entry", "subreddit").withColumn("_bad", F.lit(True))
+    m = m.join(bl, "subreddit", "left")
+    reason = (F.when(F.col("subreddit") == "", F.lit("missing"))
+               .when(F.coalesce("_bad", F.lit(False)), F.lit("bad_subreddit")).otherwise(F.lit("ok")))
+    return m.select("month", "name", "subreddit", reason.alias("reason"))
+
+
+@query("keep_keys")
+def q_keep_keys(spark, sf):
+    return TH.thread_pairs(AD.comments(spark, sf), AD.submissions(spark, sf),
+                           keep_keys=AD.keep_keys(spark, sf), **THREAD_PARAMS)
+
+
+@query("leaf_comments")
+def q_leaf_comments(spark, sf):
+    _, c = _admitted(spark, sf)
+    return TH.leaf_comments(c).select("month", "name")
+
+
+TRAIN_PARAMS = dict(THREAD_PARAMS, leaves_only=True)
+
+
+def _discard_hashes(spark, sf, bits):
+    c = table(spark, sf, "conversations")
+    d = c.filter((F.col("conv_id") + F.col("turn")) % AD.DISCARD_MOD == 0)
+    return d.select(F.sha2(T.gpt_norm(T.minimal_norm("text")), bits).alias("hash"))
+
+
+@query("turn_weights")
+def q_turn_weights(spark, sf):
+    """Train recipe: leaves only, clean, discard targets (SHA-256 variant so
+    the oracle can compute it), blocked subreddits."""
+    return TH.thread_pairs(AD.comments(spark, sf), AD.submissions(spark, sf),
+                           discard_hashes=_discard_hashes(spark, sf, 256), hash_bits=256,
+                           block_subreddits=AD.block_subreddits(spark, sf), **TRAIN_PARAMS)
+
+
+BLOCK_WORDS = ["und der", "the and", "que la"]   # fixed phrase list for J7
+
+
+@query("blockword_hits")
+def q_blockword_hits(spark, sf):
+    _, c = _admitted(spark, sf)
+    bw = spark.createDataFrame([(w,) for w in BLOCK_WORDS], "entry string")
+    return Q.blockword_hits(c.select("name", "body"), "body", bw).select(
+        "name", F.col("blocked").cast("int").alias("blocked"))
+
+
+@query("skip_audit")
+def q_skip_audit(spark, sf):
+    s, c = _admitted(spark, sf)
+    inst = TH.conv_instances(c, s, block_subreddits=AD.block_subreddits(spark, sf), **THREAD_PARAMS)
+    return Q.skip_audit(inst.filter(F.col("skip_reason").isNotNull()), ["skip_reason", "subreddit"])
+
+
+@query("extract_stats")
+def q_extract_stats(spark, sf):
+    return TH.extract_stats(AD.comments(spark, sf), AD.submissions(spark, sf))
+
+
+@query("conv_stats")
+def q_conv_stats(spark, sf):
+    s, c = _admitted(spark, sf)
+    inst = TH.conv_instances(c, s, **THREAD_PARAMS)
+    shard = F.substring("sid", 4, 100).cast("long") % 2
+    return TH.conv_stats(inst, shard)
+
+
+@query("leaf_ratio")
+def q_leaf_ratio(spark, sf):
+    _, c = _admitted(spark, sf)
+    return TH.leaf_ratio(c).select("month", F.round("leaf_ratio", 6).alias("leaf_ratio"))
+
+
+# --- n-gram statistics --------------------------------------------------------
+
+@query("ngram_counts")
+def q_ngram_counts(spark, sf):
+    return NS.ngram_counts(table(spark, sf, "conversations"), "text", 4)
+
+
+@query("ngram_entropy")
+def q_ngram_entropy(spark, sf):
+    c = NS.ngram_counts(table(spark, sf, "conversations"), "text", 4)
+    return NS.ngram_entropy(c).select("n", F.round("entropy", 6).alias("entropy"))
+
+
+@query("distinct_n")
+def q_distinct_n(spark, sf):
+    c = NS.ngram_counts(table(spark, sf, "conversations"), "text", 4)
+    return NS.distinct_n(c).select("n", F.round("distinct", 6).alias("distinct"))
+
+
+@query("avg_len")
+def q_avg_len(spark, sf):
+    return NS.avg_len(table(spark, sf, "conversations"), "text").select(F.round("avg_len", 6).alias("avg_len"))
+
+
+@query("vocab")
+def q_vocab(spark, sf):
+    return NS.vocab(table(spark, sf, "conversations"), "text")
+
+
+@query("trigram_freq")
+def q_trigram_freq(spark, sf):
+    return CO.trigram_freq(AD.state_action(spark, sf))
+
+
+@query("bland_tag")
+def q_bland_tag(spark, sf):
+    return CO.bland_tag(AD.state_action(spark, sf), bland_top=100)
+
+
+@query("unroll_context")
+def q_unroll_context(spark, sf):
+    return CO.unroll_conversation(table(spark, sf, "conversations"))
+
+
+@query("union_months")
+def q_union_months(spark, sf):
+    s, c = _admitted(spark, sf)
+    months = [f"2024-0{i}" for i in range(1, AD.MONTHS + 1)]
+    parts = [c.filter(F.col("month") == m).select("month", "name") for m in months]
+    return CO.union_months(parts)
+
+
+@query("dedup_last")
+def q_dedup_last(spark, sf):
+    c = table(spark, sf, "conversations")
+    return CO.dedup_last(c, "conv_id", "turn", ["text", "role"])
+
+
+@query("default_weights")
+def q_default_weights(spark, sf):
+    u = CO.unroll_conversation(table(spark, sf, "conversations"))
+    return CO.default_weights(u)
+
+
+def _ref_lines(spark, sf):
+    r = AD.references(spark, sf)
+    return r.select("key", F.concat_ws("\t", "key", F.array_join("refs", "\t")).alias("line"))
+
+
+@query("human_baseline")
+def q_human_baseline(spark, sf):
+    return CO.human_baseline(_ref_lines(spark, sf))
+
+
+@query("segment_conversations")
+def q_segment_conversations(spark, sf):
+    return CO.segment_conversations(AD.sheet_rows(spark, sf))
+
+
+@query("split_conversations")
+def q_split_conversations(spark, sf):
+    seg = CO.segment_conversations(AD.sheet_rows(spark, sf))
+    return seg.select("conv_id", "row_no", CO.split_of("conv_id").alias("split"))
+
+
+@query("split_lines")
+def q_split_lines(spark, sf):
+    # line number = position of the turn in (conv_id, turn) order
+    from convkit.operators.ordering import global_index
+    c = table(spark, sf, "conversations")
+    r = global_index(c, [F.col("conv_id"), F.col("turn")], "line_no")
+    return r.select("line_no", T.unescape_line("text").alias("line"), CO.split_of("line_no", lines=True).alias("split"))
+
+
+@query("emotion_reward")
+def q_emotion_reward(spark, sf):
+    e = CO.emotion_reward(AD.emotions_json(spark, sf))
+    return e.select("sentence_id", F.round("reward", 6).alias("reward"))
+
+
+@query("emotion_codes")
+def q_emotion_codes(spark, sf):
+    e = table(spark, sf, "events").select("event_id", (F.lit(10001) + F.col("event_id") % 8).cast("int").alias("code"))
+    codes = CO.emotion_code_table(spark)
+    lab = CO.emotion_label(e, "code", codes)
+    lab = lab.withColumn("label", F.coalesce("label", F.col("code").cast("string")))
+    return CO.emotion_code(lab, "label", codes).select("event_id", "label", "emotion_out")
+
+
+def _pair_key(conv, t):
+    """'sid,pid,cid' of the comment for turn t of a conversation (adapter rule)."""
+    cs = conv.cast("string")
+    parent = F.when(t == 0, F.concat(F.lit("t3_"), cs)).otherwise(
+        F.concat(F.lit("t1_"), cs, F.lit("_"), (t - 1 - F.when(t % 3 == 2, 1).otherwise(0)).cast("string")))
+    return F.concat_ws(",", F.concat(F.lit("t3_"), cs), parent, F.concat(F.lit("t1_"), cs, F.lit("_"), t.cast("string")))
+
+
+def _multiref_inputs(spark, sf):
+    pairs = TH.thread_pairs(AD.comments(spark, sf), AD.submissions(spark, sf), **THREAD_PARAMS)
+    data = pairs.select(F.concat_ws(",", "sid", "pid", "cid").alias("keys"), F.col("context").alias("src"),
+                        F.col("response").alias("tgt"), F.lit(0).alias("data_line"))
+    # test ids: one line per turn; items = its own pair, the previous turn's
+    # pair (a sibling shares the source, otherwise a mismatch) and a missing id
+    c = table(spark, sf, "conversations")
+    cv, t = F.col("conv_id"), F.col("turn")
+    items = F.array(F.struct(F.lit(0).alias("pos"), F.lit("0.5").alias("score"), _pair_key(cv, t).alias("rid")),
+                    F.struct(F.lit(1).alias("pos"), F.lit("0.4").alias("score"), _pair_key(cv, t - 1).alias("rid")),
+                    F.struct(F.lit(2).alias("pos"), F.lit("0.3").alias("score"), _pair_key(cv, t + 100).alias("rid")))
+    tt = c.select((cv * 1000 + t).alias("line_no"), F.explode(items).alias("it")).select(
+        "line_no", "it.pos", "it.score", "it.rid")
+    return tt, data
+
+
+@query("multiref")
+def q_multiref(spark, sf):
+    t, data = _multiref_inputs(spark, sf)
+    return CO.multiref(t, data)

@@ -7,19 +7,26 @@ from convkit.plans import sqlfrag as S
 from convkit.sources.adapters import SQL as A
 
 
-def base_ctes() -> list[tuple[str, str]]:
-    return [
+def base_ctes(dep_keys: bool = False) -> list[tuple[str, str]]:
+    out = [
         ("comments", A["comments"]),
         ("submissions", A["submissions"]),
         ("subs", f"SELECT * REPLACE ({S.minimal_norm('title')} AS title), 't3_' || id AS sid "
                  f"FROM submissions WHERE num_comments >= 2"),
+        ("keys", "SELECT link_id, 't1_' || id AS comment_id FROM comments "
+                 "WHERE CAST(substr(link_id, 4) AS BIGINT) % 5 <> 0"),
+    ]
+    dep = ("AND EXISTS (SELECT 1 FROM keys k WHERE k.link_id = c.link_id AND k.comment_id = 't1_' || c.id)"
+           if dep_keys else "")
+    out += [
         ("adm0", f"""SELECT c.month, c.link_id, c.parent_id, 't1_' || c.id AS name, c.score,
                             CAST(length(c.body) AS INTEGER) AS n_char, {S.minimal_norm('c.body')} AS body
                      FROM comments c
                      WHERE c.body <> '[deleted]' AND strpos(c.body, '>') = 0 AND strpos(c.body, '&gt;') = 0
-                       AND EXISTS (SELECT 1 FROM subs s WHERE s.month = c.month AND s.sid = c.link_id)"""),
+                       AND EXISTS (SELECT 1 FROM subs s WHERE s.month = c.month AND s.sid = c.link_id) {dep}"""),
         ("adm", f"SELECT * FROM adm0 WHERE {S.n_words('body')} >= 2"),
     ]
+    return out
 
 
 def chain_ctes(cand: str, max_depth: int, max_len: int) -> list[tuple[str, str]]:
@@ -41,17 +48,61 @@ def chain_ctes(cand: str, max_depth: int, max_len: int) -> list[tuple[str, str]]
     return out
 
 
-def thread_pairs_sql(max_len: int = 100, max_depth: int = 5, min_depth: int = 2, min_score: int = 1) -> str:
-    """Test recipe: clean, no title, all comments (not only leaves)."""
-    defs = base_ctes()
-    defs.append(("cand", f"SELECT * FROM adm WHERE coalesce(score, 0) >= {min_score}"))
+def instances_ctes(max_len: int = 100, max_depth: int = 5, min_depth: int = 2, min_score: int = 1,
+                   keep_keys: bool = False, leaves_only: bool = False, block_subs: bool = False,
+                   discard: bool = False, clean: bool = True) -> list[tuple[str, str]]:
+    """CTEs ending in ``inst``: month, sid, pid, cid, subreddit, domain,
+    skip_reason, context, response (use_title = 0)."""
+    defs = base_ctes(dep_keys=keep_keys)
+    conds = []
+    if keep_keys:
+        conds.append("EXISTS (SELECT 1 FROM keys k WHERE k.link_id = c.link_id AND k.comment_id = c.name)")
+    if leaves_only:
+        conds.append("NOT EXISTS (SELECT 1 FROM adm a WHERE a.month = c.month AND a.link_id = c.link_id "
+                     "AND a.parent_id = c.name)")
+    where = ("WHERE " + " AND ".join(conds)) if conds else ""
+    block = ("WHEN subreddit = '' THEN 'missing' WHEN subreddit IN ('src3', 'src7') THEN 'bad_subreddit'"
+             if block_subs else "")
+    defs.append(("meta", f"""
+        SELECT c.*, coalesce(lower(split_part(s.permalink, '/', 3)), '') AS subreddit,
+               coalesce(lower(s.domain), '') AS domain
+        FROM adm c LEFT JOIN subs s ON s.month = c.month AND s.sid = c.link_id {where}"""))
+    defs.append(("meta2", f"""SELECT *, CASE {block} WHEN coalesce(score, 0) < {min_score} THEN 'low_score' END
+                                     AS reason0 FROM meta"""))
+    defs.append(("cand", "SELECT * FROM meta2 WHERE reason0 IS NULL"))
     defs += chain_ctes("cand", max_depth, max_len)
-    defs.append(("normed", f"""SELECT month, link_id AS sid, parent_id AS pid, name AS cid,
+    defs.append(("normed", f"""SELECT month, link_id AS sid, parent_id AS pid, name AS cid, subreddit, domain,
+                                     CASE WHEN len(turns) < {min_depth} THEN 'min_depth' END AS reason1,
                                      list_transform(turns, lambda t: {S.gpt_norm('t')}) AS turns
-                              FROM l{max_depth} WHERE len(turns) >= {min_depth}"""))
-    defs.append(("pairs", """SELECT month, sid, pid, cid, array_to_string(turns[1:len(turns) - 1], ' EOS ') AS context,
-                                    turns[len(turns)] AS response FROM normed"""))
-    defs.append(("toks", f"SELECT *, {S.words('context')} AS st, {S.words('response')} AS tt FROM pairs"))
-    body = (f"SELECT month, sid, pid, cid, context, response FROM toks "
-            f"WHERE ({S.skip_reason('context', 'response', 'st', 'tt')}) IS NULL")
-    return S.ctes(defs, body)
+                              FROM l{max_depth}"""))
+    src = "normed"
+    if leaves_only and clean:
+        disc = "FALSE"
+        if discard:
+            defs.append(("discard", f"""SELECT DISTINCT sha256({S.gpt_norm(S.minimal_norm('text'))}) AS h
+                                        FROM conversations WHERE (conv_id + turn) % 13 = 0"""))
+            disc = "d.h IS NOT NULL"
+        defs.append(("tx", """SELECT n.cid, i, n.turns[i] AS t FROM normed n,
+                               LATERAL (SELECT unnest(range(1, len(n.turns) + 1)) AS i)"""))
+        dj = "LEFT JOIN discard d ON d.h = sha256(x.t)" if discard else ""
+        defs.append(("tw", f"""SELECT x.cid, list(CASE WHEN {disc} THEN '0.0 ' ELSE '1.0 ' END || x.t ORDER BY x.i)
+                                      AS wturns FROM tx x {dj} GROUP BY x.cid"""))
+        defs.append(("weighted", """SELECT n.* REPLACE (coalesce(w.wturns, []::VARCHAR[]) AS turns)
+                                    FROM normed n LEFT JOIN tw w ON w.cid = n.cid"""))
+        src = "weighted"
+    defs.append(("pairs", f"""SELECT *, array_to_string(turns[1:len(turns) - 1], ' EOS ') AS context,
+                                     turns[len(turns)] AS response FROM {src}"""))
+    defs.append(("toks", f"SELECT *, {S.words('context')} AS st, {S.words('coalesce(response, ' + chr(39) * 2 + ')')} AS tt FROM pairs"))
+    pf6 = f"({S.skip_reason('context', 'coalesce(response, ' + chr(39) * 2 + ')', 'st', 'tt')})" if clean else "NULL"
+    defs.append(("inst", f"""
+        SELECT month, sid, pid, cid, subreddit, domain, coalesce(reason1, {pf6}) AS skip_reason, context, response
+        FROM toks
+        UNION ALL
+        SELECT month, link_id, parent_id, name, subreddit, domain, reason0, NULL, NULL FROM meta2
+        WHERE reason0 IS NOT NULL"""))
+    return defs
+
+
+def thread_pairs_sql(**kw) -> str:
+    return S.ctes(instances_ctes(**kw),
+                  "SELECT month, sid, pid, cid, context, response FROM inst WHERE skip_reason IS NULL")

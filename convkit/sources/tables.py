@@ -7,6 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
+# Text-heavy tables and a key that spreads them without a hot value: when a
+# scan yields fewer partitions than task slots (one big row group), the
+# regex-heavy stages that follow would run in one task. On a cluster reading
+# many files the scan already has more partitions and nothing is added.
+SPREAD_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"],
+               "events": ["event_id"], "pages": ["page_id"]}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    keys = SPREAD_KEYS.get(name)
+    if keys:
+        slots = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < slots:
+            df = df.repartition(slots, *keys)
+    return df

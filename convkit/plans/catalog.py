@@ -320,3 +320,59 @@ def _multiref_inputs(spark, sf):
 def q_multiref(spark, sf):
     t, data = _multiref_inputs(spark, sf)
     return CO.multiref(t, data)
+
+
+# --- metrics (J9, A7-A11, A20) -------------------------------------------------
+from convkit.operators import metrics as ME  # noqa: E402
+
+EVAL_PARAMS = dict(n_refs=6, vshuman=1, clean=True)
+
+
+def _hr(spark, sf):
+    return ME.hyp_refs(AD.hypotheses(spark, sf), AD.references(spark, sf), **EVAL_PARAMS)
+
+
+@query("hyp_refs")
+def q_hyp_refs(spark, sf):
+    h, lines = _hr(spark, sf)
+    return h.join(lines, "key").select("system", "key", "ri", "hyp", "ref")
+
+
+def _r6(df, keep):
+    return df.select(*keep, *[F.round(c, 6).alias(c) for c in df.columns if c not in keep])
+
+
+@query("bleu_corpus")
+def q_bleu_corpus(spark, sf):
+    h, lines = _hr(spark, sf)
+    return _r6(ME.bleu_corpus(ME.bleu_stats(h, lines)), ["system"])
+
+
+@query("bleu_sentence")
+def q_bleu_sentence(spark, sf):
+    h, lines = _hr(spark, sf)
+    return _r6(ME.bleu_sentence(ME.bleu_stats(h, lines)), ["system", "key"])
+
+
+@query("nist")
+def q_nist(spark, sf):
+    h, lines = _hr(spark, sf)
+    return _r6(ME.nist(h, lines), ["system"])
+
+
+@query("rouge_l")
+def q_rouge_l(spark, sf):
+    h, lines = _hr(spark, sf)
+    return _r6(ME.rouge_l(h, lines), ["system", "key"])
+
+
+@query("cider")
+def q_cider(spark, sf):
+    h, lines = _hr(spark, sf)
+    return _r6(ME.cider(h, lines), ["system", "key"])
+
+
+@query("system_report")
+def q_system_report(spark, sf):
+    h, lines = _hr(spark, sf)
+    return _r6(ME.system_report(h, lines), ["system", "n_lines"])

@@ -197,3 +197,14 @@ oracle("multiref", S.ctes(TS.instances_ctes(**THREAD) + [
     ("anchor", "SELECT line_no, src AS asrc FROM j WHERE pos = 0 AND src IS NOT NULL")], """
     SELECT j.line_no, a.asrc AS src, string_agg(j.score || '|' || j.tgt, chr(9) ORDER BY j.pos) AS refs
     FROM j JOIN anchor a ON a.line_no = j.line_no WHERE j.src = a.asrc GROUP BY j.line_no, a.asrc"""))
+
+# --- metrics -------------------------------------------------------------------
+from convkit.plans import metric_sql as MS  # noqa: E402
+
+_EV = dict(n_refs=6, vshuman=1, clean=True)
+oracle("hyp_refs", MS.hyp_refs_sql(**_EV))
+oracle("bleu_corpus", MS.bleu_corpus_sql(**_EV))
+oracle("bleu_sentence", MS.bleu_sentence_sql(**_EV))
+oracle("nist", MS.nist_sql(**_EV))
+oracle("cider", MS.cider_sql(**_EV))
+oracle("system_report", MS.system_report_sql(**_EV))

@@ -37,3 +37,21 @@ def global_cumsum(df: DataFrame, order: list[Column], value: Column, name: str,
 def global_index(df: DataFrame, order: list[Column], name: str = "row_idx") -> DataFrame:
     """0-based position of each row in the total order ``order``."""
     return global_cumsum(df, order, F.lit(1), name, inclusive=False)
+
+
+def keyed_cumsum(df: DataFrame, key: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
+    """Running sum of a non-negative ``value`` inside each key, in ``order``.
+
+    Computed as a global prefix sum over (key, order) minus the sum before
+    the key's first row, so a key holding a third of all rows is still
+    spread over many tasks (a per-key window would put it in one)."""
+    kcols = [F.col(k) for k in key]
+    r = global_cumsum(df.withColumn("_kv", value.cast("long")), kcols + order, F.col("_kv"), "_cs")
+    base = r.groupBy(*key).agg(F.min(F.col("_cs") - F.col("_kv")).alias("_base"))
+    return r.join(base, key).withColumn(name, F.col("_cs") - F.col("_base")).drop("_cs", "_base", "_kv")
+
+
+def keyed_index(df: DataFrame, key: list[str], order: list[Column], name: str = "idx") -> DataFrame:
+    """0-based position inside each key (skew-safe, see keyed_cumsum)."""
+    r = keyed_cumsum(df, key, order, F.lit(1), name)
+    return r.withColumn(name, F.col(name) - 1)

@@ -376,3 +376,222 @@ def q_cider(spark, sf):
 def q_system_report(spark, sf):
     h, lines = _hr(spark, sf)
     return _r6(ME.system_report(h, lines), ["system", "n_lines"])
+
+
+# --- features, batching, scoring ---------------------------------------------
+from convkit.operators import batching as BA  # noqa: E402
+from convkit.operators import features as FE  # noqa: E402
+from convkit.operators import scoring as SC  # noqa: E402
+
+FEATURE_MAX_LEN = 128
+
+
+def _ints(c):
+    return F.array_join(F.col(c).cast("array<string>") if isinstance(c, str) else c.cast("array<string>"), " ")
+
+
+def _vocab(spark, sf):
+    c = table(spark, sf, "conversations").filter(F.col("conv_id") % 4 != 0)
+    return NS.vocab(c, "text")
+
+
+def _feature_rows(spark, sf):
+    """Unrolled (context, response) rows with a reward class, encoded."""
+    u = CO.unroll_conversation(table(spark, sf, "conversations"))
+    u = u.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "conv_id",
+                 F.concat(T.split_turns("context"), F.array("response")).alias("turns"),
+                 (((F.col("conv_id") + F.col("turn")) % 3) - 1).cast("double").alias("reward"))
+    return FE.encode_turns(u, "row_id", "turns", _vocab(spark, sf))
+
+
+@query("encode_features")
+def q_encode_features(spark, sf):
+    f = _feature_rows(spark, sf)
+    return f.select("row_id", _ints(FE.flatten_eos("turn_ids")).alias("input_ids"), "reward")
+
+
+@query("feature_len_guard")
+def q_feature_len_guard(spark, sf):
+    f = _feature_rows(spark, sf)
+    return f.select("row_id", FE.feature_len_guard("turn_ids", FEATURE_MAX_LEN).cast("int").alias("rejected"))
+
+
+def _eval_feats(spark, sf):
+    f = _feature_rows(spark, sf)
+    ctx = FE.flatten_eos(F.slice("turn_ids", 1, F.size("turn_ids") - 1))
+    return f.select("row_id", FE.eval_features(ctx, F.element_at("turn_ids", -1), FEATURE_MAX_LEN).alias("e")) \
+            .filter(F.col("e").isNotNull())
+
+
+@query("eval_features")
+def q_eval_features(spark, sf):
+    e = _eval_feats(spark, sf)
+    return e.select("row_id", _ints("e.input_ids").alias("input_ids"), _ints("e.position_ids").alias("position_ids"),
+                    _ints("e.token_type_ids").alias("token_type_ids"), _ints("e.lm_labels").alias("lm_labels"),
+                    F.col("e.context_len").alias("context_len"), F.col("e.response_len").alias("response_len"))
+
+
+@query("left_truncate")
+def q_left_truncate(spark, sf):
+    e = _eval_feats(spark, sf)
+    return e.select("row_id", _ints(FE.left_truncate("e.input_ids", 64)).alias("input_ids"),
+                    _ints(FE.left_truncate("e.lm_labels", 64)).alias("lm_labels"))
+
+
+@query("two_turn")
+def q_two_turn(spark, sf):
+    f = _feature_rows(spark, sf)
+    return f.select("row_id", T.join_turns(FE.two_turn("turns")).alias("turns"))
+
+
+@query("prompt_prefix")
+def q_prompt_prefix(spark, sf):
+    f = _feature_rows(spark, sf)
+    return f.select("row_id", T.join_turns(FE.prompt_prefix("turns")).alias("prompt"))
+
+
+@query("reverse_turns")
+def q_reverse_turns(spark, sf):
+    f = _feature_rows(spark, sf)
+    return f.select("row_id", _ints(FE.reverse_turns("turn_ids", F.col("row_id") % 2 == 0)).alias("reversed"))
+
+
+def _labels(spark, sf, rev):
+    f = _feature_rows(spark, sf)
+    seq = FE.flatten_eos("turn_ids")
+    seq = F.when(F.col("row_id") % 2 == 0, F.concat(seq, F.array(F.lit(FE.EOS_ID)))).otherwise(seq)
+    x = f.select("row_id", FE.last_turn_labels(seq, reversed_=rev).alias("x"))
+    return x.select("row_id", _ints("x.inputs").alias("inputs"), _ints("x.labels").alias("labels"))
+
+
+QUERIES["last_turn_labels"] = lambda spark, sf: _labels(spark, sf, False)
+QUERIES["last_turn_labels_rev"] = lambda spark, sf: _labels(spark, sf, True)
+
+BATCH = 8
+
+
+def _batched(spark, sf):
+    f = _feature_rows(spark, sf).withColumn("input_ids", FE.flatten_eos("turn_ids"))
+    f = f.withColumn("len", F.size("input_ids"))
+    b = BA.bucket_batches(f, "row_id", "len", BATCH)
+    return b.withColumn("batch_id", F.col("bucket") * 100000 + F.col("batch_in_bucket"))
+
+
+@query("bucket_batches")
+def q_bucket_batches(spark, sf):
+    b = _batched(spark, sf)
+    return b.select("row_id", "bucket", "batch_in_bucket", "batch_rows", "batch_key")
+
+
+@query("pad_batches")
+def q_pad_batches(spark, sf):
+    b = _batched(spark, sf).withColumn("labels", F.transform("input_ids", lambda x: x))
+    p = BA.pad_batches(b, "batch_id", {"input_ids": FE.PAD_ID, "labels": FE.IGNORE})
+    return p.select("row_id", "batch_id", _ints("input_ids").alias("input_ids"), _ints("labels").alias("labels"))
+
+
+@query("strip_pad")
+def q_strip_pad(spark, sf):
+    b = _batched(spark, sf)
+    p = BA.pad_batches(b, "batch_id", {"input_ids": FE.PAD_ID})
+    return p.select("row_id", _ints(FE.strip_pad("input_ids", FE.EOS_ID)).alias("input_ids"))
+
+
+@query("padding_ratio")
+def q_padding_ratio(spark, sf):
+    return BA.padding_ratio(_batched(spark, sf), "batch_id", "len")
+
+
+@query("batch_count")
+def q_batch_count(spark, sf):
+    return BA.batch_count(_batched(spark, sf), BATCH, bucket_col="bucket", droplast=True)
+
+
+@query("last_batches")
+def q_last_batches(spark, sf):
+    return BA.last_batches(_batched(spark, sf), "batch_id", 30).select("row_id", "batch_id")
+
+
+@query("same_len_batches")
+def q_same_len_batches(spark, sf):
+    f = _feature_rows(spark, sf)
+    f = f.withColumn("ctx_len", F.size(FE.flatten_eos(F.slice("turn_ids", 1, F.size("turn_ids") - 1))))
+    return BA.same_len_batches(f, "row_id", "ctx_len", 4).select("row_id", "ctx_len", "batch_in_len")
+
+
+def _chunked(spark, sf):
+    return BA.chunk_ids(_feature_rows(spark, sf), [F.col("row_id")], chunk_size=100)
+
+
+@query("chunk_ids")
+def q_chunk_ids(spark, sf):
+    return _chunked(spark, sf).select("row_id", "chunk_id")
+
+
+@query("rank_slice")
+def q_rank_slice(spark, sf):
+    return BA.rank_slice(_chunked(spark, sf), "chunk_id", rank=1, world=4).select("row_id", "chunk_id")
+
+
+@query("class_weights")
+def q_class_weights(spark, sf):
+    cw = BA.class_weights(_chunked(spark, sf), "chunk_id", "reward", exponent=1.0)
+    return cw.select("chunk_id", "reward", "cnt", F.round("weight", 6).alias("weight"), "num_samples")
+
+
+@query("weighted_sample")
+def q_weighted_sample(spark, sf):
+    ch = _chunked(spark, sf)
+    cw = BA.class_weights(ch, "chunk_id", "reward")
+    rows = ch.join(cw.select("chunk_id", "reward", "weight"), ["chunk_id", "reward"])
+    ns = cw.select("chunk_id", "num_samples").distinct()
+    return BA.weighted_sample(rows, "chunk_id", "row_id", "weight", ns)
+
+
+@query("concat_candidates")
+def q_concat_candidates(spark, sf):
+    c = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"),
+                                                 "conv_id", "turn", F.array("text").alias("turns"))
+    e = FE.encode_turns(c, "row_id", "turns", _vocab(spark, sf)).withColumn("ids", F.element_at("turn_ids", 1))
+    ctx = e.filter(F.col("turn") == 0).select("conv_id", F.col("ids").alias("ctx"))
+    cand = e.filter(F.col("turn") > 0).select("conv_id", "turn", "ids")
+    j = cand.join(ctx, "conv_id")
+    return j.select("conv_id", "turn", _ints(F.concat(FE.strip_pad("ctx"), F.array(F.lit(FE.EOS_ID)),
+                                                       FE.strip_pad("ids"))).alias("input_ids"))
+
+
+@query("rerank_best")
+def q_rerank_best(spark, sf):
+    r = SC.rerank_best(AD.candidates(spark, sf))
+    return r.select("context_id", "cand_id", F.round("score", 6).alias("score"))
+
+
+@query("macro_f1")
+def q_macro_f1(spark, sf):
+    m = SC.macro_f1(AD.value_predictions(spark, sf))
+    return m.select(F.round("macro_f1", 6).alias("macro_f1"), F.round("mae", 6).alias("mae"))
+
+
+@query("corpus_ppl")
+def q_corpus_ppl(spark, sf):
+    p = SC.corpus_ppl(AD.token_losses(spark, sf))
+    return p.select(F.round("loss", 6).alias("loss"), F.round("ppl", 6).alias("ppl"))
+
+
+@query("checkpoint_eval")
+def q_checkpoint_eval(spark, sf):
+    v = AD.value_predictions(spark, sf).withColumn(
+        "ckpt", F.concat(F.lit("GP2-pretrain-step-"), (F.col("step") * 1000).cast("string"), F.lit(".pkl")))
+    v = v.withColumn("step", SC.checkpoint_step("ckpt"))
+    m = SC.macro_f1(v, keys=["step"])
+    return m.select("step", F.round("macro_f1", 6).alias("macro_f1"), F.round("mae", 6).alias("mae"))
+
+
+@query("history_final")
+def q_history_final(spark, sf):
+    return SC.history_final(AD.history_messages(spark, sf))
+
+
+@query("history_window")
+def q_history_window(spark, sf):
+    return SC.history_window(AD.history_messages(spark, sf))

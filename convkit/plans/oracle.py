@@ -208,3 +208,9 @@ oracle("bleu_sentence", MS.bleu_sentence_sql(**_EV))
 oracle("nist", MS.nist_sql(**_EV))
 oracle("cider", MS.cider_sql(**_EV))
 oracle("system_report", MS.system_report_sql(**_EV))
+
+# --- features, batching, scoring --------------------------------------------------
+from convkit.plans import feature_sql as FS  # noqa: E402
+
+for _k, _v in FS.sqls().items():
+    oracle(_k, _v)

@@ -595,3 +595,30 @@ def q_history_final(spark, sf):
 @query("history_window")
 def q_history_window(spark, sf):
     return SC.history_window(AD.history_messages(spark, sf))
+
+
+# --- streaming (ST1, ST2): run to completion, read the written result ---------
+from convkit.streaming import admission as SA  # noqa: E402
+from convkit.streaming import history as SH  # noqa: E402
+from convkit.streaming.runner import run_to_table, stream_source  # noqa: E402
+
+
+@query("history_stream")
+def q_history_stream(spark, sf):
+    msgs = AD.history_messages_from(stream_source(spark, sf, "conversations"))
+    out = run_to_table(SH.history_updates(msgs), "update", tag="history")
+    return SH.latest(out)
+
+
+@query("stream_admission")
+def q_stream_admission(spark, sf):
+    s = SA.admitted_stream(stream_source(spark, sf, "conversations"), AD.submissions(spark, sf))
+    out = run_to_table(s.select("month", "name", "n_char", "body"), "append", tag="admission")
+    return out.drop("_batch")
+
+
+@query("stream_quality")
+def q_stream_quality(spark, sf):
+    s = SA.quality_stream(stream_source(spark, sf, "documents"))
+    out = run_to_table(s.select("doc_id", "line_no", "skip_reason"), "append", tag="quality")
+    return out.drop("_batch")

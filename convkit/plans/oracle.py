@@ -214,3 +214,8 @@ from convkit.plans import feature_sql as FS  # noqa: E402
 
 for _k, _v in FS.sqls().items():
     oracle(_k, _v)
+
+# --- streaming: must equal the batch rule on the same input --------------------------
+oracle("history_stream", ORACLE["history_final"])
+oracle("stream_admission", ORACLE["comment_admission"])
+oracle("stream_quality", ORACLE["quality_filter"])

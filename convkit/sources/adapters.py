@@ -32,7 +32,11 @@ def _month(conv_id: Column) -> Column:
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comment rows (one per conversation turn) with branching parents."""
-    c = table(spark, sf_dir, "conversations")
+    return comments_from(table(spark, sf_dir, "conversations"))
+
+
+def comments_from(c: DataFrame) -> DataFrame:
+    """Same rule on any conversations frame (batch or stream)."""
     cid, turn = F.col("conv_id"), F.col("turn")
     parent_turn = turn - 1 - F.when(turn % 3 == 2, 1).otherwise(0)
     return c.select(
@@ -90,7 +94,11 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(previous line, line) pairs inside each document."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.split(F.col("text"), "\n").alias("ls"))
+    return doc_pairs_from(table(spark, sf_dir, "documents"))
+
+
+def doc_pairs_from(docs: DataFrame) -> DataFrame:
+    d = docs.select("doc_id", F.split(F.col("text"), "\n").alias("ls"))
     k = F.greatest(F.size("ls") - 1, F.lit(0))
     z = F.zip_with(F.slice("ls", 1, k), F.slice("ls", 2, k), lambda a, b: F.struct(a.alias("src"), b.alias("tgt")))
     return (d.select("doc_id", F.posexplode(z).alias("i", "p"))
@@ -194,7 +202,10 @@ def token_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat stream: uid = conversation, ts = turn, tokens = words + 1."""
-    c = table(spark, sf_dir, "conversations")
+    return history_messages_from(table(spark, sf_dir, "conversations"))
+
+
+def history_messages_from(c: DataFrame) -> DataFrame:
     return c.select(F.col("conv_id").alias("uid"), F.col("turn").alias("ts"),
                     (F.size(T.words("text")) + 1).alias("n_tokens"), F.col("text"))
 

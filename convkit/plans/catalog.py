@@ -622,3 +622,101 @@ def q_stream_quality(spark, sf):
     s = SA.quality_stream(stream_source(spark, sf, "documents"))
     out = run_to_table(s.select("doc_id", "line_no", "skip_reason"), "append", tag="quality")
     return out.drop("_batch")
+
+
+# --- file sources and sinks: write table-derived data, read it back ------------
+import uuid  # noqa: E402
+
+from convkit.session import scratch_path  # noqa: E402
+from convkit.sources import files as IO  # noqa: E402
+
+
+def _scratch(spark, tag):
+    return scratch_path(spark, f"{tag}-{uuid.uuid4().hex[:12]}")
+
+
+@query("dump_scan")
+def q_dump_scan(spark, sf):
+    base = _scratch(spark, "dumps")
+    AD.comments(spark, sf).write.partitionBy("month").option("compression", "bzip2").json(base + "/RC")
+    AD.submissions(spark, sf).write.partitionBy("month").option("compression", "bzip2").json(base + "/RS")
+    c = IO.read_comments(spark, base + "/RC", partitioned=True)
+    s = IO.read_submissions(spark, base + "/RS", partitioned=True)
+    adm = TH.comment_admission(c, TH.submission_filter(s))
+    return adm.select("month", "name", "n_char", "body")
+
+
+@query("extract_roundtrip")
+def q_extract_roundtrip(spark, sf):
+    path = _scratch(spark, "extract")
+    _, c = _admitted(spark, sf)
+    c = c.select("month", "name", "link_id", "parent_id", "score", "n_char", "body")
+    IO.write_extract(c, path)
+    back = IO.read_extract(spark, path, c.schema)
+    return back.select("month", "name", "n_char", "body")
+
+
+@query("pair_sink_scan")
+def q_pair_sink_scan(spark, sf):
+    path = _scratch(spark, "pairs")
+    IO.write_pairs(q_thread_pairs(spark, sf), path)
+    p = IO.read_pairs(spark, path, ["keys", "context", "response"])
+    k = F.split("keys", ",")
+    return p.select(F.get(k, 0).alias("sid"), F.get(k, 1).alias("pid"), F.get(k, 2).alias("cid"),
+                    F.coalesce("context", F.lit("")).alias("context"), "response")
+
+
+@query("key_scan")
+def q_key_scan(spark, sf):
+    path = _scratch(spark, "keys")
+    kk = AD.keep_keys(spark, sf)
+    kk.select(F.concat_ws("\t", "link_id", "comment_id", "kind").alias("value")).write.option(
+        "compression", "gzip").text(path)
+    return IO.read_keys(spark, path, task="conv").select("link_id", "comment_id", "kind")
+
+
+@query("blocklist_scan")
+def q_blocklist_scan(spark, sf):
+    path = _scratch(spark, "blocklist")
+    b = AD.block_subreddits(spark, sf).select(F.upper("entry").alias("value"))
+    header = spark.createDataFrame([("# blocked subreddits",)], "value string")
+    header.unionByName(b).write.text(path)
+    return IO.read_blocklist(spark, path, lower=True)
+
+
+@query("refs_scan")
+def q_refs_scan(spark, sf):
+    path = _scratch(spark, "refs")
+    r = AD.references(spark, sf)
+    # one record per line: texts get the minimal norm (no newline / tab inside)
+    r.select(F.concat_ws("\t", "key", F.array_join(F.transform("refs", T.minimal_norm), "\t")).alias("value")) \
+     .write.text(path)
+    back = IO.read_refs(spark, path, AD.hypotheses(spark, sf))
+    return back.select("key", F.array_join("refs", "\t").alias("refs"))
+
+
+@query("multi_target_scan")
+def q_multi_target_scan(spark, sf):
+    path = _scratch(spark, "multitarget")
+    r = AD.references(spark, sf)
+    # one record per line: texts get the minimal norm (no newline / tab inside)
+    r.select(F.concat_ws("\t", "key", F.array_join(F.transform("refs", T.minimal_norm), "\t")).alias("value")) \
+     .write.text(path)
+    return IO.read_multi_target(spark, path, norm=True)
+
+
+@query("feature_sink")
+def q_feature_sink(spark, sf):
+    path = _scratch(spark, "features")
+    f = _feature_rows(spark, sf).select("row_id", _ints(FE.flatten_eos("turn_ids")).alias("input_ids"))
+    IO.write_features(f, path, [F.col("row_id")], chunk_size=100)
+    back = spark.read.parquet(path + "/chunks")
+    return back.select("row_id", F.col("chunk_id").cast("long").alias("chunk_id"), "input_ids")
+
+
+@query("report_sink")
+def q_report_sink(spark, sf):
+    path = _scratch(spark, "report")
+    rep = q_system_report(spark, sf)
+    IO.write_report(rep, path)
+    return IO.read_report(spark, path, rep.schema)

@@ -219,3 +219,20 @@ for _k, _v in FS.sqls().items():
 oracle("history_stream", ORACLE["history_final"])
 oracle("stream_admission", ORACLE["comment_admission"])
 oracle("stream_quality", ORACLE["quality_filter"])
+
+# --- file sources and sinks (same rows as the job they wrap) ------------------------
+oracle("dump_scan", ORACLE["comment_admission"])
+oracle("extract_roundtrip", ORACLE["comment_admission"])
+oracle("pair_sink_scan", f"SELECT sid, pid, cid, context, response FROM ({ORACLE['thread_pairs']})")
+oracle("key_scan", S.ctes(TS.base_ctes(), "SELECT DISTINCT link_id, comment_id, 'keep' AS kind FROM keys"))
+oracle("blocklist_scan", S.ctes(TS.base_ctes(), """
+    SELECT DISTINCT lower(split_part(permalink, '/', 3)) AS entry FROM submissions
+    WHERE lower(split_part(permalink, '/', 3)) IN ('src3', 'src7')"""))
+oracle("refs_scan", S.ctes([("r", A["references"]), ("h", A["hypotheses"])],
+                           f"SELECT key, array_to_string(list_transform(refs, lambda x: {S.minimal_norm('x')}), chr(9)) AS refs "
+                           "FROM r WHERE key IN (SELECT key FROM h)"))
+oracle("multi_target_scan", S.ctes([("r", A["references"])], f"""
+    SELECT {S.collapse('key')} AS src, CAST(i - 1 AS INTEGER) AS target_idx, {S.collapse(S.minimal_norm('refs[i]'))} AS tgt
+    FROM r, LATERAL (SELECT unnest(range(1, len(r.refs) + 1)) AS i)"""))
+oracle("feature_sink", S.ctes(FS.chunk_ctes(), f"SELECT row_id, chunk_id, {FS.ints(FS.flatten_eos('turn_ids'))} AS input_ids FROM ch"))
+oracle("report_sink", ORACLE["system_report"])

@@ -48,5 +48,5 @@ def vocab(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Words ranked by corpus frequency (ties by word); rank from 1."""
     c = (df.select(F.explode(T.words(text_col)).alias("word"))
            .groupBy("word").agg(F.count(F.lit(1)).alias("cnt")))
-    r = global_index(c, [F.col("cnt").desc(), F.col("word")], "_i")
+    r = global_index(c, [-F.col("cnt"), F.col("word")], "_i")
     return r.select((F.col("_i") + 1).alias("rank"), "word", "cnt")

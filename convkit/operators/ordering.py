@@ -1,9 +1,15 @@
 """Distributed global order helpers.
 
 A window without ``partitionBy`` moves every row into one task. These
-helpers instead range-partition on the order keys, number rows inside each
+helpers instead cut the total order into ranges, number rows inside each
 range and add the total of all earlier ranges (a table with one row per
-partition, so its broadcast is bounded by the partition count).
+range, so its broadcast is bounded by the range count).
+
+Range ids are a deterministic function of the row: bounds are taken once
+from a bounded random sample and written into the plan as literals. (A
+sample-based range exchange picks its bounds per execution, so two
+branches of one plan could cut the data differently.) Order columns must be
+ascending; negate a numeric column to sort it descending.
 """
 
 from __future__ import annotations
@@ -11,27 +17,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SAMPLES_PER_RANGE = 20
+
 
 def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def _range_id(d: DataFrame, n: int) -> Column:
+    """Range id of ``_key`` given n ranges (bounds from a sample of <= 20n keys)."""
+    sample = (d.select("_key").withColumn("_r", F.rand(11)).orderBy("_r").limit(SAMPLES_PER_RANGE * n)
+               .orderBy("_key").collect())
+    keys = [r["_key"] for r in sample]
+    bounds = []
+    for i in range(1, n):
+        if keys:
+            b = keys[(i * len(keys)) // n]
+            if not bounds or bounds[-1] != b:
+                bounds.append(b)
+    if not bounds:
+        return F.lit(0)
+    st = d.schema["_key"].dataType
+    lits = [F.struct(*[F.lit(b[f.name]).cast(f.dataType).alias(f.name) for f in st.fields]) for b in bounds]
+    return F.size(F.filter(F.array(*lits), lambda b: b <= F.col("_key")))
+
+
 def global_cumsum(df: DataFrame, order: list[Column], value: Column, name: str,
                   inclusive: bool = True) -> DataFrame:
-    """Running sum of ``value`` over the total order ``order`` (must be unique)."""
-    r = df.repartitionByRange(_parts(df), *order).withColumn("_p", F.spark_partition_id())
-    r = r.withColumn("_v", value.cast("long"))
-    w = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Running sum of ``value`` over the total order ``order`` (unique, ascending)."""
+    n = _parts(df)
+    d = df.withColumn("_key", F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)]))
+    r = d.withColumn("_p", _range_id(d, n)).repartition(n, "_p").withColumn("_v", value.cast("long"))
+    w = Window.partitionBy("_p").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     r = r.withColumn("_loc", F.sum("_v").over(w))
     tot = r.groupBy("_p").agg(F.sum("_v").alias("_t"))
-    # offsets over at most `spark.sql.shuffle.partitions` rows
+    # offsets over at most n rows
     wo = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select("_p", F.coalesce(F.sum("_t").over(wo), F.lit(0)).alias("_off"))
     r = r.join(F.broadcast(off), "_p")
     val = F.col("_off") + F.col("_loc")
     if not inclusive:
         val = val - F.col("_v")
-    return r.withColumn(name, val).drop("_p", "_v", "_loc", "_off")
+    return r.withColumn(name, val).drop("_p", "_v", "_loc", "_off", "_key")
 
 
 def global_index(df: DataFrame, order: list[Column], name: str = "row_idx") -> DataFrame:

@@ -74,8 +74,8 @@ def history_final(msgs: DataFrame, budget: int = HISTORY_BUDGET) -> DataFrame:
     whose tokens (each + 1 eos) fit the budget; the newest message is kept
     even when it alone exceeds it. Users with no message keep a lone EOS."""
     m = msgs.filter(F.col("text") != "")            # an empty message is skipped
-    r = keyed_cumsum(m, ["uid"], [F.col("ts").desc()], F.col("n_tokens"), "_rs")
-    r = keyed_index(r, ["uid"], [F.col("ts").desc()], "_ri")
+    r = keyed_cumsum(m, ["uid"], [-F.col("ts")], F.col("n_tokens"), "_rs")
+    r = keyed_index(r, ["uid"], [-F.col("ts")], "_ri")
     keep = r.filter((F.col("_rs") <= budget) | (F.col("_ri") == 0))
     return keep.groupBy("uid").agg(F.min("ts").alias("from_ts"), F.count(F.lit(1)).alias("n_kept"),
                                    F.sum("n_tokens").alias("tokens"))

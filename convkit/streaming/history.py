@@ -1,5 +1,8 @@
 """ST1: token-budgeted conversation context per user, as keyed state.
 
+Messages are taken in time order, as a live chat delivers them; inside a
+micro-batch they are sorted by ts.
+
 State per uid holds the kept messages (ts, tokens), newest last, never
 more than the budget allows plus the newest one, so it is bounded. Each
 update emits the current context summary; the final emission per uid

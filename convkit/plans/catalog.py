@@ -720,3 +720,45 @@ def q_report_sink(spark, sf):
     rep = q_system_report(spark, sf)
     IO.write_report(rep, path)
     return IO.read_report(spark, path, rep.schema)
+
+
+# --- remaining inventory items -------------------------------------------------------
+
+@query("thread_pairs_title")
+def q_thread_pairs_title(spark, sf):
+    """PF8: the submission title as first turn (default extraction option)."""
+    return TH.thread_pairs(AD.comments(spark, sf), AD.submissions(spark, sf), **dict(THREAD_PARAMS, use_title=True))
+
+
+@query("bleu_sentence_mean")
+def q_bleu_sentence_mean(spark, sf):
+    """Mean sentence BLEU per system."""
+    h, lines = _hr(spark, sf)
+    s = ME.bleu_sentence(ME.bleu_stats(h, lines))
+    return s.groupBy("system").agg(*[F.round(F.avg(f"bleu{k}"), 6).alias(f"bleu{k}") for k in range(1, 5)])
+
+
+@query("kth_count")
+def q_kth_count(spark, sf):
+    """Trigram count at 0-based rank 100 (the bland threshold)."""
+    return CO.kth_count(CO.trigram_freq(AD.state_action(spark, sf)), 100)
+
+
+N_LINES = 50
+
+
+@query("ngram_entropy_head")
+def q_ngram_entropy_head(spark, sf):
+    """T5: entropy and mean length over the first n_lines hypothesis lines."""
+    hy = AD.hypotheses(spark, sf).filter((F.col("system") == "last") & (F.col("line_no") < N_LINES))
+    c = NS.ngram_counts(hy, "hyp", 4)
+    e = NS.ngram_entropy(c).select("n", F.round("entropy", 6).alias("entropy"), F.lit(1).alias("_k"))
+    al = NS.avg_len(hy, "hyp").select(F.round("avg_len", 6).alias("avg_len"), F.lit(1).alias("_k"))
+    return e.join(F.broadcast(al), "_k").drop("_k")      # one-row side
+
+
+@query("sha224_targets")
+def q_sha224_targets(spark, sf):
+    """SHA-224 of the normalised discard-target turns (no DuckDB twin)."""
+    c = table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", F.sha2(T.gpt_norm(T.minimal_norm("text")), 224).alias("hash"))

@@ -52,14 +52,15 @@ def bleu_ctes() -> list[tuple[str, str]]:
     ]
 
 
-def _bleu_expr(agg: str) -> list[str]:
+def _bleu_expr(agg: str, digits: int | None = 6) -> list[str]:
     t, r = f"{agg}(testlen)", f"{agg}(reflen)"
     ratio = f"(({t} + 1e-15) / ({r} + 1e-9))"
     bp = f"(CASE WHEN {ratio} < 1 THEN exp(1 - 1 / {ratio}) ELSE 1.0 END)"
     out, prod = [], "1.0"
     for k in range(1, 5):
         prod = f"{prod} * ({agg}(correct{k}) + 1e-15) / ({agg}(guess{k}) + 1e-9)"
-        out.append(f"round(pow({prod}, 1.0 / {k}) * {bp}, 6) AS bleu{k}")
+        v = f"pow({prod}, 1.0 / {k}) * {bp}"
+        out.append(f"round({v}, {digits}) AS bleu{k}" if digits is not None else f"{v} AS bleu{k}")
     return out
 
 

@@ -236,3 +236,20 @@ oracle("multi_target_scan", S.ctes([("r", A["references"])], f"""
     FROM r, LATERAL (SELECT unnest(range(1, len(r.refs) + 1)) AS i)"""))
 oracle("feature_sink", S.ctes(FS.chunk_ctes(), f"SELECT row_id, chunk_id, {FS.ints(FS.flatten_eos('turn_ids'))} AS input_ids FROM ch"))
 oracle("report_sink", ORACLE["system_report"])
+
+# --- remaining inventory items ----------------------------------------------------
+oracle("thread_pairs_title", TS.thread_pairs_sql(use_title=True, **THREAD))
+oracle("bleu_sentence_mean", S.ctes(MS.base(**_EV) + MS.bleu_ctes() + [
+    ("sb", "SELECT system, key, " + ", ".join(MS._bleu_expr("", digits=None)) + " FROM stats")],
+    "SELECT system, " + ", ".join(f"round(avg(bleu{k}), 6) AS bleu{k}" for k in range(1, 5)) + " FROM sb GROUP BY system"))
+oracle("kth_count", S.ctes(_SENT, "SELECT cnt AS threshold FROM freq ORDER BY cnt DESC, trigram LIMIT 1 OFFSET 100"))
+oracle("ngram_entropy_head", S.ctes([("hy", A["hypotheses"]),
+                                     ("hl", "SELECT hyp FROM hy WHERE system = 'last' AND line_no < 50"),
+                                     ("ng", f"""SELECT n, array_to_string(ws[i:i + n - 1], ' ') AS ngram
+                                                FROM (SELECT {S.words('hyp')} AS ws FROM hl) c,
+                                                     (SELECT unnest([1, 2, 3, 4]) AS n) k,
+                                                     LATERAL (SELECT unnest(range(1, len(c.ws) - k.n + 2)) AS i)"""),
+                                     _NC], f"""
+    SELECT n, round(-sum(cnt / t * (ln(cnt) - ln(t))), 6) AS entropy,
+           (SELECT round(avg(len({S.words('hyp')})), 6) FROM hl) AS avg_len
+    FROM (SELECT *, sum(cnt) OVER (PARTITION BY n) AS t FROM nc) GROUP BY n"""))

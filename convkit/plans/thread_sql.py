@@ -50,7 +50,7 @@ def chain_ctes(cand: str, max_depth: int, max_len: int) -> list[tuple[str, str]]
 
 def instances_ctes(max_len: int = 100, max_depth: int = 5, min_depth: int = 2, min_score: int = 1,
                    keep_keys: bool = False, leaves_only: bool = False, block_subs: bool = False,
-                   discard: bool = False, clean: bool = True) -> list[tuple[str, str]]:
+                   discard: bool = False, clean: bool = True, use_title: bool = False) -> list[tuple[str, str]]:
     """CTEs ending in ``inst``: month, sid, pid, cid, subreddit, domain,
     skip_reason, context, response (use_title = 0)."""
     defs = base_ctes(dep_keys=keep_keys)
@@ -71,10 +71,21 @@ def instances_ctes(max_len: int = 100, max_depth: int = 5, min_depth: int = 2, m
                                      AS reason0 FROM meta"""))
     defs.append(("cand", "SELECT * FROM meta2 WHERE reason0 IS NULL"))
     defs += chain_ctes("cand", max_depth, max_len)
+    chain = f"l{max_depth}"
+    if use_title:
+        defs.append(("titled0", f"""SELECT l.*, s.title AS stitle, s.sid IS NOT NULL AS has_sub,
+                                          coalesce(starts_with(l.top_parent, 't3_'), false) AS at_root
+                                   FROM {chain} l LEFT JOIN subs s ON s.month = l.month AND s.sid = l.link_id"""))
+        defs.append(("titled", """SELECT * REPLACE (CASE WHEN at_root AND has_sub THEN list_concat(['title: ' || stitle], turns)
+                                                         ELSE turns END AS turns),
+                                         CASE WHEN at_root AND NOT has_sub THEN 'exception' END AS reason_t
+                                  FROM titled0"""))
+        chain = "titled"
+    rt = "reason_t, " if use_title else ""
     defs.append(("normed", f"""SELECT month, link_id AS sid, parent_id AS pid, name AS cid, subreddit, domain,
-                                     CASE WHEN len(turns) < {min_depth} THEN 'min_depth' END AS reason1,
+                                     coalesce({rt}CASE WHEN len(turns) < {min_depth} THEN 'min_depth' END) AS reason1,
                                      list_transform(turns, lambda t: {S.gpt_norm('t')}) AS turns
-                              FROM l{max_depth}"""))
+                              FROM {chain}"""))
     src = "normed"
     if leaves_only and clean:
         disc = "FALSE"

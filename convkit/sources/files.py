@@ -92,9 +92,14 @@ def read_blocklist(spark: SparkSession, path: str, lower: bool = False) -> DataF
     return t.select((F.lower(e) if lower else e).alias("entry")).filter(F.col("entry") != "").distinct()
 
 
-def write_pairs(df: DataFrame, path: str, training_projection: bool = False) -> None:
-    """IO6: 'sid,pid,cid TAB context TAB response' (or the last two cells)."""
+def write_pairs(df: DataFrame, path: str, training_projection: bool = False, canonical_order: bool = True) -> None:
+    """IO6: 'sid,pid,cid TAB context TAB response' (or the last two cells).
+
+    T3: with ``canonical_order`` rows are written sorted by (sid, pid, cid)
+    as strings: a distributed range sort, part files in key order."""
     cols = [] if training_projection else [F.concat_ws(",", "sid", "pid", "cid").alias("keys")]
+    if canonical_order:
+        df = df.orderBy("sid", "pid", "cid")
     (df.select(*cols, "context", "response").write.mode("overwrite")
        .option("sep", "\t").option("quote", '"').option("escape", '"').csv(path))
 
@@ -143,8 +148,11 @@ def write_features(df: DataFrame, path: str, order: list, chunk_size: int = 6553
     return c
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    """IO11: tab-separated report with a header row."""
+def write_report(df: DataFrame, path: str, order_by: list[str] | None = None) -> None:
+    """IO11: tab-separated report with a header row (T4: sorted by key
+    columns at the sink only)."""
+    if order_by:
+        df = df.orderBy(*order_by)
     df.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 

@@ -59,3 +59,29 @@ def test_pairs_roundtrip_with_quotes_and_multi_target(spark):
     got = [(r["src"], r["target_idx"], r["tgt"]) for r in
            IO.read_multi_target(spark, f"{d}/mt.txt").orderBy("target_idx").collect()]
     assert got == [("src a", 0, "t1"), ("src a", 1, "t2 x")]
+
+
+def test_sink_orders(spark):
+    import glob
+    d = tempfile.mkdtemp(prefix="convkit-io-")
+    rows = [(f"t3_{i % 3}", f"t1_{i % 5}", f"t1_{i:03d}", "c", "r") for i in range(40)]
+    df = spark.createDataFrame(rows, "sid string, pid string, cid string, context string, response string")
+    IO.write_pairs(df.repartition(4), f"{d}/pairs")
+    lines = []
+    for f in sorted(glob.glob(f"{d}/pairs/part-*")):
+        lines += [ln.split("\t")[0] for ln in open(f, encoding="utf-8").read().splitlines()]
+    assert lines == sorted(lines, key=lambda k: tuple(k.split(",")))
+    IO.write_report(df.select("cid", "sid").repartition(3), f"{d}/rep", order_by=["cid"])
+    keys = []
+    for f in sorted(glob.glob(f"{d}/rep/part-*")):
+        keys += [ln.split("\t")[0] for ln in open(f, encoding="utf-8").read().splitlines()[1:]]
+    assert keys == sorted(keys)
+
+
+def test_sha224_matches_hashlib(spark):
+    import hashlib
+    from pyspark.sql import functions as F
+    vals = ["hello world", "café", ""]
+    df = spark.createDataFrame([(v,) for v in vals], "t string")
+    got = [r[0] for r in df.select(F.sha2("t", 224)).collect()]
+    assert got == [hashlib.sha224(v.encode("utf-8")).hexdigest() for v in vals]

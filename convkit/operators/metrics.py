@@ -55,6 +55,25 @@ def hyp_refs(hyps: DataFrame, refs: DataFrame, n_refs: int = 6, vshuman: int = -
     return h.select("system", "key", "hyp"), lines
 
 
+class Prepared:
+    """Hypotheses and reference lines (optionally written once as a stage
+    boundary, cutting the cleaning lineage) and their n-gram tables. The
+    n-gram tables stay lazy: re-deriving them from the written lines is
+    cheaper than writing millions of n-gram rows, and identical aggregates
+    inside one plan share their exchange."""
+
+    def __init__(self, h: DataFrame, lines: DataFrame, materialize: bool = False):
+        from convkit.session import materialize as mat
+        if materialize:
+            h, lines = mat(h, "hyps"), mat(lines, "refs")
+        self.h, self.lines = h, lines
+        self.hn, self.rn = _hyp_ngrams(h), _ref_ngrams(lines)
+
+
+def prepare(h: DataFrame, lines: DataFrame, materialize: bool = False) -> Prepared:
+    return Prepared(h, lines, materialize)
+
+
 def _ref_ngrams(lines: DataFrame) -> DataFrame:
     x = lines.select("key", "ri", F.explode(tagged_ngrams(T.words("ref"), MAX_N)).alias("x"))
     return x.groupBy("key", "ri", F.col("x.n").alias("n"), F.col("x.g").alias("g")).agg(F.count(F.lit(1)).alias("tf"))
@@ -66,11 +85,12 @@ def _hyp_ngrams(h: DataFrame) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("hc")))
 
 
-def bleu_stats(h: DataFrame, lines: DataFrame) -> DataFrame:
+def bleu_stats(p: Prepared) -> DataFrame:
     """Per-segment sufficient statistics: testlen, reflen (closest, ties to
     the shorter), guess_k and correct_k (clipped by the max reference count)."""
-    rmax = _ref_ngrams(lines).groupBy("key", "n", "g").agg(F.max("tf").alias("rmax"))
-    corr = (_hyp_ngrams(h).join(rmax, ["key", "n", "g"], "left")
+    h, lines = p.h, p.lines
+    rmax = p.rn.groupBy("key", "n", "g").agg(F.max("tf").alias("rmax"))
+    corr = (p.hn.join(rmax, ["key", "n", "g"], "left")
             .groupBy("system", "key", "n")
             .agg(F.sum(F.least(F.col("hc"), F.coalesce(F.col("rmax"), F.lit(0)))).alias("c")))
     corr = corr.groupBy("system", "key").pivot("n", list(range(1, MAX_N + 1))).agg(F.first("c"))
@@ -109,10 +129,10 @@ def bleu_sentence(stats: DataFrame) -> DataFrame:
     return stats.select("system", "key", *_bleu_cols(False))
 
 
-def nist(h: DataFrame, lines: DataFrame) -> DataFrame:
+def nist(p: Prepared) -> DataFrame:
     """Cumulative NIST-1..4 per system."""
-    rc = lines.select(F.explode(tagged_ngrams(T.words("ref"), MAX_N)).alias("x")).groupBy(
-        F.col("x.n").alias("n"), F.col("x.g").alias("g")).agg(F.count(F.lit(1)).alias("cnt"))
+    h, lines = p.h, p.lines
+    rc = p.rn.groupBy("n", "g").agg(F.sum("tf").alias("cnt"))
     total_words = rc.filter(F.col("n") == 1).agg(F.sum("cnt").alias("_tw")).withColumn("_k", F.lit(1))
     # information weight: log2(count(prefix) / count(ngram)); prefix of a unigram = all words
     pref = rc.select((F.col("n") + 1).alias("n"), F.col("g").alias("_pg"), F.col("cnt").alias("_pc"))
@@ -120,8 +140,8 @@ def nist(h: DataFrame, lines: DataFrame) -> DataFrame:
               .join(pref, ["n", "_pg"], "left")
               .withColumn("_k", F.lit(1)).join(F.broadcast(total_words), "_k")
               .select("n", "g", F.log2(F.coalesce("_pc", "_tw") / F.col("cnt")).alias("info")))
-    rmax = _ref_ngrams(lines).groupBy("key", "n", "g").agg(F.max("tf").alias("rmax"))
-    hn = _hyp_ngrams(h)
+    rmax = p.rn.groupBy("key", "n", "g").agg(F.max("tf").alias("rmax"))
+    hn = p.hn
     matched = (hn.join(rmax, ["key", "n", "g"]).join(info, ["n", "g"])
                  .groupBy("system", "n").agg(F.sum(F.least("hc", "rmax") * F.col("info")).alias("_info")))
     sysn = hn.groupBy("system", "n").agg(F.sum("hc").alias("_cnt"))
@@ -141,10 +161,10 @@ def nist(h: DataFrame, lines: DataFrame) -> DataFrame:
     return out.select("system", *cols)
 
 
-def rouge_l(h: DataFrame, lines: DataFrame, beta: float = ROUGE_BETA) -> DataFrame:
+def rouge_l(p: Prepared, beta: float = ROUGE_BETA) -> DataFrame:
     """A10: per-segment ROUGE-L (single-space tokens; max precision and max
     recall over references taken independently)."""
-    j = h.join(lines, "key").select("system", "key", F.split("hyp", " ").alias("ht"), F.split("ref", " ").alias("rt"))
+    j = p.h.join(p.lines, "key").select("system", "key", F.split("hyp", " ").alias("ht"), F.split("ref", " ").alias("rt"))
     j = j.withColumn("lcs", lcs_len("ht", "rt"))
     g = j.groupBy("system", "key").agg(F.max(F.col("lcs") / F.size("ht")).alias("p"),
                                        F.max(F.col("lcs") / F.size("rt")).alias("r"))
@@ -153,10 +173,10 @@ def rouge_l(h: DataFrame, lines: DataFrame, beta: float = ROUGE_BETA) -> DataFra
     return g.select("system", "key", f.alias("rouge_l"))
 
 
-def cider(h: DataFrame, lines: DataFrame, sigma: float = CIDER_SIGMA) -> DataFrame:
+def cider(p: Prepared, sigma: float = CIDER_SIGMA) -> DataFrame:
     """Per-segment CIDEr (tf-idf cosine with clipping and a Gaussian
     length penalty on bigram counts), mean over n, / refs, x 10."""
-    rn = _ref_ngrams(lines)
+    h, lines, rn = p.h, p.lines, p.rn
     nseg = lines.agg(F.countDistinct("key").alias("_N")).withColumn("_k", F.lit(1))
     df = rn.groupBy("n", "g").agg(F.countDistinct("key").alias("df"))
     lnN = F.log(F.col("_N").cast("double"))
@@ -165,14 +185,14 @@ def cider(h: DataFrame, lines: DataFrame, sigma: float = CIDER_SIGMA) -> DataFra
         d = d.join(df, ["n", "g"], "left").withColumn("_k", F.lit(1)).join(F.broadcast(nseg), "_k")
         return d.withColumn("v", F.col(tf) * (lnN - F.log(F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)).cast("double"))))
     rv = with_idf(rn, "tf")
-    hv = with_idf(_hyp_ngrams(h), "hc")
+    hv = with_idf(p.hn, "hc")
     rnorm = rv.groupBy("key", "ri", "n").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("nr"))
     hnorm = hv.groupBy("system", "key", "n").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("nh"))
     dot = (hv.select("system", "key", "n", "g", F.col("v").alias("vh"))
              .join(rv.select("key", "ri", "n", "g", F.col("v").alias("vr")), ["key", "n", "g"])
              .groupBy("system", "key", "ri", "n").agg(F.sum(F.least("vh", "vr") * F.col("vr")).alias("dot")))
     rlen = rn.filter(F.col("n") == 2).groupBy("key", "ri").agg(F.sum("tf").alias("lr"))
-    hlen = _hyp_ngrams(h).filter(F.col("n") == 2).groupBy("system", "key").agg(F.sum("hc").alias("lh"))
+    hlen = p.hn.filter(F.col("n") == 2).groupBy("system", "key").agg(F.sum("hc").alias("lh"))
     v = (dot.join(hnorm, ["system", "key", "n"]).join(rnorm, ["key", "ri", "n"])
             .join(hlen, ["system", "key"], "left").join(rlen, ["key", "ri"], "left"))
     delta = F.coalesce("lh", F.lit(0)) - F.coalesce("lr", F.lit(0))
@@ -185,13 +205,14 @@ def cider(h: DataFrame, lines: DataFrame, sigma: float = CIDER_SIGMA) -> DataFra
                       (F.coalesce("_s", F.lit(0.0)) / MAX_N / F.col("_nr") * 10.0).alias("cider"))
 
 
-def system_report(h: DataFrame, lines: DataFrame) -> DataFrame:
+def system_report(p: Prepared) -> DataFrame:
     """One row per system: n_lines, nist1-4, bleu1-4, meteor (NULL: the
     external scorer is not rebuilt), entropy1-4, div1, div2, avg_len."""
+    h = p.h
     n_lines = h.groupBy("system").agg(F.count(F.lit(1)).alias("n_lines"))
-    b = bleu_corpus(bleu_stats(h, lines))
-    ni = nist(h, lines)
-    cnt = NS.ngram_counts(h, "hyp", MAX_N, keys=["system"])
+    b = bleu_corpus(bleu_stats(p))
+    ni = nist(p)
+    cnt = p.hn.groupBy("system", "n", F.col("g").alias("ngram")).agg(F.sum("hc").alias("cnt"))
     ent = NS.ngram_entropy(cnt, keys=["system"]).groupBy("system").pivot("n", [1, 2, 3, 4]).agg(F.first("entropy"))
     ent = ent.select("system", *[F.col(str(k)).alias(f"entropy{k}") for k in range(1, 5)])
     div = NS.distinct_n(cnt.filter(F.col("n") <= 2), keys=["system"]).groupBy("system").pivot("n", [1, 2]).agg(

@@ -329,12 +329,15 @@ EVAL_PARAMS = dict(n_refs=6, vshuman=1, clean=True)
 
 
 def _hr(spark, sf):
-    return ME.hyp_refs(AD.hypotheses(spark, sf), AD.references(spark, sf), **EVAL_PARAMS)
+    """Cleaned hypotheses / reference lines and their n-gram tables, written
+    once and shared by every metric of the query."""
+    h, lines = ME.hyp_refs(AD.hypotheses(spark, sf), AD.references(spark, sf), **EVAL_PARAMS)
+    return ME.prepare(h, lines, materialize=True)
 
 
 @query("hyp_refs")
 def q_hyp_refs(spark, sf):
-    h, lines = _hr(spark, sf)
+    h, lines = ME.hyp_refs(AD.hypotheses(spark, sf), AD.references(spark, sf), **EVAL_PARAMS)
     return h.join(lines, "key").select("system", "key", "ri", "hyp", "ref")
 
 
@@ -344,38 +347,38 @@ def _r6(df, keep):
 
 @query("bleu_corpus")
 def q_bleu_corpus(spark, sf):
-    h, lines = _hr(spark, sf)
-    return _r6(ME.bleu_corpus(ME.bleu_stats(h, lines)), ["system"])
+    p = _hr(spark, sf)
+    return _r6(ME.bleu_corpus(ME.bleu_stats(p)), ["system"])
 
 
 @query("bleu_sentence")
 def q_bleu_sentence(spark, sf):
-    h, lines = _hr(spark, sf)
-    return _r6(ME.bleu_sentence(ME.bleu_stats(h, lines)), ["system", "key"])
+    p = _hr(spark, sf)
+    return _r6(ME.bleu_sentence(ME.bleu_stats(p)), ["system", "key"])
 
 
 @query("nist")
 def q_nist(spark, sf):
-    h, lines = _hr(spark, sf)
-    return _r6(ME.nist(h, lines), ["system"])
+    p = _hr(spark, sf)
+    return _r6(ME.nist(p), ["system"])
 
 
 @query("rouge_l")
 def q_rouge_l(spark, sf):
-    h, lines = _hr(spark, sf)
-    return _r6(ME.rouge_l(h, lines), ["system", "key"])
+    p = _hr(spark, sf)
+    return _r6(ME.rouge_l(p), ["system", "key"])
 
 
 @query("cider")
 def q_cider(spark, sf):
-    h, lines = _hr(spark, sf)
-    return _r6(ME.cider(h, lines), ["system", "key"])
+    p = _hr(spark, sf)
+    return _r6(ME.cider(p), ["system", "key"])
 
 
 @query("system_report")
 def q_system_report(spark, sf):
-    h, lines = _hr(spark, sf)
-    return _r6(ME.system_report(h, lines), ["system", "n_lines"])
+    p = _hr(spark, sf)
+    return _r6(ME.system_report(p), ["system", "n_lines"])
 
 
 # --- features, batching, scoring ---------------------------------------------
@@ -733,8 +736,8 @@ def q_thread_pairs_title(spark, sf):
 @query("bleu_sentence_mean")
 def q_bleu_sentence_mean(spark, sf):
     """Mean sentence BLEU per system."""
-    h, lines = _hr(spark, sf)
-    s = ME.bleu_sentence(ME.bleu_stats(h, lines))
+    p = _hr(spark, sf)
+    s = ME.bleu_sentence(ME.bleu_stats(p))
     return s.groupBy("system").agg(*[F.round(F.avg(f"bleu{k}"), 6).alias(f"bleu{k}") for k in range(1, 5)])
 
 

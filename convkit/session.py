@@ -66,3 +66,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediates."""
     return checkpoint_dir(spark).rstrip("/") + "/" + name
+
+
+def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it
+    back: a stage boundary that is scanned once by every later consumer
+    (instead of re-running the lineage per consumer) and survives executor
+    loss."""
+    import uuid
+    path = scratch_path(df.sparkSession, f"{tag}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -21,6 +21,10 @@ def frames(spark):
     return h, lines
 
 
+def prep(spark):
+    return ME.prepare(*frames(spark))
+
+
 def grams(ws, n):
     return Counter(" ".join(ws[i:i + n]) for i in range(len(ws) - n + 1))
 
@@ -111,8 +115,7 @@ def py_cider(system, sigma=6.0):
 
 @pytest.mark.parametrize("system", ["s", "t"])
 def test_bleu_matches_bruteforce(spark, system):
-    h, lines = frames(spark)
-    got = {r["system"]: r for r in ME.bleu_corpus(ME.bleu_stats(h, lines)).collect()}[system]
+    got = {r["system"]: r for r in ME.bleu_corpus(ME.bleu_stats(prep(spark))).collect()}[system]
     exp = py_bleu(system)
     for n in range(4):
         assert got[f"bleu{n + 1}"] == pytest.approx(exp[n], rel=1e-9, abs=1e-12)
@@ -121,21 +124,19 @@ def test_bleu_matches_bruteforce(spark, system):
 def test_bleu_identity_is_one(spark):
     h = spark.createDataFrame([("s", "k", "a b c d e f")], "system string, key string, hyp string")
     lines = spark.createDataFrame([("k", 0, "a b c d e f")], "key string, ri int, ref string")
-    r = ME.bleu_corpus(ME.bleu_stats(h, lines)).collect()[0]
+    r = ME.bleu_corpus(ME.bleu_stats(ME.prepare(h, lines))).collect()[0]
     assert r["bleu4"] == pytest.approx(1.0, abs=1e-6)
 
 
 def test_rouge_matches_bruteforce(spark):
-    h, lines = frames(spark)
-    got = {(r["system"], r["key"]): r["rouge_l"] for r in ME.rouge_l(h, lines).collect()}
+    got = {(r["system"], r["key"]): r["rouge_l"] for r in ME.rouge_l(prep(spark)).collect()}
     for s, k, hyp in HYPS:
         assert got[(s, k)] == pytest.approx(py_rouge(hyp, REFS[k]), abs=1e-12)
 
 
 @pytest.mark.parametrize("system", ["s", "t"])
 def test_cider_matches_bruteforce(spark, system):
-    h, lines = frames(spark)
-    got = {r["key"]: r["cider"] for r in ME.cider(h, lines).collect() if r["system"] == system}
+    got = {r["key"]: r["cider"] for r in ME.cider(prep(spark)).collect() if r["system"] == system}
     for k, v in py_cider(system).items():
         assert got[k] == pytest.approx(v, rel=1e-9, abs=1e-12)
 

@@ -170,9 +170,16 @@ def thread_pairs(comments: DataFrame, subs: DataFrame, **kw) -> DataFrame:
     ``comments`` and ``subs`` are raw rows; admission is applied here.
     Output: month, sid, pid, cid, context (' EOS '-joined), response.
     """
+    materialize_extract = kw.pop("materialize_extract", True)
     dep = kw.get("keep_keys")
     s = submission_filter(subs)
     c = comment_admission(comments, s, dep)
+    if materialize_extract:
+        # extract-stage boundary: the admitted comments are read by the leaf
+        # test, the metadata join and every level of the chain; write them
+        # once (compact, normalised) instead of re-scanning the dumps per use
+        from convkit.session import materialize
+        s, c = materialize(s, "extract-subs"), materialize(c, "extract-comments")
     inst = conv_instances(c, s, **kw)
     return (inst.filter(F.col("skip_reason").isNull())
                 .select("month", "sid", "pid", "cid", T.join_turns("context").alias("context"), "response"))

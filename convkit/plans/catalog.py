@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from convkit.functions import text as T
 from convkit.operators import quality as Q
 from convkit.operators import threads as TH
+from convkit.session import materialize as MAT
 from convkit.sources import adapters as AD
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,9 +73,12 @@ QUERIES["strip_punct"] = _turn_fn(lambda c: F.array_join(T.strip_punct(T.words(T
 
 # --- extraction operators ---------------------------------------------------
 
-def _admitted(spark, sf):
+def _admitted(spark, sf, materialize=False):
     s = TH.submission_filter(AD.submissions(spark, sf))
-    return s, TH.comment_admission(AD.comments(spark, sf), s)
+    c = TH.comment_admission(AD.comments(spark, sf), s)
+    if materialize:
+        s, c = MAT(s, "extract-subs"), MAT(c, "extract-comments")
+    return s, c
 
 
 @query("submission_filter")
@@ -159,7 +163,7 @@ def q_blockword_hits(spark, sf):
 
 @query("skip_audit")
 def q_skip_audit(spark, sf):
-    s, c = _admitted(spark, sf)
+    s, c = _admitted(spark, sf, materialize=True)
     inst = TH.conv_instances(c, s, block_subreddits=AD.block_subreddits(spark, sf), **THREAD_PARAMS)
     return Q.skip_audit(inst.filter(F.col("skip_reason").isNotNull()), ["skip_reason", "subreddit"])
 
@@ -171,7 +175,7 @@ def q_extract_stats(spark, sf):
 
 @query("conv_stats")
 def q_conv_stats(spark, sf):
-    s, c = _admitted(spark, sf)
+    s, c = _admitted(spark, sf, materialize=True)
     inst = TH.conv_instances(c, s, **THREAD_PARAMS)
     shard = F.substring("sid", 4, 100).cast("long") % 2
     return TH.conv_stats(inst, shard)

@@ -10,7 +10,6 @@ both must implement the same rule.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from convkit.functions import text as T
@@ -107,14 +106,16 @@ def doc_pairs_from(docs: DataFrame) -> DataFrame:
 
 def state_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, target, next_state) = three consecutive turns, each prefixed
-    with its weight flag ('1.0 ' unless turn % 4 = 3)."""
+    with its weight flag ('1.0 ' unless turn % 4 = 3). Consecutive = next
+    positions inside the conversation (skew-safe index + equi-joins, no
+    per-conversation window)."""
+    from convkit.operators.ordering import keyed_index
     c = table(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
     flagged = F.concat(F.when(F.col("turn") % 4 == 3, F.lit("0.0 ")).otherwise(F.lit("1.0 ")), F.col("text"))
-    t = c.select("conv_id", "turn", flagged.alias("s"))
-    t = t.select("conv_id", "turn", "s",
-                 F.lead("s", 1).over(w).alias("s1"), F.lead("s", 2).over(w).alias("s2"))
-    return t.filter(F.col("s2").isNotNull()).select(
+    t = keyed_index(c.select("conv_id", "turn", flagged.alias("s")), ["conv_id"], [F.col("turn")], "_i")
+    n1 = t.select("conv_id", (F.col("_i") - 1).alias("_i"), F.col("s").alias("s1"))
+    n2 = t.select("conv_id", (F.col("_i") - 2).alias("_i"), F.col("s").alias("s2"))
+    return t.join(n1, ["conv_id", "_i"]).join(n2, ["conv_id", "_i"]).select(
         "conv_id", "turn", F.col("s").alias("source"), F.col("s1").alias("target"),
         F.col("s2").alias("next_state"))
 

@@ -1,7 +1,8 @@
 """ST1: token-budgeted conversation context per user, as keyed state.
 
-Messages are taken in time order, as a live chat delivers them; inside a
-micro-batch they are sorted by ts.
+Messages may arrive in any order: state and new messages are merged by ts
+before trimming, and anything older than an already dropped message is
+ignored, so the state stays bounded and the result exact.
 
 State per uid holds the kept messages (ts, tokens), newest last, never
 more than the budget allows plus the newest one, so it is bounded. Each
@@ -21,7 +22,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from convkit.operators.scoring import HISTORY_BUDGET
 
 OUT_SCHEMA = "uid long, from_ts long, n_kept long, tokens long, seen long"
-STATE_SCHEMA = "ts array<long>, tok array<long>, seen long"
+STATE_SCHEMA = "ts array<long>, tok array<long>, seen long, cut long"
 
 
 def _trim(ts: list, tok: list, budget: int) -> tuple[list, list]:
@@ -38,18 +39,26 @@ def _trim(ts: list, tok: list, budget: int) -> tuple[list, list]:
 def _make_update(budget: int):
     def update(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
         if state.exists:
-            ts, tok, seen = state.get
+            ts, tok, seen, cut = state.get
             ts, tok = list(ts), list(tok)
         else:
-            ts, tok, seen = [], [], 0
-        new = pd.concat(list(pdfs))
-        new = new[new["text"] != ""].sort_values("ts")
-        for t, n in zip(new["ts"].tolist(), new["n_tokens"].tolist()):
-            ts.append(int(t))
-            tok.append(int(n))
-            ts, tok = _trim(ts, tok, budget)
-        seen += len(new)
-        state.update((ts, tok, seen))
+            ts, tok, seen, cut = [], [], 0, None
+        # Merge each Arrow batch with the state by ts and trim. A message
+        # older than one already dropped (`cut`) can never be in the kept
+        # suffix again, so the result is exact in any arrival order and a
+        # very active user never needs the whole micro-batch in memory.
+        for pdf in pdfs:
+            pdf = pdf[pdf["text"] != ""]
+            seen += len(pdf)
+            if cut is not None:
+                pdf = pdf[pdf["ts"] > cut]
+            merged = sorted(zip(ts + pdf["ts"].astype("int64").tolist(), tok + pdf["n_tokens"].astype("int64").tolist()))
+            all_ts = [t for t, _ in merged]
+            ts, tok = _trim(all_ts, [n for _, n in merged], budget)
+            dropped = all_ts[:len(all_ts) - len(ts)]
+            if dropped:
+                cut = dropped[-1] if cut is None else max(cut, dropped[-1])
+        state.update((ts, tok, seen, cut))
         if ts:
             yield pd.DataFrame({"uid": [int(key[0])], "from_ts": [ts[0]], "n_kept": [len(ts)],
                                 "tokens": [sum(tok)], "seen": [seen]})

@@ -33,6 +33,20 @@ def test_history_state_across_micro_batches(spark):
     assert got == exp
 
 
+def test_history_state_out_of_order(spark):
+    conv = spark.read.parquet(f"{SF01}/conversations.parquet")
+    src = tempfile.mkdtemp(prefix="convkit-stream-src-")
+    for t in range(4):       # turn % 4 per file: later files carry older turns too
+        conv.filter((F.col("turn") % 4) == t).coalesce(1).write.mode("overwrite").parquet(f"{src}/part{t}")
+    stream = (spark.readStream.schema(conv.schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    out = run_to_table(SH.history_updates(AD.history_messages_from(stream)), "update", tag="test-history-ooo")
+    got = {tuple(r) for r in SH.latest(out).collect()}
+    exp = {tuple(r) for r in SC.history_final(AD.history_messages_from(conv))
+           .select("uid", "from_ts", "n_kept", "tokens").collect()}
+    assert got == exp
+
+
 def test_trim_rule():
     ts, tok = SH._trim([1, 2, 3, 4], [30, 30, 30, 70], 64)
     assert ts == [4] and tok == [70]                     # newest kept even over budget

@@ -56,22 +56,30 @@ def hyp_refs(hyps: DataFrame, refs: DataFrame, n_refs: int = 6, vshuman: int = -
 
 
 class Prepared:
-    """Hypotheses and reference lines (optionally written once as a stage
-    boundary, cutting the cleaning lineage) and their n-gram tables. The
-    n-gram tables stay lazy: re-deriving them from the written lines is
-    cheaper than writing millions of n-gram rows, and identical aggregates
-    inside one plan share their exchange."""
-
-    def __init__(self, h: DataFrame, lines: DataFrame, materialize: bool = False):
-        from convkit.session import materialize as mat
-        if materialize:
-            h, lines = mat(h, "hyps"), mat(lines, "refs")
+    """Cleaned hypotheses, reference lines and their n-gram tables. With
+    ``keep`` they are persisted (memory, spilling to disk) for the several
+    aggregates that read them; lost blocks are recomputed from lineage.
+    Call ``release()`` when the metrics are written."""
+
+    def __init__(self, h: DataFrame, lines: DataFrame, keep: bool = False):
+        from pyspark import StorageLevel
+        from convkit.session import spread
+        if keep:
+            h = spread(h).persist(StorageLevel.MEMORY_AND_DISK)
+            lines = spread(lines).persist(StorageLevel.MEMORY_AND_DISK)
         self.h, self.lines = h, lines
         self.hn, self.rn = _hyp_ngrams(h), _ref_ngrams(lines)
+        if keep:
+            self.hn = self.hn.persist(StorageLevel.MEMORY_AND_DISK)
+            self.rn = self.rn.persist(StorageLevel.MEMORY_AND_DISK)
 
+    def release(self) -> None:
+        for d in (self.h, self.lines, self.hn, self.rn):
+            d.unpersist()
 
-def prepare(h: DataFrame, lines: DataFrame, materialize: bool = False) -> Prepared:
-    return Prepared(h, lines, materialize)
+
+def prepare(h: DataFrame, lines: DataFrame, keep: bool = False) -> Prepared:
+    return Prepared(h, lines, keep)
 
 
 def _ref_ngrams(lines: DataFrame) -> DataFrame:

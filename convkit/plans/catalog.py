@@ -336,7 +336,7 @@ def _hr(spark, sf):
     """Cleaned hypotheses / reference lines and their n-gram tables, written
     once and shared by every metric of the query."""
     h, lines = ME.hyp_refs(AD.hypotheses(spark, sf), AD.references(spark, sf), **EVAL_PARAMS)
-    return ME.prepare(h, lines, materialize=True)
+    return ME.prepare(h, lines, keep=True)
 
 
 @query("hyp_refs")

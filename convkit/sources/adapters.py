@@ -105,17 +105,15 @@ def doc_pairs_from(docs: DataFrame) -> DataFrame:
 
 
 def state_action(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source, target, next_state) = three consecutive turns, each prefixed
-    with its weight flag ('1.0 ' unless turn % 4 = 3). Consecutive = next
-    positions inside the conversation (skew-safe index + equi-joins, no
-    per-conversation window)."""
-    from convkit.operators.ordering import keyed_index
+    """(source, target, next_state) = turns t, t+1, t+2 of a conversation,
+    each prefixed with its weight flag ('1.0 ' unless turn % 4 = 3).
+    Equi-joins on the unique (conv_id, turn): no per-conversation window."""
     c = table(spark, sf_dir, "conversations")
     flagged = F.concat(F.when(F.col("turn") % 4 == 3, F.lit("0.0 ")).otherwise(F.lit("1.0 ")), F.col("text"))
-    t = keyed_index(c.select("conv_id", "turn", flagged.alias("s")), ["conv_id"], [F.col("turn")], "_i")
-    n1 = t.select("conv_id", (F.col("_i") - 1).alias("_i"), F.col("s").alias("s1"))
-    n2 = t.select("conv_id", (F.col("_i") - 2).alias("_i"), F.col("s").alias("s2"))
-    return t.join(n1, ["conv_id", "_i"]).join(n2, ["conv_id", "_i"]).select(
+    t = c.select("conv_id", "turn", flagged.alias("s"))
+    n1 = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("s").alias("s1"))
+    n2 = t.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("s").alias("s2"))
+    return t.join(n1, ["conv_id", "turn"]).join(n2, ["conv_id", "turn"]).select(
         "conv_id", "turn", F.col("s").alias("source"), F.col("s1").alias("target"),
         F.col("s2").alias("next_state"))
 
@@ -247,13 +245,13 @@ SQL = {
       FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) d,
            LATERAL (SELECT unnest(range(1, len(d.ls))) AS i)""",
     "state_action": """
-      SELECT conv_id, turn, s AS source, s1 AS target, s2 AS next_state FROM (
-        SELECT conv_id, turn, s,
-               lead(s, 1) OVER (PARTITION BY conv_id ORDER BY turn) AS s1,
-               lead(s, 2) OVER (PARTITION BY conv_id ORDER BY turn) AS s2
-        FROM (SELECT conv_id, turn,
-                     CASE WHEN turn % 4 = 3 THEN '0.0 ' ELSE '1.0 ' END || text AS s
-              FROM conversations)) WHERE s2 IS NOT NULL""",
+      SELECT a.conv_id, a.turn, a.s AS source, b.s AS target, c.s AS next_state
+      FROM (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN '0.0 ' ELSE '1.0 ' END || text AS s
+            FROM conversations) a
+      JOIN (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN '0.0 ' ELSE '1.0 ' END || text AS s
+            FROM conversations) b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
+      JOIN (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN '0.0 ' ELSE '1.0 ' END || text AS s
+            FROM conversations) c ON c.conv_id = a.conv_id AND c.turn = a.turn + 2""",
     "hypotheses": """
       SELECT 'last' AS system, conv_id AS line_no, CAST(conv_id AS VARCHAR) AS key,
              arg_max(text, turn) AS hyp FROM conversations GROUP BY conv_id

@@ -16,10 +16,7 @@ SPREAD_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"],
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    from convkit.session import spread
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     keys = SPREAD_KEYS.get(name)
-    if keys:
-        slots = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < slots:
-            df = df.repartition(slots, *keys)
-    return df
+    return spread(df, keys) if keys else df

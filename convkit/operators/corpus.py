@@ -99,15 +99,14 @@ def bland_tag(sa: DataFrame, bland_top: int = BLAND_TOP, ratio: float = BLAND_RA
     Bland iff the sentence has >= 1 trigram and the trigrams whose corpus
     count exceeds the threshold make up >= ratio of them."""
     freq = trigram_freq(sa)
-    thr = kth_count(freq, bland_top).withColumn("_k", F.lit(1))
+    thr = kth_count(freq, bland_top).scalar()       # scalar subquery (NULL if no such rank)
     s = _sentences(sa)
     grams = s.filter(F.col("flag").cast("int") != 0).select(
         "conv_id", "turn", "pos", F.explode(ngrams(T.words("sentence"), 3)).alias("trigram"))
     scored = (grams.join(freq, "trigram")
-                   .withColumn("_k", F.lit(1)).join(F.broadcast(thr), "_k")
                    .groupBy("conv_id", "turn", "pos")
                    .agg(F.count(F.lit(1)).alias("_n"),
-                        F.sum((F.col("cnt") > F.col("threshold")).cast("long")).alias("_hi")))
+                        F.sum((F.col("cnt") > thr).cast("long")).alias("_hi")))
     out = s.join(scored, ["conv_id", "turn", "pos"], "left")
     tag = (F.when(F.col("flag").cast("int") == 0, F.lit("bad"))
             .when((F.coalesce("_n", F.lit(0)) > 0) & (F.col("_hi") >= F.lit(ratio) * F.col("_n")), F.lit("bland"))

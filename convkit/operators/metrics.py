@@ -141,13 +141,12 @@ def nist(p: Prepared) -> DataFrame:
     """Cumulative NIST-1..4 per system."""
     h, lines = p.h, p.lines
     rc = p.rn.groupBy("n", "g").agg(F.sum("tf").alias("cnt"))
-    total_words = rc.filter(F.col("n") == 1).agg(F.sum("cnt").alias("_tw")).withColumn("_k", F.lit(1))
+    total_words = rc.filter(F.col("n") == 1).agg(F.sum("cnt")).scalar()     # scalar subquery
     # information weight: log2(count(prefix) / count(ngram)); prefix of a unigram = all words
     pref = rc.select((F.col("n") + 1).alias("n"), F.col("g").alias("_pg"), F.col("cnt").alias("_pc"))
     info = (rc.withColumn("_pg", F.when(F.col("n") > 1, F.regexp_replace("g", " [^ ]+$", "")))
               .join(pref, ["n", "_pg"], "left")
-              .withColumn("_k", F.lit(1)).join(F.broadcast(total_words), "_k")
-              .select("n", "g", F.log2(F.coalesce("_pc", "_tw") / F.col("cnt")).alias("info")))
+              .select("n", "g", F.log2(F.coalesce(F.col("_pc"), total_words) / F.col("cnt")).alias("info")))
     rmax = p.rn.groupBy("key", "n", "g").agg(F.max("tf").alias("rmax"))
     hn = p.hn
     matched = (hn.join(rmax, ["key", "n", "g"]).join(info, ["n", "g"])
@@ -185,12 +184,12 @@ def cider(p: Prepared, sigma: float = CIDER_SIGMA) -> DataFrame:
     """Per-segment CIDEr (tf-idf cosine with clipping and a Gaussian
     length penalty on bigram counts), mean over n, / refs, x 10."""
     h, lines, rn = p.h, p.lines, p.rn
-    nseg = lines.agg(F.countDistinct("key").alias("_N")).withColumn("_k", F.lit(1))
+    nseg = lines.agg(F.countDistinct("key")).scalar()                       # scalar subquery
     df = rn.groupBy("n", "g").agg(F.countDistinct("key").alias("df"))
-    lnN = F.log(F.col("_N").cast("double"))
+    lnN = F.log(nseg.cast("double"))
 
     def with_idf(d, tf):
-        d = d.join(df, ["n", "g"], "left").withColumn("_k", F.lit(1)).join(F.broadcast(nseg), "_k")
+        d = d.join(df, ["n", "g"], "left")
         return d.withColumn("v", F.col(tf) * (lnN - F.log(F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)).cast("double"))))
     rv = with_idf(rn, "tf")
     hv = with_idf(p.hn, "hc")

@@ -71,25 +71,21 @@ def skip_audit(rejected: DataFrame, by=("skip_reason",)) -> DataFrame:
     return rejected.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def blockword_hits(df: DataFrame, text_col: str, block_words: DataFrame, max_phrase_words: int = 3) -> DataFrame:
+def blockword_hits(df: DataFrame, key: str, text_col: str, block_words: DataFrame, max_phrase_words: int = 3) -> DataFrame:
     """J7 for large lists: explode word n-grams (n <= max_phrase_words) of
     each text, lower-cased, and semi-join them to the block list.
 
-    Returns ``df`` with a boolean ``blocked`` column. The join is an
-    equi-join on the phrase, so list size does not matter; AQE broadcasts
-    the list at runtime only when it is actually small.
-    """
+    ``key`` must identify a row. Returns ``df`` with a boolean ``blocked``
+    column. The join is an equi-join on the phrase, so list size does not
+    matter; AQE broadcasts the list at runtime only when it is small."""
     from convkit.functions.ngrams import ngrams_upto
-    key = F.monotonically_increasing_id()
-    d = df.withColumn("_rid", key)
     # words are split on non-word characters so punctuation does not hide a hit
     toks = F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    grams = d.select("_rid", F.explode(ngrams_upto(toks, max_phrase_words)).alias("g"))
+    grams = df.select(key, F.explode(ngrams_upto(toks, max_phrase_words)).alias("g"))
     bl = block_words.select(F.lower(F.col("entry")).alias("g")).distinct()
-    hits = grams.join(bl, "g", "left_semi").select("_rid").distinct().withColumn("blocked", F.lit(True))
-    return (d.join(hits, "_rid", "left")
-             .withColumn("blocked", F.coalesce(F.col("blocked"), F.lit(False)))
-             .drop("_rid"))
+    hits = grams.join(bl, "g", "left_semi").select(key).distinct().withColumn("blocked", F.lit(True))
+    return (df.join(hits, key, "left")
+              .withColumn("blocked", F.coalesce(F.col("blocked"), F.lit(False))))
 
 
 def turn_weights(pairs: DataFrame, discard_hashes: DataFrame | None, block_regex: str | None = None,

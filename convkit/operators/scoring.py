@@ -38,21 +38,20 @@ def value_class(v) -> Column:
 def macro_f1(df: DataFrame, keys=(), pred: str = "pred", truth: str = "truth") -> DataFrame:
     """Three-way macro F1 over labels present in truth or prediction,
     plus mean absolute error of the raw values."""
-    keys = list(keys) or ["_all"]
-    d = df.withColumn("_all", F.lit(1)).select(*keys, value_class(pred).alias("p"), value_class(truth).alias("t"),
-                                               F.abs(F.col(pred) - F.col(truth)).alias("ae"))
-    conf = d.groupBy(*keys, "t", "p").agg(F.count(F.lit(1)).alias("n"))
+    keys = list(keys)
+    d = df.select(*keys, value_class(pred).alias("p"), value_class(truth).alias("t"),
+                  F.abs(F.col(pred) - F.col(truth)).alias("ae"))
+    conf = d.groupBy(*keys, "t", "p").agg(F.count(F.lit(1)).alias("n"), F.sum("ae").alias("sae"))
     tp = conf.filter(F.col("t") == F.col("p")).groupBy(*keys, F.col("t").alias("c")).agg(F.sum("n").alias("tp"))
-    pc = conf.groupBy(*keys, F.col("p").alias("c")).agg(F.sum("n").alias("np"))
+    pc = conf.groupBy(*keys, F.col("p").alias("c")).agg(F.sum("n").alias("np"), F.sum("sae").alias("_sae"))
     tc = conf.groupBy(*keys, F.col("t").alias("c")).agg(F.sum("n").alias("nt"))
-    per = pc.join(tc, [*keys, "c"], "full").join(tp, [*keys, "c"], "left").na.fill(0, ["tp", "np", "nt"])
+    per = pc.join(tc, [*keys, "c"], "full").join(tp, [*keys, "c"], "left").na.fill(0, ["tp", "np", "nt", "_sae"])
     p = F.when(F.col("np") > 0, F.col("tp") / F.col("np")).otherwise(F.lit(0.0))
     r = F.when(F.col("nt") > 0, F.col("tp") / F.col("nt")).otherwise(F.lit(0.0))
     f = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
-    f1 = per.groupBy(*keys).agg(F.avg(f).alias("macro_f1"))
-    mae = d.groupBy(*keys).agg(F.avg("ae").alias("mae"))
-    out = f1.join(mae, keys)
-    return out.drop("_all") if keys == ["_all"] else out
+    # every row is counted once under its predicted class, so the class
+    # rows also carry the absolute-error total: one aggregate, no join
+    return per.groupBy(*keys).agg(F.avg(f).alias("macro_f1"), (F.sum("_sae") / F.sum("np")).alias("mae"))
 
 
 def corpus_ppl(tl: DataFrame, keys=()) -> DataFrame:

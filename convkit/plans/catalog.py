@@ -157,7 +157,7 @@ BLOCK_WORDS = ["und der", "the and", "que la"]   # fixed phrase list for J7
 def q_blockword_hits(spark, sf):
     _, c = _admitted(spark, sf)
     bw = spark.createDataFrame([(w,) for w in BLOCK_WORDS], "entry string")
-    return Q.blockword_hits(c.select("name", "body"), "body", bw).select(
+    return Q.blockword_hits(c.select("name", "body"), "name", "body", bw).select(
         "name", F.col("blocked").cast("int").alias("blocked"))
 
 
@@ -759,9 +759,8 @@ def q_ngram_entropy_head(spark, sf):
     """T5: entropy and mean length over the first n_lines hypothesis lines."""
     hy = AD.hypotheses(spark, sf).filter((F.col("system") == "last") & (F.col("line_no") < N_LINES))
     c = NS.ngram_counts(hy, "hyp", 4)
-    e = NS.ngram_entropy(c).select("n", F.round("entropy", 6).alias("entropy"), F.lit(1).alias("_k"))
-    al = NS.avg_len(hy, "hyp").select(F.round("avg_len", 6).alias("avg_len"), F.lit(1).alias("_k"))
-    return e.join(F.broadcast(al), "_k").drop("_k")      # one-row side
+    al = NS.avg_len(hy, "hyp").select(F.round("avg_len", 6)).scalar()      # scalar subquery, no join
+    return NS.ngram_entropy(c).select("n", F.round("entropy", 6).alias("entropy"), al.alias("avg_len"))
 
 
 @query("sha224_targets")

@@ -93,3 +93,12 @@ def test_macro_f1_absent_class(spark):
     # classes 2 (tp=1, np=2, nt=1), 1 (np=0, nt=1), 0 (tp=1): F = [2/3, 0, 1]
     assert abs(r["macro_f1"] - (2 / 3 + 0 + 1) / 3) < 1e-12
     assert abs(r["mae"] - 1.8 / 3) < 1e-12
+
+
+def test_trigram_counts_match_survey_probe(spark):
+    """Trigram occurrences / distinct over conversation turns (FIXTURES.md B)."""
+    from convkit.operators import ngram_stats as NS
+    from conftest import SF001
+    for sf, exp in [(SF001, (6289, 6247)), (SF01, (45763, 44777))]:
+        c3 = NS.ngram_counts(table(spark, sf, "conversations"), "text", 3).filter("n = 3")
+        assert tuple(c3.agg(F.sum("cnt"), F.count(F.lit(1))).first()) == exp

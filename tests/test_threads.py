@@ -104,3 +104,22 @@ def test_admission_rules(spark):
     subs = TH.submission_filter(spark.createDataFrame(SUBS, SUB_SCHEMA))
     got = [(r["name"], r["body"], r["n_char"]) for r in TH.comment_admission(comments(spark, rows), subs).collect()]
     assert got == [("t1_d5", "tab split", 9)]
+
+
+def test_chain_counts_match_survey_probe(spark):
+    """Chains of >= 2 turns over all adapter comments (before score, leaf,
+    key and quality filters, no title, depth 5): FIXTURES.md section B."""
+    from conftest import SF001, SF01
+    from convkit.functions import text as T
+    from convkit.sources import adapters as AD
+    expect = {SF001: {30: 6, 100: 34, 200: 54}, SF01: {30: 32, 100: 197, 200: 297}}
+    for sf, exp in expect.items():
+        c = (AD.comments(spark, sf).withColumn("name", F.concat(F.lit("t1_"), F.col("id")))
+             .withColumn("n_char", F.length("body")).withColumn("body", T.minimal_norm("body")))
+        for max_len, n in exp.items():
+            ch = TH.ancestor_chains(c, c, max_depth=5, max_len=max_len)
+            assert ch.filter(F.size("turns") >= 2).count() == n, (sf, max_len)
+    c = AD.comments(spark, SF01).withColumn("name", F.concat(F.lit("t1_"), F.col("id")))
+    assert c.count() == 536
+    assert c.filter(TH.score_of("score") < 1).count() == 139
+    assert TH.leaf_comments(c).count() == 243

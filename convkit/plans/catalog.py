@@ -768,3 +768,15 @@ def q_sha224_targets(spark, sf):
     """SHA-224 of the normalised discard-target turns (no DuckDB twin)."""
     c = table(spark, sf, "conversations")
     return c.select("conv_id", "turn", F.sha2(T.gpt_norm(T.minimal_norm("text")), 224).alias("hash"))
+
+
+@query("hyp_scan")
+def q_hyp_scan(spark, sf):
+    """IO9: line-aligned hypothesis file and key file (one record per line,
+    written as ordered part files by a distributed sort), read back by line
+    number."""
+    base = _scratch(spark, "hyps")
+    h = AD.hypotheses(spark, sf).filter(F.col("system") == "last").orderBy("line_no")
+    h.select(T.minimal_norm("hyp").alias("value")).write.text(base + "/hyp")
+    h.select(F.col("key").alias("value")).write.text(base + "/keys")
+    return IO.read_hypotheses(spark, base + "/hyp", base + "/keys", "last")

@@ -253,3 +253,6 @@ oracle("ngram_entropy_head", S.ctes([("hy", A["hypotheses"]),
     SELECT n, round(-sum(cnt / t * (ln(cnt) - ln(t))), 6) AS entropy,
            (SELECT round(avg(len({S.words('hyp')})), 6) FROM hl) AS avg_len
     FROM (SELECT *, sum(cnt) OVER (PARTITION BY n) AS t FROM nc) GROUP BY n"""))
+oracle("hyp_scan", S.ctes([("hy", A["hypotheses"])], f"""
+    SELECT 'last' AS system, row_number() OVER (ORDER BY line_no) - 1 AS line_no, key, {S.minimal_norm('hyp')} AS hyp
+    FROM hy WHERE system = 'last'"""))

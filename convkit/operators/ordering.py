@@ -39,7 +39,16 @@ def _range_id(d: DataFrame, n: int) -> Column:
         return F.lit(0)
     st = d.schema["_key"].dataType
     lits = [F.struct(*[F.lit(b[f.name]).cast(f.dataType).alias(f.name) for f in st.fields]) for b in bounds]
-    return F.size(F.filter(F.array(*lits), lambda b: b <= F.col("_key")))
+    key = F.col("_key")
+
+    def search(lo: int, hi: int) -> Column:
+        # number of bounds <= key, knowing it lies in [lo, hi]: a balanced
+        # comparison tree, so each row costs O(log ranges) comparisons
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key < lits[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
+    return search(0, len(lits))
 
 
 def global_cumsum(df: DataFrame, order: list[Column], value: Column, name: str,

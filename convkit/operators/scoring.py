@@ -88,6 +88,7 @@ def history_window(msgs: DataFrame, budget: int = HISTORY_BUDGET, block: int = 4
     per-user sequence is cut into blocks of ``block`` rows and each block
     gets a halo of the previous ``budget`` rows, so windows are bounded and
     one very active user is spread over many tasks."""
+    block = max(block, 2 * budget)        # the halo must come from one block
     m = msgs.filter(F.col("text") != "")
     m = keyed_index(m, ["uid"], [F.col("ts")], "_i")
     m = m.withColumn("_blk", F.floor(F.col("_i") / block))

@@ -85,3 +85,16 @@ def test_sha224_matches_hashlib(spark):
     df = spark.createDataFrame([(v,) for v in vals], "t string")
     got = [r[0] for r in df.select(F.sha2("t", 224)).collect()]
     assert got == [hashlib.sha224(v.encode("utf-8")).hexdigest() for v in vals]
+
+
+def test_feature_sink_chunks_and_metadata(spark):
+    from pyspark.sql import functions as F
+    d = tempfile.mkdtemp(prefix="convkit-io-")
+    df = spark.range(250).select(F.col("id").alias("row_id"), (F.col("id") % 7).alias("v"))
+    IO.write_features(df, d, [F.col("row_id")], chunk_size=100)
+    meta = spark.read.json(d + "/meta").first()
+    assert (meta["n_rows"], meta["n_chunks"], meta["chunk_size"]) == (250, 3, 100)
+    back = spark.read.parquet(d + "/chunks")
+    got = {r["chunk_id"]: r["count"] for r in back.groupBy("chunk_id").count().collect()}
+    assert got == {0: 100, 1: 100, 2: 50}
+    assert back.filter((F.col("row_id") / 100).cast("int") != F.col("chunk_id")).count() == 0

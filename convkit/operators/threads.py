@@ -65,7 +65,7 @@ def comment_meta(comments: DataFrame, subs: DataFrame) -> DataFrame:
 
 def score_of(col="score") -> Column:
     """PF3: NULL / unparsable score counts as 0."""
-    return F.coalesce(T._c(col).cast("string").try_cast("int"), F.lit(0))
+    return F.coalesce(T._c(col).cast("string").try_cast("long"), F.lit(0).cast("long"))
 
 
 def _len_ok(max_len: int, max_len_type: str) -> Column:

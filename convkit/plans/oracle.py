@@ -52,7 +52,7 @@ _META = """SELECT c.month, 't1_' || c.id AS name, coalesce(lower(split_part(s.pe
                   coalesce(lower(s.domain), '') AS domain, coalesce(s.title, '') AS title
            FROM comments c LEFT JOIN subs s ON s.month = c.month AND s.sid = c.link_id"""
 oracle("comment_meta", S.ctes(_B, _META))
-oracle("score_filter", S.ctes(_B, "SELECT month, name, coalesce(score, 0) AS score FROM adm "
+oracle("score_filter", S.ctes(_B, "SELECT month, name, CAST(coalesce(score, 0) AS BIGINT) AS score FROM adm "
                                   "WHERE coalesce(score, 0) >= 1"))
 oracle("subreddit_block", S.ctes(_B + [("m", _META)], """
     SELECT month, name, subreddit, CASE WHEN subreddit = '' THEN 'missing'

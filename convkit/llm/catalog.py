@@ -3,13 +3,15 @@ whole tables, and their DuckDB twins where SQL can express them."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convkit.llm import near_dedup, rule_ensemble, toxicity
-from convkit.llm.stages import documents
+from convkit.llm import bpe, near_dedup, rule_ensemble, token_count, token_file, toxicity
+from convkit.llm.stages import documents, written
+from convkit.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,3 +47,40 @@ def op3(spark, sf):
 def op4(spark, sf):
     """doc_id, class_id, class_size, keep."""
     return near_dedup.near_dup_classes(documents(spark, sf)).drop("key")
+
+
+def _vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file; only the driver opens it."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op5_token_file")
+def op5(spark, sf):
+    with open(_vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
+        tokenizer = f.read()
+    folder = scratch_path(spark, f"tokens-{uuid.uuid4().hex[:12]}")
+    files = written(token_file.write_files(documents(spark, sf), folder, tokenizer, end_id=0), "token-files")
+    return token_file.read_files(files, folder, files.count())
+
+
+@query("op6_token_counts")
+def op6(spark, sf):
+    """doc_id, n_tokens under the pieces and scores of the 32k vocabulary."""
+    vocabulary = token_count.unigram_vocabulary(_vocabulary("piece_bpe_32k.model"))
+    return token_count.token_counts(documents(spark, sf).select("doc_id", "text"), vocabulary)
+
+
+def bpe_digests(docs: DataFrame, rank_file: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    """``docs`` without its text, plus n_tokens, ids_sha256 and decoded_sha256."""
+    tokens = bpe.read_ranks(_vocabulary(rank_file))
+    rows = bpe.decode(bpe.encode(docs, tokens), tokens)
+    return rows.withColumns({
+        "n_tokens": F.size("ids").cast("long"),
+        "ids_sha256": F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256),
+        "decoded_sha256": F.sha2("decoded", 256)}).drop("ids", "decoded")
+
+
+@query("op7_bpe")
+def op7(spark, sf):
+    return bpe_digests(documents(spark, sf).select("doc_id", "text"))

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convkit.llm import bpe, near_dedup, rule_ensemble, token_count, token_file, toxicity
+from convkit.llm import bpe, near_dedup, rule_ensemble, rule_ledger, token_count, token_file, toxicity, url_rules
 from convkit.llm.stages import documents, written
 from convkit.session import scratch_path
 
@@ -84,3 +84,66 @@ def bpe_digests(docs: DataFrame, rank_file: str = "byte_bpe_multi_50k.tiktoken")
 @query("op7_bpe")
 def op7(spark, sf):
     return bpe_digests(documents(spark, sf).select("doc_id", "text"))
+
+
+# The URL rules of the registered query, as (host, path, verdict).
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+_URL_SQL = """
+WITH p AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages),
+r(rule_host, rule_path, rule_verdict) AS (VALUES {rules}),
+m AS (
+  SELECT page_id, rule_host || rule_path AS rule, rule_verdict,
+    row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC) AS k
+  FROM p JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.rule_verdict, 'allow') AS verdict
+FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.k = 1
+""".format(rules=", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES))
+
+
+@query("op9_url_rules", _URL_SQL)
+def op9(spark, sf):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge(documents(spark, sf, "pages"), rules)
+
+
+_LEDGER_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+tri AS (
+  SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS c
+  FROM (SELECT doc_id, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d))),
+rep AS (
+  SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM tri WHERE c > 1) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l)::BIGINT AS n_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id),
+f AS (SELECT *, ({bits})::BIGINT AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed,
+  (failed & {base}) <> 0 AS base_failed, (failed & {mask}) = 0 AS kept
+FROM f
+""".format(bits=" + ".join(f"CASE WHEN {c} THEN {rule_ledger.bit(r)} ELSE 0 END" for r, c in rule_ledger.RULES),
+           base=rule_ledger.mask("base"), mask=rule_ledger.mask(rule_ledger.POLICY))
+
+
+@query("op10_rule_ledger", _LEDGER_SQL)
+def op10(spark, sf):
+    led = rule_ledger.ledger(documents(spark, sf))
+    return led.select("doc_id", *rule_ledger.MEASURES, "failed", (~rule_ledger.kept("base")).alias("base_failed"),
+                      rule_ledger.kept().alias("kept"))

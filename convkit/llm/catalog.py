@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convkit.llm import bpe, near_dedup, rule_ensemble, rule_ledger, token_count, token_file, toxicity, url_rules
+from convkit.llm import bpe, decontaminate, near_dedup, rule_ensemble, rule_ledger, token_count, token_file, toxicity, url_rules
 from convkit.llm.stages import documents, written
 from convkit.session import scratch_path
 
@@ -35,6 +35,12 @@ def op1(spark, sf):
     return toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, labels)).drop("text")
 
 
+@query("op2_decontamination")
+def op2(spark, sf):
+    """doc_id, item_id, similarity of every contaminated document and its items."""
+    return decontaminate.leaks(documents(spark, sf), documents(spark, sf, "benchmark")).drop("rid")
+
+
 @query("op3_quality")
 def op3(spark, sf):
     docs = documents(spark, sf)

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convkit.llm import near_dedup, rule_ensemble, toxicity
+from convkit.llm import decontaminate, near_dedup, rule_ensemble, toxicity
+from convkit.llm.catalog import bpe_digests
 from convkit.llm.stages import documents, written
 
 
@@ -34,11 +35,22 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     return near_dedup.deduplicated(docs)
 
 
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminated(docs, documents(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return bpe_digests(docs.select("doc_id", "text"))
+
+
 #: (name, function of (spark, docs, sf_dir)), in order.
 STAGES = [
     ("toxicity", without_toxic),
     ("quality", good_quality),
     ("near_dedup", without_near_duplicates),
+    ("decontamination", without_benchmark),
+    ("bpe", encoded),
 ]
 
 #: The stages learn models and hash texts: SQL can't express them.

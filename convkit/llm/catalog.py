@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convkit.llm import bpe, decontaminate, near_dedup, rule_ensemble, rule_ledger, token_count, token_file, toxicity, url_rules
+from convkit.llm import bpe, decontaminate, licences, near_dedup, rule_ensemble, rule_ledger, token_count, token_file, toxicity, url_rules
 from convkit.llm.stages import documents, written
 from convkit.session import scratch_path
 
@@ -92,6 +92,49 @@ def op7(spark, sf):
     return bpe_digests(documents(spark, sf).select("doc_id", "text"))
 
 
+_LICENCE_SQL = r"""
+WITH t(licence, notice) AS (VALUES {templates}),
+tw AS (SELECT licence, word, count(*) AS tf FROM (
+  SELECT licence, unnest(list_filter(string_split_regex(lower(notice), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ({stop}))) AS word FROM t) GROUP BY ALL),
+idf AS (SELECT word, ln((1 + {n}) / (1 + count(*))) + 1 AS idf FROM tw GROUP BY word),
+wt AS (SELECT licence, word, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY licence)) AS weight FROM tw JOIN idf USING (word)),
+f AS (SELECT DISTINCT concat(source, '/', lang, '/', doc_id, '.txt') AS path, lower(text) AS low FROM documents),
+u AS (SELECT path, unnest(range(len(l))) AS unit, unnest(l) AS line FROM (
+  SELECT path, string_split_regex(regexp_replace(low, '([.!?;])[ \t]', '\1' || chr(10), 'g'), chr(10)) AS l FROM f)),
+uw AS (SELECT path, unit, list_filter(string_split_regex(line, '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ({stop})) AS ws FROM u),
+x AS (SELECT path, unit, len(ws) AS n, unnest(ws) AS word FROM uw WHERE len(list_intersect(ws, (SELECT list(word) FROM idf))) > 0),
+xf AS (SELECT path, unit, n, word, count(*) * coalesce(any_value(idf), ln(1 + {n}) + 1) AS x FROM x LEFT JOIN idf USING (word) GROUP BY ALL),
+nm AS (SELECT path, unit, n, sqrt(sum(x * x)) AS norm FROM xf GROUP BY ALL),
+c AS (SELECT path, unit, n, licence, round(sum(x * weight) / any_value(norm), 6) AS cosine
+  FROM xf JOIN wt USING (word) JOIN nm USING (path, unit, n) GROUP BY ALL HAVING cosine >= {cosine}),
+hit AS (SELECT *, row_number() OVER (PARTITION BY path, unit ORDER BY cosine DESC, licence) AS k FROM c QUALIFY k = 1),
+own AS (SELECT path, arg_min(licence, (-cosine, unit, licence)) AS licence, max(cosine) AS cosine, sum(n) AS lw FROM hit GROUP BY path),
+st AS (SELECT own.*, regexp_extract(path, '^(.*)/', 1) AS dir FROM own JOIN f USING (path)
+  WHERE lw >= {share} * len(list_filter(string_split_regex(low, '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ({stop})))),
+bd AS (SELECT dir, licence, cosine, path FROM st QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, path, licence) = 1),
+fd AS (SELECT path, regexp_extract(path, '^(.*)/', 1) AS d FROM f),
+r AS (SELECT fd.path, bd.licence, bd.cosine, bd.path AS source FROM fd
+  JOIN bd ON d = bd.dir OR starts_with(d, bd.dir || '/') OR bd.dir = ''
+  QUALIFY row_number() OVER (PARTITION BY fd.path ORDER BY length(bd.dir) DESC) = 1)
+SELECT d.doc_id, f.path, coalesce(own.licence, r.licence) AS licence, coalesce(own.cosine, r.cosine) AS cosine,
+  CASE WHEN own.path IS NOT NULL THEN 'file' WHEN r.path IS NOT NULL THEN 'directory' END AS origin,
+  CASE WHEN own.path IS NOT NULL THEN f.path ELSE r.source END AS source
+FROM documents d JOIN f ON f.path = concat(d.source, '/', d.lang, '/', d.doc_id, '.txt')
+LEFT JOIN own ON own.path = f.path LEFT JOIN r ON r.path = f.path
+""".format(templates=", ".join(f"('{k}', '{t}')" for k, t in licences.TEMPLATES), n=len(licences.TEMPLATES),
+           stop=", ".join(f"'{w}'" for w in licences.STOP), cosine=licences.COSINE, share=licences.FILE_SHARE)
+
+
+@query("op8_licences", _LICENCE_SQL)
+def op8(spark, sf):
+    """Licence of every document; its path is source/lang/doc_id.txt."""
+    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/"),
+                    F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(".txt"))
+    docs = documents(spark, sf)
+    found = licences.scan(docs.select(path.alias("path"), "text"))
+    return docs.select("doc_id", path.alias("path")).join(found, "path").select("doc_id", "path", "licence", "cosine", "origin", "source")
+
+
 # The URL rules of the registered query, as (host, path, verdict).
 URL_RULES = [
     ("com", "/", "allow"),

@@ -19,7 +19,7 @@ are lower-cased runs of letters and digits.
 Defined results: null and empty texts and items match nothing; items of
 fewer than three words are one gram of all their words and are found where a
 document of as few words equals them; repeated documents each get their rows,
-repeated items too; rows without doc_id are judged as well (null id); empty
+items with equal ids are one item of several texts, also those without id; rows without doc_id are judged as well (null id); empty
 tables give no rows; other columns are ignored.
 """
 
@@ -215,8 +215,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     found = written(passages(docs, seed, n, block), "passages")
     near = (found.select("rid", "lo", F.explode("grams").alias("gram")).join(seed.select("gram", "item_id"), "gram")
                  .select("rid", "lo", "item_id").distinct())
-    items = seed.groupBy("item_id", "n_words").agg(F.first("words").alias("words"))
-    pairs = found.select("doc_id", "rid", "lo", "window").join(near, ["rid", "lo"]).join(items, "item_id")
+    items = seed.select(F.col("item_id").alias("_item"), "n_words", "words").distinct()
+    pairs = found.select("doc_id", "rid", "lo", "window").join(near, ["rid", "lo"]).join(
+        items, F.col("item_id").eqNullSafe(F.col("_item")))
 
     def run(batches):
         for batch in batches:

@@ -140,7 +140,8 @@ def _block_links(table: pa.Table, words: int, least: float) -> pa.Table:
 def exact_links(docs: DataFrame, clusters: DataFrame, words: int = WORDS, least: float = SIMILARITY,
                 block: int = BLOCK) -> DataFrame:
     """(node, component) over text keys that are linked to another text."""
-    texts = (docs.select(F.xxhash64("text").alias("node"), F.md5("text").alias("key"), "text").join(clusters, "node")
+    # a sort-merge join at every size: clusters grow with the corpus
+    texts = (docs.select(F.xxhash64("text").alias("node"), F.md5("text").alias("key"), "text").join(clusters.hint("merge"), "node")
                  .groupBy("key").agg(F.first("component").alias("cluster"), F.first("text").alias("text")))
     texts = written(texts, "cluster-texts")
     sizes = texts.groupBy("cluster").agg(

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from convkit.llm import decontaminate as D
-from llm_edge import EDGE
+from llm_edge import EDGE, frame, sentence  # noqa: F401
 
 
 def _sw(a, b):

@@ -9,7 +9,7 @@ from convkit.llm import dart
 from convkit.llm import near_dedup as N
 from convkit.llm import stages
 from convkit.llm import wordhash as H
-from llm_edge import EDGE
+from llm_edge import EDGE, frame, sentence  # noqa: F401
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])

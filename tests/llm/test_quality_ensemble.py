@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from convkit.llm import rule_ensemble as R
-from llm_edge import EDGE
+from llm_edge import EDGE, frame, sentence  # noqa: F401
 
 
 def test_statistics_by_hand():

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from convkit.llm import toxicity as X
-from llm_edge import EDGE
+from llm_edge import EDGE, frame, sentence  # noqa: F401
 
 
 def _sample(sentence, n=240):

@@ -29,14 +29,17 @@ def segment_conversations(rows: DataFrame) -> DataFrame:
 
     A marker 'S' opens a conversation, rows before a file's first 'S' are
     ignored, a file's end closes its last conversation and ids continue
-    across files (file order). The running count of markers is a
-    distributed prefix sum, so one huge file does not land in one task."""
+    across files (file order); a file without any 'S' still uses up an id.
+    The running count of markers is a distributed prefix sum, so one huge
+    file does not land in one task."""
     r = global_cumsum(rows, [F.col("file_no"), F.col("row_no")],
                       (F.col("marker") == "S").cast("long"), "_seg")
-    first = (rows.filter(F.col("marker") == "S").groupBy("file_no")
-                 .agg(F.min("row_no").alias("_first")))
-    r = r.join(first, "file_no").filter(F.col("row_no") >= F.col("_first"))
-    return r.select("file_no", "row_no", (F.col("_seg") - 1).alias("conv_id"), "text")
+    files = rows.groupBy("file_no").agg(F.count_if(F.col("marker") == "S").alias("_n"),
+                                        F.min(F.when(F.col("marker") == "S", F.col("row_no"))).alias("_first"))
+    before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)       # one row per file
+    files = files.withColumn("_skipped", F.coalesce(F.sum((F.col("_n") == 0).cast("long")).over(before), F.lit(0)))
+    r = r.join(files, "file_no").filter(F.col("row_no") >= F.col("_first"))
+    return r.select("file_no", "row_no", (F.col("_seg") - 1 + F.col("_skipped")).alias("conv_id"), "text")
 
 
 def split_of(id_col, lines: bool = False):
@@ -86,30 +89,38 @@ def trigram_freq(sa: DataFrame) -> DataFrame:
 
 def kth_count(freq: DataFrame, k: int) -> DataFrame:
     """One-row frame with the count at 0-based rank k (descending).
-    A top-(k+1) is the feature here; empty when fewer than k+1 trigrams."""
+    A top-(k+1) is the feature here. Fewer than k + 1 trigrams end the job
+    (the original stops with an error)."""
     top = freq.orderBy(F.col("cnt").desc(), F.col("trigram")).limit(k + 1)
-    w = Window.orderBy(F.col("cnt").desc(), F.col("trigram"))   # over at most k+1 rows
-    return (top.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == k + 1)
-               .select(F.col("cnt").alias("threshold")))
+    return top.agg(F.when(F.count(F.lit(1)) > k, F.min("cnt"))
+                    .otherwise(F.raise_error(F.lit(f"fewer than {k + 1} trigrams")).cast("long")).alias("threshold"))
 
 
 def bland_tag(sa: DataFrame, bland_top: int = BLAND_TOP, ratio: float = BLAND_RATIO) -> DataFrame:
     """Tag per sentence: 'bad' (weight flag 0), 'bland' or ''.
 
     Bland iff the sentence has >= 1 trigram and the trigrams whose corpus
-    count exceeds the threshold make up >= ratio of them."""
+    count exceeds the threshold make up >= ratio of them. At most
+    ``bland_top`` trigrams exceed the count at that rank, so they are
+    broadcast and nothing is shuffled by trigram but the count itself. A
+    corpus without that rank ends the job, as the original does."""
     freq = trigram_freq(sa)
-    thr = kth_count(freq, bland_top).scalar()       # scalar subquery (NULL if no such rank)
-    s = _sentences(sa)
-    grams = s.filter(F.col("flag").cast("int") != 0).select(
-        "conv_id", "turn", "pos", F.explode(ngrams(T.words("sentence"), 3)).alias("trigram"))
-    scored = (grams.join(freq, "trigram")
-                   .groupBy("conv_id", "turn", "pos")
-                   .agg(F.count(F.lit(1)).alias("_n"),
-                        F.sum((F.col("cnt") > thr).cast("long")).alias("_hi")))
-    out = s.join(scored, ["conv_id", "turn", "pos"], "left")
-    tag = (F.when(F.col("flag").cast("int") == 0, F.lit("bad"))
-            .when((F.coalesce("_n", F.lit(0)) > 0) & (F.col("_hi") >= F.lit(ratio) * F.col("_n")), F.lit("bland"))
+    top = freq.orderBy(F.col("cnt").desc(), F.col("trigram")).limit(bland_top + 1)
+    last = F.min("cnt").over(Window.partitionBy())                      # over at most bland_top + 1 rows
+    top = top.select("trigram", "cnt", last.alias("_thr"))
+    frequent = F.broadcast(top.where("cnt > _thr").select("trigram", F.lit(1).alias("_hi")))
+    enough = top.agg(F.count(F.lit(1))).scalar()
+    checked = F.when(enough <= bland_top, F.raise_error(F.lit(f"the corpus has no trigram of rank {bland_top}")))
+    s = _sentences(sa).withColumn("_g", ngrams(T.words("sentence"), 3))
+    s = s.withColumn("_bad", F.col("flag").cast("int") == 0)
+    # each occurrence of a frequent trigram, then back to the sentence: rows
+    # of one sentence are summed before they are shuffled
+    x = s.select("conv_id", "turn", "pos", "_bad", F.size("_g").alias("_n"), F.explode_outer("_g").alias("trigram"))
+    x = x.join(frequent, "trigram", "left")
+    out = x.groupBy("conv_id", "turn", "pos").agg(F.first("_bad").alias("_bad"), F.first("_n").alias("_n"),
+                                                  F.coalesce(F.sum("_hi"), F.lit(0)).alias("_hi"))
+    tag = (F.when(checked.cast("string").isNotNull(), F.lit(None)).when(F.col("_bad"), F.lit("bad"))
+            .when((F.col("_n") > 0) & (F.col("_hi") >= F.lit(ratio) * F.col("_n")), F.lit("bland"))
             .otherwise(F.lit("")))
     return out.select("conv_id", "turn", "pos", tag.alias("tag"))
 
@@ -130,7 +141,7 @@ def emotion_reward(df: DataFrame, json_col: str = "json") -> DataFrame:
             if v:
                 w = F.when(d == name, F.lit(v)).otherwise(w)
         return w
-    share = lambda e: F.regexp_replace(e["percentage"], "%$", "").cast("double") / 100.0
+    share = lambda e: F.coalesce(F.regexp_replace(e["percentage"], "%$", "").try_cast("double"), F.lit(0.0)) / 100.0
     r = F.aggregate(parsed, F.lit(0.0), lambda acc, e: acc + weight(e["description"]) * share(e))
     return df.withColumn("reward", r)
 

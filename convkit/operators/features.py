@@ -137,5 +137,7 @@ def two_turn(turns) -> Column:
 
 
 def prompt_prefix(turns) -> Column:
-    """PF11: the first three turns."""
-    return F.slice(T._c(turns), 1, 3)
+    """PF11: the first three turns, but never the last one (n turns keep
+    min(3, n - 1))."""
+    t = T._c(turns)
+    return F.slice(t, 1, F.least(F.lit(3), F.greatest(F.size(t) - 1, F.lit(0))))

@@ -3,8 +3,6 @@ turn weights (J6)."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +16,22 @@ TAGS_PATTERN = "[\\[\\]\\(\\)]"
 SKIP_REASONS = ["offensive", "emptytarget", "longword", "toolong", "url", "tags", "allcaps", "repetitions"]
 
 
+# A block phrase stands alone: no letter, digit or underscore next to it.
+_BEFORE, _AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+
+
+def _entries(words: list[str]) -> list[str]:
+    return sorted({w.strip() for w in words if w.strip() and not w.startswith("#")}, key=lambda w: (-len(w), w))
+
+
 def blockword_regex(words: list[str]) -> str | None:
-    """Whole-word, case-insensitive alternation for a small phrase list."""
-    ws = [w.strip() for w in words if w.strip() and not w.startswith("#")]
+    """Whole-phrase, any-case alternation for a small phrase list. Phrases are
+    literal, punctuation included."""
+    ws = _entries(words)
     if not ws:
         return None
-    alt = "|".join(re.escape(w) for w in sorted(set(ws), key=len, reverse=True))
-    return f"(?i)(^|[^A-Za-z0-9_])({alt})($|[^A-Za-z0-9_])"
+    quoted = "|".join("\\Q" + w.replace("\\E", "\\E\\\\E\\Q") + "\\E" for w in ws)
+    return f"(?iu){_BEFORE}(?:{quoted}){_AFTER}"
 
 
 def has_repetition(tokens: Column) -> Column:
@@ -71,20 +78,25 @@ def skip_audit(rejected: DataFrame, by=("skip_reason",)) -> DataFrame:
     return rejected.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def blockword_hits(df: DataFrame, key: str, text_col: str, block_words: DataFrame, max_phrase_words: int = 3) -> DataFrame:
-    """J7 for large lists: explode word n-grams (n <= max_phrase_words) of
-    each text, lower-cased, and semi-join them to the block list.
-
-    ``key`` must identify a row. Returns ``df`` with a boolean ``blocked``
-    column. The join is an equi-join on the phrase, so list size does not
-    matter; AQE broadcasts the list at runtime only when it is small."""
-    from convkit.functions.ngrams import ngrams_upto
-    # words are split on non-word characters so punctuation does not hide a hit
-    toks = F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    grams = df.select(key, F.explode(ngrams_upto(toks, max_phrase_words)).alias("g"))
-    bl = block_words.select(F.lower(F.col("entry")).alias("g")).distinct()
-    hits = grams.join(bl, "g", "left_semi").select(key).distinct().withColumn("blocked", F.lit(True))
-    return (df.join(hits, key, "left")
+def blockword_hits(df: DataFrame, key: str, text_col: str, block_words: DataFrame) -> DataFrame:
+    """J7 for large lists: the rule of :func:`blockword_regex` as a join.
+
+    Texts meet phrases on the phrase's first word (phrases of any length; a
+    phrase without word characters meets every text), then the whole phrase
+    is confirmed in the text. ``key`` must identify a row. Returns ``df``
+    with a boolean ``blocked`` column."""
+    word = r"[^\p{L}\p{N}_]+"
+    first = lambda c: F.coalesce(F.get(F.filter(F.split(c, word), lambda w: w != ""), 0), F.lit(""))
+    bl = block_words.select(F.trim("entry").alias("phrase")).where("phrase <> '' and phrase not like '#%'").distinct()
+    bl = bl.select("phrase", first(F.lower("phrase")).alias("g"))
+    toks = F.array_distinct(F.concat(F.split(F.lower(F.col(text_col)), word), F.array(F.lit(""))))
+    texts = df.select(F.col(key).alias("_k"), F.col(text_col).alias("_t"))
+    # words that start no phrase go before any text is carried along
+    near = df.select(F.col(key).alias("_k"), F.explode(toks).alias("g"))
+    cand = near.join(bl, "g").select("_k", "phrase").distinct()
+    quoted = F.concat(F.lit(f"(?iu){_BEFORE}\\Q"), F.replace(F.col("phrase"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(f"\\E{_AFTER}"))
+    hits = texts.join(cand, "_k").where(F.rlike("_t", quoted)).select("_k").distinct().withColumn("blocked", F.lit(True))
+    return (df.join(hits, df[key] == hits["_k"], "left").drop("_k")
               .withColumn("blocked", F.coalesce(F.col("blocked"), F.lit(False))))
 
 
@@ -92,18 +104,20 @@ def turn_weights(pairs: DataFrame, discard_hashes: DataFrame | None, block_regex
                  bits: int = 224, turns_col: str = "turns") -> DataFrame:
     """Each turn gets weight 0.0 when its SHA-2 digest is a discard
     target or a block word occurs in it, else 1.0; the turn text becomes
-    ``'<w> <text>'``. ``pairs`` must have a unique ``cid``."""
-    ex = pairs.select("cid", F.posexplode(turns_col).alias("pos", "t"))
-    ex = ex.withColumn("h", F.sha2(F.col("t"), bits))
-    if discard_hashes is not None:
-        dh = discard_hashes.select(F.col("hash").alias("h")).distinct().withColumn("hit", F.lit(True))
-        ex = ex.join(dh, "h", "left")
-    else:
-        ex = ex.withColumn("hit", F.lit(None).cast("boolean"))
-    bad = F.coalesce(F.col("hit"), F.lit(False))
-    if block_regex:
-        bad = bad | F.col("t").rlike(block_regex)
-    ex = ex.select("cid", "pos", F.concat(F.when(bad, "0.0 ").otherwise("1.0 "), F.col("t")).alias("t"))
-    w = (ex.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("pos", "t"))).alias("_w"))
-           .select("cid", F.transform("_w", lambda s: s["t"]).alias("_wt")))
-    return pairs.join(w, "cid", "left").withColumn(turns_col, F.col("_wt")).drop("_wt")
+    ``'<w> <text>'``. ``pairs`` must have a unique ``cid``.
+
+    Without a hash list this is a projection. With one, the turns are
+    exploded once, each with its row, and regrouped after the lookup, so the
+    lineage of ``pairs`` runs once."""
+    def weighted(t, hit):
+        bad = hit if block_regex is None else hit | t.rlike(block_regex)
+        return F.concat(F.when(bad, "0.0 ").otherwise("1.0 "), t)
+    if discard_hashes is None:
+        return pairs.withColumn(turns_col, F.transform(turns_col, lambda t: weighted(t, F.lit(False))))
+    rest = [c for c in pairs.columns if c != turns_col]
+    ex = pairs.select("cid", F.struct(*rest).alias("_row"), F.posexplode_outer(turns_col).alias("pos", "t"))
+    dh = discard_hashes.select(F.col("hash").alias("h")).distinct().withColumn("hit", F.lit(True))
+    ex = ex.withColumn("h", F.sha2("t", bits)).join(dh, "h", "left")
+    item = F.when(F.col("pos").isNotNull(), F.struct("pos", weighted(F.col("t"), F.coalesce("hit", F.lit(False))).alias("t")))
+    w = ex.groupBy("cid").agg(F.first("_row").alias("_row"), F.sort_array(F.collect_list(item)).alias("_w"))
+    return w.select("_row.*", F.transform("_w", lambda x: x["t"]).alias(turns_col)).select(*pairs.columns)

@@ -122,8 +122,22 @@ def q_subreddit_block(spark, sf):
 
 @query("keep_keys")
 def q_keep_keys(spark, sf):
-    return TH.thread_pairs(AD.comments(spark, sf), AD.submissions(spark, sf),
-                           keep_keys=AD.keep_keys(spark, sf), **THREAD_PARAMS)
+    k = AD.keep_keys(spark, sf)
+    return TH.thread_pairs(AD.comments(spark, sf), AD.submissions(spark, sf), dep_keys=k.filter("kind = 'dep'"),
+                           keep_keys=k.filter("kind = 'keep'"), **THREAD_PARAMS)
+
+
+@query("thread_pairs_repeats")
+def q_thread_pairs_repeats(spark, sf):
+    """Dumps that repeat comments and submissions: the last line of an id wins."""
+    return TH.thread_pairs(AD.repeated(AD.comments(spark, sf), "body"), AD.repeated(AD.submissions(spark, sf), "title"),
+                           order="line_no", **THREAD_PARAMS)
+
+
+@query("thread_pairs_blocked")
+def q_thread_pairs_blocked(spark, sf):
+    """Block phrases as a table in the extraction itself."""
+    return TH.thread_pairs(AD.comments(spark, sf), AD.submissions(spark, sf), block_words=_block_words(spark), **THREAD_PARAMS)
 
 
 @query("leaf_comments")
@@ -150,14 +164,18 @@ def q_turn_weights(spark, sf):
                            block_subreddits=AD.block_subreddits(spark, sf), **TRAIN_PARAMS)
 
 
-BLOCK_WORDS = ["und der", "the and", "que la"]   # fixed phrase list for J7
+# Fixed phrase list for J7: one word, two words, more than three words, punctuation.
+BLOCK_WORDS = ["und der", "the and", "que la", "of the and in", "on, the", "thonsh"]
+
+
+def _block_words(spark):
+    return spark.createDataFrame([(w,) for w in BLOCK_WORDS], "entry string")
 
 
 @query("blockword_hits")
 def q_blockword_hits(spark, sf):
     _, c = _admitted(spark, sf)
-    bw = spark.createDataFrame([(w,) for w in BLOCK_WORDS], "entry string")
-    return Q.blockword_hits(c.select("name", "body"), "name", "body", bw).select(
+    return Q.blockword_hits(c.select("name", "body"), "name", "body", _block_words(spark)).select(
         "name", F.col("blocked").cast("int").alias("blocked"))
 
 
@@ -176,9 +194,18 @@ def q_extract_stats(spark, sf):
 @query("conv_stats")
 def q_conv_stats(spark, sf):
     s, c = _admitted(spark, sf, materialize=True)
-    inst = TH.conv_instances(c, s, **THREAD_PARAMS)
-    shard = F.substring("sid", 4, 100).cast("long") % 2
-    return TH.conv_stats(inst, shard)
+    return TH.conv_stats(TH.conv_instances(c, s, **THREAD_PARAMS), c, _shard)
+
+
+def _shard(link):
+    return F.substring(link, 4, 100).cast("long") % 2
+
+
+@query("conv_stats_leaves")
+def q_conv_stats_leaves(spark, sf):
+    """The train recipe: leaves only; ``total`` still counts every extracted comment."""
+    s, c = _admitted(spark, sf, materialize=True)
+    return TH.conv_stats(TH.conv_instances(c, s, **TRAIN_PARAMS), c, _shard)
 
 
 @query("leaf_ratio")
@@ -233,7 +260,7 @@ def q_unroll_context(spark, sf):
 
 @query("union_months")
 def q_union_months(spark, sf):
-    s, c = _admitted(spark, sf)
+    s, c = _admitted(spark, sf, materialize=True)
     months = [f"2024-0{i}" for i in range(1, AD.MONTHS + 1)]
     parts = [c.filter(F.col("month") == m).select("month", "name") for m in months]
     return CO.union_months(parts)

@@ -100,7 +100,7 @@ def two_turn_sql() -> str:
 
 
 def prompt_prefix_sql() -> str:
-    return S.ctes(feature_ctes(), "SELECT row_id, array_to_string(turns[1:3], ' EOS ') AS prompt FROM feat")
+    return S.ctes(feature_ctes(), "SELECT row_id, array_to_string(turns[1:least(3, len(turns) - 1)], ' EOS ') AS prompt FROM feat")
 
 
 def reverse_turns_sql() -> str:

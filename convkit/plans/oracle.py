@@ -62,9 +62,11 @@ oracle("keep_keys", TS.thread_pairs_sql(keep_keys=True, **THREAD))
 oracle("leaf_comments", S.ctes(_B, """SELECT month, name FROM adm c WHERE NOT EXISTS (
     SELECT 1 FROM adm a WHERE a.month = c.month AND a.link_id = c.link_id AND a.parent_id = c.name)"""))
 oracle("turn_weights", TS.thread_pairs_sql(leaves_only=True, block_subs=True, discard=True, **THREAD))
-oracle("blockword_hits", S.ctes(_B, """
-    SELECT name, CAST(regexp_matches(lower(body), '(^|[^\\p{L}\\p{N}_])(und[^\\p{L}\\p{N}_]+der|the[^\\p{L}\\p{N}_]+and|que[^\\p{L}\\p{N}_]+la)([^\\p{L}\\p{N}_]|$)') AS INTEGER) AS blocked
-    FROM adm"""))
+# the same list as the query's
+BLOCK_WORDS = ["und der", "the and", "que la", "of the and in", "on, the", "thonsh"]
+oracle("blockword_hits", S.ctes(_B, f"SELECT name, CAST({S.block_match('body', BLOCK_WORDS)} AS INTEGER) AS blocked FROM adm"))
+oracle("thread_pairs_blocked", TS.thread_pairs_sql(block_words=BLOCK_WORDS, **THREAD))
+oracle("thread_pairs_repeats", TS.thread_pairs_sql(repeats=True, **THREAD))
 oracle("skip_audit", S.ctes(TS.instances_ctes(block_subs=True, **THREAD), """
     SELECT skip_reason, subreddit, count(*) AS n FROM inst WHERE skip_reason IS NOT NULL GROUP BY ALL"""))
 oracle("extract_stats", S.ctes(_B, """
@@ -75,14 +77,21 @@ oracle("extract_stats", S.ctes(_B, """
     LEFT JOIN (SELECT month, count(*) AS n FROM comments GROUP BY month) r ON r.month = m.month
     LEFT JOIN (SELECT month, count(*) AS n FROM subs GROUP BY month) sk ON sk.month = m.month
     LEFT JOIN (SELECT month, count(*) AS n FROM submissions GROUP BY month) sr ON sr.month = m.month"""))
-oracle("conv_stats", S.ctes(TS.instances_ctes(**THREAD), f"""
+def _conv_stats(**kw) -> str:
+    # selected from the instances, total from what the extract stage wrote
+    return S.ctes(TS.instances_ctes(**THREAD, **kw), f"""
     SELECT month, CASE WHEN grouping(shard) = 1 THEN 'all' ELSE shard END AS shard,
-           sum(CASE WHEN skip_reason IS NULL THEN 1 ELSE 0 END) AS selected, count(*) AS total,
+           sum(CASE WHEN k THEN 1 ELSE 0 END) AS selected, sum(tot) AS total,
            CASE WHEN grouping(shard) = 1 THEN NULL
-                ELSE round(sum(CASE WHEN skip_reason IS NULL THEN len({S.words("coalesce(response, '')")}) END)
-                           / nullif(sum(CASE WHEN skip_reason IS NULL THEN 1 ELSE 0 END), 0), 6) END AS avg_len
-    FROM (SELECT *, CAST(CAST(substr(sid, 4) AS BIGINT) % 2 AS VARCHAR) AS shard FROM inst)
-    GROUP BY ROLLUP (month, shard) HAVING month IS NOT NULL"""))
+                ELSE round(sum(CASE WHEN k THEN len({S.words("coalesce(response, '')")}) END)
+                           / nullif(sum(CASE WHEN k THEN 1 ELSE 0 END), 0), 6) END AS avg_len
+    FROM (SELECT month, CAST(CAST(substr(sid, 4) AS BIGINT) % 2 AS VARCHAR) AS shard, skip_reason IS NULL AS k, response, 0 AS tot FROM inst
+          UNION ALL SELECT month, CAST(CAST(substr(link_id, 4) AS BIGINT) % 2 AS VARCHAR), FALSE, NULL, 1 FROM adm)
+    GROUP BY ROLLUP (month, shard) HAVING month IS NOT NULL""")
+
+
+oracle("conv_stats", _conv_stats())
+oracle("conv_stats_leaves", _conv_stats(leaves_only=True))
 oracle("leaf_ratio", S.ctes(_B, "SELECT month, round(count(DISTINCT parent_id) / count(*), 6) AS leaf_ratio "
                                 "FROM adm GROUP BY month"))
 

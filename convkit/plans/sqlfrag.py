@@ -63,6 +63,13 @@ def eval_clean(x: str) -> str:
     return collapse(t)
 
 
+def block_match(x: str, phrases: list[str]) -> str:
+    """Whole-phrase, any-case containment: phrases are literal and stand
+    between characters that are no letters, digits or underscores."""
+    quoted = "|".join("".join(ch if ch.isalnum() or ch in " _" else "\\" + ch for ch in p.lower()) for p in phrases)
+    return f"regexp_matches(lower({x}), {q('(^|[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_])(' + quoted + ')([^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]|$)')})"
+
+
 def skip_reason(src: str, tgt: str, st: str, tt: str) -> str:
     """PF6 given precomputed word lists ``st`` / ``tt`` (column names)."""
     srctgt = f"({src} || ' ' || {tgt})"

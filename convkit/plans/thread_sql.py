@@ -5,26 +5,29 @@ from __future__ import annotations
 
 from convkit.plans import sqlfrag as S
 from convkit.sources.adapters import SQL as A
+from convkit.sources.adapters import sql_repeated
 
 
-def base_ctes(dep_keys: bool = False) -> list[tuple[str, str]]:
+def base_ctes(dep_keys: bool = False, repeats: bool = False) -> list[tuple[str, str]]:
+    """``repeats``: the dumps that repeat ids; the last line of an id wins."""
+    last = " QUALIFY row_number() OVER (PARTITION BY month, {} ORDER BY line_no DESC) = 1" if repeats else "{:.0}"
     out = [
-        ("comments", A["comments"]),
-        ("submissions", A["submissions"]),
+        ("comments", sql_repeated("comments", "body") if repeats else A["comments"]),
+        ("submissions", sql_repeated("submissions", "title") if repeats else A["submissions"]),
         ("subs", f"SELECT * REPLACE ({S.minimal_norm('title')} AS title), 't3_' || id AS sid "
-                 f"FROM submissions WHERE num_comments >= 2"),
+                 f"FROM submissions WHERE num_comments >= 2" + last.format("id")),
         ("keys", "SELECT link_id, 't1_' || id AS comment_id FROM comments "
                  "WHERE CAST(substr(link_id, 4) AS BIGINT) % 5 <> 0"),
     ]
     dep = ("AND EXISTS (SELECT 1 FROM keys k WHERE k.link_id = c.link_id AND k.comment_id = 't1_' || c.id)"
            if dep_keys else "")
     out += [
-        ("adm0", f"""SELECT c.month, c.link_id, c.parent_id, 't1_' || c.id AS name, c.score,
+        ("adm0", f"""SELECT c.month, c.link_id, c.parent_id, 't1_' || c.id AS name, c.score, {"c.line_no" if repeats else "0"} AS line_no,
                             CAST(length(c.body) AS INTEGER) AS n_char, {S.minimal_norm('c.body')} AS body
                      FROM comments c
                      WHERE c.body <> '[deleted]' AND strpos(c.body, '>') = 0 AND strpos(c.body, '&gt;') = 0
                        AND EXISTS (SELECT 1 FROM subs s WHERE s.month = c.month AND s.sid = c.link_id) {dep}"""),
-        ("adm", f"SELECT * FROM adm0 WHERE {S.n_words('body')} >= 2"),
+        ("adm", f"SELECT * FROM adm0 WHERE {S.n_words('body')} >= 2" + last.format("name")),
     ]
     return out
 
@@ -50,10 +53,11 @@ def chain_ctes(cand: str, max_depth: int, max_len: int) -> list[tuple[str, str]]
 
 def instances_ctes(max_len: int = 100, max_depth: int = 5, min_depth: int = 2, min_score: int = 1,
                    keep_keys: bool = False, leaves_only: bool = False, block_subs: bool = False,
-                   discard: bool = False, clean: bool = True, use_title: bool = False) -> list[tuple[str, str]]:
+                   discard: bool = False, clean: bool = True, use_title: bool = False, repeats: bool = False,
+                   block_words: list[str] | None = None) -> list[tuple[str, str]]:
     """CTEs ending in ``inst``: month, sid, pid, cid, subreddit, domain,
     skip_reason, context, response (use_title = 0)."""
-    defs = base_ctes(dep_keys=keep_keys)
+    defs = base_ctes(dep_keys=keep_keys, repeats=repeats)
     conds = []
     if keep_keys:
         conds.append("EXISTS (SELECT 1 FROM keys k WHERE k.link_id = c.link_id AND k.comment_id = c.name)")
@@ -105,6 +109,9 @@ def instances_ctes(max_len: int = 100, max_depth: int = 5, min_depth: int = 2, m
                                      turns[len(turns)] AS response FROM {src}"""))
     defs.append(("toks", f"SELECT *, {S.words('context')} AS st, {S.words('coalesce(response, ' + chr(39) * 2 + ')')} AS tt FROM pairs"))
     pf6 = f"({S.skip_reason('context', 'coalesce(response, ' + chr(39) * 2 + ')', 'st', 'tt')})" if clean else "NULL"
+    if block_words and not leaves_only:
+        hit = S.block_match("coalesce(response, '')", block_words)
+        pf6 = f"CASE WHEN {hit} THEN 'offensive' ELSE {pf6} END"
     defs.append(("inst", f"""
         SELECT month, sid, pid, cid, subreddit, domain, coalesce(reason1, {pf6}) AS skip_reason, context, response
         FROM toks

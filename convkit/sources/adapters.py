@@ -21,6 +21,7 @@ MISSING_SUBMISSION_MOD = 17   # conv_id % 17 = 0 has no submission row
 SUBREDDITS = 20               # subreddit src{conv_id % 20}
 BLOCKED_SUBREDDITS = ["src3", "src7"]
 KEEP_KEY_MOD = 5              # comments with conv_id % 5 <> 0 are keyed
+REPEAT_MOD = 7                # ids whose last number is a multiple of 7 occur twice in a repeating dump
 DISCARD_MOD = 13              # turns with (conv_id + turn) % 13 = 0 are discard targets
 EMOTIONS = ["HAPPINESS", "ANGER", "DISGUST", "FEAR", "NEUTRAL", "SADNESS", "SURPRISE"]
 
@@ -51,6 +52,14 @@ def comments_from(c: DataFrame) -> DataFrame:
     )
 
 
+def repeated(df: DataFrame, text_col: str) -> DataFrame:
+    """A dump that repeats every 7th id with a changed text, in a later line
+    (``line_no``)."""
+    n = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
+    again = df.filter(n % REPEAT_MOD == 0).withColumn(text_col, F.concat(F.lit("edited "), F.col(text_col)))
+    return df.withColumn("line_no", F.lit(1)).unionByName(again.withColumn("line_no", F.lit(2)))
+
+
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One submission per conversation, except every 17th (missing)."""
     c = table(spark, sf_dir, "conversations")
@@ -144,11 +153,11 @@ def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """key -> up to 6 other turns (all but the last), in turn order, each as
+    """key -> the other turns (all but the last), in turn order, each as
     'score|text' with score = turn % 3 (every fifth turn carries no score)."""
     c = table(spark, sf_dir, "conversations")
     mx = c.groupBy("conv_id").agg(F.max("turn").alias("mx"))
-    r = c.join(mx, "conv_id").filter((F.col("turn") < F.col("mx")) & (F.col("turn") < 6))
+    r = c.join(mx, "conv_id").filter(F.col("turn") < F.col("mx"))
     item = F.when(F.col("turn") % 5 == 4, F.col("text")).otherwise(
         F.concat((F.col("turn") % 3).cast("string"), F.lit("|"), F.col("text")))
     return (r.groupBy("conv_id")
@@ -219,6 +228,14 @@ def sql_words(x: str) -> str:
     return _WORDS.format(x=x)
 
 
+def sql_repeated(name: str, text_col: str) -> str:
+    return f"""
+      SELECT * , 1 AS line_no FROM ({SQL[name]})
+      UNION ALL
+      SELECT * REPLACE ('edited ' || {text_col} AS {text_col}), 2 FROM ({SQL[name]})
+      WHERE CAST(regexp_extract(id, '(\\d+)$', 1) AS BIGINT) % {REPEAT_MOD} = 0"""
+
+
 SQL = {
     "comments": """
       SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS id,
@@ -264,7 +281,7 @@ SQL = {
                        ELSE CAST(turn % 3 AS VARCHAR) || '|' || text END ORDER BY turn) AS refs
       FROM conversations c JOIN (SELECT conv_id, max(turn) AS mx FROM conversations GROUP BY conv_id) m
         ON c.conv_id = m.conv_id
-      WHERE turn < mx AND turn < 6 GROUP BY c.conv_id""",
+      WHERE turn < mx GROUP BY c.conv_id""",
     "candidates": """
       SELECT user_id AS context_id, event_id AS cand_id, event_type AS text, value AS fwd_loss,
              CAST(json_extract_string(props, '$.k') AS BIGINT)::DOUBLE AS rev_loss,

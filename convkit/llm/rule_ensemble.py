@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convkit.llm import wordhash as H
+from convkit.llm.stages import drop, written
 
 STATS = ["n_words", "word_bytes", "upper_share", "digit_share", "bang_rate", "pipe_rate", "symbol_rate",
          "stop_rate", "next_word_equal", "word_variety", "gram_repeat", "line_repeat", "words_per_line"]
@@ -46,13 +47,6 @@ class Rule:
             c = c & ((F.col(name) <= v) if at_most else (F.col(name) > v))
         return c
 
-    def mask(self, x: np.ndarray) -> np.ndarray:
-        m = np.ones(len(x), dtype=bool)
-        for name, at_most, v in self.terms:
-            s = x[:, STATS.index(name)]
-            m &= (s <= v) if at_most else (s > v)
-        return m
-
 
 @dataclass
 class Ensemble:
@@ -173,32 +167,27 @@ def _tightest(terms: tuple) -> tuple:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Ensemble:
     """Rule ensemble from a bounded labelled sample."""
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.functions import array_to_vector
 
-    spark = docs.sparkSession
-    rows = training_rows(docs, labels, max_rows).select("_id", "_y", *[f"_q_{s}" for s in STATS]).collect()
-    rows.sort(key=lambda r: tuple(r))
-    y = np.array([r["_y"] for r in rows])
-    share = float(y.mean()) if len(y) else 1.0
+    # the bounded sample in one sorted file: the same rows give the same model
+    rows = written(training_rows(docs, labels, max_rows).select("_id", F.col("_y").alias("label"), *[F.col(f"_q_{s}").alias(s) for s in STATS])
+                   .repartition(1).sortWithinPartitions("_id"), "rule-sample")
+    share = rows.agg(F.avg("label")).first()[0]
+    share = 1.0 if share is None else share
     if not 0 < share < 1:
         return Ensemble([], 30.0 if share else -30.0)
-    x = np.array([[r[f"_q_{s}"] for s in STATS] for r in rows])
 
-    def frame(m):
-        return spark.createDataFrame([(float(b), Vectors.dense(a)) for a, b in zip(m.tolist(), y.tolist())],
-                                     ["label", "features"]).coalesce(1).cache()
-    train = frame(x)
+    def vectors(columns):
+        return rows.select("label", array_to_vector(F.array(*columns)).alias("features")).cache()
+    train = vectors([F.col(s) for s in STATS])
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, maxBins=64, subsamplingRate=0.7,
                                     featureSubsetStrategy="onethird").fit(train)
     train.unpersist()
-    found = sorted({_tightest(p) for t in forest.trees for p in _paths(t._java_obj.rootNode())})
-    rules = [Rule(t) for t in found]
-    masks = np.column_stack([r.mask(x) for r in rules]).astype(float)
-    _, first = np.unique(masks, axis=1, return_index=True)      # rules with equal rows count once
-    rules, masks = [rules[i] for i in sorted(first)], masks[:, sorted(first)]
-    train = frame(masks)
-    lasso = LogisticRegression(elasticNetParam=1.0, regParam=REG, maxIter=80, standardization=False).fit(train)
+    rules = [Rule(t) for t in sorted({_tightest(p) for t in forest.trees for p in _paths(t._java_obj.rootNode())})]
+    train = vectors([r.column().cast("double") for r in rules])
+    lasso = LogisticRegression(elasticNetParam=1.0, regParam=REG, maxIter=60, standardization=False).fit(train)
     train.unpersist()
+    drop(rows)
     for r, w in zip(rules, lasso.coefficients.toArray()):
         r.weight = float(w)
     return Ensemble([r for r in rules if r.weight != 0.0], float(lasso.intercept))

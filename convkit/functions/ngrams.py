@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,22 +41,37 @@ def tagged_ngrams(tokens, max_n: int) -> Column:
     return F.concat(*[F.transform(ngrams(tokens, n), _tag(n)) for n in range(1, max_n + 1)])
 
 
-def _lcs(a: list, b: list) -> int:
-    if len(a) == 0 or len(b) == 0:
-        return 0
-    if len(a) < len(b):
-        a, b = b, a
-    prev = [0] * (len(b) + 1)
-    for x in a:
-        cur = [0]
-        for j, y in enumerate(b, 1):
-            cur.append(prev[j - 1] + 1 if x == y else max(prev[j], cur[j - 1]))
-        prev = cur
-    return prev[-1]
+def _lcs(left: list[list], right: list[list]) -> np.ndarray:
+    """LCS lengths of pairs of token lists: one row of the table of all pairs
+    at a time. A row's cells depend on those to their left only through a
+    running maximum."""
+    m, n = max(map(len, left), default=0), max(map(len, right), default=0)
+    a = np.full((len(left), m), -1, dtype=np.int64)
+    b = np.full((len(right), n), -2, dtype=np.int64)
+    for i, (x, y) in enumerate(zip(left, right)):
+        ids: dict = {}
+        a[i, :len(x)] = [ids.setdefault(t, len(ids)) for t in x]
+        b[i, :len(y)] = [ids.setdefault(t, len(ids)) for t in y]
+    row = np.zeros((len(left), n + 1), dtype=np.int32)
+    for k in range(m):
+        np.maximum.accumulate(np.maximum(row[:, 1:], (row[:, :-1] + 1) * (b == a[:, k:k + 1])), axis=1, out=row[:, 1:])
+    return row[:, -1]
 
 
 @F.pandas_udf(Ty.IntegerType())
 def lcs_len(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest common subsequence length of two token arrays (Arrow batches)."""
-    return pd.Series([_lcs(list(x) if x is not None else [], list(y) if y is not None else [])
-                      for x, y in zip(a, b)], dtype="int32")
+    """Longest common subsequence length of two token arrays. Pairs of
+    similar length share a table of bounded size."""
+    x = [list(v) if v is not None else [] for v in a]
+    y = [list(v) if v is not None else [] for v in b]
+    out = np.zeros(len(x), dtype=np.int32)
+    order = sorted(range(len(x)), key=lambda i: (len(y[i]), len(x[i])))
+    i = 0
+    while i < len(order):
+        j = i + 1
+        while j < len(order) and len(y[order[j]]) <= 1.25 * len(y[order[i]]) + 8 and (j - i + 1) * (len(y[order[j]]) + 1) <= 1 << 20:
+            j += 1
+        some = order[i:j]
+        out[some] = _lcs([x[q] for q in some], [y[q] for q in some])
+        i = j
+    return pd.Series(out, dtype="int32")

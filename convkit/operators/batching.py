@@ -78,15 +78,19 @@ def class_weights(df: DataFrame, chunk_col: str, reward_col: str, exponent: floa
 def weighted_sample(df: DataFrame, chunk_col: str, id_col: str, weight_col: str, num_samples: DataFrame,
                     seed: int = 42) -> DataFrame:
     """Per chunk, num_samples draws with replacement, probability
-    proportional to weight. Draws and weight intervals are merged in one
-    window per chunk (a chunk is bounded), no range join."""
+    proportional to weight. A draw is a hash of (seed, chunk, draw) scaled to
+    [0, 1), so a retried task draws the same rows. Draws and weight intervals
+    are merged in one window per chunk (a chunk is bounded), no range join."""
     w = Window.partitionBy(chunk_col).orderBy(id_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     iv = (df.withColumn("_hi", F.sum(weight_col).over(w))
             .withColumn("_lo", F.col("_hi") - F.col(weight_col)))
     tot = iv.groupBy(chunk_col).agg(F.max("_hi").alias("_tot"))
+    # 52 bits of the digest
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(chunk_col).cast("string"), F.col("draw").cast("string")))
+    u = F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     draws = (num_samples.select(chunk_col, F.explode(F.sequence(F.lit(1), F.col("num_samples"))).alias("draw"))
              .join(tot, chunk_col)
-             .withColumn("_u", F.rand(seed) * F.col("_tot")))
+             .withColumn("_u", u * F.col("_tot")))
     ev = (iv.select(chunk_col, F.col("_lo").alias("_k"), F.lit(0).alias("_t"), F.col(id_col).alias("_id"),
                     F.lit(None).cast("long").alias("draw"))
           .unionByName(draws.select(chunk_col, F.col("_u").alias("_k"), F.lit(1).alias("_t"),
@@ -119,7 +123,7 @@ def batch_count(df: DataFrame, batch_size: int, bucket_col: str | None = None, d
     return per.agg(F.sum("_n").alias("rows"), F.sum(nb).cast("long").alias("batches"))
 
 
-def last_batches(df: DataFrame, batch_col: str, n: int = 30) -> DataFrame:
+def last_batches(df: DataFrame, batch_cols: list[str], n: int = 30) -> DataFrame:
     """Rows of the last n batches (a top-n over batch ids is the feature)."""
-    last = df.select(batch_col).distinct().orderBy(F.col(batch_col).desc()).limit(n)
-    return df.join(F.broadcast(last), batch_col, "left_semi")
+    last = df.select(*batch_cols).distinct().orderBy(*[F.col(c).desc() for c in batch_cols]).limit(n)
+    return df.join(F.broadcast(last), batch_cols, "left_semi")

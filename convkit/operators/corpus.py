@@ -51,22 +51,24 @@ def split_of(id_col, lines: bool = False):
 
 # --- W3 --------------------------------------------------------------------
 
-def unroll_conversation(turns: DataFrame, key: str = "conv_id", order: str = "turn",
-                        text: str = "text") -> DataFrame:
-    """T1..Tn -> (T1 -> T2), (T1 EOS T2 -> T3), ...
+def unroll_turns(turns: DataFrame, cols: list[str], key: str = "conv_id", order: str = "turn", first: int = 2) -> DataFrame:
+    """One row per response (the ``first``-th turn on) with the array
+    ``turns`` of all turns up to it, each a struct of ``cols``.
 
-    The output itself holds every earlier turn per row (quadratic in the
-    conversation length, as in the original); thread chains bound it."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    u = turns.withColumn("_ctx", F.collect_list(text).over(w))
-    return (u.filter(F.size("_ctx") > 0)
-             .select(key, order, T.join_turns("_ctx").alias("context"), F.col(text).alias("response")))
+    The output holds every earlier turn per row, quadratic in the length of a
+    conversation as in the original; the turns of one conversation are
+    gathered once, and each response takes its own slice."""
+    g = turns.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, *cols))).alias("_all"))
+    x = g.select(key, "_all", F.posexplode("_all").alias("_i", "_x")).filter(F.col("_i") >= first - 1)
+    return x.select(key, F.col(f"_x.{order}").alias(order), F.slice("_all", 1, F.col("_i") + 1).alias("turns"))
 
 
-def unroll_turns(df: DataFrame, turns_col: str = "turns") -> DataFrame:
-    """W3 on a turn array per row (no shuffle): one row per response i >= 2."""
-    x = df.select("*", F.posexplode(turns_col).alias("_i", "response")).filter(F.col("_i") >= 1)
-    return x.withColumn("context", F.slice(turns_col, 1, F.col("_i"))).drop("_i")
+def unroll_conversation(turns: DataFrame, key: str = "conv_id", order: str = "turn",
+                        text: str = "text") -> DataFrame:
+    """T1..Tn -> (T1 -> T2), (T1 EOS T2 -> T3), ..."""
+    u = unroll_turns(turns, [text], key, order)
+    t = F.transform("turns", lambda x: x[text])
+    return u.select(key, order, T.join_turns(F.slice(t, 1, F.size("turns") - 1)).alias("context"), F.element_at(t, -1).alias("response"))
 
 
 # --- A5 / A6 / T1 -----------------------------------------------------------

@@ -26,20 +26,19 @@ def vocab_ids(vocab: DataFrame) -> DataFrame:
     return vocab.select("word", (F.col("rank") + FIRST_WORD_ID - 1).cast("int").alias("id"))
 
 
-def encode_turns(df: DataFrame, row_id: str, turns_col: str, vocab: DataFrame) -> DataFrame:
-    """array<string> of turns -> ``turn_ids`` array<array<int>>
-    (whitespace tokens, unknown -> UNK_ID). Rows with no turns keep []."""
-    ex = df.select(row_id, F.posexplode(turns_col).alias("ti", "t"))
-    ex = ex.select(row_id, "ti", F.posexplode_outer(T.words("t")).alias("pos", "word"))
-    ex = ex.join(vocab_ids(vocab), "word", "left").withColumn(
-        "id", F.when(F.col("word").isNull(), F.lit(None)).otherwise(F.coalesce("id", F.lit(UNK_ID))))
-    per_turn = ex.groupBy(row_id, "ti").agg(
-        F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id")))).alias("_p"))
-    per_turn = per_turn.select(row_id, "ti", F.transform("_p", lambda s: s["id"]).alias("ids"))
-    per_row = per_turn.groupBy(row_id).agg(F.sort_array(F.collect_list(F.struct("ti", "ids"))).alias("_t"))
-    per_row = per_row.select(row_id, F.transform("_t", lambda s: s["ids"]).alias("turn_ids"))
-    return df.join(per_row, row_id, "left").withColumn(
-        "turn_ids", F.coalesce("turn_ids", F.array().cast("array<array<int>>")))
+def encode_texts(df: DataFrame, key: list[str], text_col: str, vocab: DataFrame, out: str = "ids") -> DataFrame:
+    """whitespace tokens of each text -> ``out`` array<int> (unknown ->
+    UNK_ID, no tokens -> []). ``key`` identifies a row.
+
+    A text's words are looked up once each, with their places, so a frequent
+    word of a text is one row of the join; the join is by word, and Spark
+    splits the words that very many texts share."""
+    w = df.select(*key, F.posexplode(T.words(text_col)).alias("pos", "word"))
+    w = w.groupBy(*key, "word").agg(F.collect_list("pos").alias("at"))          # places in one text
+    w = w.join(vocab_ids(vocab), "word", "left").select(*key, F.coalesce("id", F.lit(UNK_ID)).alias("id"), F.explode("at").alias("pos"))
+    ids = w.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("_p"))
+    ids = ids.select(*key, F.transform("_p", lambda x: x["id"]).alias(out))
+    return df.join(ids, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<int>")))
 
 
 def flatten_eos(turn_ids, eos: int = EOS_ID) -> Column:
@@ -97,6 +96,15 @@ def strip_pad(arr, eos: int | None = None) -> Column:
     return F.concat(a, F.array(F.lit(eos))) if eos is not None else a
 
 
+def concat_candidates(contexts: DataFrame, candidates: DataFrame, key: list[str], eos: int = EOS_ID) -> DataFrame:
+    """every candidate of a context as ``input_ids``: context ids, eos,
+    candidate ids, pads removed from both. ``contexts`` (key, context_ids) has
+    one row per key, ``candidates`` (key, candidate_ids, ...) any number."""
+    j = candidates.join(contexts, key)
+    return j.withColumn("input_ids", F.concat(strip_pad("context_ids"), F.array(F.lit(eos)), strip_pad("candidate_ids"))).drop(
+        "context_ids", "candidate_ids")
+
+
 def reverse_turns(turn_ids, trailing_eos, eos: int = EOS_ID) -> Column:
     """a EOS b EOS c -> c EOS b EOS a; a trailing EOS stays trailing;
     a single turn without EOS gains a trailing one. Works on the turn array."""

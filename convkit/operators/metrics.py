@@ -1,10 +1,14 @@
 """Corpus metrics for many systems in one job.
 
-Data layout: one row per (system, key) hypothesis and one row per
-(key, ri) reference line. Every metric is a set of grouped aggregates over
-exploded n-grams joined on (key, n, ngram); references are shared by all
-systems, so they are counted once per key, not once per system. Nothing is
-collected per system or per corpus.
+Hypotheses and reference lines of a key (a segment) are brought together
+once, hash-partitioned by key; everything that is counted per segment is
+grouped by key and more, so it needs no further exchange. The n-gram table
+has one row per (key, n, ngram) with the counts of all systems and all
+reference lines of that key; both lists are short (systems; ``n_refs``).
+Corpus statistics (document frequencies, NIST information) are counted with
+partial aggregation, so a word of every segment is one row per task; where
+they go back to the segments, the join is one that Spark can split by skew.
+Nothing is cached or collected.
 
 BLEU, ROUGE-L and CIDEr follow their papers with the smoothing constants of
 the common caption-evaluation implementation; NIST follows the published
@@ -15,12 +19,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convkit.functions import text as T
 from convkit.functions.ngrams import lcs_len, tagged_ngrams
-from convkit.operators import ngram_stats as NS
 
 # Fixed constants of the metrics.
 BLEU_TINY = 1e-15
@@ -32,12 +35,22 @@ MAX_N = 4
 
 
 def hyp_refs(hyps: DataFrame, refs: DataFrame, n_refs: int = 6, vshuman: int = -1,
-             clean: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(system, key, hyp) x (key, refs array) -> hypotheses and the
-    n_refs reference lines per key: line i uses refs[i % len], skipping the
-    ``vshuman`` index; text between the first and second '|' when present."""
-    keys = hyps.select("key").distinct()
-    r = refs.join(keys, "key", "left_semi")
+             clean: bool = False, n_lines: int | None = None) -> DataFrame:
+    """(system, key, hyp) x (key, refs array) -> one row per hypothesis
+    (system, key, text) and per reference line (key, ri, text), partitioned
+    by key; ``system`` is NULL for a reference and ``ri`` for a hypothesis.
+
+    Reference line i is refs[i % len], skipping the ``vshuman`` index; of a
+    text with bars, what is between the first and the second. ``n_lines``
+    takes the first lines of each system in the order of their keys (T5). A
+    hypothesis whose key has no references ends the job."""
+    if n_lines is not None:
+        w = Window.partitionBy("system").orderBy("key")
+        hyps = hyps.withColumn("_l", F.row_number().over(w)).filter(F.col("_l") <= n_lines).drop("_l")
+    # one row per key; a key's hypotheses are as many as there are systems
+    h = hyps.groupBy("key").agg(F.collect_list(F.struct("system", F.lit(None).cast("int").alias("ri"), F.col("hyp").alias("text"))).alias("hyps"))
+    missing = F.raise_error(F.concat(F.lit("no references for key "), F.col("key"))).cast("array<string>")
+    s = h.join(refs.select("key", "refs"), "key", "left").withColumn("refs", F.coalesce("refs", missing))
     L = F.size("refs")
 
     def pick(i):
@@ -45,81 +58,50 @@ def hyp_refs(hyps: DataFrame, refs: DataFrame, n_refs: int = 6, vshuman: int = -
         idx = F.when(idx == vshuman, (idx + 1) % L).otherwise(idx)
         item = F.get(F.col("refs"), idx)
         txt = F.when(item.contains("|"), F.get(F.split(item, "\\|"), 1)).otherwise(item)
-        return F.struct(i.alias("ri"), txt.alias("ref"))
-    lines = r.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_refs - 1)), pick)).alias("x"))
-    lines = lines.select("key", F.col("x.ri").alias("ri"), F.col("x.ref").alias("ref"))
-    h = hyps.join(r.select("key"), "key")      # inner: a key must have references
-    if clean:
-        h = h.withColumn("hyp", T.eval_clean("hyp"))
-        lines = lines.withColumn("ref", T.eval_clean("ref"))
-    return h.select("system", "key", "hyp"), lines
-
-
-class Prepared:
-    """Cleaned hypotheses, reference lines and their n-gram tables. With
-    ``keep`` they are persisted (memory, spilling to disk) for the several
-    aggregates that read them; lost blocks are recomputed from lineage.
-    Call ``release()`` when the metrics are written."""
-
-    def __init__(self, h: DataFrame, lines: DataFrame, keep: bool = False):
-        from pyspark import StorageLevel
-        from convkit.session import spread
-        if keep:
-            h = spread(h).persist(StorageLevel.MEMORY_AND_DISK)
-            lines = spread(lines).persist(StorageLevel.MEMORY_AND_DISK)
-        self.h, self.lines = h, lines
-        self.hn, self.rn = _hyp_ngrams(h), _ref_ngrams(lines)
-        if keep:
-            self.hn = self.hn.persist(StorageLevel.MEMORY_AND_DISK)
-            self.rn = self.rn.persist(StorageLevel.MEMORY_AND_DISK)
-
-    def release(self) -> None:
-        for d in (self.h, self.lines, self.hn, self.rn):
-            d.unpersist()
-
-
-def prepare(h: DataFrame, lines: DataFrame, keep: bool = False) -> Prepared:
-    return Prepared(h, lines, keep)
-
-
-def _ref_ngrams(lines: DataFrame) -> DataFrame:
-    x = lines.select("key", "ri", F.explode(tagged_ngrams(T.words("ref"), MAX_N)).alias("x"))
-    return x.groupBy("key", "ri", F.col("x.n").alias("n"), F.col("x.g").alias("g")).agg(F.count(F.lit(1)).alias("tf"))
-
-
-def _hyp_ngrams(h: DataFrame) -> DataFrame:
-    x = h.select("system", "key", F.explode(tagged_ngrams(T.words("hyp"), MAX_N)).alias("x"))
-    return (x.groupBy("system", "key", F.col("x.n").alias("n"), F.col("x.g").alias("g"))
-             .agg(F.count(F.lit(1)).alias("hc")))
-
-
-def bleu_stats(p: Prepared) -> DataFrame:
-    """Per-segment sufficient statistics: testlen, reflen (closest, ties to
-    the shorter), guess_k and correct_k (clipped by the max reference count)."""
-    h, lines = p.h, p.lines
-    rmax = p.rn.groupBy("key", "n", "g").agg(F.max("tf").alias("rmax"))
-    corr = (p.hn.join(rmax, ["key", "n", "g"], "left")
-            .groupBy("system", "key", "n")
-            .agg(F.sum(F.least(F.col("hc"), F.coalesce(F.col("rmax"), F.lit(0)))).alias("c")))
-    corr = corr.groupBy("system", "key").pivot("n", list(range(1, MAX_N + 1))).agg(F.first("c"))
-    for k in range(1, MAX_N + 1):
-        corr = corr.withColumnRenamed(str(k), f"correct{k}")
-    rl = lines.groupBy("key").agg(F.collect_list(F.size(T.words("ref"))).alias("reflens"))  # n_refs per key
-    seg = h.select("system", "key", F.size(T.words("hyp")).alias("testlen")).join(rl, "key")
-    closest = F.array_min(F.transform("reflens", lambda l: F.struct(F.abs(l - F.col("testlen")).alias("d"),
-                                                                    l.alias("l"))))["l"]
-    seg = seg.select("system", "key", "testlen", closest.alias("reflen"),
-                     *[F.greatest(F.col("testlen") - k + 1, F.lit(0)).alias(f"guess{k}") for k in range(1, MAX_N + 1)])
-    out = seg.join(corr, ["system", "key"], "left")
-    return out.na.fill(0, [f"correct{k}" for k in range(1, MAX_N + 1)])
-
-
-def _bleu_cols(prefix_sum: bool):
-    cols = []
-    prod = F.lit(1.0)
-    agg = (lambda c: F.sum(c)) if prefix_sum else (lambda c: F.col(c))
-    t, r = agg("testlen"), agg("reflen")
-    ratio = (t + F.lit(BLEU_TINY)) / (r + F.lit(BLEU_SMALL))
+        return F.struct(F.lit(None).cast("string").alias("system"), i.alias("ri"), txt.alias("text"))
+    lines = F.transform(F.sequence(F.lit(0), F.lit(n_refs - 1)), pick)
+    x = s.select("key", F.explode(F.concat(F.col("hyps"), lines)).alias("x")).select("key", "x.system", "x.ri", "x.text")
+    return x.withColumn("text", T.eval_clean("text")) if clean else x
+
+
+def ngram_table(texts: DataFrame) -> DataFrame:
+    """One row per (key, n, g): ``hyps`` array of (system, c), ``refs`` array
+    of (ri, c) and ``rmax``, the largest reference count. The row with n = 0
+    has the numbers of words instead of counts, for every text, also empty ones."""
+    tok = texts.select("key", "system", "ri", T.words("text").alias("_tok"))
+    zero = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("g")))
+    x = tok.select("key", "system", "ri", F.size("_tok").alias("_len"), F.explode(F.concat(zero, tagged_ngrams("_tok", MAX_N))).alias("x"))
+    c = (x.groupBy("key", "system", "ri", F.col("x.n").alias("n"), F.col("x.g").alias("g"))
+          .agg(F.count(F.lit(1)).alias("_c"), F.first("_len").alias("_len")))
+    c = c.withColumn("c", F.when(F.col("n") == 0, F.col("_len").cast("long")).otherwise(F.col("_c")))
+    ref = F.col("system").isNull()
+    return c.groupBy("key", "n", "g").agg(
+        F.collect_list(F.when(~ref, F.struct("system", "c"))).alias("hyps"),
+        F.collect_list(F.when(ref, F.struct("ri", "c"))).alias("refs"), F.max(F.when(ref, F.col("c"))).alias("rmax"))
+
+
+def _per_hyp(grams: DataFrame) -> DataFrame:
+    return grams.select("key", "n", "g", "refs", "rmax", F.inline("hyps"))
+
+
+def segment_stats(grams: DataFrame) -> DataFrame:
+    """Per (system, key): testlen, reflen (closest, ties to the shorter),
+    mean_reflen, guess_k and correct_k (clipped by the largest reference count)."""
+    clipped = F.least(F.col("c"), F.coalesce("rmax", F.lit(0)))
+    zero = F.col("n") == 0
+    x = _per_hyp(grams).groupBy("system", "key").agg(
+        F.max(F.when(zero, F.col("c"))).alias("testlen"), F.max(F.when(zero, F.col("refs"))).alias("_refs"),
+        *[F.coalesce(F.sum(F.when(F.col("n") == k, clipped)), F.lit(0)).alias(f"correct{k}") for k in range(1, MAX_N + 1)])
+    closest = F.array_min(F.transform("_refs", lambda r: F.struct(F.abs(r["c"] - F.col("testlen")).alias("d"), r["c"].alias("l"))))["l"]
+    mean = F.aggregate("_refs", F.lit(0).cast("long"), lambda a, r: a + r["c"]) / F.size("_refs")
+    return x.select("system", "key", "testlen", closest.alias("reflen"), mean.alias("mean_reflen"),
+                    *[F.greatest(F.col("testlen") - k + 1, F.lit(0)).alias(f"guess{k}") for k in range(1, MAX_N + 1)],
+                    *[f"correct{k}" for k in range(1, MAX_N + 1)])
+
+
+def _bleu(agg) -> list[Column]:
+    cols, prod = [], F.lit(1.0)
+    ratio = (agg("testlen") + F.lit(BLEU_TINY)) / (agg("reflen") + F.lit(BLEU_SMALL))
     bp = F.when(ratio < 1, F.exp(1 - 1 / ratio)).otherwise(F.lit(1.0))
     for k in range(1, MAX_N + 1):
         prod = prod * (agg(f"correct{k}") + F.lit(BLEU_TINY)) / (agg(f"guess{k}") + F.lit(BLEU_SMALL))
@@ -127,104 +109,124 @@ def _bleu_cols(prefix_sum: bool):
     return cols
 
 
-def bleu_corpus(stats: DataFrame) -> DataFrame:
+def bleu_corpus(grams: DataFrame) -> DataFrame:
     """Corpus BLEU-1..4 per system."""
-    return stats.groupBy("system").agg(*_bleu_cols(True))
+    return segment_stats(grams).groupBy("system").agg(*_bleu(F.sum))
 
 
-def bleu_sentence(stats: DataFrame) -> DataFrame:
+def bleu_sentence(grams: DataFrame) -> DataFrame:
     """Sentence BLEU-1..4 per segment (and its mean via ``avg``)."""
-    return stats.select("system", "key", *_bleu_cols(False))
+    return segment_stats(grams).select("system", "key", *_bleu(F.col))
 
 
-def nist(p: Prepared) -> DataFrame:
-    """Cumulative NIST-1..4 per system."""
-    h, lines = p.h, p.lines
-    rc = p.rn.groupBy("n", "g").agg(F.sum("tf").alias("cnt"))
-    total_words = rc.filter(F.col("n") == 1).agg(F.sum("cnt")).scalar()     # scalar subquery
+def _corpus_counts(grams: DataFrame) -> DataFrame:
+    """(n, g, system): count in the system's hypotheses and clipped matches;
+    for system NULL, count in the reference lines."""
+    ref = F.struct(F.lit(None).cast("string").alias("system"), F.aggregate("refs", F.lit(0).cast("long"), lambda a, r: a + r["c"]).alias("c"),
+                   F.lit(0).cast("long").alias("m"))
+    hyp = F.transform("hyps", lambda h: F.struct(h["system"].alias("system"), h["c"].alias("c"),
+                                                 F.least(h["c"], F.coalesce("rmax", F.lit(0))).alias("m")))
+    x = grams.filter(F.col("n") > 0).select("n", "g", F.inline(F.concat(hyp, F.array(ref))))
+    return x.groupBy("n", "g", "system").agg(F.sum("c").alias("c"), F.sum("m").alias("m"))
+
+
+def _nist_sums(counts: DataFrame) -> DataFrame:
+    """Per system: number and information of its n-grams, by n; also the sums
+    of the entropy and diversity statistics."""
+    rc = counts.filter(F.col("system").isNull() & (F.col("c") > 0)).select("n", "g", F.col("c").alias("rc"))
+    total = rc.filter(F.col("n") == 1).agg(F.sum("rc")).scalar()     # scalar subquery
     # information weight: log2(count(prefix) / count(ngram)); prefix of a unigram = all words
-    pref = rc.select((F.col("n") + 1).alias("n"), F.col("g").alias("_pg"), F.col("cnt").alias("_pc"))
+    pref = rc.select((F.col("n") + 1).alias("n"), F.col("g").alias("_pg"), F.col("rc").alias("_pc"))
     info = (rc.withColumn("_pg", F.when(F.col("n") > 1, F.regexp_replace("g", " [^ ]+$", "")))
               .join(pref, ["n", "_pg"], "left")
-              .select("n", "g", F.log2(F.coalesce(F.col("_pc"), total_words) / F.col("cnt")).alias("info")))
-    rmax = p.rn.groupBy("key", "n", "g").agg(F.max("tf").alias("rmax"))
-    hn = p.hn
-    matched = (hn.join(rmax, ["key", "n", "g"]).join(info, ["n", "g"])
-                 .groupBy("system", "n").agg(F.sum(F.least("hc", "rmax") * F.col("info")).alias("_info")))
-    sysn = hn.groupBy("system", "n").agg(F.sum("hc").alias("_cnt"))
-    per_n = sysn.join(matched, ["system", "n"], "left").na.fill(0.0, ["_info"])
-    per_n = per_n.groupBy("system").pivot("n", list(range(1, MAX_N + 1))).agg(
-        F.first(F.col("_info") / F.col("_cnt")))
-    lens = (h.select("system", "key", F.size(T.words("hyp")).alias("tl"))
-             .join(lines.groupBy("key").agg(F.avg(F.size(T.words("ref"))).alias("rl")), "key")
-             .groupBy("system").agg(F.sum("tl").alias("_sl"), F.sum("rl").alias("_rl")))
-    out = per_n.join(lens, "system")
-    ratio = F.least(F.col("_sl") / F.col("_rl"), F.lit(1.0))
+              .select("n", "g", F.log2(F.coalesce(F.col("_pc"), total) / F.col("rc")).alias("info")))
+    x = counts.filter(F.col("system").isNotNull()).join(info, ["n", "g"], "left")
+    at = lambda k, v: F.when(F.col("n") == k, v)
+    return x.groupBy("system").agg(*[
+        a for k in range(1, MAX_N + 1) for a in (
+            F.sum(at(k, F.col("c"))).alias(f"_t{k}"), F.sum(at(k, F.col("m") * F.coalesce("info", F.lit(0.0)))).alias(f"_i{k}"),
+            F.sum(at(k, F.col("c") * F.log("c"))).alias(f"_e{k}"), F.count(at(k, F.lit(1))).alias(f"_d{k}"))])
+
+
+def _nist_cols() -> list[Column]:
+    ratio = F.least(F.col("_len") / F.col("_ref"), F.lit(1.0))
     bp = F.when(ratio > 0, F.exp(F.lit(NIST_BETA) * F.pow(F.log(ratio), 2))).otherwise(F.lit(0.0))
     cols, acc = [], F.lit(0.0)
     for k in range(1, MAX_N + 1):
-        acc = acc + F.coalesce(F.col(str(k)), F.lit(0.0))
+        acc = acc + F.coalesce(F.col(f"_i{k}") / F.col(f"_t{k}"), F.lit(0.0))
         cols.append((acc * bp).alias(f"nist{k}"))
-    return out.select("system", *cols)
+    return cols
+
+
+def _lengths(grams: DataFrame, *more: Column) -> DataFrame:
+    return segment_stats(grams).groupBy("system").agg(F.sum("testlen").alias("_len"), F.sum("mean_reflen").alias("_ref"), *more)
+
+
+def nist(grams: DataFrame) -> DataFrame:
+    """Cumulative NIST-1..4 per system."""
+    return _nist_sums(_corpus_counts(grams)).join(_lengths(grams), "system").select("system", *_nist_cols())
 
 
-def rouge_l(p: Prepared, beta: float = ROUGE_BETA) -> DataFrame:
+def rouge_l(texts: DataFrame, beta: float = ROUGE_BETA) -> DataFrame:
     """A10: per-segment ROUGE-L (single-space tokens; max precision and max
     recall over references taken independently)."""
-    j = p.h.join(p.lines, "key").select("system", "key", F.split("hyp", " ").alias("ht"), F.split("ref", " ").alias("rt"))
-    j = j.withColumn("lcs", lcs_len("ht", "rt"))
-    g = j.groupBy("system", "key").agg(F.max(F.col("lcs") / F.size("ht")).alias("p"),
-                                       F.max(F.col("lcs") / F.size("rt")).alias("r"))
+    tok = texts.withColumn("t", F.split("text", " "))
+    seg = tok.groupBy("key").agg(F.collect_list(F.when(F.col("system").isNotNull(), F.struct("system", "t"))).alias("hyps"),
+                                 F.collect_list(F.when(F.col("system").isNull(), F.col("t"))).alias("refs"))
+    j = seg.select("key", "refs", F.inline("hyps")).select("key", "system", F.col("t").alias("ht"), F.explode("refs").alias("rt"))
+    j = j.select("key", "system", F.size("ht").alias("hn"), F.size("rt").alias("rn"), lcs_len("ht", "rt").alias("lcs"))
+    g = j.groupBy("key", "system").agg(F.max(F.col("lcs") / F.col("hn")).alias("p"), F.max(F.col("lcs") / F.col("rn")).alias("r"))
     f = F.when((F.col("p") != 0) & (F.col("r") != 0),
                (1 + beta ** 2) * F.col("p") * F.col("r") / (F.col("r") + beta ** 2 * F.col("p"))).otherwise(F.lit(0.0))
     return g.select("system", "key", f.alias("rouge_l"))
 
 
-def cider(p: Prepared, sigma: float = CIDER_SIGMA) -> DataFrame:
+def cider(grams: DataFrame, sigma: float = CIDER_SIGMA) -> DataFrame:
     """Per-segment CIDEr (tf-idf cosine with clipping and a Gaussian
     length penalty on bigram counts), mean over n, / refs, x 10."""
-    h, lines, rn = p.h, p.lines, p.rn
-    nseg = lines.agg(F.countDistinct("key")).scalar()                       # scalar subquery
-    df = rn.groupBy("n", "g").agg(F.countDistinct("key").alias("df"))
-    lnN = F.log(nseg.cast("double"))
-
-    def with_idf(d, tf):
-        d = d.join(df, ["n", "g"], "left")
-        return d.withColumn("v", F.col(tf) * (lnN - F.log(F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)).cast("double"))))
-    rv = with_idf(rn, "tf")
-    hv = with_idf(p.hn, "hc")
-    rnorm = rv.groupBy("key", "ri", "n").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("nr"))
-    hnorm = hv.groupBy("system", "key", "n").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("nh"))
-    dot = (hv.select("system", "key", "n", "g", F.col("v").alias("vh"))
-             .join(rv.select("key", "ri", "n", "g", F.col("v").alias("vr")), ["key", "n", "g"])
-             .groupBy("system", "key", "ri", "n").agg(F.sum(F.least("vh", "vr") * F.col("vr")).alias("dot")))
-    rlen = rn.filter(F.col("n") == 2).groupBy("key", "ri").agg(F.sum("tf").alias("lr"))
-    hlen = p.hn.filter(F.col("n") == 2).groupBy("system", "key").agg(F.sum("hc").alias("lh"))
-    v = (dot.join(hnorm, ["system", "key", "n"]).join(rnorm, ["key", "ri", "n"])
-            .join(hlen, ["system", "key"], "left").join(rlen, ["key", "ri"], "left"))
-    delta = F.coalesce("lh", F.lit(0)) - F.coalesce("lr", F.lit(0))
-    val = F.when((F.col("nh") != 0) & (F.col("nr") != 0), F.col("dot") / (F.col("nh") * F.col("nr"))).otherwise(F.col("dot"))
-    val = val * F.exp(-(delta.cast("double") ** 2) / (2 * sigma ** 2))
-    nref = lines.groupBy("key").agg(F.count(F.lit(1)).alias("_nr"))
-    s = v.groupBy("system", "key").agg(F.sum(val).alias("_s"))
-    seg = h.select("system", "key").join(s, ["system", "key"], "left").join(nref, "key")
-    return seg.select("system", "key",
-                      (F.coalesce("_s", F.lit(0.0)) / MAX_N / F.col("_nr") * 10.0).alias("cider"))
-
-
-def system_report(p: Prepared) -> DataFrame:
+    # the row n = 0 of every key counts the segments
+    df = grams.filter(F.size("refs") > 0).groupBy("n", "g").agg(F.count(F.lit(1)).alias("df"))
+    nseg = df.filter("n = 0").agg(F.max("df")).scalar()                      # scalar subquery
+    x = grams.join(df, ["n", "g"], "left")          # the frequent n-grams' side is split by skew
+    idf = F.log(nseg.cast("double")) - F.log(F.coalesce("df", F.lit(1)).cast("double"))
+    x = x.withColumn("_idf", F.when(F.col("n") > 0, idf).otherwise(F.lit(0.0)))
+    none, name = F.lit(None), F.lit(None).cast("string")
+    v = lambda c: c * F.col("_idf")
+    # squares of both sides and products of every system with every reference line
+    hyp = F.transform("hyps", lambda h: F.struct(h["system"].alias("system"), none.cast("int").alias("ri"),
+                                                 (v(h["c"]) * v(h["c"])).alias("v"), h["c"].alias("c")))
+    ref = F.transform("refs", lambda r: F.struct(name.alias("system"), r["ri"].alias("ri"), (v(r["c"]) * v(r["c"])).alias("v"), r["c"].alias("c")))
+    dot = F.flatten(F.transform("hyps", lambda h: F.transform("refs", lambda r: F.struct(
+        h["system"].alias("system"), r["ri"].alias("ri"), (F.least(v(h["c"]), v(r["c"])) * v(r["c"])).alias("v"), F.lit(0).cast("long").alias("c")))))
+    parts = x.select("key", "n", F.inline(F.concat(hyp, ref, dot)))
+    sums = parts.groupBy("key", "system", "ri", "n").agg(F.sum("v").alias("v"), F.sum("c").alias("c"))
+    # a segment has (systems + 1) x (reference lines + 1) x 5 sums
+    seg = sums.groupBy("key").agg(F.collect_list(F.struct("system", "ri", "n", "v", "c")).alias("s"))
+    pick = lambda cond: F.filter("s", cond)
+    norm = lambda a, key: F.map_from_entries(F.transform(a, lambda e: F.struct(
+        F.struct(e[key].alias("k"), e["n"].alias("n")), F.struct(F.sqrt(e["v"]).alias("v"), e["c"].alias("c")))))
+    seg = seg.select("key", norm(pick(lambda e: e["ri"].isNull()), "system").alias("h"),
+                     norm(pick(lambda e: e["system"].isNull()), "ri").alias("r"),
+                     pick(lambda e: e["system"].isNull() & (e["n"] == 0)).alias("lines"),
+                     pick(lambda e: e["system"].isNotNull() & e["ri"].isNotNull()).alias("d"),
+                     pick(lambda e: e["ri"].isNull() & (e["n"] == 0)).alias("who"))
+    each = seg.select("key", "h", "r", F.size("lines").alias("_nr"), "d", F.explode("who").alias("w")).withColumn("system", F.col("w.system"))
+    e = each.select("key", "system", "_nr", "h", "r", F.explode(F.filter("d", lambda q: q["system"] == F.col("system"))).alias("d"))
+    at = lambda m, k, n: F.try_element_at(F.col(m), F.struct(k.alias("k"), n.alias("n")))
+    nh, nr = at("h", F.col("system"), F.col("d.n"))["v"], at("r", F.col("d.ri"), F.col("d.n"))["v"]
+    two = F.lit(2)
+    delta = (F.coalesce(at("h", F.col("system"), two)["c"], F.lit(0)) - F.coalesce(at("r", F.col("d.ri"), two)["c"], F.lit(0))).cast("double")
+    val = F.when((nh != 0) & (nr != 0), F.col("d.v") / (nh * nr)).otherwise(F.col("d.v")) * F.exp(-(delta * delta) / (2 * sigma ** 2))
+    val = F.when(F.col("d.n") > 0, val).otherwise(F.lit(0.0))
+    return e.groupBy("key", "system").agg((F.sum(val) / MAX_N / F.first("_nr") * 10.0).alias("cider")).select("system", "key", "cider")
+
+
+def system_report(grams: DataFrame) -> DataFrame:
     """One row per system: n_lines, nist1-4, bleu1-4, meteor (NULL: the
     external scorer is not rebuilt), entropy1-4, div1, div2, avg_len."""
-    h = p.h
-    n_lines = h.groupBy("system").agg(F.count(F.lit(1)).alias("n_lines"))
-    b = bleu_corpus(bleu_stats(p))
-    ni = nist(p)
-    cnt = p.hn.groupBy("system", "n", F.col("g").alias("ngram")).agg(F.sum("hc").alias("cnt"))
-    ent = NS.ngram_entropy(cnt, keys=["system"]).groupBy("system").pivot("n", [1, 2, 3, 4]).agg(F.first("entropy"))
-    ent = ent.select("system", *[F.col(str(k)).alias(f"entropy{k}") for k in range(1, 5)])
-    div = NS.distinct_n(cnt.filter(F.col("n") <= 2), keys=["system"]).groupBy("system").pivot("n", [1, 2]).agg(
-        F.first("distinct"))
-    div = div.select("system", F.col("1").alias("div1"), F.col("2").alias("div2"))
-    al = NS.avg_len(h, "hyp", keys=["system"])
-    return (n_lines.join(ni, "system").join(b, "system").withColumn("meteor", F.lit(None).cast("double"))
-            .join(ent, "system").join(div, "system").join(al, "system"))
+    per = _lengths(grams, F.count(F.lit(1)).alias("n_lines"), *_bleu(F.sum), F.avg("testlen").alias("avg_len"))
+    j = _nist_sums(_corpus_counts(grams)).join(per, "system")
+    ent = [(F.log(f"_t{k}") - F.col(f"_e{k}") / F.col(f"_t{k}")).alias(f"entropy{k}") for k in range(1, MAX_N + 1)]
+    div = [(F.col(f"_d{k}") / F.col(f"_t{k}")).alias(f"div{k}") for k in (1, 2)]
+    return j.select("system", "n_lines", *_nist_cols(), *[f"bleu{k}" for k in range(1, MAX_N + 1)], F.lit(None).cast("double").alias("meteor"),
+                    *ent, *div, "avg_len")

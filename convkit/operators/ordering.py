@@ -1,15 +1,13 @@
-"""Distributed global order helpers.
-
-A window without ``partitionBy`` moves every row into one task. These
-helpers instead cut the total order into ranges, number rows inside each
-range and add the total of all earlier ranges (a table with one row per
-range, so its broadcast is bounded by the range count).
-
-Range ids are a deterministic function of the row: bounds are taken once
-from a bounded random sample and written into the plan as literals. (A
-sample-based range exchange picks its bounds per execution, so two
-branches of one plan could cut the data differently.) Order columns must be
-ascending; negate a numeric column to sort it descending.
+"""Positions and running sums over a total order of all rows.
+
+A window without ``partitionBy`` moves every row into one task. Here Spark
+range-partitions the rows (``repartitionByRange``), each range is sorted and
+written once to the shared folder with its rows numbered, and the totals of
+the earlier ranges are added: a table of one row per range, so its broadcast
+is bounded by the number of ranges. The written copy fixes the ranges, so
+later reads and retried tasks see the same ones.
+
+Order columns must be unique together.
 """
 
 from __future__ import annotations
@@ -17,77 +15,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES_PER_RANGE = 20
+from convkit.session import materialize
 
+_RANGE = "shiftright(_mid, 33)"         # monotonically_increasing_id: range, then place in it
 
-def _parts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
+def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` written range by range, with ``_mid`` numbering each range's rows."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    d = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return materialize(d.withColumn("_mid", F.monotonically_increasing_id()), "ranged")
 
-def _range_id(d: DataFrame, n: int) -> Column:
-    """Range id of ``_key`` given n ranges (bounds from a sample of <= 20n keys)."""
-    sample = (d.select("_key").withColumn("_r", F.rand(11)).orderBy("_r").limit(SAMPLES_PER_RANGE * n)
-               .orderBy("_key").collect())
-    keys = [r["_key"] for r in sample]
-    bounds = []
-    for i in range(1, n):
-        if keys:
-            b = keys[(i * len(keys)) // n]
-            if not bounds or bounds[-1] != b:
-                bounds.append(b)
-    if not bounds:
-        return F.lit(0)
-    st = d.schema["_key"].dataType
-    lits = [F.struct(*[F.lit(b[f.name]).cast(f.dataType).alias(f.name) for f in st.fields]) for b in bounds]
-    key = F.col("_key")
 
-    def search(lo: int, hi: int) -> Column:
-        # number of bounds <= key, knowing it lies in [lo, hi]: a balanced
-        # comparison tree, so each row costs O(log ranges) comparisons
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < lits[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
-    return search(0, len(lits))
+def _with_totals(r: DataFrame, value: Column, exclusive: Column, name: str) -> DataFrame:
+    """``exclusive`` plus the sum of ``value`` over all earlier ranges."""
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)        # one row per range
+    off = r.groupBy(F.expr(_RANGE).alias("_p")).agg(F.sum(value).alias("_t"))
+    off = off.select("_p", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    x = r.withColumn("_p", F.expr(_RANGE)).join(F.broadcast(off), "_p")
+    return x.withColumn(name, F.col("_off") + exclusive)
 
 
 def global_cumsum(df: DataFrame, order: list[Column], value: Column, name: str,
                   inclusive: bool = True) -> DataFrame:
-    """Running sum of ``value`` over the total order ``order`` (unique, ascending)."""
-    n = _parts(df)
-    d = df.withColumn("_key", F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)]))
-    r = d.withColumn("_p", _range_id(d, n)).repartition(n, "_p").withColumn("_v", value.cast("long"))
-    w = Window.partitionBy("_p").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = r.withColumn("_loc", F.sum("_v").over(w))
-    tot = r.groupBy("_p").agg(F.sum("_v").alias("_t"))
-    # offsets over at most n rows
-    wo = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select("_p", F.coalesce(F.sum("_t").over(wo), F.lit(0)).alias("_off"))
-    r = r.join(F.broadcast(off), "_p")
-    val = F.col("_off") + F.col("_loc")
-    if not inclusive:
-        val = val - F.col("_v")
-    return r.withColumn(name, val).drop("_p", "_v", "_loc", "_off", "_key")
+    """Running sum of ``value`` over the total order ``order``."""
+    r = _ranged(df.withColumn("_v", value.cast("long")), order)
+    w = Window.partitionBy(F.expr(_RANGE)).orderBy("_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = F.sum("_v").over(w)
+    r = r.withColumn("_loc", local if inclusive else local - F.col("_v"))
+    return _with_totals(r, F.col("_v"), F.col("_loc"), name).drop("_p", "_v", "_loc", "_off", "_mid")
 
 
 def global_index(df: DataFrame, order: list[Column], name: str = "row_idx") -> DataFrame:
     """0-based position of each row in the total order ``order``."""
-    return global_cumsum(df, order, F.lit(1), name, inclusive=False)
-
-
-def keyed_cumsum(df: DataFrame, key: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
-    """Running sum of a non-negative ``value`` inside each key, in ``order``.
-
-    Computed as a global prefix sum over (key, order) minus the sum before
-    the key's first row, so a key holding a third of all rows is still
-    spread over many tasks (a per-key window would put it in one)."""
-    kcols = [F.col(k) for k in key]
-    r = global_cumsum(df.withColumn("_kv", value.cast("long")), kcols + order, F.col("_kv"), "_cs")
-    base = r.groupBy(*key).agg(F.min(F.col("_cs") - F.col("_kv")).alias("_base"))
-    return r.join(base, key).withColumn(name, F.col("_cs") - F.col("_base")).drop("_cs", "_base", "_kv")
+    r = _ranged(df, order)
+    place = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    return _with_totals(r, F.lit(1), place, name).drop("_p", "_off", "_mid")
 
 
 def keyed_index(df: DataFrame, key: list[str], order: list[Column], name: str = "idx") -> DataFrame:
-    """0-based position inside each key (skew-safe, see keyed_cumsum)."""
-    r = keyed_cumsum(df, key, order, F.lit(1), name)
-    return r.withColumn(name, F.col(name) - 1)
+    """0-based position inside each key: the global position less that of the
+    key's first row, so a key with a third of all rows stays spread over many
+    ranges (a window per key would put it in one task)."""
+    r = global_index(df, [F.col(k) for k in key] + order, "_place")
+    first = r.groupBy(*key).agg(F.min("_place").alias("_first"))
+    return r.join(first, key).withColumn(name, F.col("_place") - F.col("_first")).drop("_place", "_first")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convkit.operators.ordering import keyed_cumsum, keyed_index
+from convkit.operators.ordering import keyed_index
 
 # Fixed scoring constants.
 ALPHA = 0.5
@@ -71,13 +71,19 @@ def checkpoint_step(name_col) -> Column:
 def history_final(msgs: DataFrame, budget: int = HISTORY_BUDGET) -> DataFrame:
     """W4 (final state): per uid, the longest suffix of non-empty messages
     whose tokens (each + 1 eos) fit the budget; the newest message is kept
-    even when it alone exceeds it. Users with no message keep a lone EOS."""
-    m = msgs.filter(F.col("text") != "")            # an empty message is skipped
-    r = keyed_cumsum(m, ["uid"], [-F.col("ts")], F.col("n_tokens"), "_rs")
-    r = keyed_index(r, ["uid"], [-F.col("ts")], "_ri")
-    keep = r.filter((F.col("_rs") <= budget) | (F.col("_ri") == 0))
-    return keep.groupBy("uid").agg(F.min("ts").alias("from_ts"), F.count(F.lit(1)).alias("n_kept"),
-                                   F.sum("n_tokens").alias("tokens"))
+    even when it alone exceeds it. Users with empty messages only keep a lone
+    EOS (n_kept 0, 1 token).
+
+    Every message costs a token at least, so the newest ``budget`` messages
+    decide; that limit is applied before the shuffle, and no task gets more
+    than that of a very active user."""
+    m = msgs.withColumn("_empty", F.coalesce("text", F.lit("")) == "")
+    w = Window.partitionBy("uid").orderBy("_empty", F.col("ts").desc())
+    m = m.withColumn("_ri", F.row_number().over(w)).filter(F.col("_ri") <= budget)
+    m = m.withColumn("_rs", F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    keep = ~F.col("_empty") & ((F.col("_rs") <= budget) | (F.col("_ri") == 1))
+    return m.groupBy("uid").agg(F.min(F.when(keep, F.col("ts"))).alias("from_ts"), F.count_if(keep).alias("n_kept"),
+                                F.coalesce(F.sum(F.when(keep, F.col("n_tokens"))), F.lit(1)).cast("long").alias("tokens"))
 
 
 def history_window(msgs: DataFrame, budget: int = HISTORY_BUDGET, block: int = 4096) -> DataFrame:

@@ -341,8 +341,8 @@ def _multiref_inputs(spark, sf):
     cv, t = F.col("conv_id"), F.col("turn")
     items = F.array(F.struct(F.lit(0).alias("pos"), F.lit("0.5").alias("score"), _pair_key(cv, t).alias("rid")),
                     F.struct(F.lit(1).alias("pos"), F.lit("0.4").alias("score"), _pair_key(cv, t - 1).alias("rid")),
-                    F.struct(F.lit(2).alias("pos"), F.lit("0.3").alias("score"), _pair_key(cv, t + 100).alias("rid")))
-    tt = c.select((cv * 1000 + t).alias("line_no"), F.explode(items).alias("it")).select(
+                    F.struct(F.lit(2).alias("pos"), F.lit("0.3").alias("score"), F.concat(F.lit("none,"), _pair_key(cv, t)).alias("rid")))
+    tt = c.select(_row_id().alias("line_no"), F.explode(items).alias("it")).select(
         "line_no", "it.pos", "it.score", "it.rid")
     return tt, data
 
@@ -359,57 +359,45 @@ from convkit.operators import metrics as ME  # noqa: E402
 EVAL_PARAMS = dict(n_refs=6, vshuman=1, clean=True)
 
 
-def _hr(spark, sf):
-    """Cleaned hypotheses / reference lines and their n-gram tables, written
-    once and shared by every metric of the query."""
-    h, lines = ME.hyp_refs(AD.hypotheses(spark, sf), AD.references(spark, sf), **EVAL_PARAMS)
-    return ME.prepare(h, lines, keep=True)
+def _texts(spark, sf, **kw):
+    return ME.hyp_refs(AD.hypotheses(spark, sf), AD.references(spark, sf), **EVAL_PARAMS, **kw)
+
+
+def _grams(spark, sf, **kw):
+    return ME.ngram_table(_texts(spark, sf, **kw))
 
 
 @query("hyp_refs")
 def q_hyp_refs(spark, sf):
-    h, lines = ME.hyp_refs(AD.hypotheses(spark, sf), AD.references(spark, sf), **EVAL_PARAMS)
-    return h.join(lines, "key").select("system", "key", "ri", "hyp", "ref")
+    seg = _texts(spark, sf).groupBy("key").agg(
+        F.collect_list(F.when(F.col("system").isNotNull(), F.struct("system", F.col("text").alias("hyp")))).alias("h"),
+        F.collect_list(F.when(F.col("system").isNull(), F.struct("ri", F.col("text").alias("ref")))).alias("r"))
+    return seg.select("key", "r", F.inline("h")).select("system", "key", "hyp", F.inline("r")).select("system", "key", "ri", "hyp", "ref")
 
 
 def _r6(df, keep):
     return df.select(*keep, *[F.round(c, 6).alias(c) for c in df.columns if c not in keep])
 
 
-@query("bleu_corpus")
-def q_bleu_corpus(spark, sf):
-    p = _hr(spark, sf)
-    return _r6(ME.bleu_corpus(ME.bleu_stats(p)), ["system"])
-
-
-@query("bleu_sentence")
-def q_bleu_sentence(spark, sf):
-    p = _hr(spark, sf)
-    return _r6(ME.bleu_sentence(ME.bleu_stats(p)), ["system", "key"])
-
-
-@query("nist")
-def q_nist(spark, sf):
-    p = _hr(spark, sf)
-    return _r6(ME.nist(p), ["system"])
+QUERIES["bleu_corpus"] = lambda spark, sf: _r6(ME.bleu_corpus(_grams(spark, sf)), ["system"])
+QUERIES["bleu_sentence"] = lambda spark, sf: _r6(ME.bleu_sentence(_grams(spark, sf)), ["system", "key"])
+QUERIES["nist"] = lambda spark, sf: _r6(ME.nist(_grams(spark, sf)), ["system"])
+QUERIES["rouge_l"] = lambda spark, sf: _r6(ME.rouge_l(_texts(spark, sf)), ["system", "key"])
+QUERIES["cider"] = lambda spark, sf: _r6(ME.cider(_grams(spark, sf)), ["system", "key"])
 
 
-@query("rouge_l")
-def q_rouge_l(spark, sf):
-    p = _hr(spark, sf)
-    return _r6(ME.rouge_l(p), ["system", "key"])
+@query("system_report")
+def q_system_report(spark, sf):
+    return _r6(ME.system_report(_grams(spark, sf)), ["system", "n_lines"])
 
 
-@query("cider")
-def q_cider(spark, sf):
-    p = _hr(spark, sf)
-    return _r6(ME.cider(p), ["system", "key"])
+N_LINES = 50
 
 
-@query("system_report")
-def q_system_report(spark, sf):
-    p = _hr(spark, sf)
-    return _r6(ME.system_report(p), ["system", "n_lines"])
+@query("system_report_head")
+def q_system_report_head(spark, sf):
+    """T5: the report over the first n_lines of every system, in key order."""
+    return _r6(ME.system_report(_grams(spark, sf, n_lines=N_LINES)), ["system", "n_lines"])
 
 
 # --- features, batching, scoring ---------------------------------------------
@@ -424,18 +412,31 @@ def _ints(c):
     return F.array_join(F.col(c).cast("array<string>") if isinstance(c, str) else c.cast("array<string>"), " ")
 
 
+def _row_id(cid="conv_id", turn="turn"):
+    return F.concat_ws("_", F.col(cid).cast("string"), F.col(turn).cast("string"))
+
+
 def _vocab(spark, sf):
-    c = table(spark, sf, "conversations").filter(F.col("conv_id") % 4 != 0)
+    """Vocabulary of the training split (W2); words of the other splits may be unknown."""
+    c = table(spark, sf, "conversations").filter(CO.split_of("conv_id") == "train")
     return NS.vocab(c, "text")
 
 
+def _turn_rows(spark, sf, encoded: bool = False):
+    """Unrolled rows: row_id, turn, turns (and turn_ids) and a reward class.
+    Each turn is encoded once, before the unrolling."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    cols = ["text"]
+    if encoded:
+        c, cols = FE.encode_texts(c, ["conv_id", "turn"], "text", _vocab(spark, sf)), ["text", "ids"]
+    u = CO.unroll_turns(c, cols)
+    more = [F.transform("turns", lambda x: x["ids"]).alias("turn_ids")] if encoded else []
+    return u.select(_row_id().alias("row_id"), "conv_id", "turn", F.transform("turns", lambda x: x["text"]).alias("turns"), *more,
+                    (((F.col("conv_id") + F.col("turn")) % 3) - 1).cast("double").alias("reward"))
+
+
 def _feature_rows(spark, sf):
-    """Unrolled (context, response) rows with a reward class, encoded."""
-    u = CO.unroll_conversation(table(spark, sf, "conversations"))
-    u = u.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "conv_id",
-                 F.concat(T.split_turns("context"), F.array("response")).alias("turns"),
-                 (((F.col("conv_id") + F.col("turn")) % 3) - 1).cast("double").alias("reward"))
-    return FE.encode_turns(u, "row_id", "turns", _vocab(spark, sf))
+    return _turn_rows(spark, sf, encoded=True)
 
 
 @query("encode_features")
@@ -474,26 +475,26 @@ def q_left_truncate(spark, sf):
 
 @query("two_turn")
 def q_two_turn(spark, sf):
-    f = _feature_rows(spark, sf)
+    f = _turn_rows(spark, sf)
     return f.select("row_id", T.join_turns(FE.two_turn("turns")).alias("turns"))
 
 
 @query("prompt_prefix")
 def q_prompt_prefix(spark, sf):
-    f = _feature_rows(spark, sf)
+    f = _turn_rows(spark, sf)
     return f.select("row_id", T.join_turns(FE.prompt_prefix("turns")).alias("prompt"))
 
 
 @query("reverse_turns")
 def q_reverse_turns(spark, sf):
     f = _feature_rows(spark, sf)
-    return f.select("row_id", _ints(FE.reverse_turns("turn_ids", F.col("row_id") % 2 == 0)).alias("reversed"))
+    return f.select("row_id", _ints(FE.reverse_turns("turn_ids", F.col("turn") % 2 == 0)).alias("reversed"))
 
 
 def _labels(spark, sf, rev):
     f = _feature_rows(spark, sf)
     seq = FE.flatten_eos("turn_ids")
-    seq = F.when(F.col("row_id") % 2 == 0, F.concat(seq, F.array(F.lit(FE.EOS_ID)))).otherwise(seq)
+    seq = F.when(F.col("turn") % 2 == 0, F.concat(seq, F.array(F.lit(FE.EOS_ID)))).otherwise(seq)
     x = f.select("row_id", FE.last_turn_labels(seq, reversed_=rev).alias("x"))
     return x.select("row_id", _ints("x.inputs").alias("inputs"), _ints("x.labels").alias("labels"))
 
@@ -508,7 +509,7 @@ def _batched(spark, sf):
     f = _feature_rows(spark, sf).withColumn("input_ids", FE.flatten_eos("turn_ids"))
     f = f.withColumn("len", F.size("input_ids"))
     b = BA.bucket_batches(f, "row_id", "len", BATCH)
-    return b.withColumn("batch_id", F.col("bucket") * 100000 + F.col("batch_in_bucket"))
+    return b.withColumn("batch_id", _row_id("bucket", "batch_in_bucket"))
 
 
 @query("bucket_batches")
@@ -543,7 +544,7 @@ def q_batch_count(spark, sf):
 
 @query("last_batches")
 def q_last_batches(spark, sf):
-    return BA.last_batches(_batched(spark, sf), "batch_id", 30).select("row_id", "batch_id")
+    return BA.last_batches(_batched(spark, sf), ["bucket", "batch_in_bucket"], 30).select("row_id", "batch_id")
 
 
 @query("same_len_batches")
@@ -554,7 +555,7 @@ def q_same_len_batches(spark, sf):
 
 
 def _chunked(spark, sf):
-    return BA.chunk_ids(_feature_rows(spark, sf), [F.col("row_id")], chunk_size=100)
+    return BA.chunk_ids(_turn_rows(spark, sf), [F.col("row_id")], chunk_size=100)
 
 
 @query("chunk_ids")
@@ -584,14 +585,11 @@ def q_weighted_sample(spark, sf):
 
 @query("concat_candidates")
 def q_concat_candidates(spark, sf):
-    c = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"),
-                                                 "conv_id", "turn", F.array("text").alias("turns"))
-    e = FE.encode_turns(c, "row_id", "turns", _vocab(spark, sf)).withColumn("ids", F.element_at("turn_ids", 1))
-    ctx = e.filter(F.col("turn") == 0).select("conv_id", F.col("ids").alias("ctx"))
-    cand = e.filter(F.col("turn") > 0).select("conv_id", "turn", "ids")
-    j = cand.join(ctx, "conv_id")
-    return j.select("conv_id", "turn", _ints(F.concat(FE.strip_pad("ctx"), F.array(F.lit(FE.EOS_ID)),
-                                                       FE.strip_pad("ids"))).alias("input_ids"))
+    """Context: the first turn; candidates: the other turns of the conversation."""
+    e = FE.encode_texts(table(spark, sf, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"], "text", _vocab(spark, sf))
+    ctx = e.filter(F.col("turn") == 0).select("conv_id", F.col("ids").alias("context_ids"))
+    cand = e.filter(F.col("turn") > 0).select("conv_id", "turn", F.col("ids").alias("candidate_ids"))
+    return FE.concat_candidates(ctx, cand, ["conv_id"]).select("conv_id", "turn", _ints("input_ids").alias("input_ids"))
 
 
 @query("rerank_best")
@@ -767,8 +765,7 @@ def q_thread_pairs_title(spark, sf):
 @query("bleu_sentence_mean")
 def q_bleu_sentence_mean(spark, sf):
     """Mean sentence BLEU per system."""
-    p = _hr(spark, sf)
-    s = ME.bleu_sentence(ME.bleu_stats(p))
+    s = ME.bleu_sentence(_grams(spark, sf))
     return s.groupBy("system").agg(*[F.round(F.avg(f"bleu{k}"), 6).alias(f"bleu{k}") for k in range(1, 5)])
 
 
@@ -778,23 +775,22 @@ def q_kth_count(spark, sf):
     return CO.kth_count(CO.trigram_freq(AD.state_action(spark, sf)), 100)
 
 
-N_LINES = 50
-
-
 @query("ngram_entropy_head")
 def q_ngram_entropy_head(spark, sf):
-    """T5: entropy and mean length over the first n_lines hypothesis lines."""
-    hy = AD.hypotheses(spark, sf).filter((F.col("system") == "last") & (F.col("line_no") < N_LINES))
-    c = NS.ngram_counts(hy, "hyp", 4)
-    al = NS.avg_len(hy, "hyp").select(F.round("avg_len", 6)).scalar()      # scalar subquery, no join
-    return NS.ngram_entropy(c).select("n", F.round("entropy", 6).alias("entropy"), al.alias("avg_len"))
-
-
-@query("sha224_targets")
-def q_sha224_targets(spark, sf):
-    """SHA-224 of the normalised discard-target turns (no DuckDB twin)."""
+    """T5: entropy and mean length per system over its first n_lines cleaned
+    hypotheses, in key order."""
+    hy = _texts(spark, sf, n_lines=N_LINES).filter(F.col("system").isNotNull())
+    ent = NS.ngram_entropy(NS.ngram_counts(hy, "text", 4, keys=["system"]), keys=["system"])
+    return (ent.join(NS.avg_len(hy, "text", keys=["system"]), "system")
+               .select("system", "n", F.round("entropy", 6).alias("entropy"), F.round("avg_len", 6).alias("avg_len")))
+
+
+@query("digest_targets")
+def q_digest_targets(spark, sf):
+    """SHA-2 of the normalised turns, by which discard targets are named
+    (256 bits here; the bits are a parameter)."""
     c = table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", F.sha2(T.gpt_norm(T.minimal_norm("text")), 224).alias("hash"))
+    return c.select("conv_id", "turn", F.sha2(T.gpt_norm(T.minimal_norm("text")), 256).alias("hash"))
 
 
 @query("hyp_scan")

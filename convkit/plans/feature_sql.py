@@ -5,7 +5,7 @@ from __future__ import annotations
 from convkit.plans import sqlfrag as S
 from convkit.sources.adapters import SQL as A
 
-UNROLL = """SELECT conv_id, turn, array_to_string(ctx, ' EOS ') AS context, text AS response FROM (
+UNROLL = """SELECT conv_id, turn, ctx, text AS response FROM (
     SELECT conv_id, turn, text, list(text) OVER (PARTITION BY conv_id ORDER BY turn
                                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ctx
     FROM conversations) WHERE len(ctx) > 0"""
@@ -24,7 +24,7 @@ def vocab_ctes() -> list[tuple[str, str]]:
     return [
         ("vocab", f"""SELECT row_number() OVER (ORDER BY cnt DESC, word) AS rank, word FROM (
                         SELECT w AS word, count(*) AS cnt FROM (
-                          SELECT unnest({S.words('text')}) AS w FROM conversations WHERE conv_id % 4 <> 0) GROUP BY w)"""),
+                          SELECT unnest({S.words('text')}) AS w FROM conversations WHERE conv_id % 10 NOT IN (0, 1)) GROUP BY w)"""),
         ("vid", "SELECT word, CAST(rank + 2 AS INTEGER) AS id FROM vocab"),
     ]
 
@@ -46,8 +46,7 @@ def encode_ctes(src: str) -> list[tuple[str, str]]:
 def feature_ctes() -> list[tuple[str, str]]:
     return vocab_ctes() + [
         ("u", UNROLL),
-        ("src", """SELECT conv_id * 1000 + turn AS row_id, conv_id,
-                          list_concat(string_split(context, ' EOS '), [response]) AS turns,
+        ("src", """SELECT conv_id || '_' || turn AS row_id, conv_id, turn, list_concat(ctx, [response]) AS turns,
                           CAST((conv_id + turn) % 3 - 1 AS DOUBLE) AS reward FROM u"""),
     ] + encode_ctes("src")
 
@@ -105,13 +104,13 @@ def prompt_prefix_sql() -> str:
 
 def reverse_turns_sql() -> str:
     body = flatten_eos("list_reverse(turn_ids)")
-    return S.ctes(feature_ctes(), f"""SELECT row_id, {ints(f"CASE WHEN row_id % 2 = 0 OR len(turn_ids) = 1 "
+    return S.ctes(feature_ctes(), f"""SELECT row_id, {ints(f"CASE WHEN turn % 2 = 0 OR len(turn_ids) = 1 "
                                                               f"THEN list_concat({body}, [2]) ELSE {body} END")} AS reversed
                                       FROM feat""")
 
 
 def last_turn_labels_sql(rev: bool) -> str:
-    seq = f"CASE WHEN row_id % 2 = 0 THEN list_concat({flatten_eos('turn_ids')}, [2]) ELSE {flatten_eos('turn_ids')} END"
+    seq = f"CASE WHEN turn % 2 = 0 THEN list_concat({flatten_eos('turn_ids')}, [2]) ELSE {flatten_eos('turn_ids')} END"
     if rev:
         start = "coalesce(list_position(a, 2), 0)"
     else:
@@ -137,7 +136,7 @@ def batched_ctes(batch: int = 8) -> list[tuple[str, str]]:
                    FROM b1"""),
         ("bb", """SELECT *, count(*) OVER (PARTITION BY bucket, batch_in_bucket) AS batch_rows,
                          md5('42|' || CAST(bucket AS VARCHAR) || '|' || CAST(batch_in_bucket AS VARCHAR)) AS batch_key,
-                         bucket * 100000 + batch_in_bucket AS batch_id
+                         bucket || '_' || batch_in_bucket AS batch_id
                   FROM b2"""),
     ]
 
@@ -171,8 +170,8 @@ def sqls() -> dict[str, str]:
                                                 "FROM bb GROUP BY batch_id"),
         "batch_count": S.ctes(batched_ctes(), "SELECT sum(n) AS rows, sum(n // 8) AS batches FROM "
                                               "(SELECT bucket, count(*) AS n FROM bb GROUP BY bucket)"),
-        "last_batches": S.ctes(batched_ctes(), "SELECT row_id, batch_id FROM bb WHERE batch_id IN "
-                                               "(SELECT DISTINCT batch_id FROM bb ORDER BY batch_id DESC LIMIT 30)"),
+        "last_batches": S.ctes(batched_ctes(), "SELECT row_id, batch_id FROM bb WHERE batch_id IN (SELECT batch_id FROM "
+                                               "(SELECT DISTINCT batch_id, bucket, batch_in_bucket FROM bb) ORDER BY bucket DESC, batch_in_bucket DESC LIMIT 30)"),
         "same_len_batches": S.ctes(feature_ctes() + [
             ("sl", f"SELECT row_id, len({flatten_eos('turn_ids[1:len(turn_ids) - 1]')}) AS ctx_len FROM feat")],
             "SELECT row_id, ctx_len, (row_number() OVER (PARTITION BY ctx_len ORDER BY row_id) - 1) // 4 AS batch_in_len FROM sl"),
@@ -183,8 +182,17 @@ def sqls() -> dict[str, str]:
             """SELECT c.chunk_id, c.reward, c.cnt, round(c.weight, 6) AS weight, p.num_samples FROM cc c JOIN (
                  SELECT chunk_id, CAST(round_even(sum(cnt * weight) / min(weight), 0) AS BIGINT) AS num_samples
                  FROM cc GROUP BY chunk_id) p USING (chunk_id)"""),
+        "weighted_sample": S.ctes(chunk_ctes() + [
+            ("cc", "SELECT chunk_id, reward, count(*) AS cnt, 1.0 / count(*) AS weight FROM ch GROUP BY ALL"),
+            ("ns", "SELECT chunk_id, CAST(round_even(sum(cnt * weight) / min(weight), 0) AS BIGINT) AS num FROM cc GROUP BY chunk_id"),
+            ("iv", """SELECT chunk_id, row_id, sum(weight) OVER (PARTITION BY chunk_id ORDER BY row_id) AS hi, weight
+                      FROM ch JOIN cc USING (chunk_id, reward)"""),
+            ("dr", """SELECT chunk_id, draw, CAST('0x' || substr(md5('42|' || chunk_id || '|' || draw), 1, 13) AS BIGINT) / 4503599627370496.0
+                             * (SELECT max(hi) FROM iv WHERE iv.chunk_id = ns.chunk_id) AS u
+                      FROM ns, LATERAL (SELECT unnest(range(1, num + 1)) AS draw)""")],
+            "SELECT d.chunk_id, d.draw, (SELECT arg_max(row_id, row_id) FROM iv WHERE iv.chunk_id = d.chunk_id AND iv.hi - iv.weight <= d.u) AS row_id FROM dr d"),
         "concat_candidates": S.ctes(vocab_ctes() + [
-            ("src", "SELECT conv_id * 1000 + turn AS row_id, conv_id, turn, [text] AS turns FROM conversations")]
+            ("src", "SELECT conv_id || '_' || turn AS row_id, conv_id, turn, [text] AS turns FROM conversations")]
             + encode_ctes("src") + [("e", "SELECT conv_id, turn, turn_ids[1] AS ids FROM feat")],
             f"""SELECT c.conv_id, c.turn, {ints('list_concat(list_filter(x.ids, lambda q: q <> 0), [2], '
                                                 'list_filter(c.ids, lambda q: q <> 0))')} AS input_ids
@@ -207,7 +215,9 @@ def sqls() -> dict[str, str]:
                                  ("r", """SELECT *, sum(n_tokens) OVER (PARTITION BY uid ORDER BY ts DESC) AS rs,
                                                  row_number() OVER (PARTITION BY uid ORDER BY ts DESC) AS ri FROM m""")],
                                 """SELECT uid, min(ts) AS from_ts, count(*) AS n_kept, sum(n_tokens) AS tokens
-                                   FROM r WHERE rs <= 64 OR ri = 1 GROUP BY uid"""),
+                                   FROM r WHERE rs <= 64 OR ri = 1 GROUP BY uid
+                                   UNION ALL SELECT conv_id, NULL, 0, 1 FROM conversations GROUP BY conv_id
+                                   HAVING max(coalesce(text, '')) = ''"""),
         "history_window": S.ctes([("m", f"""SELECT conv_id AS uid, turn AS ts, len({S.words('text')}) + 1 AS n_tokens,
                                                    row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i
                                             FROM conversations WHERE text <> ''"""),

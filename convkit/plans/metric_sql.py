@@ -16,13 +16,14 @@ def _ngrams(src: str, keys: str, text: str, count: str) -> str:
                     LATERAL (SELECT unnest(range(1, len(c.ws) - k.n + 2)) AS i) GROUP BY ALL"""
 
 
-def base(n_refs: int = 6, vshuman: int = 1, clean: bool = True) -> list[tuple[str, str]]:
+def base(n_refs: int = 6, vshuman: int = 1, clean: bool = True, n_lines: int | None = None) -> list[tuple[str, str]]:
     L = "len(refs)"
     idx = f"CASE WHEN i % {L} = {vshuman} THEN (i % {L} + 1) % {L} ELSE i % {L} END"
     hyp = S.eval_clean("hyp") if clean else "hyp"
     ref = S.eval_clean("ref0") if clean else "ref0"
     return [
-        ("hyps", A["hypotheses"]),
+        ("hyps", A["hypotheses"] if n_lines is None else
+         f"SELECT * FROM ({A['hypotheses']}) QUALIFY row_number() OVER (PARTITION BY system ORDER BY key) <= {n_lines}"),
         ("refs", A["references"]),
         ("h", f"SELECT system, key, {hyp} AS hyp FROM hyps WHERE key IN (SELECT key FROM refs)"),
         ("lines0", f"""SELECT key, CAST(i AS INTEGER) AS ri, refs[{idx} + 1] AS item
@@ -129,6 +130,28 @@ def cider_sql(**kw) -> str:
     return S.ctes(base(**kw) + cider_ctes(), "SELECT system, key, round(cider, 6) AS cider FROM ciders")
 
 
+def entropy_head_sql(n_lines: int) -> str:
+    return S.ctes(base(n_lines=n_lines), f"""
+        SELECT system, n, round(-sum(hc / t * (ln(hc) - ln(t))), 6) AS entropy, any_value(a) AS avg_len FROM (
+          SELECT system, n, g, sum(hc) AS hc, sum(sum(hc)) OVER (PARTITION BY system, n) AS t FROM hng GROUP BY system, n, g)
+        JOIN (SELECT system, round(avg(len({S.words('hyp')})), 6) AS a FROM h GROUP BY system) USING (system)
+        GROUP BY system, n""")
+
+
+def rouge_l_sql(**kw) -> str:
+    # the LCS table row by row: acc is the row so far, x = [match, upper left, upper]
+    row = """list_reduce(list_transform(range(1, len(mt) + 1), lambda i: [mt[i], prev[i], prev[i + 1]]),
+               lambda acc, x: list_append(acc, CASE WHEN x[1] = 1 THEN x[2] + 1 ELSE greatest(x[3], acc[len(acc)]) END), [0::BIGINT])"""
+    return S.ctes(base(**kw) + [
+        ("pr", "SELECT system, key, ri, string_split(hyp, ' ') AS ht, string_split(ref, ' ') AS rt FROM h JOIN lines USING (key)"),
+        ("mm", """SELECT system, key, ht, rt, list_transform(ht, lambda a: list_transform(rt, lambda b: CASE WHEN a = b THEN 1::BIGINT ELSE 0 END)) AS ms
+                  FROM pr"""),
+        ("lc", f"""SELECT system, key, len(ht) AS hn, len(rt) AS rn,
+                          list_last(list_reduce(ms, lambda prev, mt: {row}, list_transform(range(len(rt) + 1), lambda i: 0::BIGINT))) AS l FROM mm"""),
+        ("pq", "SELECT system, key, max(l / hn) AS p, max(l / rn) AS r FROM lc GROUP BY system, key")],
+        "SELECT system, key, round(CASE WHEN p <> 0 AND r <> 0 THEN (1 + 1.2 ** 2) * p * r / (r + 1.2 ** 2 * p) ELSE 0.0 END, 6) AS rouge_l FROM pq")
+
+
 def hyp_refs_sql(**kw) -> str:
     return S.ctes(base(**kw), "SELECT h.system, h.key, l.ri, h.hyp, l.ref FROM h JOIN lines l USING (key)")
 

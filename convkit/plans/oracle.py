@@ -147,16 +147,18 @@ oracle("human_baseline", S.ctes([("r", A["references"])], """
     WHERE len(refs) >= 2 AND strpos(refs[2], '|') > 0"""))
 
 _SHEET = ("rows", """
-    SELECT CAST(conv_id % 2 AS INTEGER) AS file_no, conv_id * 1000 + turn AS row_no,
+    SELECT CAST(2 * (conv_id % 2) AS INTEGER) AS file_no, conv_id * 2147483648 + turn AS row_no,
            CASE WHEN turn = 0 THEN 'S' ELSE '' END AS marker, text FROM conversations
     UNION ALL
-    SELECT f, r, '', 'preamble' FROM (SELECT DISTINCT CAST(conv_id % 2 AS INTEGER) AS f FROM conversations),
+    SELECT f, r, '', 'preamble' FROM (SELECT unnest([0, 1, 2]) AS f WHERE EXISTS (SELECT 1 FROM conversations)),
                                      (SELECT unnest([-2, -1]) AS r)""")
+# a file without a marker uses up an id
 _SEG = ("seg", """
     SELECT r.file_no, r.row_no, sum(CASE WHEN marker = 'S' THEN 1 ELSE 0 END)
-             OVER (ORDER BY r.file_no, r.row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS conv_id,
+             OVER (ORDER BY r.file_no, r.row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1
+             + (SELECT count(*) FROM (SELECT file_no AS e FROM rows GROUP BY file_no HAVING max(marker) = '') WHERE e < r.file_no) AS conv_id,
            r.text, f.first
-    FROM rows r JOIN (SELECT file_no, min(row_no) AS first FROM rows WHERE marker = 'S' GROUP BY file_no) f
+    FROM rows r LEFT JOIN (SELECT file_no, min(row_no) AS first FROM rows WHERE marker = 'S' GROUP BY file_no) f
       ON f.file_no = r.file_no""")
 oracle("segment_conversations", S.ctes([_SHEET, _SEG], "SELECT file_no, row_no, conv_id, text FROM seg "
                                                         "WHERE row_no >= first"))
@@ -198,10 +200,10 @@ def _pair_key(c: str, t: str) -> str:
 oracle("multiref", S.ctes(TS.instances_ctes(**THREAD) + [
     ("data", """SELECT sid || ',' || pid || ',' || cid AS rid, replace(replace(context, '“', '"'), '”', '"') AS src,
                        replace(replace(response, '“', '"'), '”', '"') AS tgt FROM inst WHERE skip_reason IS NULL"""),
-    ("items", f"""SELECT conv_id * 1000 + turn AS line_no, 0 AS pos, '0.5' AS score, {_pair_key('conv_id', 'turn')} AS rid
+    ("items", f"""SELECT conv_id || '_' || turn AS line_no, 0 AS pos, '0.5' AS score, {_pair_key('conv_id', 'turn')} AS rid
                   FROM conversations UNION ALL
-                  SELECT conv_id * 1000 + turn, 1, '0.4', {_pair_key('conv_id', 'turn - 1')} FROM conversations UNION ALL
-                  SELECT conv_id * 1000 + turn, 2, '0.3', {_pair_key('conv_id', 'turn + 100')} FROM conversations"""),
+                  SELECT conv_id || '_' || turn, 1, '0.4', {_pair_key('conv_id', 'turn - 1')} FROM conversations UNION ALL
+                  SELECT conv_id || '_' || turn, 2, '0.3', 'none,' || {_pair_key('conv_id', 'turn')} FROM conversations"""),
     ("j", "SELECT i.*, d.src, d.tgt FROM items i LEFT JOIN data d ON d.rid = i.rid"),
     ("anchor", "SELECT line_no, src AS asrc FROM j WHERE pos = 0 AND src IS NOT NULL")], """
     SELECT j.line_no, a.asrc AS src, string_agg(j.score || '|' || j.tgt, chr(9) ORDER BY j.pos) AS refs
@@ -216,7 +218,9 @@ oracle("bleu_corpus", MS.bleu_corpus_sql(**_EV))
 oracle("bleu_sentence", MS.bleu_sentence_sql(**_EV))
 oracle("nist", MS.nist_sql(**_EV))
 oracle("cider", MS.cider_sql(**_EV))
+oracle("rouge_l", MS.rouge_l_sql(**_EV))
 oracle("system_report", MS.system_report_sql(**_EV))
+oracle("system_report_head", MS.system_report_sql(**_EV, n_lines=50))
 
 # --- features, batching, scoring --------------------------------------------------
 from convkit.plans import feature_sql as FS  # noqa: E402
@@ -252,16 +256,8 @@ oracle("bleu_sentence_mean", S.ctes(MS.base(**_EV) + MS.bleu_ctes() + [
     ("sb", "SELECT system, key, " + ", ".join(MS._bleu_expr("", digits=None)) + " FROM stats")],
     "SELECT system, " + ", ".join(f"round(avg(bleu{k}), 6) AS bleu{k}" for k in range(1, 5)) + " FROM sb GROUP BY system"))
 oracle("kth_count", S.ctes(_SENT, "SELECT cnt AS threshold FROM freq ORDER BY cnt DESC, trigram LIMIT 1 OFFSET 100"))
-oracle("ngram_entropy_head", S.ctes([("hy", A["hypotheses"]),
-                                     ("hl", "SELECT hyp FROM hy WHERE system = 'last' AND line_no < 50"),
-                                     ("ng", f"""SELECT n, array_to_string(ws[i:i + n - 1], ' ') AS ngram
-                                                FROM (SELECT {S.words('hyp')} AS ws FROM hl) c,
-                                                     (SELECT unnest([1, 2, 3, 4]) AS n) k,
-                                                     LATERAL (SELECT unnest(range(1, len(c.ws) - k.n + 2)) AS i)"""),
-                                     _NC], f"""
-    SELECT n, round(-sum(cnt / t * (ln(cnt) - ln(t))), 6) AS entropy,
-           (SELECT round(avg(len({S.words('hyp')})), 6) FROM hl) AS avg_len
-    FROM (SELECT *, sum(cnt) OVER (PARTITION BY n) AS t FROM nc) GROUP BY n"""))
+oracle("ngram_entropy_head", MS.entropy_head_sql(50))
+oracle("digest_targets", f"SELECT conv_id, turn, sha256({S.gpt_norm(S.minimal_norm('text'))}) AS hash FROM conversations")
 oracle("hyp_scan", S.ctes([("hy", A["hypotheses"])], f"""
     SELECT 'last' AS system, row_number() OVER (ORDER BY line_no) - 1 AS line_no, key, {S.minimal_norm('hyp')} AS hyp
     FROM hy WHERE system = 'last'"""))

@@ -7,7 +7,9 @@ only applied when a setting is unset, e.g. in tests.
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,50 +47,47 @@ def get_spark(app: str = "convkit", master: str | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be a shared file system path set by the
-    operator. Only when it is unset (local tests) a scratch folder is made.
+    On a cluster this must be a shared file system path set by its operator:
+    without one this raises. Only a local session (tests) gets a scratch
+    folder of its own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="convkit-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # some deployments refuse runtime core settings
-            pass
+        spark.sparkContext.setCheckpointDir(d)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss); never a local one."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediates."""
     return checkpoint_dir(spark).rstrip("/") + "/" + name
 
 
+_stages: list[str] = []
+
+
 def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: a stage boundary that is scanned once by every later consumer
     (instead of re-running the lineage per consumer) and survives executor
-    loss."""
-    import uuid
+    loss. :func:`release_stages` deletes what was written."""
     path = scratch_path(df.sparkSession, f"{tag}-{uuid.uuid4().hex[:12]}")
-    df.write.mode("overwrite").parquet(path)
-    return spread(df.sparkSession.read.parquet(path))
-
-
-def spread(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Give CPU-heavy stages at least one partition per task slot. A small
-    file comes back as one partition; a cluster-sized input already has
-    more partitions and is left alone."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
-    return df.repartition(slots, *keys) if keys else df.repartition(slots)
+    df.write.parquet(path)
+    _stages.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release_stages(spark: SparkSession) -> int:
+    """Delete every stage written so far, once nothing reads them any more;
+    returns how many there were."""
+    n = len(_stages)
+    while _stages:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stages.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return n

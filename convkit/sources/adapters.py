@@ -128,23 +128,26 @@ def state_action(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spreadsheet-like rows: marker 'S' opens a conversation; two preamble
-    rows per file come before the first marker."""
+    """Spreadsheet-like rows of three files: marker 'S' opens a conversation;
+    two preamble rows per file come before the first marker; the second file
+    has no marker at all."""
     c = table(spark, sf_dir, "conversations")
-    rows = c.select((F.col("conv_id") % 2).cast("int").alias("file_no"),
-                    (F.col("conv_id") * 1000 + F.col("turn")).alias("row_no"),
+    rows = c.select((2 * (F.col("conv_id") % 2)).cast("int").alias("file_no"),
+                    (F.col("conv_id") * F.lit(1 << 31) + F.col("turn")).alias("row_no"),
                     F.when(F.col("turn") == 0, F.lit("S")).otherwise(F.lit("")).alias("marker"),
                     F.col("text"))
-    files = rows.select("file_no").distinct()
+    files = c.select(F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("file_no")).distinct()
     pre = files.select("file_no", F.explode(F.array(F.lit(-2).cast("long"), F.lit(-1).cast("long"))).alias("row_no"),
                        F.lit("").alias("marker"), F.lit("preamble").alias("text"))
     return rows.unionByName(pre)
 
 
 def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two systems: 'last' answers with the last turn, 'first' with turn 0."""
+    """Two systems: 'last' answers with the last turn, 'first' with turn 0.
+    A conversation of one turn has no references and so no hypotheses."""
     c = table(spark, sf_dir, "conversations")
-    g = c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("last"), F.min_by("text", "turn").alias("first"))
+    g = c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("last"), F.min_by("text", "turn").alias("first"),
+                                 F.count(F.lit(1)).alias("n")).filter("n > 1")
     last = g.select(F.lit("last").alias("system"), F.col("conv_id").alias("line_no"),
                     F.col("conv_id").cast("string").alias("key"), F.col("last").alias("hyp"))
     first = g.select(F.lit("first").alias("system"), F.col("conv_id").alias("line_no"),
@@ -271,10 +274,10 @@ SQL = {
             FROM conversations) c ON c.conv_id = a.conv_id AND c.turn = a.turn + 2""",
     "hypotheses": """
       SELECT 'last' AS system, conv_id AS line_no, CAST(conv_id AS VARCHAR) AS key,
-             arg_max(text, turn) AS hyp FROM conversations GROUP BY conv_id
+             arg_max(text, turn) AS hyp FROM conversations GROUP BY conv_id HAVING count(*) > 1
       UNION ALL
       SELECT 'first', conv_id, CAST(conv_id AS VARCHAR), arg_min(text, turn)
-      FROM conversations GROUP BY conv_id""",
+      FROM conversations GROUP BY conv_id HAVING count(*) > 1""",
     "references": """
       SELECT CAST(c.conv_id AS VARCHAR) AS key,
              list(CASE WHEN turn % 5 = 4 THEN text

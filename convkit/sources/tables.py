@@ -8,15 +8,16 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 # Text-heavy tables and a key that spreads them without a hot value: when a
-# scan yields fewer partitions than task slots (one big row group), the
-# regex-heavy stages that follow would run in one task. On a cluster reading
-# many files the scan already has more partitions and nothing is added.
+# table lies in fewer files than there are task slots, its row groups would be
+# worked on in as few tasks. Only the list of files is looked at; a table of
+# many files is read as it lies. Results don't depend on it.
 SPREAD_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"],
                "events": ["event_id"], "pages": ["page_id"]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    from convkit.session import spread
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    keys = SPREAD_KEYS.get(name)
-    return spread(df, keys) if keys else df
+    slots = spark.sparkContext.defaultParallelism
+    if name in SPREAD_KEYS and len(df.inputFiles()) < slots:
+        return df.repartition(slots, *SPREAD_KEYS[name])
+    return df

@@ -59,9 +59,9 @@ def _make_update(budget: int):
             if dropped:
                 cut = dropped[-1] if cut is None else max(cut, dropped[-1])
         state.update((ts, tok, seen, cut))
-        if ts:
-            yield pd.DataFrame({"uid": [int(key[0])], "from_ts": [ts[0]], "n_kept": [len(ts)],
-                                "tokens": [sum(tok)], "seen": [seen]})
+        # without any message but empty ones, a lone EOS
+        yield pd.DataFrame({"uid": [int(key[0])], "from_ts": pd.array([ts[0] if ts else None], dtype="Int64"), "n_kept": [len(ts)],
+                            "tokens": [sum(tok) if ts else 1], "seen": [seen]})
     return update
 
 

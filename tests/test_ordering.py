@@ -18,8 +18,9 @@ def test_global_and_keyed_cumsum(spark):
     pdf = df.toPandas().sort_values(["k", "t"])
     g = O.global_cumsum(df, [F.col("k"), F.col("t")], F.col("v"), "cs").toPandas().sort_values(["k", "t"])
     assert list(g["cs"]) == list(pdf["v"].cumsum())
-    kc = O.keyed_cumsum(df, ["k"], [F.col("t")], F.col("v"), "cs").toPandas().sort_values(["k", "t"])
-    assert list(kc["cs"]) == list(pdf.groupby("k")["v"].cumsum())
+    g = O.global_cumsum(df, [F.col("k"), F.col("t")], F.col("v"), "cs", inclusive=False).toPandas().sort_values(["k", "t"])
+    assert list(g["cs"]) == list(pdf["v"].cumsum() - pdf["v"])
+    assert O.global_index(df.limit(0), [F.col("k")]).count() == 0
     ki = O.keyed_index(df, ["k"], [-F.col("t")], "i").toPandas().sort_values(["k", "t"], ascending=[True, False])
     assert list(ki["i"]) == list(pdf.sort_values(["k", "t"], ascending=[True, False]).groupby("k").cumcount())
 
@@ -50,8 +51,10 @@ def brute_history(rows, budget):
 def test_history_final_and_window(spark):
     rows = [(u, t, 1 + (u * 5 + t * 3) % 40, "" if (u + t) % 9 == 0 else "x") for u in range(4) for t in range(60)]
     rows += [(9, t, 70 if t == 5 else 3, "x") for t in range(10)]     # newest-over-budget case
+    rows += [(10, t, 1, "") for t in range(3)] + [(11, 1, 1, None)]     # nothing but empty messages
     df = spark.createDataFrame(rows, "uid long, ts long, n_tokens long, text string")
-    final, win = brute_history(rows, 64)
+    final, win = brute_history([r for r in rows if r[3] is not None], 64)
+    final |= {10: (None, 0, 1), 11: (None, 0, 1)}
     got = {r["uid"]: (r["from_ts"], r["n_kept"], r["tokens"]) for r in SC.history_final(df).collect()}
     assert got == final
     gw = {(r["uid"], r["ts"]): (r["n_kept"], r["tokens"]) for r in SC.history_window(df, block=16).collect()}

@@ -47,21 +47,42 @@ _BLOCK = 1 << 20                # tokens packed at a time (a multiple of 8)
 # --- packing ---------------------------------------------------------------
 
 def _pack(values: np.ndarray, width: int) -> bytes:
+    """Values of ``width`` bits, low bits first. Eight of them fill ``width``
+    bytes, so a column of every eighth value is shifted at a time."""
     out = []
-    shifts = np.arange(width, dtype=np.uint32)
     for i in range(0, len(values), _BLOCK):
-        bits = (values[i:i + _BLOCK, None].astype(np.uint32) >> shifts) & 1
-        out.append(np.packbits(bits.astype(np.uint8).reshape(-1), bitorder="little").tobytes())
+        part = values[i:i + _BLOCK]
+        v = np.zeros(-(-len(part) // 8) * 8, dtype=np.uint64)
+        v[:len(part)] = part
+        v = v.reshape(-1, 8)
+        packed = np.zeros((len(v), width), dtype=np.uint8)
+        for j in range(8):
+            byte, shift = j * width >> 3, j * width & 7
+            x = v[:, j] << np.uint64(shift)
+            for k in range((shift + width + 7) >> 3):
+                packed[:, byte + k] |= (x >> np.uint64(8 * k)).astype(np.uint8)
+        out.append(packed.reshape(-1)[:(len(part) * width + 7) >> 3].tobytes())
     return b"".join(out)
 
 
 def _unpack(buf, start: int, stop: int, width: int) -> np.ndarray:
-    """Values start..stop of packed ones, reading only their bytes."""
+    """Values start..stop of packed ones, reading only the bytes of their
+    groups of eight."""
     if stop <= start:
         return np.empty(0, dtype=np.uint32)
-    a, b = start * width, stop * width
-    bits = np.unpackbits(np.frombuffer(buf[a >> 3:(b + 7) >> 3], dtype=np.uint8), bitorder="little")[a & 7:(a & 7) + b - a]
-    return bits.reshape(-1, width).astype(np.uint32) @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
+    first, last = start // 8, -(-stop // 8)
+    raw = np.frombuffer(buf[first * width:last * width], dtype=np.uint8)
+    if len(raw) < (last - first) * width:
+        raw = np.concatenate([raw, np.zeros((last - first) * width - len(raw), dtype=np.uint8)])
+    raw = raw.reshape(-1, width)
+    out = np.empty((last - first, 8), dtype=np.uint32)
+    for j in range(8):
+        byte, shift = j * width >> 3, j * width & 7
+        x = raw[:, byte].astype(np.uint64)
+        for k in range(1, (shift + width + 7) >> 3):
+            x |= raw[:, byte + k].astype(np.uint64) << np.uint64(8 * k)
+        out[:, j] = (x >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+    return out.reshape(-1)[start - 8 * first:stop - 8 * first]
 
 
 def _padded(b: bytes) -> bytes:
@@ -141,10 +162,16 @@ class TokenFile:
         return out
 
     def documents(self):
-        """(doc_id, start, ids) in file order."""
-        for d in range(self.n_docs):
-            a, b = int(self.starts[d]), int(self.starts[d + 1])
-            yield (None if self.null[d] else int(self.ids[d])), a, self.tokens(a, b)
+        """(doc_id, start, ids) in file order; documents of about a million
+        tokens are read at a time."""
+        d = 0
+        while d < self.n_docs:
+            end = max(d + 1, int(np.searchsorted(self.starts, self.starts[d] + _BLOCK, side="right")) - 1)
+            base = int(self.starts[d])
+            ids, at = self.tokens(base, int(self.starts[end])), (self.starts[d:end + 1] - base).tolist()
+            for i in range(end - d):
+                yield (None if self.null[d + i] else int(self.ids[d + i])), base + at[i], ids[at[i]:at[i + 1]]
+            d = end
 
 
 # --- encoding with the tokenizers library ------------------------------------

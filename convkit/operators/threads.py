@@ -41,13 +41,14 @@ def submission_filter(subs: DataFrame, min_comments: int = 2, order: str | None
 
 
 def comment_admission(comments: DataFrame, subs: DataFrame, dep_keys: DataFrame | None = None,
-                      order: str | None = None) -> DataFrame:
+                      order: str | None = None, once: bool = True) -> DataFrame:
     """PF2 + J1: extract-stage comment filter.
 
     ``subs`` must already be filtered by :func:`submission_filter`. Adds
     ``name`` ('t1_' + id) and ``n_char`` (raw body length). Of repeated
-    comments the last one that passes is kept. ``dep_keys`` (link_id,
-    comment_id) are the extract stage's keys."""
+    comments the last one that passes is kept, unless ``once`` is false (a
+    stream decides row by row; :func:`last_wins` then goes over its table).
+    ``dep_keys`` (link_id, comment_id) are the extract stage's keys."""
     c = comments.filter(F.col("id").isNotNull() & F.col("link_id").isNotNull()
                         & F.col("parent_id").isNotNull() & F.col("body").isNotNull())
     c = c.withColumn("name", F.concat(F.lit(TAG_COMMENT), F.col("id")))
@@ -58,7 +59,8 @@ def comment_admission(comments: DataFrame, subs: DataFrame, dep_keys: DataFrame
     s = subs.select("month", F.col("sid").alias("link_id"))
     c = c.join(s, ["month", "link_id"], "left_semi")
     c = c.withColumn("n_char", F.length("body")).withColumn("body", T.minimal_norm("body"))
-    return last_wins(c.filter(T.n_words("body") >= 2), ["month", "link_id", "name"], order)
+    c = c.filter(T.n_words("body") >= 2)
+    return last_wins(c, ["month", "link_id", "name"], order) if once else c
 
 
 def leaf_comments(comments: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ Sinks are ordinary DataFrame writers: task-level files, no driver gather.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
@@ -15,14 +15,10 @@ from convkit.functions import text as T
 from convkit.operators.batching import chunk_ids
 from convkit.operators.ordering import global_index
 
-SUBMISSION_SCHEMA = Ty.StructType([
-    Ty.StructField("id", Ty.StringType()), Ty.StructField("score", Ty.LongType()),
-    Ty.StructField("num_comments", Ty.LongType()), Ty.StructField("domain", Ty.StringType()),
-    Ty.StructField("permalink", Ty.StringType()), Ty.StructField("title", Ty.StringType())])
-COMMENT_SCHEMA = Ty.StructType([
-    Ty.StructField("id", Ty.StringType()), Ty.StructField("author", Ty.StringType()),
-    Ty.StructField("parent_id", Ty.StringType()), Ty.StructField("link_id", Ty.StringType()),
-    Ty.StructField("score", Ty.LongType()), Ty.StructField("body", Ty.StringType())])
+# Every field is read as text: a dump types its fields loosely, and a value of
+# another type must not cost the row.
+SUBMISSION_FIELDS = ["id", "score", "num_comments", "domain", "permalink", "title"]
+COMMENT_FIELDS = ["id", "author", "parent_id", "link_id", "score", "body"]
 MONTH_FROM_NAME = r"R[CS]_(\d{4}-\d{2})"
 
 
@@ -34,39 +30,71 @@ def _with_month(df: DataFrame, month: str | None) -> DataFrame:
     return df.withColumn("month", F.regexp_extract(F.input_file_name(), MONTH_FROM_NAME, 1))
 
 
-def _schema(base: Ty.StructType, partitioned: bool) -> Ty.StructType:
-    # a month=YYYY-MM folder layout: declare the partition column as text
-    return Ty.StructType(base.fields + [Ty.StructField("month", Ty.StringType())]) if partitioned else base
+def _lines(spark: SparkSession, path: str, fields: list[str], numbers: list[str], month: str | None, partitioned: bool) -> DataFrame:
+    """JSON lines with the given fields; ``line_no`` orders the lines of a
+    file, ``rejected`` marks lines without JSON."""
+    schema = Ty.StructType([Ty.StructField(f, Ty.StringType()) for f in [*fields, "_bad"]])
+    r = spark.read
+    if partitioned:                     # a month=YYYY-MM folder layout: the partition column is text
+        r = r.schema("value string, month string")
+    t = r.text(path)
+    kept = ["month"] if "month" in t.columns else []
+    x = t.select(*kept, F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("j"),
+                 _line_order().alias("line_no"))
+    cols = [F.col(f"j.{f}").try_cast("long").alias(f) if f in numbers else F.col(f"j.{f}").alias(f) for f in fields]
+    return _with_month(x.select(*cols, *kept, "line_no", (F.col("j").isNull() | F.col("j._bad").isNotNull()).alias("rejected")), month)
+
+
+def _line_order() -> Column:
+    """Orders the lines of text files: by file, place of the split in it, line of the split."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("line"))
+
+
+def _keyed(df: DataFrame, required: list[str]) -> Column:
+    ok = ~F.col("rejected")
+    for f in required:
+        ok = ok & F.col(f).isNotNull()
+    return ok
+
+
+SUBMISSION_KEYS = ["id", "num_comments", "title"]
+COMMENT_KEYS = ["id", "link_id", "parent_id", "body"]
 
 
 def read_submissions(spark: SparkSession, path: str, month: str | None = None,
                      partitioned: bool = False) -> DataFrame:
-    """IO1: JSON-lines submission dump; malformed lines and rows without a
-    key field are dropped; NULL score is kept."""
-    df = spark.read.schema(_schema(SUBMISSION_SCHEMA, partitioned)).option("mode", "DROPMALFORMED").json(path)
-    df = df.filter(F.col("id").isNotNull() & F.col("num_comments").isNotNull() & F.col("title").isNotNull()
-                   & F.col("permalink").isNotNull() & F.col("domain").isNotNull())
-    return _with_month(df, month)
+    """IO1: JSON-lines submission dump. Lines that are no JSON and rows
+    without a key field are left out (:func:`rejects` counts them); a score
+    that is no number, a missing domain or permalink are NULL and cost
+    nothing. ``line_no`` orders the lines, for :func:`threads.last_wins`."""
+    df = _lines(spark, path, SUBMISSION_FIELDS, ["score", "num_comments"], month, partitioned)
+    return df.filter(_keyed(df, SUBMISSION_KEYS)).drop("rejected")
 
 
 def read_comments(spark: SparkSession, path: str, month: str | None = None, partitioned: bool = False) -> DataFrame:
     """IO2: JSON-lines comment dump (same rules)."""
-    df = spark.read.schema(_schema(COMMENT_SCHEMA, partitioned)).option("mode", "DROPMALFORMED").json(path)
-    df = df.filter(F.col("id").isNotNull() & F.col("link_id").isNotNull()
-                   & F.col("parent_id").isNotNull() & F.col("body").isNotNull())
-    return _with_month(df, month)
+    df = _lines(spark, path, COMMENT_FIELDS, ["score"], month, partitioned)
+    return df.filter(_keyed(df, COMMENT_KEYS)).drop("rejected")
+
+
+def rejects(spark: SparkSession, path: str, kind: str, partitioned: bool = False) -> DataFrame:
+    """Lines that a dump scan leaves out, by reason: one row of ``malformed``,
+    ``keyless`` and ``kept`` counts. ``kind``: comments or submissions."""
+    fields, keys, numbers = ((COMMENT_FIELDS, COMMENT_KEYS, ["score"]) if kind == "comments" else
+                             (SUBMISSION_FIELDS, SUBMISSION_KEYS, ["score", "num_comments"]))
+    df = _lines(spark, path, fields, numbers, None, partitioned)
+    ok = _keyed(df, keys)
+    return df.agg(F.count_if("rejected").alias("malformed"), F.count_if(~F.col("rejected") & ~ok).alias("keyless"), F.count_if(ok).alias("kept"))
 
 
-def write_extract(df: DataFrame, path: str, bucket_by: str | None = None, buckets: int = 0,
-                  table_name: str | None = None) -> None:
-    """IO3: extract stage output, partitioned by month. With ``bucket_by``
-    (e.g. link_id) and a table name it is saved bucketed so later joins on
-    that key reuse the layout instead of shuffling."""
+def write_extract(df: DataFrame, path: str, split_size: int | None = None) -> None:
+    """IO3: extract stage output, partitioned by month; with ``split_size``
+    in files of at most so many rows."""
     w = df.write.mode("overwrite").partitionBy("month")
-    if bucket_by and table_name:
-        w.bucketBy(buckets, bucket_by).sortBy(bucket_by).option("path", path).saveAsTable(table_name)
-    else:
-        w.parquet(path)
+    if split_size:
+        w = w.option("maxRecordsPerFile", split_size)
+    w.parquet(path)
 
 
 def read_extract(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -105,47 +133,74 @@ def write_pairs(df: DataFrame, path: str, training_projection: bool = False, can
 
 
 def read_pairs(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """IO7: header-less TSV with CSV quoting rules (doubled quotes)."""
-    schema = Ty.StructType([Ty.StructField(n, Ty.StringType()) for n in names])
-    return (spark.read.schema(schema).option("sep", "\t").option("quote", '"').option("escape", '"')
-                 .option("mode", "DROPMALFORMED").csv(path))
+    """IO7: header-less TSV with CSV quoting rules (doubled quotes, quoted
+    cells over several lines). A row with fewer cells has NULLs at its end; a
+    row with more ends the job, since its cells can't be told apart."""
+    schema = Ty.StructType([Ty.StructField(n, Ty.StringType()) for n in names] + [Ty.StructField("_more", Ty.StringType())])
+    df = (spark.read.schema(schema).option("sep", "\t").option("quote", '"').option("escape", '"')
+               .option("multiLine", True).option("mode", "PERMISSIVE").csv(path))
+    extra = F.raise_error(F.concat(F.lit("a row has more cells than named: "), F.coalesce(names[0], F.lit(""))))
+    return df.withColumn(names[0], F.when(F.col("_more").isNotNull(), extra.cast("string")).otherwise(F.col(names[0]))).drop("_more")
 
 
 def read_refs(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """IO8: 'key TAB ref TAB ref ...' restricted to a key list; the last
-    line of a duplicated key wins (file order)."""
-    t = spark.read.text(path).withColumn("_ord", F.monotonically_increasing_id())
+    line of a duplicated key wins (files by name, lines as they stand)."""
+    t = spark.read.text(path).withColumn("_ord", _line_order())
     c = F.split("value", "\t")
     r = t.select(F.get(c, 0).alias("key"), F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))).alias("refs"), "_ord")
     r = r.join(keys.select("key").distinct(), "key", "left_semi")
     return r.groupBy("key").agg(F.max_by("refs", "_ord").alias("refs"))
 
 
-def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line) of a text file; zipWithIndex keeps file order across
-    partitions without moving lines to one task."""
-    rdd = spark.sparkContext.textFile(path).zipWithIndex().map(lambda x: (x[1], x[0]))
-    return spark.createDataFrame(rdd, "line_no long, line string")
+def read_test_ids(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """J8 input: test-id lines 'score,id TAB score,id ...', each item split at
+    its first comma only; with ``header`` the first line of every file is
+    left out. One row per item: line_no, pos, score, rid."""
+    t = spark.read.text(path).withColumn("_ord", _line_order())
+    if header:
+        w = Window.partitionBy("_ord.file").orderBy("_ord")
+        t = t.withColumn("_r", F.row_number().over(w)).filter("_r > 1").drop("_r")
+    t = t.filter(F.trim("value") != "")
+    x = global_index(t, [F.col("_ord.file"), F.col("_ord.block"), F.col("_ord.line")], "line_no")
+    x = x.select("line_no", F.posexplode(F.split("value", "\t")).alias("pos", "item"))
+    return x.select("line_no", "pos", F.substring_index("item", ",", 1).alias("score"),
+                    F.expr("substr(item, instr(item, ',') + 1)").alias("rid"))
+
+
+def _numbered_lines(spark: SparkSession, path: str, keep: Column | None = None) -> DataFrame:
+    """(line_no, line) of text files in the order of their names and lines."""
+    t = spark.read.text(path).withColumnRenamed("value", "line").withColumn("_ord", _line_order())
+    if keep is not None:
+        t = t.filter(keep)
+    return global_index(t, [F.col("_ord.file"), F.col("_ord.block"), F.col("_ord.line")], "line_no").drop("_ord")
 
 
 def read_hypotheses(spark: SparkSession, hyp_path: str, keys_path: str, system: str) -> DataFrame:
     """IO9: line-aligned hypotheses and key list; lines starting 'Val' and
-    empty lines are dropped from the hypothesis file first."""
-    h = _numbered_lines(spark, hyp_path).filter(~F.col("line").startswith("Val") & (F.col("line") != ""))
-    h = global_index(h.withColumnRenamed("line_no", "_raw"), [F.col("_raw")], "line_no").drop("_raw")
+    empty lines are dropped from the hypothesis file first. Files of
+    different lengths end the job."""
+    h = _numbered_lines(spark, hyp_path, ~F.col("line").startswith("Val") & (F.col("line") != "")).withColumn("_h", F.lit(True))
     k = _numbered_lines(spark, keys_path).select("line_no", F.trim("line").alias("key"))
-    return h.join(k, "line_no").select(F.lit(system).alias("system"), "line_no", "key", F.col("line").alias("hyp"))
+    j = h.join(k, "line_no", "full")
+    short = F.raise_error(F.concat(F.lit("hypotheses and keys differ in length at line "), F.col("line_no").cast("string"))).cast("string")
+    return j.select(F.lit(system).alias("system"), "line_no", F.when(F.col("_h").isNull() | F.col("key").isNull(), short).otherwise(F.col("key")).alias("key"),
+                    F.col("line").alias("hyp"))
 
 
 def write_features(df: DataFrame, path: str, order: list, chunk_size: int = 65536) -> DataFrame:
-    """IO10: feature rows with chunk_id (row position // chunk_size),
-    partitioned by chunk, plus a one-row metadata JSON sidecar."""
+    """IO10: feature rows with chunk_id (row position // chunk_size), ordered
+    by chunk in part files, plus a one-row metadata JSON sidecar that is
+    counted from what was written."""
+    spark = df.sparkSession
     c = chunk_ids(df, order, chunk_size)
-    c.write.mode("overwrite").partitionBy("chunk_id").parquet(path + "/chunks")
-    meta = c.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("chunk_id").alias("n_chunks")).withColumn(
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    c.repartitionByRange(n, "chunk_id").sortWithinPartitions("chunk_id").write.mode("overwrite").parquet(path + "/chunks")
+    back = spark.read.schema(c.schema).parquet(path + "/chunks")
+    meta = back.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("chunk_id").alias("n_chunks")).withColumn(
         "chunk_size", F.lit(chunk_size))
-    meta.write.mode("overwrite").json(path + "/meta")
-    return c
+    meta.coalesce(1).write.mode("overwrite").json(path + "/meta")
+    return back
 
 
 def write_report(df: DataFrame, path: str, order_by: list[str] | None = None) -> None:

@@ -14,7 +14,7 @@ from convkit.sources import adapters as AD
 
 def admitted_stream(conversations_stream: DataFrame, subs: DataFrame) -> DataFrame:
     c = AD.comments_from(conversations_stream)
-    return TH.comment_admission(c, TH.submission_filter(subs))
+    return TH.comment_admission(c, TH.submission_filter(subs), once=False)
 
 
 def quality_stream(documents_stream: DataFrame) -> DataFrame:

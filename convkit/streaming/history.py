@@ -36,8 +36,11 @@ def _trim(ts: list, tok: list, budget: int) -> tuple[list, list]:
     return ts[len(ts) - keep:], tok[len(tok) - keep:]
 
 
-def _make_update(budget: int):
+def _make_update(budget: int, timeout_ms: int | None):
     def update(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:           # a user who has been silent for so long starts anew
+            state.remove()
+            return
         if state.exists:
             ts, tok, seen, cut = state.get
             ts, tok = list(ts), list(tok)
@@ -59,17 +62,20 @@ def _make_update(budget: int):
             if dropped:
                 cut = dropped[-1] if cut is None else max(cut, dropped[-1])
         state.update((ts, tok, seen, cut))
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
         # without any message but empty ones, a lone EOS
         yield pd.DataFrame({"uid": [int(key[0])], "from_ts": pd.array([ts[0] if ts else None], dtype="Int64"), "n_kept": [len(ts)],
                             "tokens": [sum(tok) if ts else 1], "seen": [seen]})
     return update
 
 
-def history_updates(msgs: DataFrame, budget: int = HISTORY_BUDGET) -> DataFrame:
-    """Streaming (or batch) frame of (uid, ts, n_tokens, text) -> updates."""
-    return (msgs.groupBy("uid")
-                .applyInPandasWithState(_make_update(budget), OUT_SCHEMA, STATE_SCHEMA, "update",
-                                        GroupStateTimeout.NoTimeout))
+def history_updates(msgs: DataFrame, budget: int = HISTORY_BUDGET, timeout_ms: int | None = None) -> DataFrame:
+    """Streaming (or batch) frame of (uid, ts, n_tokens, text) -> updates.
+    With ``timeout_ms`` the state of a user who sends nothing for that long
+    (processing time) is dropped; without, it stays, as in the original."""
+    kind = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
+    return msgs.groupBy("uid").applyInPandasWithState(_make_update(budget, timeout_ms), OUT_SCHEMA, STATE_SCHEMA, "update", kind)
 
 
 def latest(updates: DataFrame) -> DataFrame:

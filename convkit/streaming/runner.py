@@ -1,9 +1,9 @@
 """Run a streaming query to completion into a table in the shared folder.
 
-The sink is Parquet under ``spark.checkpoint.dir`` written by
-``foreachBatch`` (each micro-batch tagged with its id), and the stream's
-own checkpoint lives next to it, so a restarted job resumes where it
-stopped. Nothing is gathered on the driver.
+Every micro-batch is one folder of the table, named by its id and
+overwritten if the batch runs again, and the stream's own checkpoint lies
+beside it. With a fixed ``path`` a restarted job therefore resumes where it
+stopped, without losing or repeating a row. Nothing is gathered on the driver.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from convkit.session import scratch_path
 
@@ -25,18 +24,20 @@ def stream_source(spark: SparkSession, sf_dir: str, name: str, max_files: int |
     return r.parquet(sf_dir)
 
 
-def run_to_table(df: DataFrame, output_mode: str = "append", tag: str = "stream") -> DataFrame:
+def run_to_table(df: DataFrame, output_mode: str = "append", tag: str = "stream", path: str | None = None) -> DataFrame:
+    """What the stream has written so far, with the batch id as ``_batch``.
+    ``path`` is the job's folder; without one the job gets a new folder and
+    can't be resumed."""
     spark = df.sparkSession
-    base = scratch_path(spark, f"{tag}-{uuid.uuid4().hex[:12]}")
+    base = path or scratch_path(spark, f"{tag}-{uuid.uuid4().hex[:12]}")
     out, ckpt = base + "/out", base + "/checkpoint"
+    # a table without batches is empty, not absent
+    spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{out}/_batch=-1")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
 
     q = (df.writeStream.outputMode(output_mode).option("checkpointLocation", ckpt)
            .foreachBatch(write).trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        return spark.read.parquet(out)
-    except Exception:  # no batch produced any row
-        return spark.createDataFrame([], df.schema.add("_batch", "long"))
+    return spark.read.schema(df.schema.add("_batch", "long") if "_batch" not in df.schema.names else df.schema).option("basePath", out).parquet(out)

@@ -63,4 +63,17 @@ def test_turn_projections(spark):
     s = "t array<string>"
     rows = [(["a", "b", "c", "d"],), (["a"],)]
     assert ev(spark, FE.two_turn("t"), rows, s) == [["c", "d"], ["a"]]
-    assert ev(spark, FE.prompt_prefix("t"), rows, s) == [["a", "b", "c"], ["a"]]
+    # the last turn is never part of the prompt
+    rows = [(list("abcd"),), (list("abc"),), (list("ab"),), (["a"],), ([],), (list("abcdef"),)]
+    assert ev(spark, FE.prompt_prefix("t"), rows, s) == [list("abc"), list("ab"), ["a"], [], [], list("abc")]
+
+
+def test_encode_and_concat_candidates(spark):
+    vocab = spark.createDataFrame([(1, "a"), (2, "b")], "rank long, word string")
+    df = spark.createDataFrame([(1, 0, "a b a"), (1, 1, "zz a"), (1, 2, " "), (2, 0, "b")], "c long, t long, text string")
+    e = FE.encode_texts(df, ["c", "t"], "text", vocab)
+    assert {(r["c"], r["t"]): r["ids"] for r in e.collect()} == {(1, 0): [3, 4, 3], (1, 1): [1, 3], (1, 2): [], (2, 0): [4]}
+    ctx = e.filter("t = 0").selectExpr("c", "ids as context_ids")
+    cand = e.filter("t > 0").selectExpr("c", "t", "ids as candidate_ids")
+    got = {(r["c"], r["t"]): r["input_ids"] for r in FE.concat_candidates(ctx, cand, ["c"]).collect()}
+    assert got == {(1, 1): [3, 4, 3, FE.EOS_ID, 1, 3], (1, 2): [3, 4, 3, FE.EOS_ID]}

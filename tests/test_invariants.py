@@ -102,3 +102,49 @@ def test_trigram_counts_match_survey_probe(spark):
     for sf, exp in [(SF001, (6289, 6247)), (SF01, (45763, 44777))]:
         c3 = NS.ngram_counts(table(spark, sf, "conversations"), "text", 3).filter("n = 3")
         assert tuple(c3.agg(F.sum("cnt"), F.count(F.lit(1))).first()) == exp
+
+
+def test_conversation_of_many_turns_keeps_ids(spark):
+    from convkit.operators import corpus as CO
+    rows = [(c, t, f"w{t % 7}") for c in (1, 2) for t in range(1500 if c == 1 else 3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    u = CO.unroll_turns(df, ["text"])
+    assert u.count() == u.select("conv_id", "turn").distinct().count() == 1499 + 2
+    last = u.filter("conv_id = 1 and turn = 1499").select(F.size("turns").alias("n")).first()
+    assert last["n"] == 1500
+
+
+def test_file_without_marker_uses_up_an_id(spark):
+    from convkit.operators import corpus as CO
+    rows = [(0, 0, "", "preamble"), (0, 1, "S", "a"), (0, 2, "", "b"), (0, 3, "S", "c"), (1, 0, "", "no marker"), (2, 0, "S", "d")]
+    df = spark.createDataFrame(rows, "file_no int, row_no long, marker string, text string")
+    got = {r["text"]: r["conv_id"] for r in CO.segment_conversations(df).collect()}
+    assert got == {"a": 0, "b": 0, "c": 1, "d": 3}
+
+
+def test_bland_rank_must_exist(spark):
+    import pytest
+
+    from convkit.operators import corpus as CO
+    sa = spark.createDataFrame([(1, 0, "1.0 a b c d", "1.0 a b c", "1.0 x")], "conv_id long, turn long, source string, target string, next_state string")
+    # a b c occurs twice, the count at rank 1 is 1: only the target consists of frequent trigrams
+    assert sorted(r["tag"] for r in CO.bland_tag(sa, bland_top=1).collect()) == ["", "", "bland"]
+    with pytest.raises(Exception, match="rank"):
+        CO.bland_tag(sa, bland_top=5).collect()
+    with pytest.raises(Exception, match="fewer than 6"):
+        CO.kth_count(CO.trigram_freq(sa), 5).collect()
+
+
+def test_emotions_with_bad_or_missing_shares(spark):
+    from convkit.operators import corpus as CO
+    rows = [('{"predict_emotion":[{"description":"HAPPINESS","percentage":"50%"}]}',), ('{"predict_emotion":[{"description":"ANGER","percentage":"x"}]}',)]
+    got = [r["reward"] for r in CO.emotion_reward(spark.createDataFrame(rows, "json string")).collect()]
+    assert got == [0.5, 0.0]
+
+
+def test_draws_do_not_depend_on_partitions(spark):
+    from convkit.operators import batching as BA
+    df = spark.createDataFrame([(0, f"r{i}", float(1 + i % 3)) for i in range(30)], "chunk long, id string, w double")
+    ns = spark.createDataFrame([(0, 40)], "chunk long, num_samples long")
+    a, b = (sorted(map(tuple, BA.weighted_sample(df.repartition(n), "chunk", "id", "w", ns).collect())) for n in (1, 7))
+    assert a == b and len(a) == 40

@@ -98,3 +98,78 @@ def test_feature_sink_chunks_and_metadata(spark):
     got = {r["chunk_id"]: r["count"] for r in back.groupBy("chunk_id").count().collect()}
     assert got == {0: 100, 1: 100, 2: 50}
     assert back.filter((F.col("row_id") / 100).cast("int") != F.col("chunk_id")).count() == 0
+
+
+def test_loose_types_and_counted_rejects(spark):
+    d = tempfile.mkdtemp(prefix="convkit-io-")
+    write(f"{d}/RS_2024-05.json",
+          '{"id": "a", "score": "7", "num_comments": 3, "domain": null, "title": "T"}\n'
+          '{"id": "b", "score": {"x": 1}, "num_comments": "2", "permalink": "/r/x/", "title": "T"}\n'
+          '{"id": "c", "score": 1}\n'
+          '{"id": broken\n')
+    rows = {r["id"]: (r["score"], r["num_comments"], r["domain"]) for r in IO.read_submissions(spark, f"{d}/RS_*.json").collect()}
+    assert rows == {"a": (7, 3, None), "b": (None, 2, None)}
+    # the verdict doesn't depend on the columns that are selected
+    assert IO.read_submissions(spark, f"{d}/RS_*.json").select("id").count() == 2
+    assert tuple(IO.rejects(spark, f"{d}/RS_*.json", "submissions").first()) == (1, 1, 2)
+
+
+def test_repeated_dump_lines(spark):
+    from convkit.operators import threads as TH
+    d = tempfile.mkdtemp(prefix="convkit-io-")
+    write(f"{d}/RS_2024-05.json", '{"id": "a", "num_comments": 3, "title": "first"}\n' + '{"id": "z", "num_comments": 9, "title": "z"}\n' * 50
+          + '{"id": "a", "num_comments": 3, "title": "last"}\n')
+    s = TH.submission_filter(IO.read_submissions(spark, f"{d}/RS_*.json"), order="line_no")
+    assert {r["id"]: r["title"] for r in s.collect()} == {"a": "last", "z": "z"}
+
+
+def test_lines_of_several_files(spark):
+    """Files of very different sizes: order by name and line, not by size."""
+    d = tempfile.mkdtemp(prefix="convkit-io-")
+    write(f"{d}/refs/part-0", "k\told\n")
+    write(f"{d}/refs/part-1", "".join(f"q{i}\tx\n" for i in range(3000)) + "k\tnew\n" + "k\tnewest\n")
+    keys = spark.createDataFrame([("k",)], "key string")
+    assert [r["refs"] for r in IO.read_refs(spark, f"{d}/refs", keys).collect()] == [["newest"]]
+    write(f"{d}/hyp/part-0", "h0\n")
+    write(f"{d}/hyp/part-1", "Val x\n" + "".join(f"h{i}\n" for i in range(1, 3000)))
+    write(f"{d}/keys.txt", "".join(f"k{i}\n" for i in range(3000)))
+    got = IO.read_hypotheses(spark, f"{d}/hyp", f"{d}/keys.txt", "s").collect()
+    assert len(got) == 3000 and all(r["hyp"][1:] == r["key"][1:] == str(r["line_no"]) for r in got)
+    write(f"{d}/short.txt", "k0\nk1\n")
+    import pytest
+    with pytest.raises(Exception, match="differ in length"):
+        IO.read_hypotheses(spark, f"{d}/hyp", f"{d}/short.txt", "s").collect()
+
+
+def test_pairs_with_line_breaks_and_short_rows(spark):
+    import pytest
+    d = tempfile.mkdtemp(prefix="convkit-io-")
+    write(f"{d}/p.tsv", 'k1\t"two\nlines"\tr1\nk2\tc2\nk3\tc3\tr3\n')
+    got = {r["keys"]: (r["context"], r["response"]) for r in IO.read_pairs(spark, f"{d}/p.tsv", ["keys", "context", "response"]).collect()}
+    assert got == {"k1": ("two\nlines", "r1"), "k2": ("c2", None), "k3": ("c3", "r3")}
+    write(f"{d}/q.tsv", "a\tb\tc\td\n")
+    with pytest.raises(Exception, match="more cells"):
+        IO.read_pairs(spark, f"{d}/q.tsv", ["keys", "context", "response"]).collect()
+
+
+def test_test_ids_and_multiref(spark):
+    from convkit.operators import corpus as CO
+    d = tempfile.mkdtemp(prefix="convkit-io-")
+    write(f"{d}/ids.txt", "score,keys\n0.5,t3_a,t1_b,t1_c\t0.4,t3_a,t1_b,t1_d\t0.3,gone\n0.9,gone\t0.8,t3_a,t1_b,t1_c\n0.7,t3_a,t1_b,t1_c\t0.6,t3_z,x,y\n")
+    t = IO.read_test_ids(spark, f"{d}/ids.txt")
+    assert [(r["line_no"], r["pos"], r["score"], r["rid"]) for r in t.orderBy("line_no", "pos").collect()][:2] == [
+        (0, 0, "0.5", "t3_a,t1_b,t1_c"), (0, 1, "0.4", "t3_a,t1_b,t1_d")]
+    assert IO.read_test_ids(spark, f"{d}/ids.txt", header=False).filter("line_no = 0").first()["rid"] == "keys"
+    data = spark.createDataFrame([("t3_a,t1_b,t1_c", "src", "old", 0), ("t3_a,t1_b,t1_c", "src", "“new”", 1), ("t3_a,t1_b,t1_d", "src", "two", 2),
+                                  ("t3_z,x,y", "other", "no", 3)], "keys string, src string, tgt string, data_line int")
+    got = {r["line_no"]: (r["src"], r["refs"]) for r in CO.multiref(t, data).collect()}
+    # the first reference anchors the source: line 1 has none, line 2's second one has another source
+    assert got == {0: ("src", '0.5|"new"\t0.4|two'), 2: ("src", '0.7|"new"')}
+
+
+def test_extract_in_files_of_bounded_size(spark):
+    d = tempfile.mkdtemp(prefix="convkit-io-")
+    df = spark.range(100).selectExpr("id", "'2024-01' as month").coalesce(1)
+    IO.write_extract(df, f"{d}/x", split_size=30)
+    assert len([f for f in os.listdir(f"{d}/x/month=2024-01") if f.startswith("part-")]) == 4
+    assert IO.read_extract(spark, f"{d}/x").count() == 100

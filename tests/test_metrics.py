@@ -14,15 +14,14 @@ REFS = {"k1": ["the cat is on the mat", "there is a cat on the mat"],
         "k3": ["hello world", "hello there world"]}
 
 
-def frames(spark):
+def texts(spark):
     h = spark.createDataFrame(HYPS, "system string, key string, hyp string")
-    lines = spark.createDataFrame([(k, i, r) for k, rs in REFS.items() for i, r in enumerate(rs)],
-                                  "key string, ri int, ref string")
-    return h, lines
+    r = spark.createDataFrame(list(REFS.items()), "key string, refs array<string>")
+    return ME.hyp_refs(h, r, n_refs=2)
 
 
 def prep(spark):
-    return ME.prepare(*frames(spark))
+    return ME.ngram_table(texts(spark))
 
 
 def grams(ws, n):
@@ -115,7 +114,7 @@ def py_cider(system, sigma=6.0):
 
 @pytest.mark.parametrize("system", ["s", "t"])
 def test_bleu_matches_bruteforce(spark, system):
-    got = {r["system"]: r for r in ME.bleu_corpus(ME.bleu_stats(prep(spark))).collect()}[system]
+    got = {r["system"]: r for r in ME.bleu_corpus(prep(spark)).collect()}[system]
     exp = py_bleu(system)
     for n in range(4):
         assert got[f"bleu{n + 1}"] == pytest.approx(exp[n], rel=1e-9, abs=1e-12)
@@ -123,13 +122,13 @@ def test_bleu_matches_bruteforce(spark, system):
 
 def test_bleu_identity_is_one(spark):
     h = spark.createDataFrame([("s", "k", "a b c d e f")], "system string, key string, hyp string")
-    lines = spark.createDataFrame([("k", 0, "a b c d e f")], "key string, ri int, ref string")
-    r = ME.bleu_corpus(ME.bleu_stats(ME.prepare(h, lines))).collect()[0]
+    refs = spark.createDataFrame([("k", ["a b c d e f"])], "key string, refs array<string>")
+    r = ME.bleu_corpus(ME.ngram_table(ME.hyp_refs(h, refs, n_refs=1))).collect()[0]
     assert r["bleu4"] == pytest.approx(1.0, abs=1e-6)
 
 
 def test_rouge_matches_bruteforce(spark):
-    got = {(r["system"], r["key"]): r["rouge_l"] for r in ME.rouge_l(prep(spark)).collect()}
+    got = {(r["system"], r["key"]): r["rouge_l"] for r in ME.rouge_l(texts(spark)).collect()}
     for s, k, hyp in HYPS:
         assert got[(s, k)] == pytest.approx(py_rouge(hyp, REFS[k]), abs=1e-12)
 
@@ -144,12 +143,44 @@ def test_cider_matches_bruteforce(spark, system):
 def test_hyp_refs_cycle_and_vshuman(spark):
     hy = spark.createDataFrame([("s", "k", "x")], "system string, key string, hyp string")
     rf = spark.createDataFrame([("k", ["1|r0", "2|r1|tail", "r2"])], "key string, refs array<string>")
-    _, lines = ME.hyp_refs(hy, rf, n_refs=6, vshuman=1)
-    got = [r["ref"] for r in lines.orderBy("ri").collect()]
+    t = ME.hyp_refs(hy, rf, n_refs=6, vshuman=1)
+    got = [r["text"] for r in t.filter("system is null").orderBy("ri").collect()]
     # i % 3, index 1 skipped to 2; text between first and second '|'
     assert got == ["r0", "r2", "r2", "r0", "r2", "r2"]
 
 
+def test_hypothesis_without_references_ends_the_job(spark):
+    hy = spark.createDataFrame([("s", "k", "x"), ("s", "q", "y")], "system string, key string, hyp string")
+    rf = spark.createDataFrame([("k", ["a"])], "key string, refs array<string>")
+    with pytest.raises(Exception, match="no references for key q"):
+        ME.hyp_refs(hy, rf).collect()
+
+
+def test_first_lines_in_key_order(spark):
+    hy = spark.createDataFrame([(s, k, k) for s in "ab" for k in ("k3", "k1", "k2", "k10")], "system string, key string, hyp string")
+    rf = spark.createDataFrame([(k, ["a"]) for k in ("k1", "k2", "k3", "k10")], "key string, refs array<string>")
+    got = ME.hyp_refs(hy, rf, n_lines=2).filter("system is not null").collect()
+    assert sorted((r["system"], r["key"]) for r in got) == [("a", "k1"), ("a", "k10"), ("b", "k1"), ("b", "k10")]
+    assert {r["n_lines"] for r in ME.system_report(ME.ngram_table(ME.hyp_refs(hy, rf, n_lines=3))).collect()} == {3}
+
+
+def test_lcs_of_batches():
+    import random
+
+    from convkit.functions.ngrams import _lcs
+    rng = random.Random(1)
+    a = [[rng.choice("abc") for _ in range(rng.randrange(12))] for _ in range(200)]
+    b = [[rng.choice("abc") for _ in range(rng.randrange(9))] for _ in range(200)]
+
+    def lcs(x, y):
+        t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x)):
+            for j in range(len(y)):
+                t[i + 1][j + 1] = t[i][j] + 1 if x[i] == y[j] else max(t[i][j + 1], t[i + 1][j])
+        return t[-1][-1]
+    assert _lcs(a, b).tolist() == [lcs(x, y) for x, y in zip(a, b)] and _lcs([], []).tolist() == []
+
+
 def test_distinct_and_entropy_invariants(spark):
     from convkit.operators import ngram_stats as NS
     df = spark.createDataFrame([("a b a b",), ("c",), ("",)], "text string")

@@ -52,3 +52,46 @@ def test_trim_rule():
     assert ts == [4] and tok == [70]                     # newest kept even over budget
     ts, tok = SH._trim([1, 2, 3], [10, 30, 34], 64)
     assert ts == [2, 3]                                  # exact fit 64
+
+
+def test_restarted_stream_loses_and_repeats_nothing(spark, tmp_path):
+    """A second run on the same folder reads only what is new; a batch that runs again replaces itself."""
+    src, job = str(tmp_path / "src"), str(tmp_path / "job")
+    schema = "id long, v string"
+
+    def put(n, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/part{n}")
+
+    def run():
+        s = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(src)
+        return run_to_table(s, "append", path=job)
+    put(0, [(i, "a") for i in range(10)])
+    assert run().count() == 10
+    put(1, [(i, "b") for i in range(10, 25)])
+    assert sorted(r["id"] for r in run().collect()) == list(range(25))
+    assert run().count() == 25
+    # the last batch is replayed: its commit is missing, its folder is there
+    commits = tmp_path / "job" / "checkpoint" / "commits"
+    last = max(int(p.name) for p in commits.iterdir() if p.name.isdigit())
+    for p in commits.iterdir():
+        if p.name.strip(".").split(".")[0] == str(last):
+            p.unlink()
+    assert sorted(r["id"] for r in run().collect()) == list(range(25))
+
+
+def test_stream_without_rows(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    s = spark.readStream.schema("id long").parquet(str(tmp_path / "src"))
+    assert run_to_table(s, path=str(tmp_path / "job")).count() == 0
+
+
+def test_silent_user_starts_anew():
+    update = SH._make_update(64, 1000)
+
+    class State:
+        exists, hasTimedOut, removed = True, True, False
+
+        def remove(self):
+            self.removed = True
+    s = State()
+    assert list(update((1,), iter([]), s)) == [] and s.removed

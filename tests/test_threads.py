@@ -85,6 +85,64 @@ def test_discard_hash_sets_weight_zero(spark):
     assert p["t1_c4"][0] == "1.0 two two EOS 0.0 three three"
 
 
+def test_last_of_repeated_rows_wins(spark):
+    """Three repeated comments and a repeated submission: still three pairs, with the last texts."""
+    rows = [(*r, n) for n, r in enumerate(thread())]
+    again = [("c1", "u", "t3_a", "t3_a", 1, "new one", "2024-01", 10), ("c2", "u", "t1_c1", "t3_a", 1, "new two", "2024-01", 11),
+             ("c2", "u", "t1_c1", "t3_a", 1, "newest two", "2024-01", 12), ("c3", "u", "t1_c2", "t3_a", 1, "[deleted]", "2024-01", 13)]
+    subs = [(*SUBS[0], 1), (*SUBS[1], 2), ("a", 1, 5, "x.com", "/r/Sub/comments/", "Later title", "2024-01", 3)]
+    out = TH.thread_pairs(spark.createDataFrame(again + rows, C_SCHEMA + ", line_no int"),
+                          spark.createDataFrame(subs, SUB_SCHEMA + ", line_no int"), order="line_no", max_len=5, max_depth=4, min_depth=2,
+                          min_score=0, use_title=True, clean=False)
+    got = {r["cid"]: (r["context"], r["response"]) for r in out.collect()}
+    title = "title : Later title"
+    assert got == {"t1_c1": (title, "new one"), "t1_c2": (f"{title} EOS new one", "newest two"),
+                   "t1_c3": (f"{title} EOS new one EOS newest two", "three three"),
+                   "t1_c4": (f"{title} EOS new one EOS newest two EOS three three", "four four")}
+    # without an order the rows decide, the same way each time
+    once = pairs(spark, thread() + thread())
+    assert once == pairs(spark, thread())
+
+
+def test_keys_of_one_stage_only(spark):
+    k = spark.createDataFrame([("t3_a", "t1_c4", "keep")], "link_id string, comment_id string, kind string")
+    assert set(pairs(spark, thread(), keep_keys=k)) == {"t1_c4"}
+    dep = spark.createDataFrame([("t3_a", "t1_c4"), ("t3_a", "t1_c3")], "link_id string, comment_id string")
+    assert pairs(spark, thread(), keep_keys=k, dep_keys=dep)["t1_c4"][0] == "three three"
+
+
+def test_block_words_as_table_and_pattern_agree(spark):
+    from convkit.operators import quality as Q
+    phrases = ["jump in the lake", "c++", "the, and", "Straße", "!!", "# a comment", "a.b"]
+    texts = ["go jump in the lake now", "JUMP IN THE LAKE", "jump in the lakes", "we use c++ here", "c plus", "the, and more", "the and more",
+             "auf der strasse", "auf der STRAßE", "stop !!", "stop!!", "a.b", "axb", "", None, "in the lake jump"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, body string")
+    table = spark.createDataFrame([(p,) for p in phrases], "entry string")
+    got = {r["k"]: r["blocked"] for r in Q.blockword_hits(df, "k", "body", table).collect()}
+    rx = Q.blockword_regex(phrases)
+    want = {r["k"]: bool(r["m"]) for r in df.select("k", F.col("body").rlike(rx).alias("m")).collect()}
+    assert got == want
+    assert [k for k, v in sorted(got.items()) if v] == [0, 1, 3, 5, 8, 9, 11]
+
+
+def test_block_words_in_the_extraction(spark):
+    table = spark.createDataFrame([("four four",), ("three",)], "entry string")
+    p = pairs(spark, thread(), clean=True, block_words=table)
+    assert "t1_c4" not in p and "t1_c3" not in p and "t1_c2" in p
+    p = pairs(spark, thread(), leaves_only=True, clean=True, block_words=table)
+    assert p["t1_c4"] == ("1.0 two two EOS 0.0 three three", "0.0 four four")
+
+
+def test_total_counts_what_was_extracted(spark):
+    subs = TH.submission_filter(spark.createDataFrame(SUBS, SUB_SCHEMA))
+    c = TH.comment_admission(comments(spark, thread()), subs)
+    inst = TH.conv_instances(c, subs, max_len=5, max_depth=3, use_title=False, leaves_only=True)
+    got = {r["shard"]: (r["selected"], r["total"], r["avg_len"]) for r in TH.conv_stats(inst, c).collect()}
+    assert got == {"0": (1, 4, 2.0), "all": (1, 4, None)}
+    none = TH.conv_instances(c, subs, max_len=5, max_depth=3, use_title=False, min_score=9)
+    assert {r["shard"]: (r["selected"], r["avg_len"]) for r in TH.conv_stats(none, c).collect()} == {"0": (0, None), "all": (0, None)}
+
+
 def test_score_and_reason_audit(spark):
     rows = thread()
     rows[3] = ("c4", "u", "t1_c3", "t3_a", None, "four four", "2024-01")   # NULL score counts as 0

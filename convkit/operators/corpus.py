@@ -148,6 +148,22 @@ def emotion_reward(df: DataFrame, json_col: str = "json") -> DataFrame:
     return df.withColumn("reward", r)
 
 
+def refined_rows(sa: DataFrame, emotions: DataFrame, bland_top: int = BLAND_TOP, ratio: float = BLAND_RATIO) -> DataFrame:
+    """The refinement flow: state/action rows -> tags (A6) -> weight 0.0 on
+    tagged sentences, 1.0 on the others -> reward of the next state (A13).
+
+    ``emotions`` (conv_id, turn, json) is the classifier's answer for the next
+    state of each row. Output (conv_id, turn, source, target, next_state, reward)."""
+    key = ["conv_id", "turn"]
+    s = _sentences(sa).select(*key, "pos", "sentence").join(bland_tag(sa, bland_top, ratio), [*key, "pos"])
+    w = F.concat(F.when(F.col("tag") == "", F.lit("1.0 ")).otherwise(F.lit("0.0 ")), F.col("sentence"))
+    g = s.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", w.alias("w")))).alias("_s"))     # a row's sentences
+    t = F.transform("_s", lambda x: x["w"])
+    out = g.select(*key, T.join_turns(F.slice(t, 1, F.size("_s") - 2)).alias("source"), F.element_at(t, -2).alias("target"),
+                   F.element_at(t, -1).alias("next_state"))
+    return out.join(emotion_reward(emotions).select(*key, "reward"), key)
+
+
 def emotion_code_table(spark) -> DataFrame:
     """J12 lookup table (7 rows, fixed)."""
     return spark.createDataFrame([(k, v) for k, v in EMOTION_CODES.items()], "code int, label string")

@@ -63,6 +63,13 @@ def corpus_ppl(tl: DataFrame, keys=()) -> DataFrame:
                                   F.exp(F.avg(F.col("_s") / F.col("_n"))).alias("ppl"))
 
 
+def checkpoint_eval(values: DataFrame, losses: DataFrame) -> DataFrame:
+    """Per checkpoint step, macro F1 and MAE of the value predictions
+    (step, pred, truth) beside loss and perplexity of the token losses (step,
+    batch_id, seq_id, loss, label); a step may lack either half."""
+    return macro_f1(values, keys=["step"]).join(corpus_ppl(losses, keys=["step"]), "step", "full")
+
+
 def checkpoint_step(name_col) -> Column:
     """Integer step from a checkpoint file name."""
     return F.regexp_extract(F.col(name_col), r"step-(\d+)", 1).cast("long")

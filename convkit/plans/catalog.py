@@ -619,6 +619,23 @@ def q_checkpoint_eval(spark, sf):
     return m.select("step", F.round("macro_f1", 6).alias("macro_f1"), F.round("mae", 6).alias("mae"))
 
 
+@query("checkpoint_report")
+def q_checkpoint_report(spark, sf):
+    """Both halves per checkpoint: F1 and MAE, loss and perplexity."""
+    step = lambda c: F.concat(F.lit("GP2-pretrain-step-"), (c * 1000).cast("string"), F.lit(".pkl"))
+    v = AD.value_predictions(spark, sf).withColumn("ckpt", step(F.col("step"))).withColumn("step", SC.checkpoint_step("ckpt"))
+    t = AD.token_losses(spark, sf).withColumn("ckpt", step(F.col("batch_id") % 5)).withColumn("step", SC.checkpoint_step("ckpt"))
+    r = SC.checkpoint_eval(v, t)
+    return r.select("step", *[F.round(c, 6).alias(c) for c in ("macro_f1", "mae", "loss", "ppl")])
+
+
+@query("refined_rows")
+def q_refined_rows(spark, sf):
+    """Refinement flow end to end: tags, weights and rewards of state/action rows."""
+    r = CO.refined_rows(AD.state_action(spark, sf), AD.next_state_emotions(spark, sf), bland_top=100)
+    return r.select("conv_id", "turn", "source", "target", "next_state", F.round("reward", 6).alias("reward"))
+
+
 @query("history_final")
 def q_history_final(spark, sf):
     return SC.history_final(AD.history_messages(spark, sf))

@@ -207,6 +207,13 @@ def sqls() -> dict[str, str]:
             "SELECT CAST(regexp_extract('GP2-pretrain-step-' || CAST(step * 1000 AS VARCHAR) || '.pkl', 'step-(\\d+)', 1) "
             f"AS BIGINT) AS step, pred, truth FROM ({A['value_predictions']})", "step"),
             "SELECT step, round(macro_f1, 6) AS macro_f1, round(mae, 6) AS mae FROM f1"),
+        "checkpoint_report": S.ctes(_f1_ctes(
+            "SELECT CAST(step * 1000 AS BIGINT) AS step, pred, truth FROM (" + A['value_predictions'] + ")", "step") + [
+            ("tl", f"SELECT (batch_id % 5) * 1000 AS step, batch_id, seq_id, loss, label FROM ({A['token_losses']})"),
+            ("sq", "SELECT step, batch_id, seq_id, sum(loss) AS s, count(*) AS n FROM tl WHERE label <> -1 GROUP BY ALL"),
+            ("lp", "SELECT step, round(sum(s) / sum(n), 6) AS loss, round(exp(avg(s / n)), 6) AS ppl FROM sq GROUP BY step")],
+            "SELECT coalesce(f1.step, lp.step) AS step, round(macro_f1, 6) AS macro_f1, round(mae, 6) AS mae, loss, ppl "
+            "FROM f1 FULL JOIN lp ON f1.step = lp.step"),
         "corpus_ppl": S.ctes([("t", A["token_losses"]),
                               ("sq", "SELECT batch_id, seq_id, sum(loss) AS s, count(*) AS n FROM t WHERE label <> -1 GROUP BY ALL")],
                              "SELECT round(sum(s) / sum(n), 6) AS loss, round(exp(avg(s / n)), 6) AS ppl FROM sq"),

@@ -123,14 +123,16 @@ _SENT = [("sa", A["state_action"]),
                           LATERAL (SELECT unnest(range(1, len(c.ws) - 1)) AS i)"""),
          ("freq", "SELECT trigram, count(*) AS cnt FROM tri GROUP BY trigram")]
 oracle("trigram_freq", S.ctes(_SENT, "SELECT trigram, cnt FROM freq"))
-oracle("bland_tag", S.ctes(_SENT + [
-    ("thr", "SELECT cnt AS threshold FROM freq ORDER BY cnt DESC, trigram LIMIT 1 OFFSET 100"),
-    ("sc", """SELECT t.conv_id, t.turn, t.pos, count(*) AS n, sum(CASE WHEN f.cnt > h.threshold THEN 1 ELSE 0 END) AS hi
-              FROM tri t JOIN freq f ON f.trigram = t.trigram, thr h GROUP BY ALL""")], """
+ORACLE_BLAND = """
     SELECT s.conv_id, s.turn, s.pos,
            CASE WHEN CAST(s.flag AS INTEGER) = 0 THEN 'bad'
                 WHEN coalesce(c.n, 0) > 0 AND c.hi >= 0.9 * c.n THEN 'bland' ELSE '' END AS tag
-    FROM sent s LEFT JOIN sc c ON c.conv_id = s.conv_id AND c.turn = s.turn AND c.pos = s.pos"""))
+    FROM sent s LEFT JOIN (
+      SELECT t.conv_id, t.turn, t.pos, count(*) AS n, sum(CASE WHEN f.cnt > h.threshold THEN 1 ELSE 0 END) AS hi
+      FROM tri t JOIN freq f ON f.trigram = t.trigram,
+           (SELECT cnt AS threshold FROM freq ORDER BY cnt DESC, trigram LIMIT 1 OFFSET 100) h GROUP BY ALL) c
+      ON c.conv_id = s.conv_id AND c.turn = s.turn AND c.pos = s.pos"""
+oracle("bland_tag", S.ctes(_SENT, ORACLE_BLAND))
 
 _UNROLL = """SELECT conv_id, turn, array_to_string(ctx, ' EOS ') AS context, text AS response FROM (
     SELECT conv_id, turn, text, list(text) OVER (PARTITION BY conv_id ORDER BY turn
@@ -258,6 +260,13 @@ oracle("bleu_sentence_mean", S.ctes(MS.base(**_EV) + MS.bleu_ctes() + [
 oracle("kth_count", S.ctes(_SENT, "SELECT cnt AS threshold FROM freq ORDER BY cnt DESC, trigram LIMIT 1 OFFSET 100"))
 oracle("ngram_entropy_head", MS.entropy_head_sql(50))
 oracle("digest_targets", f"SELECT conv_id, turn, sha256({S.gpt_norm(S.minimal_norm('text'))}) AS hash FROM conversations")
+_next = " + ".join(f"{_W[e]} * ((conv_id * {i + 1} + turn * 7) % 100) / 100.0" for i, e in enumerate(_EMO))
+oracle("refined_rows", S.ctes(_SENT + [("tags", ORACLE_BLAND), ("ws", """
+    SELECT s.conv_id, s.turn, list(CASE WHEN t.tag = '' THEN '1.0 ' ELSE '0.0 ' END || s.sentence ORDER BY s.pos) AS w
+    FROM sent s JOIN tags t USING (conv_id, turn, pos) GROUP BY s.conv_id, s.turn""")], f"""
+    SELECT w.conv_id, w.turn, array_to_string(w.w[1:len(w.w) - 2], ' EOS ') AS source, w.w[len(w.w) - 1] AS target, w.w[len(w.w)] AS next_state, r.reward
+    FROM ws w JOIN (SELECT conv_id, turn - 2 AS turn, round(CAST({_next} AS DOUBLE), 6) + 0.0 AS reward FROM conversations WHERE turn >= 2) r
+      ON r.conv_id = w.conv_id AND r.turn = w.turn"""))
 oracle("hyp_scan", S.ctes([("hy", A["hypotheses"])], f"""
     SELECT 'last' AS system, row_number() OVER (ORDER BY line_no) - 1 AS line_no, key, {S.minimal_norm('hyp')} AS hyp
     FROM hy WHERE system = 'last'"""))

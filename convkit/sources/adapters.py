@@ -185,6 +185,16 @@ def emotions_json(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.to_json(F.struct(arr.alias("predict_emotion"))).alias("json"))
 
 
+def next_state_emotions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classifier-style output for the next state (turn t + 2) of every
+    state/action row (conv_id, t)."""
+    c = table(spark, sf_dir, "conversations").filter("turn >= 2")
+    items = [F.struct(F.lit(name).alias("description"),
+                      F.concat(((F.col("conv_id") * (i + 1) + F.col("turn") * 7) % 100).cast("string"), F.lit("%")).alias("percentage"))
+             for i, name in enumerate(EMOTIONS)]
+    return c.select("conv_id", (F.col("turn") - 2).alias("turn"), F.to_json(F.struct(F.array(*items).alias("predict_emotion"))).alias("json"))
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("context_id"), F.col("event_id").alias("cand_id"),

@@ -8,7 +8,8 @@ reference lines of that key; both lists are short (systems; ``n_refs``).
 Corpus statistics (document frequencies, NIST information) are counted with
 partial aggregation, so a word of every segment is one row per task; where
 they go back to the segments, the join is one that Spark can split by skew.
-Nothing is cached or collected.
+Nothing is cached or collected; the corpus counts, which several sums read,
+are written once.
 
 BLEU, ROUGE-L and CIDEr follow their papers with the smoothing constants of
 the common caption-evaluation implementation; NIST follows the published
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from convkit.functions import text as T
 from convkit.functions.ngrams import lcs_len, tagged_ngrams
+from convkit.session import materialize
 
 # Fixed constants of the metrics.
 BLEU_TINY = 1e-15
@@ -132,20 +134,22 @@ def _corpus_counts(grams: DataFrame) -> DataFrame:
 
 def _nist_sums(counts: DataFrame) -> DataFrame:
     """Per system: number and information of its n-grams, by n; also the sums
-    of the entropy and diversity statistics."""
+    of the entropy and diversity statistics. Information is looked up for
+    matched n-grams only."""
     rc = counts.filter(F.col("system").isNull() & (F.col("c") > 0)).select("n", "g", F.col("c").alias("rc"))
     total = rc.filter(F.col("n") == 1).agg(F.sum("rc")).scalar()     # scalar subquery
+    own = counts.filter(F.col("system").isNotNull())
+    at = lambda k, v: F.when(F.col("n") == k, v)
+    sums = own.groupBy("system").agg(*[a for k in range(1, MAX_N + 1) for a in (
+        F.sum(at(k, F.col("c"))).alias(f"_t{k}"), F.sum(at(k, F.col("c") * F.log("c"))).alias(f"_e{k}"),
+        F.count(at(k, F.lit(1))).alias(f"_d{k}"))])
     # information weight: log2(count(prefix) / count(ngram)); prefix of a unigram = all words
+    m = own.filter(F.col("m") > 0).join(rc, ["n", "g"])
     pref = rc.select((F.col("n") + 1).alias("n"), F.col("g").alias("_pg"), F.col("rc").alias("_pc"))
-    info = (rc.withColumn("_pg", F.when(F.col("n") > 1, F.regexp_replace("g", " [^ ]+$", "")))
-              .join(pref, ["n", "_pg"], "left")
-              .select("n", "g", F.log2(F.coalesce(F.col("_pc"), total) / F.col("rc")).alias("info")))
-    x = counts.filter(F.col("system").isNotNull()).join(info, ["n", "g"], "left")
-    at = lambda k, v: F.when(F.col("n") == k, v)
-    return x.groupBy("system").agg(*[
-        a for k in range(1, MAX_N + 1) for a in (
-            F.sum(at(k, F.col("c"))).alias(f"_t{k}"), F.sum(at(k, F.col("m") * F.coalesce("info", F.lit(0.0)))).alias(f"_i{k}"),
-            F.sum(at(k, F.col("c") * F.log("c"))).alias(f"_e{k}"), F.count(at(k, F.lit(1))).alias(f"_d{k}"))])
+    m = m.withColumn("_pg", F.when(F.col("n") > 1, F.regexp_replace("g", " [^ ]+$", ""))).join(pref, ["n", "_pg"], "left")
+    info = F.col("m") * F.log2(F.coalesce(F.col("_pc"), total) / F.col("rc"))
+    inf = m.groupBy("system").agg(*[F.sum(at(k, info)).alias(f"_i{k}") for k in range(1, MAX_N + 1)])
+    return sums.join(inf, "system", "left").na.fill(0.0, [f"_i{k}" for k in range(1, MAX_N + 1)])
 
 
 def _nist_cols() -> list[Column]:
@@ -164,7 +168,7 @@ def _lengths(grams: DataFrame, *more: Column) -> DataFrame:
 
 def nist(grams: DataFrame) -> DataFrame:
     """Cumulative NIST-1..4 per system."""
-    return _nist_sums(_corpus_counts(grams)).join(_lengths(grams), "system").select("system", *_nist_cols())
+    return _nist_sums(materialize(_corpus_counts(grams), "corpus-counts")).join(_lengths(grams), "system").select("system", *_nist_cols())
 
 
 def rouge_l(texts: DataFrame, beta: float = ROUGE_BETA) -> DataFrame:
@@ -225,7 +229,7 @@ def system_report(grams: DataFrame) -> DataFrame:
     """One row per system: n_lines, nist1-4, bleu1-4, meteor (NULL: the
     external scorer is not rebuilt), entropy1-4, div1, div2, avg_len."""
     per = _lengths(grams, F.count(F.lit(1)).alias("n_lines"), *_bleu(F.sum), F.avg("testlen").alias("avg_len"))
-    j = _nist_sums(_corpus_counts(grams)).join(per, "system")
+    j = _nist_sums(materialize(_corpus_counts(grams), "corpus-counts")).join(per, "system")
     ent = [(F.log(f"_t{k}") - F.col(f"_e{k}") / F.col(f"_t{k}")).alias(f"entropy{k}") for k in range(1, MAX_N + 1)]
     div = [(F.col(f"_d{k}") / F.col(f"_t{k}")).alias(f"div{k}") for k in (1, 2)]
     return j.select("system", "n_lines", *_nist_cols(), *[f"bleu{k}" for k in range(1, MAX_N + 1)], F.lit(None).cast("double").alias("meteor"),

@@ -250,7 +250,7 @@ def q_trigram_freq(spark, sf):
 
 @query("bland_tag")
 def q_bland_tag(spark, sf):
-    return CO.bland_tag(AD.state_action(spark, sf), bland_top=100)
+    return CO.bland_tag(MAT(AD.state_action(spark, sf), "state-action"), bland_top=100)
 
 
 @query("unroll_context")
@@ -364,7 +364,8 @@ def _texts(spark, sf, **kw):
 
 
 def _grams(spark, sf, **kw):
-    return ME.ngram_table(_texts(spark, sf, **kw))
+    """The n-gram table, written once for the several sums over it."""
+    return MAT(ME.ngram_table(_texts(spark, sf, **kw)), "ngrams")
 
 
 @query("hyp_refs")
@@ -632,7 +633,7 @@ def q_checkpoint_report(spark, sf):
 @query("refined_rows")
 def q_refined_rows(spark, sf):
     """Refinement flow end to end: tags, weights and rewards of state/action rows."""
-    r = CO.refined_rows(AD.state_action(spark, sf), AD.next_state_emotions(spark, sf), bland_top=100)
+    r = CO.refined_rows(MAT(AD.state_action(spark, sf), "state-action"), AD.next_state_emotions(spark, sf), bland_top=100)
     return r.select("conv_id", "turn", "source", "target", "next_state", F.round("reward", 6).alias("reward"))
 
 

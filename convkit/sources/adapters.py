@@ -148,25 +148,20 @@ def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     g = c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("last"), F.min_by("text", "turn").alias("first"),
                                  F.count(F.lit(1)).alias("n")).filter("n > 1")
-    last = g.select(F.lit("last").alias("system"), F.col("conv_id").alias("line_no"),
-                    F.col("conv_id").cast("string").alias("key"), F.col("last").alias("hyp"))
-    first = g.select(F.lit("first").alias("system"), F.col("conv_id").alias("line_no"),
-                     F.col("conv_id").cast("string").alias("key"), F.col("first").alias("hyp"))
-    return last.unionByName(first)
+    system = lambda name: F.struct(F.lit(name).alias("system"), F.col(name).alias("hyp"))
+    return (g.select("conv_id", F.explode(F.array(system("last"), system("first"))).alias("s"))
+             .select("s.system", F.col("conv_id").alias("line_no"), F.col("conv_id").cast("string").alias("key"), "s.hyp"))
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key -> the other turns (all but the last), in turn order, each as
     'score|text' with score = turn % 3 (every fifth turn carries no score)."""
     c = table(spark, sf_dir, "conversations")
-    mx = c.groupBy("conv_id").agg(F.max("turn").alias("mx"))
-    r = c.join(mx, "conv_id").filter(F.col("turn") < F.col("mx"))
     item = F.when(F.col("turn") % 5 == 4, F.col("text")).otherwise(
         F.concat((F.col("turn") % 3).cast("string"), F.lit("|"), F.col("text")))
-    return (r.groupBy("conv_id")
-             .agg(F.sort_array(F.collect_list(F.struct("turn", item.alias("ref")))).alias("rs"))
-             .select(F.col("conv_id").cast("string").alias("key"),
-                     F.transform("rs", lambda s: s["ref"]).alias("refs")))
+    g = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", item.alias("ref")))).alias("rs")).filter(F.size("rs") > 1)
+    return g.select(F.col("conv_id").cast("string").alias("key"),
+                    F.transform(F.slice("rs", 1, F.size("rs") - 1), lambda s: s["ref"]).alias("refs"))
 
 
 def emotions_json(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,33 +117,43 @@ class PieceCache:
     """Distinct pieces of a worker, by hash, with the ids of each in one flat array.
 
     ``encode`` gets the list of new pieces and returns their ids, flat, and
-    the count of each. The cache starts anew beyond ``limit`` pieces or ids,
-    which bounds its memory; results don't depend on it.
+    the count of each. Beyond ``limit`` pieces (or four times as many ids)
+    only those met again since the last time are kept, half of the limit at
+    most, which bounds the memory; results don't depend on it.
     """
 
-    def __init__(self, encode, limit: int = 500_000):
+    def __init__(self, encode, limit: int = 350_000):
         self.encode, self.limit = encode, limit
-        self.reset()
-
-    def reset(self):
         self.index: dict[int, int] = {}
-        self.ids = np.empty(0, dtype=np.int64)
+        self.hash = np.empty(0, dtype=np.uint64)
+        self.again = np.empty(0, dtype=bool)
+        self.ids = np.empty(0, dtype=np.int32)
         self.begin = np.zeros(1, dtype=np.int64)
-        self.rest: list = []
+
+    def _shrink(self):
+        kept = np.flatnonzero(self.again)
+        size = np.diff(self.begin)[kept]
+        kept = kept[(np.cumsum(size) <= 2 * self.limit) & (np.arange(len(kept)) < self.limit // 2)]
+        self.ids, off = self.gather(kept)
+        self.begin, self.hash = off, self.hash[kept]
+        self.again = np.zeros(len(kept), dtype=bool)
+        self.index = dict(zip(self.hash.tolist(), range(len(kept))))
 
     def lookup(self, texts: list[str], pattern: str = PATTERN) -> tuple[np.ndarray, np.ndarray]:
-        """Per piece its number in the cache, and the row offsets in pieces."""
+        """Per piece its number in the cache, and the row offsets in pieces.
+        The numbers hold until the next call."""
         joined, bounds, rows, h = spans(texts, pattern)
         if len(self.index) > self.limit or len(self.ids) > 4 * self.limit:
-            self.reset()
+            self._shrink()
         order = np.argsort(h)
         sorted_h = h[order]
         new = np.ones(len(h), dtype=bool)
         new[1:] = sorted_h[1:] != sorted_h[:-1]
         first = np.flatnonzero(new)
-        distinct, example = sorted_h[first].tolist(), order[first]
-        got = [self.index.get(x, -1) for x in distinct]
-        number = np.array(got, dtype=np.int64)
+        distinct, example = sorted_h[first], order[first]
+        get = self.index.get
+        number = np.array([get(x, -1) for x in distinct.tolist()], dtype=np.int64)
+        self.again[number[number >= 0]] = True
         miss = np.flatnonzero(number < 0)
         if len(miss):
             at = example[miss]
@@ -151,9 +161,13 @@ class PieceCache:
             flat, count = self.encode(pieces)
             base = len(self.begin) - 1
             number[miss] = base + np.arange(len(miss))
-            self.index.update(zip((distinct[i] for i in miss.tolist()), range(base, base + len(miss))))
+            self.index.update(zip(distinct[miss].tolist(), range(base, base + len(miss))))
+            self.hash = np.concatenate([self.hash, distinct[miss]])
+            # a piece that is frequent at once needn't prove itself
+            often = np.diff(np.append(first, len(h)))[miss] > 1
+            self.again = np.concatenate([self.again, often])
             self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(count)])
-            self.ids = np.concatenate([self.ids, flat])
+            self.ids = np.concatenate([self.ids, flat.astype(np.int32)])
         per_piece = np.empty(len(h), dtype=np.int64)
         per_piece[order] = number[np.cumsum(new) - 1] if len(h) else number
         return per_piece, rows

@@ -30,7 +30,16 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = "4m"
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table. Texts go to Python in Arrow batches of a few MB from here on
+    (Spark's default of 64 MB is held several times over in each task); a
+    session that has set a size of its own keeps it."""
+    if spark.conf.get(ARROW_BYTES) == "67108864b":
+        spark.conf.set(ARROW_BYTES, BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

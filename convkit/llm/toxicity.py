@@ -152,30 +152,41 @@ def _fit_logistic(row, col, n, n_col, dense, y, use, steps=(120, 160), l1=3e-3):
     return w, b, v
 
 
+def _strongest(df: np.ndarray, df1: np.ndarray, n: int, n1: float, most: int) -> np.ndarray:
+    """Features of MIN_ROWS rows or more with the highest z-scores of their log
+    odds; df and df1 count all rows and toxic rows."""
+    seen = np.flatnonzero(df >= MIN_ROWS)
+    a, b = df1[seen] + 0.5, df[seen] - df1[seen] + 0.5
+    c, d = n1 - df1[seen] + 0.5, (n - n1) - (df[seen] - df1[seen]) + 0.5
+    z = np.abs(np.log(a * d / (b * c))) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    return seen[np.argsort(-z, kind="stable")[:most]]
+
+
 def fit_chain(texts: list[str | None], toxic: np.ndarray, max_features: int = MAX_FEATURES) -> Chain:
     """Train the chain on a bounded sample."""
     n = len(texts)
     toxic = np.asarray(toxic, dtype=float).reshape(-1)
-    parts, base = [], 0
-    for i in range(0, n, 256):      # a block of rows at a time
-        r, k = _distinct(*row_features(pa.array(texts[i:i + 256], pa.large_string())))
-        parts.append((r + i, k))
+
+    def blocks():       # (first row, rows, feature hashes) of some rows at a time
+        for i in range(0, n, 256):
+            r, k = _distinct(*row_features(pa.array(texts[i:i + 256], pa.large_string())))
+            yield r + i, k
+
+    # hashed counts first: only rows and features of promising buckets are held
+    shift = np.uint64(64 - 22)
+    in_all, in_toxic = np.zeros(1 << 22), np.zeros(1 << 22)
+    for r, k in blocks():
+        np.add.at(in_all, k >> shift, 1)
+        np.add.at(in_toxic, k >> shift, toxic[r])
+    near = np.zeros(1 << 22, dtype=bool)
+    near[_strongest(in_all, in_toxic, n, toxic.sum(), 4 * max_features)] = True
+    del in_all, in_toxic
+    parts = [(r[at], k[at]) for r, k in blocks() for at in [near[k >> shift]]]
     row = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.int64)
     key = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, np.uint64)
-    order = np.argsort(key, kind="stable")
-    row, key = row[order], key[order]
-    first = np.ones(len(key), dtype=bool)
-    first[1:] = key[1:] != key[:-1]
-    at = np.cumsum(first) - 1
-    keys = key[first]
-    df = np.bincount(at, minlength=len(keys)).astype(float)
-    df1 = np.bincount(at, toxic[row], len(keys))
-    n1, n0 = toxic.sum(), n - toxic.sum()
-    a, b = df1 + 0.5, df - df1 + 0.5
-    c, d = n1 - df1 + 0.5, n0 - (df - df1) + 0.5
-    z = np.abs(np.log(a * d / (b * c))) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    good = np.flatnonzero(df >= MIN_ROWS)
-    good = np.sort(good[np.argsort(-z[good], kind="stable")[:max_features]])
+    keys, at = np.unique(key, return_inverse=True)
+    df, df1 = np.bincount(at, minlength=len(keys)), np.bincount(at, toxic[row], len(keys))
+    good = np.sort(_strongest(df, df1, n, toxic.sum(), max_features))
     index = np.full(len(keys), -1)
     index[good] = np.arange(len(good))
     col = index[at] if len(at) else np.empty(0, np.int64)

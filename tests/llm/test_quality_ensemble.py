@@ -10,7 +10,7 @@ from llm_edge import EDGE, frame, sentence  # noqa: F401
 def test_statistics_by_hand():
     x = R.statistics(pa.array(["THE the the!\nb | c #1\nb | c #1", None, " \n "]))
     s = dict(zip(R.STATS, x[0]))
-    assert s["n_words"] == 11 and s["upper_share"] == 3 / 21 and s["bang_rate"] == 1 / 11 and s["pipe_rate"] == 2 / 11
+    assert s["n_words"] == 11 and s["upper_share"] == 3 / 20 and s["bang_rate"] == 1 / 11 and s["pipe_rate"] == 2 / 11
     assert s["symbol_rate"] == 2 / 11 and s["next_word_equal"] == 0 and s["line_repeat"] == 1 / 3
     assert s["word_variety"] == 1 - 4 / 11 and abs(s["words_per_line"] - 11 / 3) < 1e-12
     assert s["gram_repeat"] == 2 / 9

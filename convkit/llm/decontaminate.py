@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
 
-1. Every three-word gram of every benchmark item is counted over the whole
-   corpus (documents that hold it). An item's seeds are the rarest three
-   quarters of its grams, eight at least: rarity is ranked within the item, so an item
+1. Every distinct three-word gram of every benchmark text is counted over the whole
+   corpus (documents that hold it). A text's seeds are the rarest three
+   quarters of its grams, eight at least: rarity is ranked within the text, so a text
    that was copied into very many documents still has seeds.
 2. Documents meet items in a join on seed hashes. A hit carries a window of
    the document's word hashes around the seed, wide enough for the item with
@@ -19,7 +19,8 @@ are lower-cased runs of letters and digits.
 Defined results: null and empty texts and items match nothing; items of
 fewer than three words are one gram of all their words and are found where a
 document of as few words equals them; repeated documents each get their rows,
-items with equal ids are one item of several texts, also those without id; rows without doc_id are judged as well (null id); empty
+items with equal ids are one item of several texts, also those without id: each text
+is looked for by itself, repeated ones once; rows without doc_id are judged as well (null id); empty
 tables give no rows; other columns are ignored.
 """
 
@@ -45,23 +46,33 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return H.word_hashes(column, "alnum", lower=True)
 
 
-def item_grams(benchmark: DataFrame, n: int = GRAM) -> DataFrame:
-    """(item_id, gram, at, n_words, words): every gram of every item with its
-    place, and the item's word hashes (32 bits each, little-endian)."""
+def item_texts(benchmark: DataFrame) -> DataFrame:
+    """(item_id, tid, text): the benchmark's distinct rows; ``tid`` is a hash of the text."""
+    text = F.coalesce("text", F.lit(""))
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64(text).alias("tid"), text.alias("text")).distinct()
+
+
+def item_grams(texts: DataFrame, n: int = GRAM) -> DataFrame:
+    """(tid, gram, n_words, words): the distinct grams of every text, and
+    the text's word hashes (32 bits each, little-endian)."""
     def run(batches):
         for batch in batches:
             for part in H.slices(batch, "text"):
                 h, rows = _words(part.column(1))
-                g, owner, first = H.gram_hashes(h, rows, n)
+                g, owner, _ = H.gram_hashes(h, rows, n)
+                key = np.lexsort((g, owner))
+                g, owner = g[key], owner[key]
+                new = np.ones(len(g), dtype=bool)
+                new[1:] = (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])
+                g, owner = g[new], owner[new]
                 low = h.astype(np.uint32)
                 packed = [low[a:b].tobytes() for a, b in zip(rows[:-1].tolist(), rows[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0).take(pa.array(owner)), pa.array(g.view(np.int64)), pa.array((first - rows[owner]).astype(np.int32)),
+                    part.column(0).take(pa.array(owner)), pa.array(g.view(np.int64)),
                     pa.array(np.diff(rows)[owner].astype(np.int32)), pa.array([packed[o] for o in owner.tolist()], pa.binary())],
-                    names=["item_id", "gram", "at", "n_words", "words"])
+                    names=["tid", "gram", "n_words", "words"])
 
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-        run, "item_id long, gram long, at int, n_words int, words binary")
+    return texts.select("tid", "text").dropDuplicates(["tid"]).mapInArrow(run, "tid long, gram long, n_words int, words binary")
 
 
 def _member(grams: np.ndarray, g: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -112,13 +123,13 @@ def gram_documents(docs: DataFrame, grams: DataFrame, n: int = GRAM, block: int
     return None if out is None else out.groupBy("gram").agg(F.sum("c").alias("df"))
 
 
-def seeds(docs: DataFrame, benchmark: DataFrame, n: int = GRAM, block: int = BLOCK_GRAMS) -> DataFrame | None:
-    """item_grams of the rarest grams of each item; None for a benchmark without words."""
-    grams = written(item_grams(benchmark, n), "item-grams")
+def seeds(docs: DataFrame, texts: DataFrame, n: int = GRAM, block: int = BLOCK_GRAMS) -> DataFrame | None:
+    """item_grams of the rarest grams of each text; None for a benchmark without words."""
+    grams = written(item_grams(texts, n), "item-grams")
     df = gram_documents(docs, grams, n, block)
     if df is None:
         return None
-    rank = Window.partitionBy("item_id").orderBy("df", "gram", "at")      # one item's grams
+    rank = Window.partitionBy("tid").orderBy("df", "gram")      # one text's grams
     ranked = grams.join(df, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("k", F.row_number().over(rank))
     return ranked.where(F.col("k") <= F.greatest(F.lit(MIN_SEEDS), F.ceil(F.col("n_words") * SEED_SHARE))).drop("k", "df")
 
@@ -208,16 +219,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     """(doc_id, rid, item_id, similarity) of every document row and item that
     align well enough."""
     empty = docs.sparkSession.createDataFrame([], "doc_id long, rid long, item_id long, similarity double")
-    seed = seeds(docs, benchmark, n, block)
+    texts = item_texts(benchmark)
+    seed = seeds(docs, texts, n, block)
     if seed is None:
         return empty
     seed = written(seed, "seeds")
     found = written(passages(docs, seed, n, block), "passages")
-    near = (found.select("rid", "lo", F.explode("grams").alias("gram")).join(seed.select("gram", "item_id"), "gram")
-                 .select("rid", "lo", "item_id").distinct())
-    items = seed.select(F.col("item_id").alias("_item"), "n_words", "words").distinct()
-    pairs = found.select("doc_id", "rid", "lo", "window").join(near, ["rid", "lo"]).join(
-        items, F.col("item_id").eqNullSafe(F.col("_item")))
+    near = (found.select("rid", "lo", F.explode("grams").alias("gram")).join(seed.select("gram", "tid"), "gram")
+                 .select("rid", "lo", "tid").distinct())
+    items = seed.select("tid", "n_words", "words").distinct()
+    pairs = found.select("doc_id", "rid", "lo", "window").join(near, ["rid", "lo"]).join(items, "tid")
 
     def run(batches):
         for batch in batches:
@@ -227,12 +238,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
                 got = align(col["window"].to_pylist(), col["words"].to_pylist()) / (MATCH * np.maximum(col["n_words"].to_numpy(), 1))
                 ok = np.flatnonzero(got >= similarity)
                 at = pa.array(ok)
-                yield pa.RecordBatch.from_arrays([col["doc_id"].take(at), col["rid"].take(at), col["item_id"].take(at), pa.array(got[ok])],
-                                                 names=["doc_id", "rid", "item_id", "similarity"])
+                yield pa.RecordBatch.from_arrays([col["doc_id"].take(at), col["rid"].take(at), col["tid"].take(at), pa.array(got[ok])],
+                                                 names=["doc_id", "rid", "tid", "similarity"])
 
-    scored = pairs.select("doc_id", "rid", "item_id", "n_words", "window", "words").mapInArrow(
-        run, "doc_id long, rid long, item_id long, similarity double")
-    return scored.groupBy("doc_id", "rid", "item_id").agg(F.max("similarity").alias("similarity"))
+    scored = pairs.select("doc_id", "rid", "tid", "n_words", "window", "words").mapInArrow(
+        run, "doc_id long, rid long, tid long, similarity double")
+    return scored.join(texts.select("item_id", "tid"), "tid").groupBy("doc_id", "rid", "item_id").agg(F.max("similarity").alias("similarity"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

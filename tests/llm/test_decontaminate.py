@@ -73,3 +73,23 @@ def test_edge_rows(spark, frame):
     empty = bench.limit(0)
     assert D.leaks(frame(EDGE), empty).count() == 0 and D.decontaminated(frame(EDGE), empty).count() == len(EDGE)
     assert D.leaks(frame([]), bench).count() == 0
+
+
+def test_texts_of_one_id_are_sought_one_by_one(spark, frame, sentence):
+    for item in (1, None):
+        a, b = sentence(30), sentence(30)
+        bench = spark.createDataFrame([(item, a), (item, b)], "item_id long, text string")
+        assert _found(D.leaks(frame([(1, a), (2, sentence(60)), (3, b)]), bench)) == {(1, item), (3, item)}
+        assert _found(D.leaks(frame([(1, f"{sentence(9)} {a}"), (2, sentence(60))]), bench)) == {(1, item)}
+
+
+def test_repeated_benchmark_rows_and_grams(spark, frame, sentence):
+    rows = [(i, sentence(30)) for i in range(20)] + [(20, " ".join([sentence(10)] * 3))]
+    rng = random.Random(5)
+    docs = [(i, f"{sentence(20)} {_edit(rng, text, 0.2)} {sentence(20)}") for i, text in rows]
+    once = spark.createDataFrame(rows, "item_id long, text string")
+    many = spark.createDataFrame(rows * 4, "item_id long, text string")
+    got = D.leaks(frame(docs), many).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, D.leaks(frame(docs), once).collect())) and len(got) >= 18
+    grams = D.item_grams(D.item_texts(many))
+    assert grams.count() == grams.select("tid", "gram").distinct().count()

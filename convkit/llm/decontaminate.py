@@ -1,9 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman.
 
-1. Every distinct three-word gram of every benchmark text is counted over the whole
-   corpus (documents that hold it). A text's seeds are the rarest three
-   quarters of its grams, eight at least: rarity is ranked within the text, so a text
-   that was copied into very many documents still has seeds.
+1. The distinct three-word grams of every benchmark text are its seeds, all of
+   them: an edited copy may keep only grams that are common elsewhere, so a cut
+   to the rarest would lose it. Common seeds cost alignments, not results.
 2. Documents meet items in a join on seed hashes. A hit carries a window of
    the document's word hashes around the seed, wide enough for the item with
    gaps; seeds whose windows meet share one.
@@ -11,7 +10,7 @@
    gap -1). Similarity is the best score over twice the item's words; a
    document is contaminated from ``SIMILARITY`` on.
 
-Both passes over the corpus look words up in a sorted array of benchmark
+The pass over the corpus looks words up in a sorted array of benchmark
 gram hashes. The array goes to the executors in blocks of at most
 ``BLOCK_GRAMS`` hashes (32 MB); a larger benchmark takes more passes. Words
 are lower-cased runs of letters and digits.
@@ -39,7 +38,6 @@ SIMILARITY = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 SLACK = 1.5                     # window words to either side, times the item's words
 BLOCK_GRAMS = 4_000_000
-MIN_SEEDS, SEED_SHARE = 8, 0.75
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,10 +86,10 @@ def _bitmap(grams: np.ndarray) -> np.ndarray:
     return seen
 
 
-def _blocks(grams: DataFrame, block: int, most: str | None = None):
-    """Broadcast blocks of distinct sorted gram hashes, each at most about
-    ``block`` long; with ``most``, (hashes, maxima of that column)."""
-    distinct = grams.groupBy("gram").agg((F.max(most) if most else F.lit(0)).cast("int").alias("most"))
+def _blocks(grams: DataFrame, block: int, most: str):
+    """Broadcast blocks of distinct sorted gram hashes and maxima of the column
+    ``most``, each at most about ``block`` long."""
+    distinct = grams.groupBy("gram").agg(F.max(most).cast("int").alias("most"))
     total = distinct.count()
     n = -(-total // block)
     for i in range(n):
@@ -101,41 +99,14 @@ def _blocks(grams: DataFrame, block: int, most: str | None = None):
         yield grams.sparkSession.sparkContext.broadcast((hashes[order], value[order]))
 
 
-def gram_documents(docs: DataFrame, grams: DataFrame, n: int = GRAM, block: int = BLOCK_GRAMS) -> DataFrame:
-    """(gram, df): how many documents hold each benchmark gram. Counts are
-    summed per batch before they are shuffled."""
-    out = None
-    for held in _blocks(grams, block):
-        def run(batches, held=held):
-            seen = _bitmap(held.value[0])
-            for batch in batches:
-                for part in H.slices(batch, "text"):
-                    g, owner, _ = H.gram_hashes(*_words(part.column(0)), n)
-                    hit = _member(held.value[0], g, seen)
-                    key = np.lexsort((owner[hit], g[hit]))
-                    g, owner = g[hit][key], owner[hit][key]
-                    new = np.ones(len(g), dtype=bool)
-                    new[1:] = (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])
-                    values, count = np.unique(g[new], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(count)], names=["gram", "c"])
-        part = docs.select("text").mapInArrow(run, "gram long, c long")
-        out = part if out is None else out.unionByName(part)
-    return None if out is None else out.groupBy("gram").agg(F.sum("c").alias("df"))
-
-
-def seeds(docs: DataFrame, texts: DataFrame, n: int = GRAM, block: int = BLOCK_GRAMS) -> DataFrame | None:
-    """item_grams of the rarest grams of each text; None for a benchmark without words."""
-    grams = written(item_grams(texts, n), "item-grams")
-    df = gram_documents(docs, grams, n, block)
-    if df is None:
-        return None
-    rank = Window.partitionBy("tid").orderBy("df", "gram")      # one text's grams
-    ranked = grams.join(df, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("k", F.row_number().over(rank))
-    return ranked.where(F.col("k") <= F.greatest(F.lit(MIN_SEEDS), F.ceil(F.col("n_words") * SEED_SHARE))).drop("k", "df")
+def seeds(texts: DataFrame, n: int = GRAM) -> DataFrame:
+    """item_grams of all texts, written once."""
+    return written(item_grams(texts, n), "seeds")
 
 
-def passages(docs: DataFrame, seed: DataFrame, n: int = GRAM, block: int = BLOCK_GRAMS) -> DataFrame:
-    """(doc_id, rid, lo, window, grams): stretches of documents around seeds.
+def passages(docs: DataFrame, seed: DataFrame, n: int = GRAM, block: int = BLOCK_GRAMS) -> DataFrame | None:
+    """(doc_id, rid, lo, window, grams): stretches of documents around seeds;
+    None without seeds.
 
     Seeds of a document whose reaches meet share a stretch. ``window`` holds
     its 32-bit word hashes, ``lo`` is its first word, ``grams`` its distinct
@@ -220,11 +191,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     align well enough."""
     empty = docs.sparkSession.createDataFrame([], "doc_id long, rid long, item_id long, similarity double")
     texts = item_texts(benchmark)
-    seed = seeds(docs, texts, n, block)
-    if seed is None:
+    seed = seeds(texts, n)
+    found = passages(docs, seed, n, block)
+    if found is None:
         return empty
-    seed = written(seed, "seeds")
-    found = written(passages(docs, seed, n, block), "passages")
+    found = written(found, "passages")
     near = (found.select("rid", "lo", F.explode("grams").alias("gram")).join(seed.select("gram", "tid"), "gram")
                  .select("rid", "lo", "tid").distinct())
     items = seed.select("tid", "n_words", "words").distinct()

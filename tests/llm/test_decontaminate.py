@@ -93,3 +93,22 @@ def test_repeated_benchmark_rows_and_grams(spark, frame, sentence):
     assert sorted(map(tuple, got)) == sorted(map(tuple, D.leaks(frame(docs), once).collect())) and len(got) >= 18
     grams = D.item_grams(D.item_texts(many))
     assert grams.count() == grams.select("tid", "gram").distinct().count()
+
+
+def test_much_edited_copies_beside_exact_ones(spark, frame, sentence):
+    """Copies of which few grams survive, also where every gram of the item stands in other documents."""
+    import re
+    rng = random.Random(7)
+    items = [(i, sentence(30)) for i in range(24)]
+    docs, n = [], 0
+    for i, text in items:
+        few = " ".join("other" if k > 4 and k % 3 == 2 else w for k, w in enumerate(text.split()))
+        edits = [_edit(rng, text, share) for share in (0.25, 0.3, 0.35, 0.35)]
+        for d in ([few], [few, text], edits, [*edits, text])[i % 4]:
+            docs.append((n, f"{sentence(20)} {d} {sentence(20)}"))
+            n += 1
+    words = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    grams = lambda w: {tuple(w[i:i + 3]) for i in range(len(w) - 2)}
+    want = {(d, i) for d, x in docs for i, y in items
+            if grams(words(x)) & grams(words(y)) and _sw(words(x), words(y)) / (2 * len(words(y))) >= D.SIMILARITY}
+    assert _found(D.leaks(frame(docs), spark.createDataFrame(items, "item_id long, text string"))) == want and len(want) >= 50

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convkit.llm import bpe, decontaminate, licences, near_dedup, rule_ensemble, rule_ledger, token_count, token_file, toxicity, url_rules
+from convkit.llm import bpe, cut_bpe, decontaminate, licences, near_dedup, rule_ensemble, rule_ledger, token_count, token_file, toxicity, url_rules
 from convkit.llm.stages import documents, written
 from convkit.session import scratch_path
 
@@ -196,3 +196,13 @@ def op10(spark, sf):
     led = rule_ledger.ledger(documents(spark, sf))
     return led.select("doc_id", *rule_ledger.MEASURES, "failed", (~rule_ledger.kept("base")).alias("base_failed"),
                       rule_ledger.kept().alias("kept"))
+
+
+@query("op13_cut_bpe")
+def op13(spark, sf):
+    with open(_vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
+        tokenizer = f.read()
+    ids = cut_bpe.encode(documents(spark, sf).select("doc_id", "text"), tokenizer, packed=True)
+    return cut_bpe.decode(ids, tokenizer).select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convkit.llm import bpe, cut_bpe, decontaminate, licences, near_dedup, rule_ensemble, rule_ledger, token_count, token_file, toxicity, url_rules
+from convkit.llm import bpe, cut_bpe, decontaminate, licences, merkle, near_dedup, rule_ensemble, rule_ledger, token_count, token_file, toxicity, url_rules
 from convkit.llm.stages import documents, written
 from convkit.session import scratch_path
 
@@ -206,3 +206,54 @@ def op13(spark, sf):
     return cut_bpe.decode(ids, tokenizer).select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+_MERKLE_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT *, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1),
+      lambda i: [ord(substr(doc_id::VARCHAR, i, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, x: xor(xor(a, x) >> 1, CASE WHEN xor(a, x) & 1 = 1 THEN 3988292384 ELSE 0 END)) AS rest
+  FROM documents),
+f AS (
+  SELECT *, concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+    coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+  FROM c),
+l AS (
+  SELECT doc_id, coalesce('=' || source, '-') AS tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN xor(rest, 4294967295) % 5 = 0 THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) END AS changed
+  FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, changed) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM l),
+u AS (
+  SELECT tree, 0 AS level, pos, n, leaf AS digest FROM p
+  UNION ALL
+  SELECT tree, level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY tree, level, pos // 16, n),
+s AS (SELECT tree, level AS height, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM u WHERE n = 1),
+v AS (
+  SELECT 0 AS level, pos, n, digest FROM s
+  UNION ALL
+  SELECT level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM v WHERE n > 1 GROUP BY level, pos // 16, n),
+way AS (
+  SELECT p.tree, p.pos, u.level, coalesce(string_agg(u.digest, '' ORDER BY u.pos) FILTER (u.pos < p.pos >> (4 * u.level)), '') AS lft,
+    coalesce(string_agg(u.digest, '' ORDER BY u.pos) FILTER (u.pos > p.pos >> (4 * u.level)), '') AS rgt
+  FROM p JOIN u ON u.tree = p.tree AND u.n > 1 AND u.pos >> 4 = p.pos >> (4 * u.level + 4) GROUP BY ALL
+  UNION ALL
+  SELECT p.tree, p.pos, s.height + v.level, coalesce(string_agg(v.digest, '' ORDER BY v.pos) FILTER (v.pos < s.pos >> (4 * v.level)), ''),
+    coalesce(string_agg(v.digest, '' ORDER BY v.pos) FILTER (v.pos > s.pos >> (4 * v.level)), '')
+  FROM p JOIN s ON s.tree = p.tree JOIN v ON v.n > 1 AND v.pos >> 4 = s.pos >> (4 * v.level + 4) GROUP BY p.tree, p.pos, s.height, v.level),
+g AS (
+  SELECT tree, pos, 0 AS level, coalesce(changed, leaf) AS digest FROM p
+  UNION ALL
+  SELECT g.tree, g.pos, g.level + 1, sha256(lft || digest || rgt) FROM g JOIN way ON way.tree = g.tree AND way.pos = g.pos AND way.level = g.level),
+e AS (SELECT tree, pos, arg_max(digest, level) AS folded FROM g GROUP BY ALL),
+w AS (SELECT tree, pos, sha256(string_agg(lft || rgt, '' ORDER BY level)) AS proof FROM way GROUP BY ALL)
+SELECT p.doc_id, p.leaf, s.digest AS subroot, r.digest AS root, coalesce(w.proof, sha256('')) AS proof_sha256, e.folded AS folded_root,
+  e.folded = r.digest AS verified
+FROM p JOIN s ON s.tree = p.tree JOIN (SELECT digest FROM v WHERE n = 1) r ON true JOIN e ON e.tree = p.tree AND e.pos = p.pos
+LEFT JOIN w ON w.tree = p.tree AND w.pos = p.pos
+"""
+
+
+@query("op12_merkle", _MERKLE_SQL)
+def op12(spark, sf):
+    return merkle.audit(spark, sf)

@@ -43,12 +43,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convkit.llm.stages import documents, written
-from convkit.operators.ordering import global_index, keyed_index
+from convkit.operators.ordering import global_index
 
 FANOUT = 16
 HEIGHT = 3              # levels of hashing in a block: 4096 leaves at most
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 DIGEST = 32             # bytes
+SALTS = 64              # places over which a group's rows are dealt to learn its size
 
 
 # --- layout ------------------------------------------------------------------
@@ -242,7 +243,7 @@ def _above(rounds: list[DataFrame], tops: DataFrame, fanout: int, height: int) -
 
 @dataclass
 class Manifest:
-    """``leaves``: tree (group key), pos, leaf and the columns kept; ``rounds``
+    """``leaves``: tree (group key), pos, n (leaves of the group), leaf and the columns kept; ``rounds``
     and ``top``: written tables of blocks, of the groups and over their roots."""
     leaves: DataFrame
     rounds: list[DataFrame]
@@ -272,9 +273,13 @@ def manifest(docs: DataFrame, fields: list[str] = FIELDS, group: str = "source",
     rows = docs.select(group_key(F.col(group)).alias("tree"), F.col(order).alias("_order"), leaf_digest([F.col(c) for c in fields]).alias("leaf"),
                        *[c.alias(k) for k, c in keep.items()])
     # the last columns only make the order of equal rows the same in every run
-    leaves = keyed_index(rows, ["tree"], [F.col("_order"), F.col("leaf"), *[F.col(k) for k in keep]], "pos").drop("_order")
-    sizes = leaves.groupBy("tree").agg(F.count("*").alias("n"))
-    rounds = _rounds(leaves.join(sizes, "tree").select("tree", "pos", "n", F.col("leaf").alias("digest")), fanout, height)
+    placed = global_index(rows, [F.col("tree"), F.col("_order"), F.col("leaf"), *[F.col(k) for k in keep]], "_place")
+    # a group with a third of all rows meets its one row of totals in SALTS places
+    spans = placed.groupBy("tree").agg(F.min("_place").alias("_first"), F.count("*").alias("n")).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    leaves = placed.withColumn("_salt", (F.col("_place") % SALTS).cast("int")).join(spans, ["tree", "_salt"]).select(
+        "tree", (F.col("_place") - F.col("_first")).alias("pos"), "n", "leaf", *keep)
+    rounds = _rounds(leaves.select("tree", "pos", "n", F.col("leaf").alias("digest")), fanout, height)
     tops = None
     for t in rounds:
         part = t.where("last").select("tree", F.col("root").alias("digest"))

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convkit.llm import bpe, cut_bpe, decontaminate, licences, merkle, near_dedup, rule_ensemble, rule_ledger, token_count, token_file, toxicity, url_rules
+from convkit.llm import bpe, cut_bpe, decontaminate, licences, merkle, near_dedup, rule_ensemble, rule_ledger, token_count, token_file, toxicity, turn_repair, url_rules
 from convkit.llm.stages import documents, written
 from convkit.session import scratch_path
 
@@ -257,3 +257,66 @@ LEFT JOIN w ON w.tree = p.tree AND w.pos = p.pos
 @query("op12_merkle", _MERKLE_SQL)
 def op12(spark, sf):
     return merkle.audit(spark, sf)
+
+
+_REPAIR_SQL = r"""
+WITH RECURSIVE b AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')) AS k
+  FROM conversations),
+c AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(k) + 1),
+      lambda i: [ord(substr(k, i, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, x: xor(xor(a, x) >> 1, CASE WHEN xor(a, x) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295) % 20 AS d
+  FROM b),
+g AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+    CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS again
+  FROM c WHERE d <> 0),
+o AS (
+  SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, count(*) OVER (PARTITION BY conv_id) AS n,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(concat(strlen(role), ':', role, strlen(text), ':', text))) AS i
+  FROM g),
+f AS (
+  SELECT *, left(role, 1) AS init, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) AS prev,
+    NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again2,
+    NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut
+  FROM o),
+r AS (SELECT *, NOT blank AND again2 AS dup, NOT blank AND NOT again2 AND cut AS trunc FROM f),
+due(s, t, who) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+ins(s, t, n, said) AS (
+  SELECT s, s, 0, '' FROM due UNION ALL SELECT s, t, 1, who || ':' || chr(10) FROM due
+  UNION ALL SELECT x.s, y.t, 2, x.who || ':' || chr(10) || y.who || ':' || chr(10) FROM due x JOIN due y ON y.s = x.t),
+keep(init, s, t) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+w AS (
+  SELECT c, n + 1 AS i, s, ROW(3 * k, repeat('I', k), said) AS best
+  FROM (SELECT DISTINCT c, n FROM r), (VALUES (0, 0, ''), (1, 2, 'user:' || chr(10) || 'assistant:' || chr(10)), (2, 1, 'assistant:' || chr(10)), (3, 0, '')) e(s, k, said)
+  UNION ALL
+  SELECT c, i, s, min(ROW(cost, script, said)) FROM (
+    SELECT w.c, r.i, ins.s, 3 * ins.n + e.cost + w.best[1] AS cost, repeat('I', ins.n) || e.letter || w.best[2] AS script, ins.said || e.said || w.best[3] AS said
+    FROM w JOIN r ON r.c = w.c AND r.i = w.i - 1
+    JOIN LATERAL (
+      SELECT w.s AS s, 4 AS cost, 'D' AS letter, '' AS said
+      UNION ALL SELECT k.s, CASE WHEN r.trunc THEN 3 ELSE 0 END, 'K', r.role || ':' || r.text || chr(10) FROM keep k
+        WHERE k.init = r.init AND k.t = w.s AND NOT r.blank AND NOT r.dup
+      UNION ALL SELECT due.s, CASE WHEN r.trunc THEN 6 ELSE 3 END, 'R', due.who || ':' || r.text || chr(10) FROM due
+        WHERE due.t = w.s AND NOT r.blank AND NOT r.dup) e ON true
+    JOIN ins ON ins.t = e.s)
+  GROUP BY c, i, s),
+s AS (
+  SELECT c, any_value(conv_id) AS conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (dup) AS duplicate, count(*) FILTER (trunc) AS truncated,
+    count(*) FILTER (i > 1 AND concat(prev, init) NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM r GROUP BY c)
+SELECT d.conv_id, coalesce(s.gaps, 0)::BIGINT AS gaps, coalesce(s.blank, 0)::BIGINT AS blank, coalesce(s.duplicate, 0)::BIGINT AS duplicate,
+  coalesce(s.truncated, 0)::BIGINT AS truncated, coalesce(s.illegal, 0)::BIGINT AS illegal, coalesce(w.best[1], 0)::BIGINT AS cost,
+  coalesce(w.best[2], '') AS audit, sha256(coalesce(left(w.best[3], length(w.best[3]) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM d.conv_id AND s.c IS NOT NULL
+LEFT JOIN w ON w.c = s.c AND w.i = 1 AND w.s = 0
+"""
+
+
+@query("op11_turn_repair", _REPAIR_SQL)
+def op11(spark, sf):
+    return turn_repair.audit(spark, sf)

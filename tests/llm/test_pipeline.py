@@ -19,8 +19,8 @@ def test_stage_names():
 def test_registered_queries():
     import __spark_entry__ as E
     names = [n for n in E.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in E.queries()
-    assert set(E.oracle_sql()) <= set(E.queries()) and set(catalog.ORACLE) == {"op8_licences", "op9_url_rules", "op10_rule_ledger"}
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in E.queries()
+    assert set(E.oracle_sql()) <= set(E.queries()) and set(catalog.ORACLE) == {"op8_licences", "op9_url_rules", "op10_rule_ledger", "op11_turn_repair", "op12_merkle"}
 
 
 def test_stages_and_run(spark):

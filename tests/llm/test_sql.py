@@ -9,7 +9,7 @@ from llm_edge import SF001
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
     res = c.execute(catalog.ORACLE[name])
     cols = [d[0] for d in res.description]

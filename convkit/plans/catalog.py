@@ -679,6 +679,7 @@ import uuid  # noqa: E402
 
 from convkit.session import scratch_path  # noqa: E402
 from convkit.sources import files as IO  # noqa: E402
+from convkit.sources import xz as XZ  # noqa: E402
 
 
 def _scratch(spark, tag):
@@ -696,6 +697,18 @@ def q_dump_scan(spark, sf):
     return adm.select("month", "name", "n_char", "body")
 
 
+@query("dump_scan_xz")
+def q_dump_scan_xz(spark, sf):
+    """IO1, IO2 over xz dumps: month folders of files of several blocks."""
+    base = _scratch(spark, "dumps-xz")
+    for name, df in (("RC", AD.comments(spark, sf)), ("RS", AD.submissions(spark, sf))):
+        body = F.to_json(F.struct(*[c for c in df.columns if c != "month"]))
+        XZ.write_lines(df.select("month", body.alias("value")), f"{base}/{name}", block_bytes=1 << 16)
+    c = IO.read_comments(spark, base + "/RC", partitioned=True)
+    s = IO.read_submissions(spark, base + "/RS", partitioned=True)
+    return TH.comment_admission(c, TH.submission_filter(s)).select("month", "name", "n_char", "body")
+
+
 @query("extract_roundtrip")
 def q_extract_roundtrip(spark, sf):
     path = _scratch(spark, "extract")

@@ -237,6 +237,7 @@ oracle("stream_quality", ORACLE["quality_filter"])
 
 # --- file sources and sinks (same rows as the job they wrap) ------------------------
 oracle("dump_scan", ORACLE["comment_admission"])
+oracle("dump_scan_xz", ORACLE["comment_admission"])
 oracle("extract_roundtrip", ORACLE["comment_admission"])
 oracle("pair_sink_scan", f"SELECT sid, pid, cid, context, response FROM ({ORACLE['thread_pairs']})")
 oracle("key_scan", S.ctes(TS.base_ctes(), "SELECT DISTINCT link_id, comment_id, 'keep' AS kind FROM keys"))

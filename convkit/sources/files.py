@@ -14,6 +14,7 @@ from pyspark.sql import types as Ty
 from convkit.functions import text as T
 from convkit.operators.batching import chunk_ids
 from convkit.operators.ordering import global_index
+from convkit.sources import xz
 
 # Every field is read as text: a dump types its fields loosely, and a value of
 # another type must not cost the row.
@@ -22,27 +23,70 @@ COMMENT_FIELDS = ["id", "author", "parent_id", "link_id", "score", "body"]
 MONTH_FROM_NAME = r"R[CS]_(\d{4}-\d{2})"
 
 
+# Endings of text files: Spark's own codecs, and xz (see :mod:`convkit.sources.xz`).
+TEXT_ENDINGS = {"", "txt", "json", "jsonl", "gz", "bz2", "zst", "deflate", "snappy", "lz4"}
+
+
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """URIs of the files that a path, folder or pattern stands for, without hidden ones."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = jpath(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    for top in fs.globStatus(jpath(path)) or []:
+        found = fs.listFiles(top.getPath(), True)
+        while found.hasNext():
+            f = found.next().getPath()
+            inside = f.toString()[len(top.getPath().toString()):].split("/") if top.isDirectory() else [f.getName()]
+            if not any(part[:1] in ("_", ".") for part in inside):
+                out.append(f.toString())
+    return sorted(out)
+
+
+def _text(spark: SparkSession, path: str, partitioned: bool) -> DataFrame:
+    """value, file, line_no, and month of ``month=...`` folders if
+    ``partitioned``. A file is decoded by its ending; one that nothing here
+    decodes would be read as raw bytes, and ends the job instead."""
+    by_xz, plain = [], []
+    for f in data_files(spark, path):
+        name = f.rsplit("/", 1)[1]
+        ending = name.rsplit(".", 1)[1] if "." in name else ""
+        if ending != "xz" and ending not in TEXT_ENDINGS:
+            raise ValueError(f"no decoder for {f}")
+        (by_xz if ending == "xz" else plain).append(f)
+    month = F.regexp_extract("file", "/month=([^/]+)/", 1).alias("month")
+    out = None
+    if plain or not by_xz:
+        r = spark.read
+        if partitioned:                 # the partition column is text
+            r = r.schema("value string, month string")
+        # with files of both kinds the plain ones are named one by one
+        t = r.text(path) if not by_xz else r.option("basePath", path).text(plain) if partitioned else r.text(plain)
+        out = t.select("value", F.input_file_name().alias("file"), _line_order().alias("line_no"), *(["month"] if partitioned else []))
+    if by_xz:
+        t = xz.read_lines(spark, by_xz)
+        order = F.struct("file", "block", "line").alias("line_no")
+        t = t.select("value", "file", order, *([month] if partitioned else []))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
 def _with_month(df: DataFrame, month: str | None) -> DataFrame:
     if month is not None:
-        return df.withColumn("month", F.lit(month))
-    if "month" in df.columns:           # partition discovery (month=YYYY-MM folders)
-        return df
-    return df.withColumn("month", F.regexp_extract(F.input_file_name(), MONTH_FROM_NAME, 1))
+        return df.withColumn("month", F.lit(month)).drop("file")
+    if "month" in df.columns:           # month=YYYY-MM folders
+        return df.drop("file")
+    return df.withColumn("month", F.regexp_extract("file", MONTH_FROM_NAME, 1)).drop("file")
 
 
 def _lines(spark: SparkSession, path: str, fields: list[str], numbers: list[str], month: str | None, partitioned: bool) -> DataFrame:
     """JSON lines with the given fields; ``line_no`` orders the lines of a
     file, ``rejected`` marks lines without JSON."""
     schema = Ty.StructType([Ty.StructField(f, Ty.StringType()) for f in [*fields, "_bad"]])
-    r = spark.read
-    if partitioned:                     # a month=YYYY-MM folder layout: the partition column is text
-        r = r.schema("value string, month string")
-    t = r.text(path)
-    kept = ["month"] if "month" in t.columns else []
-    x = t.select(*kept, F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("j"),
-                 _line_order().alias("line_no"))
+    t = _text(spark, path, partitioned)
+    kept = ["month"] if partitioned else []
+    x = t.select(*kept, F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("j"), "file", "line_no")
     cols = [F.col(f"j.{f}").try_cast("long").alias(f) if f in numbers else F.col(f"j.{f}").alias(f) for f in fields]
-    return _with_month(x.select(*cols, *kept, "line_no", (F.col("j").isNull() | F.col("j._bad").isNotNull()).alias("rejected")), month)
+    return _with_month(x.select(*cols, *kept, "file", "line_no", (F.col("j").isNull() | F.col("j._bad").isNotNull()).alias("rejected")), month)
 
 
 def _line_order() -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import types as Ty
 from convkit.functions import text as T
 from convkit.functions.ngrams import ngrams
 from convkit.operators.ordering import global_cumsum
+from convkit.operators.threads import last_wins
 
 # Emotion weights of the reward, and the emotion code table.
 EMOTION_REWARD = {"HAPPINESS": 1, "ANGER": -1, "DISGUST": -1, "FEAR": -1,
@@ -190,8 +191,7 @@ def multiref(test_items: DataFrame, data: DataFrame) -> DataFrame:
     with refs = tab-joined 'score|ref' in item order."""
     d = data.select(F.col("keys").alias("rid"), T.straight_quotes("src").alias("src"),
                     T.straight_quotes("tgt").alias("tgt"), "data_line")
-    d = d.groupBy("rid").agg(F.max_by(F.struct("src", "tgt"), "data_line").alias("_d")).select(
-        "rid", F.col("_d.src").alias("src"), F.col("_d.tgt").alias("tgt"))
+    d = last_wins(d, ["rid"], "data_line")
     j = test_items.join(d, "rid", "left")
     anchor = j.filter(F.col("pos") == 0).filter(F.col("src").isNotNull()).select(
         "line_no", F.col("src").alias("_asrc"))
@@ -212,10 +212,8 @@ def union_months(dfs: list[DataFrame]) -> DataFrame:
 
 
 def dedup_last(df: DataFrame, key: str, order: str, value_cols: list[str]) -> DataFrame:
-    """Last-wins de-duplication (dict overwrite) by key; partial
-    aggregation keeps a hot key to one row per task before the shuffle."""
-    s = F.max_by(F.struct(*value_cols), order).alias("_v")
-    return df.groupBy(key).agg(s).select(key, *[F.col(f"_v.{c}").alias(c) for c in value_cols])
+    """Last-wins de-duplication (dict overwrite) by key (see :func:`threads.last_wins`)."""
+    return last_wins(df.select(key, *value_cols, order), [key], order)
 
 
 def default_weights(df: DataFrame, context: str = "context", response: str = "response") -> DataFrame:

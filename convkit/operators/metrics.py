@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from convkit.functions import text as T
 from convkit.functions.ngrams import lcs_len, tagged_ngrams
+from convkit.operators import ngram_stats as NS
 from convkit.session import materialize
 
 # Fixed constants of the metrics.
@@ -36,19 +37,22 @@ NIST_BETA = math.log(0.5) / math.log(1.5) ** 2
 MAX_N = 4
 
 
-def hyp_refs(hyps: DataFrame, refs: DataFrame, n_refs: int = 6, vshuman: int = -1,
-             clean: bool = False, n_lines: int | None = None) -> DataFrame:
+def first_lines(texts: DataFrame, n_lines: int) -> DataFrame:
+    """T5: the first hypotheses of each system in the order of their keys, for
+    entropy and mean length (the other metrics take all lines)."""
+    w = Window.partitionBy("system").orderBy("key")
+    hyps = texts.filter(F.col("system").isNotNull())
+    return hyps.withColumn("_l", F.row_number().over(w)).filter(F.col("_l") <= n_lines).drop("_l")
+
+
+def hyp_refs(hyps: DataFrame, refs: DataFrame, n_refs: int = 6, vshuman: int = -1, clean: bool = False) -> DataFrame:
     """(system, key, hyp) x (key, refs array) -> one row per hypothesis
     (system, key, text) and per reference line (key, ri, text), partitioned
     by key; ``system`` is NULL for a reference and ``ri`` for a hypothesis.
 
     Reference line i is refs[i % len], skipping the ``vshuman`` index; of a
-    text with bars, what is between the first and the second. ``n_lines``
-    takes the first lines of each system in the order of their keys (T5). A
-    hypothesis whose key has no references ends the job."""
-    if n_lines is not None:
-        w = Window.partitionBy("system").orderBy("key")
-        hyps = hyps.withColumn("_l", F.row_number().over(w)).filter(F.col("_l") <= n_lines).drop("_l")
+    text with bars, what is between the first and the second. A hypothesis
+    whose key has no references ends the job."""
     # one row per key; a key's hypotheses are as many as there are systems
     h = hyps.groupBy("key").agg(F.collect_list(F.struct("system", F.lit(None).cast("int").alias("ri"), F.col("hyp").alias("text"))).alias("hyps"))
     missing = F.raise_error(F.concat(F.lit("no references for key "), F.col("key"))).cast("array<string>")
@@ -87,8 +91,9 @@ def _per_hyp(grams: DataFrame) -> DataFrame:
 
 
 def segment_stats(grams: DataFrame) -> DataFrame:
-    """Per (system, key): testlen, reflen (closest, ties to the shorter),
-    mean_reflen, guess_k and correct_k (clipped by the largest reference count)."""
+    """Per (system, key): testlen, the effective reference lengths reflen
+    (closest, ties to the shorter), shortest and mean_reflen, guess_k and
+    correct_k (clipped by the largest reference count)."""
     clipped = F.least(F.col("c"), F.coalesce("rmax", F.lit(0)))
     zero = F.col("n") == 0
     x = _per_hyp(grams).groupBy("system", "key").agg(
@@ -96,14 +101,16 @@ def segment_stats(grams: DataFrame) -> DataFrame:
         *[F.coalesce(F.sum(F.when(F.col("n") == k, clipped)), F.lit(0)).alias(f"correct{k}") for k in range(1, MAX_N + 1)])
     closest = F.array_min(F.transform("_refs", lambda r: F.struct(F.abs(r["c"] - F.col("testlen")).alias("d"), r["c"].alias("l"))))["l"]
     mean = F.aggregate("_refs", F.lit(0).cast("long"), lambda a, r: a + r["c"]) / F.size("_refs")
-    return x.select("system", "key", "testlen", closest.alias("reflen"), mean.alias("mean_reflen"),
+    shortest = F.array_min(F.transform("_refs", lambda r: r["c"]))
+    return x.select("system", "key", "testlen", closest.alias("reflen"), shortest.alias("shortest"), mean.alias("mean_reflen"),
                     *[F.greatest(F.col("testlen") - k + 1, F.lit(0)).alias(f"guess{k}") for k in range(1, MAX_N + 1)],
                     *[f"correct{k}" for k in range(1, MAX_N + 1)])
 
 
-def _bleu(agg) -> list[Column]:
+def _bleu(agg, reflen: Column | None = None) -> list[Column]:
     cols, prod = [], F.lit(1.0)
-    ratio = (agg("testlen") + F.lit(BLEU_TINY)) / (agg("reflen") + F.lit(BLEU_SMALL))
+    reflen = agg("reflen") if reflen is None else reflen
+    ratio = (agg("testlen") + F.lit(BLEU_TINY)) / (reflen + F.lit(BLEU_SMALL))
     bp = F.when(ratio < 1, F.exp(1 - 1 / ratio)).otherwise(F.lit(1.0))
     for k in range(1, MAX_N + 1):
         prod = prod * (agg(f"correct{k}") + F.lit(BLEU_TINY)) / (agg(f"guess{k}") + F.lit(BLEU_SMALL))
@@ -111,9 +118,19 @@ def _bleu(agg) -> list[Column]:
     return cols
 
 
-def bleu_corpus(grams: DataFrame) -> DataFrame:
-    """Corpus BLEU-1..4 per system."""
-    return segment_stats(grams).groupBy("system").agg(*_bleu(F.sum))
+# Effective reference length of a segment, by name of the option.
+REFLENS = {"closest": "reflen", "shortest": "shortest", "average": "mean_reflen"}
+
+
+def bleu_corpus(grams: DataFrame, effective: str | None = "closest") -> DataFrame:
+    """Corpus BLEU-1..4 per system. ``effective``: which reference length
+    a segment counts with (closest, shortest, average); without one it is the
+    average for a system of a single segment, else the closest."""
+    if effective is None:
+        reflen = F.when(F.count(F.lit(1)) == 1, F.sum("mean_reflen")).otherwise(F.sum("reflen").cast("double"))
+    else:
+        reflen = F.sum(REFLENS[effective])
+    return segment_stats(grams).groupBy("system").agg(*_bleu(F.sum, reflen))
 
 
 def bleu_sentence(grams: DataFrame) -> DataFrame:
@@ -121,6 +138,52 @@ def bleu_sentence(grams: DataFrame) -> DataFrame:
     return segment_stats(grams).select("system", "key", *_bleu(F.col))
 
 
+def _nearest(sorted_lengths: Column, length: Column) -> Column:
+    """The element of an ascending array nearest to a length, ties to the
+    shorter, by bisection (its steps are those that an array of 2 ** 31 needs)."""
+    size = F.size(sorted_lengths)
+
+    def halve(at, _):
+        middle = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        less = (at["lo"] < at["hi"]) & (F.get(sorted_lengths, middle) < length)
+        return F.struct(F.when(less, middle + 1).otherwise(at["lo"]).alias("lo"),
+                        F.when(less | (at["lo"] >= at["hi"]), at["hi"]).otherwise(middle).alias("hi"))
+    start = F.struct(F.lit(0).alias("lo"), size.alias("hi"))
+    i = F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, halve)["lo"]     # the first that isn't less
+    below, above = F.get(sorted_lengths, i - 1), F.get(sorted_lengths, i)
+    return F.when(below.isNull() | (above - length < length - below), above).otherwise(below)
+
+
+def bleu_pool(hyps: DataFrame, pool: DataFrame) -> DataFrame:
+    """A8 against one pool: sentence BLEU-1..4 of every hypothesis (system,
+    key, text), each with all texts of ``pool`` (rid, text; rid unique) as its
+    references.
+
+    No hypothesis meets a text of the pool: the pool becomes a table of its
+    n-grams with their largest count in any text, which the hypotheses' n-grams
+    are joined with, and a sorted array of its distinct lengths (as many as
+    its longest text has words at most), in which each distinct hypothesis
+    length is looked up once. An empty pool gives NULL scores."""
+    def counted(df, keys):
+        zero = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("g")))
+        tok = df.select(*keys, T.words("text").alias("_tok"))
+        x = tok.select(*keys, F.size("_tok").alias("_len"), F.explode(F.concat(zero, tagged_ngrams("_tok", MAX_N))).alias("x"))
+        return x.groupBy(*keys, F.col("x.n").alias("n"), F.col("x.g").alias("g")).agg(F.count(F.lit(1)).alias("c"), F.first("_len").alias("_len"))
+    p = materialize(counted(pool, ["rid"]), "pool-ngrams")
+    most = p.filter("n > 0").groupBy("n", "g").agg(F.max("c").alias("rmax"))
+    lengths = p.filter("n = 0").select("_len").distinct().agg(F.sort_array(F.collect_list("_len"))).scalar()
+    h = counted(hyps, ["system", "key"])
+    # the frequent n-grams' side is split by skew; the sums are taken after another exchange
+    c = h.join(most, ["n", "g"], "left").withColumn("m", F.least("c", F.coalesce("rmax", F.lit(0))))
+    seg = c.groupBy("system", "key").agg(F.first("_len").alias("testlen"), *[
+        F.coalesce(F.sum(F.when(F.col("n") == k, F.col("m"))), F.lit(0)).alias(f"correct{k}") for k in range(1, MAX_N + 1)])
+    seg = materialize(seg, "pool-segments")
+    near = seg.select("testlen").distinct().withColumn("_all", lengths).select("testlen", _nearest(F.col("_all"), F.col("testlen")).alias("reflen"))
+    guess = {f"guess{k}": F.greatest(F.col("testlen") - k + 1, F.lit(0)) for k in range(1, MAX_N + 1)}
+    return seg.join(near, "testlen").withColumns(guess).select("system", "key", *[
+        F.when(F.col("reflen").isNotNull(), c).alias(f"bleu{k}") for k, c in enumerate(_bleu(F.col), 1)])
+
+
 def _corpus_counts(grams: DataFrame) -> DataFrame:
     """(n, g, system): count in the system's hypotheses and clipped matches;
     for system NULL, count in the reference lines."""
@@ -225,12 +288,19 @@ def cider(grams: DataFrame, sigma: float = CIDER_SIGMA) -> DataFrame:
     return e.groupBy("key", "system").agg((F.sum(val) / MAX_N / F.first("_nr") * 10.0).alias("cider")).select("system", "key", "cider")
 
 
-def system_report(grams: DataFrame) -> DataFrame:
+def system_report(grams: DataFrame, head: DataFrame | None = None) -> DataFrame:
     """One row per system: n_lines, nist1-4, bleu1-4, meteor (NULL: the
-    external scorer is not rebuilt), entropy1-4, div1, div2, avg_len."""
+    external scorer is not rebuilt), entropy1-4, div1, div2, avg_len. With
+    ``head`` (:func:`first_lines`, T5) entropy and avg_len are taken over those
+    lines; NIST, BLEU and diversity always take all."""
     per = _lengths(grams, F.count(F.lit(1)).alias("n_lines"), *_bleu(F.sum), F.avg("testlen").alias("avg_len"))
     j = _nist_sums(materialize(_corpus_counts(grams), "corpus-counts")).join(per, "system")
     ent = [(F.log(f"_t{k}") - F.col(f"_e{k}") / F.col(f"_t{k}")).alias(f"entropy{k}") for k in range(1, MAX_N + 1)]
+    if head is not None:
+        e = NS.ngram_entropy(NS.ngram_counts(head, "text", MAX_N, keys=["system"]), keys=["system"])
+        e = e.groupBy("system").agg(*[F.max(F.when(F.col("n") == k, F.col("entropy"))).alias(f"entropy{k}") for k in range(1, MAX_N + 1)])
+        j = j.drop("avg_len").join(e, "system", "left").join(NS.avg_len(head, "text", keys=["system"]), "system", "left")
+        ent = [f"entropy{k}" for k in range(1, MAX_N + 1)]
     div = [(F.col(f"_d{k}") / F.col(f"_t{k}")).alias(f"div{k}") for k in (1, 2)]
     return j.select("system", "n_lines", *_nist_cols(), *[f"bleu{k}" for k in range(1, MAX_N + 1)], F.lit(None).cast("double").alias("meteor"),
                     *ent, *div, "avg_len")

@@ -9,6 +9,7 @@ decimals, so engine-independent hashing is exact.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from convkit.functions import text as T
 from convkit.operators import quality as Q
 from convkit.operators import threads as TH
 from convkit.session import materialize as MAT
+from convkit.session import scratch_path
 from convkit.sources import adapters as AD
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -260,10 +262,14 @@ def q_unroll_context(spark, sf):
 
 @query("union_months")
 def q_union_months(spark, sf):
-    s, c = _admitted(spark, sf, materialize=True)
+    """The months' folders of an extract, each read by itself, as one bag."""
+    path = scratch_path(spark, f"months-{uuid.uuid4().hex[:12]}")
+    _, c = _admitted(spark, sf)
+    c = c.select("month", "name")
+    IO.write_extract(c, path)
     months = [f"2024-0{i}" for i in range(1, AD.MONTHS + 1)]
-    parts = [c.filter(F.col("month") == m).select("month", "name") for m in months]
-    return CO.union_months(parts)
+    there = {m for m in months if IO.data_files(spark, f"{path}/month={m}")}
+    return CO.union_months(IO.read_months(spark, path, sorted(there), c.schema) or [c])
 
 
 @query("dedup_last")
@@ -353,6 +359,19 @@ def q_multiref(spark, sf):
     return CO.multiref(t, data)
 
 
+@query("multiref_file")
+def q_multiref_file(spark, sf):
+    """J8 from a test-id file and a data file in which every fourth key comes
+    twice; the later line counts."""
+    items, data = _multiref_inputs(spark, sf)
+    base = scratch_path(spark, f"test-ids-{uuid.uuid4().hex[:12]}")
+    lines = items.groupBy("line_no").agg(F.sort_array(F.collect_list(F.struct("pos", "score", "rid"))).alias("items"))
+    IO.write_test_ids(lines, base + "/ids", ["line_no"])
+    stale = data.filter(F.length("tgt") % 4 == 0).withColumn("tgt", F.concat(F.lit("stale "), F.col("tgt")))
+    data = stale.unionByName(data.withColumn("data_line", F.lit(1)))
+    return CO.multiref(IO.read_test_ids(spark, base + "/ids").filter("known"), data)
+
+
 # --- metrics (J9, A7-A11, A20) -------------------------------------------------
 from convkit.operators import metrics as ME  # noqa: E402
 
@@ -382,6 +401,23 @@ def _r6(df, keep):
 
 QUERIES["bleu_corpus"] = lambda spark, sf: _r6(ME.bleu_corpus(_grams(spark, sf)), ["system"])
 QUERIES["bleu_sentence"] = lambda spark, sf: _r6(ME.bleu_sentence(_grams(spark, sf)), ["system", "key"])
+@query("bleu_corpus_lengths")
+def q_bleu_corpus_lengths(spark, sf):
+    """A7 by the other effective reference lengths."""
+    g = _grams(spark, sf)
+    a, b = (_r6(ME.bleu_corpus(g, e).withColumn("effective", F.lit(e)), ["system", "effective"]) for e in ("shortest", "average"))
+    return a.unionByName(b)
+
+
+@query("bleu_pool_mean")
+def q_bleu_pool_mean(spark, sf):
+    """Mean BLEU per system, every line against the pool of all reference lines."""
+    t = MAT(_texts(spark, sf), "texts")
+    pool = t.filter(F.col("system").isNull()).select(F.struct("key", "ri").alias("rid"), "text")
+    s = ME.bleu_pool(t.filter(F.col("system").isNotNull()), pool)
+    return s.groupBy("system").agg(*[F.round(F.avg(f"bleu{k}"), 6).alias(f"bleu{k}") for k in range(1, 5)])
+
+
 QUERIES["nist"] = lambda spark, sf: _r6(ME.nist(_grams(spark, sf)), ["system"])
 QUERIES["rouge_l"] = lambda spark, sf: _r6(ME.rouge_l(_texts(spark, sf)), ["system", "key"])
 QUERIES["cider"] = lambda spark, sf: _r6(ME.cider(_grams(spark, sf)), ["system", "key"])
@@ -397,8 +433,9 @@ N_LINES = 50
 
 @query("system_report_head")
 def q_system_report_head(spark, sf):
-    """T5: the report over the first n_lines of every system, in key order."""
-    return _r6(ME.system_report(_grams(spark, sf, n_lines=N_LINES)), ["system", "n_lines"])
+    """T5: the report, entropy and mean length over the first lines of every system."""
+    t = _texts(spark, sf)
+    return _r6(ME.system_report(MAT(ME.ngram_table(t), "ngrams"), ME.first_lines(t, N_LINES)), ["system", "n_lines"])
 
 
 # --- features, batching, scoring ---------------------------------------------
@@ -675,9 +712,6 @@ def q_stream_quality(spark, sf):
 
 
 # --- file sources and sinks: write table-derived data, read it back ------------
-import uuid  # noqa: E402
-
-from convkit.session import scratch_path  # noqa: E402
 from convkit.sources import files as IO  # noqa: E402
 from convkit.sources import xz as XZ  # noqa: E402
 
@@ -810,7 +844,7 @@ def q_kth_count(spark, sf):
 def q_ngram_entropy_head(spark, sf):
     """T5: entropy and mean length per system over its first n_lines cleaned
     hypotheses, in key order."""
-    hy = _texts(spark, sf, n_lines=N_LINES).filter(F.col("system").isNotNull())
+    hy = ME.first_lines(_texts(spark, sf), N_LINES)
     ent = NS.ngram_entropy(NS.ngram_counts(hy, "text", 4, keys=["system"]), keys=["system"])
     return (ent.join(NS.avg_len(hy, "text", keys=["system"]), "system")
                .select("system", "n", F.round("entropy", 6).alias("entropy"), F.round("avg_len", 6).alias("avg_len")))
@@ -826,11 +860,15 @@ def q_digest_targets(spark, sf):
 
 @query("hyp_scan")
 def q_hyp_scan(spark, sf):
-    """IO9: line-aligned hypothesis file and key file (one record per line,
-    written as ordered part files by a distributed sort), read back by line
-    number."""
+    """IO9: a line-aligned hypothesis file per system and its key file (one
+    record per line, written as ordered part files by a distributed sort), read
+    back by line number."""
     base = _scratch(spark, "hyps")
-    h = AD.hypotheses(spark, sf).filter(F.col("system") == "last").orderBy("line_no")
-    h.select(T.minimal_norm("hyp").alias("value")).write.text(base + "/hyp")
-    h.select(F.col("key").alias("value")).write.text(base + "/keys")
-    return IO.read_hypotheses(spark, base + "/hyp", base + "/keys", "last")
+    out = None
+    for system in ("last", "first"):
+        h = AD.hypotheses(spark, sf).filter(F.col("system") == system).orderBy("line_no")
+        h.select(T.minimal_norm("hyp").alias("value")).write.text(f"{base}/{system}/hyp")
+        h.select(F.col("key").alias("value")).write.text(f"{base}/{system}/keys")
+        one = IO.read_hypotheses(spark, f"{base}/{system}/hyp", f"{base}/{system}/keys", system)
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -16,14 +16,13 @@ def _ngrams(src: str, keys: str, text: str, count: str) -> str:
                     LATERAL (SELECT unnest(range(1, len(c.ws) - k.n + 2)) AS i) GROUP BY ALL"""
 
 
-def base(n_refs: int = 6, vshuman: int = 1, clean: bool = True, n_lines: int | None = None) -> list[tuple[str, str]]:
+def base(n_refs: int = 6, vshuman: int = 1, clean: bool = True) -> list[tuple[str, str]]:
     L = "len(refs)"
     idx = f"CASE WHEN i % {L} = {vshuman} THEN (i % {L} + 1) % {L} ELSE i % {L} END"
     hyp = S.eval_clean("hyp") if clean else "hyp"
     ref = S.eval_clean("ref0") if clean else "ref0"
     return [
-        ("hyps", A["hypotheses"] if n_lines is None else
-         f"SELECT * FROM ({A['hypotheses']}) QUALIFY row_number() OVER (PARTITION BY system ORDER BY key) <= {n_lines}"),
+        ("hyps", A["hypotheses"]),
         ("refs", A["references"]),
         ("h", f"SELECT system, key, {hyp} AS hyp FROM hyps WHERE key IN (SELECT key FROM refs)"),
         ("lines0", f"""SELECT key, CAST(i AS INTEGER) AS ri, refs[{idx} + 1] AS item
@@ -73,6 +72,28 @@ def bleu_sentence_sql(**kw) -> str:
     return S.ctes(base(**kw) + bleu_ctes(), "SELECT system, key, " + ", ".join(_bleu_expr("")) + " FROM stats")
 
 
+def bleu_lengths_sql(**kw) -> str:
+    """BLEU by the shortest and by the average reference length."""
+    lens = ("lens2", "SELECT key, min(l) AS shortest, avg(l) AS average FROM rl GROUP BY key")
+    each = [f"SELECT system, '{e}' AS effective, {', '.join(_bleu_expr('sum'))} FROM (SELECT s.* REPLACE (r.{e} AS reflen) FROM stats s JOIN lens2 r USING (key)) GROUP BY system"
+            for e in ("shortest", "average")]
+    return S.ctes(base(**kw) + bleu_ctes() + [lens], " UNION ALL ".join(each))
+
+
+def bleu_pool_sql(**kw) -> str:
+    """Every line against all reference lines as one pool."""
+    own = dict(bleu_ctes())
+    return S.ctes(base(**kw) + [
+        ("pmax", "SELECT n, g, max(tf) AS rmax FROM rng GROUP BY n, g"),
+        ("corr", "SELECT system, key, n, sum(least(hc, coalesce(rmax, 0))) AS c FROM hng LEFT JOIN pmax USING (n, g) GROUP BY ALL"),
+        ("seg", own["seg"]), ("rl", own["rl"]), ("pl", "SELECT DISTINCT l FROM rl"),
+        ("near", """SELECT t.testlen, arg_min(p.l, abs(p.l - t.testlen) * 1000000 + p.l) AS reflen
+                    FROM (SELECT DISTINCT testlen FROM seg) t CROSS JOIN pl p GROUP BY t.testlen"""),
+        ("closest", "SELECT s.system, s.key, s.testlen, r.reflen FROM seg s JOIN near r USING (testlen)"), ("stats", own["stats"]),
+        ("sb", "SELECT system, key, " + ", ".join(_bleu_expr("", digits=None)) + " FROM stats")],
+        "SELECT system, " + ", ".join(f"round(avg(bleu{k}), 6) AS bleu{k}" for k in range(1, 5)) + " FROM sb GROUP BY system")
+
+
 def nist_ctes() -> list[tuple[str, str]]:
     return [
         ("rc", "SELECT n, g, sum(tf) AS cnt FROM rng GROUP BY n, g"),
@@ -130,11 +151,17 @@ def cider_sql(**kw) -> str:
     return S.ctes(base(**kw) + cider_ctes(), "SELECT system, key, round(cider, 6) AS cider FROM ciders")
 
 
+def _head(n_lines: int) -> list[tuple[str, str]]:
+    """The first lines of every system in the order of their keys, and their n-grams."""
+    return [("hh", f"SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY system ORDER BY key) <= {n_lines}"),
+            ("hhng", _ngrams("hh", "system, key", "hyp", "hc"))]
+
+
 def entropy_head_sql(n_lines: int) -> str:
-    return S.ctes(base(n_lines=n_lines), f"""
+    return S.ctes(base() + _head(n_lines), f"""
         SELECT system, n, round(-sum(hc / t * (ln(hc) - ln(t))), 6) AS entropy, any_value(a) AS avg_len FROM (
-          SELECT system, n, g, sum(hc) AS hc, sum(sum(hc)) OVER (PARTITION BY system, n) AS t FROM hng GROUP BY system, n, g)
-        JOIN (SELECT system, round(avg(len({S.words('hyp')})), 6) AS a FROM h GROUP BY system) USING (system)
+          SELECT system, n, g, sum(hc) AS hc, sum(sum(hc)) OVER (PARTITION BY system, n) AS t FROM hhng GROUP BY system, n, g)
+        JOIN (SELECT system, round(avg(len({S.words('hyp')})), 6) AS a FROM hh GROUP BY system) USING (system)
         GROUP BY system, n""")
 
 
@@ -156,21 +183,25 @@ def hyp_refs_sql(**kw) -> str:
     return S.ctes(base(**kw), "SELECT h.system, h.key, l.ri, h.hyp, l.ref FROM h JOIN lines l USING (key)")
 
 
-def system_report_sql(**kw) -> str:
-    ent = ("ent", """SELECT system, n, -sum(hc / t * (ln(hc) - ln(t))) AS e, count(*) / sum(hc) AS d FROM (
-                       SELECT system, n, g, sum(hc) AS hc, sum(sum(hc)) OVER (PARTITION BY system, n) AS t
-                       FROM hng GROUP BY system, n, g) GROUP BY system, n""")
-    entp = ("entp", "SELECT system, " + ", ".join(
-        f"round(max(CASE WHEN n = {k} THEN e END), 6) AS entropy{k}" for k in range(1, 5))
-        + ", round(max(CASE WHEN n = 1 THEN d END), 6) AS div1, round(max(CASE WHEN n = 2 THEN d END), 6) AS div2"
-        + " FROM ent GROUP BY system")
-    sl = ("sl", f"SELECT system, count(*) AS n_lines, round(avg(len({S.words('hyp')})), 6) AS avg_len FROM h GROUP BY system")
-    bc = ("bc", bleu_corpus_body())
+def system_report_sql(n_lines: int | None = None, **kw) -> str:
+    """Entropy and mean length over the first ``n_lines``, everything else over all lines."""
+    def per_n(src):
+        return f"""SELECT system, n, -sum(hc / t * (ln(hc) - ln(t))) AS e, count(*) / sum(hc) AS d FROM (
+                     SELECT system, n, g, sum(hc) AS hc, sum(sum(hc)) OVER (PARTITION BY system, n) AS t
+                     FROM {src} GROUP BY system, n, g) GROUP BY system, n"""
+    head = _head(n_lines) if n_lines else []
+    lines, grams = ("hh", "hhng") if n_lines else ("h", "hng")
+    more = head + [
+        ("ent", per_n(grams)), ("dv", per_n("hng")),
+        ("entp", "SELECT system, " + ", ".join(f"round(max(CASE WHEN n = {k} THEN e END), 6) AS entropy{k}" for k in range(1, 5)) + " FROM ent GROUP BY system"),
+        ("divp", "SELECT system, " + ", ".join(f"round(max(CASE WHEN n = {k} THEN d END), 6) AS div{k}" for k in (1, 2)) + " FROM dv GROUP BY system"),
+        ("al", f"SELECT system, round(avg(len({S.words('hyp')})), 6) AS avg_len FROM {lines} GROUP BY system"),
+        ("sl", "SELECT system, count(*) AS n_lines FROM h GROUP BY system"), ("bc", bleu_corpus_body())]
     body = ("SELECT s.system, s.n_lines, " + ", ".join(f"nt.nist{k}" for k in range(1, 5)) + ", "
             + ", ".join(f"b.bleu{k}" for k in range(1, 5)) + ", CAST(NULL AS DOUBLE) AS meteor, "
-            + ", ".join(f"e.entropy{k}" for k in range(1, 5)) + ", e.div1, e.div2, s.avg_len "
-            + "FROM sl s JOIN nistt nt USING (system) JOIN bc b USING (system) JOIN entp e USING (system)")
-    return S.ctes(base(**kw) + bleu_ctes() + nist_ctes() + [ent, entp, sl, bc], body)
+            + ", ".join(f"e.entropy{k}" for k in range(1, 5)) + ", d.div1, d.div2, al.avg_len "
+            + "FROM sl s JOIN nistt nt USING (system) JOIN bc b USING (system) JOIN entp e USING (system) JOIN divp d USING (system) JOIN al USING (system)")
+    return S.ctes(base(**kw) + bleu_ctes() + nist_ctes() + more, body)
 
 
 def bleu_corpus_body() -> str:

@@ -199,7 +199,7 @@ def _pair_key(c: str, t: str) -> str:
     return f"'t3_' || {cs} || ',' || {parent} || ',' || 't1_' || {cs} || '_' || CAST({t} AS VARCHAR)"
 
 
-oracle("multiref", S.ctes(TS.instances_ctes(**THREAD) + [
+_MULTIREF = TS.instances_ctes(**THREAD) + [
     ("data", """SELECT sid || ',' || pid || ',' || cid AS rid, replace(replace(context, '“', '"'), '”', '"') AS src,
                        replace(replace(response, '“', '"'), '”', '"') AS tgt FROM inst WHERE skip_reason IS NULL"""),
     ("items", f"""SELECT conv_id || '_' || turn AS line_no, 0 AS pos, '0.5' AS score, {_pair_key('conv_id', 'turn')} AS rid
@@ -207,9 +207,13 @@ oracle("multiref", S.ctes(TS.instances_ctes(**THREAD) + [
                   SELECT conv_id || '_' || turn, 1, '0.4', {_pair_key('conv_id', 'turn - 1')} FROM conversations UNION ALL
                   SELECT conv_id || '_' || turn, 2, '0.3', 'none,' || {_pair_key('conv_id', 'turn')} FROM conversations"""),
     ("j", "SELECT i.*, d.src, d.tgt FROM items i LEFT JOIN data d ON d.rid = i.rid"),
-    ("anchor", "SELECT line_no, src AS asrc FROM j WHERE pos = 0 AND src IS NOT NULL")], """
-    SELECT j.line_no, a.asrc AS src, string_agg(j.score || '|' || j.tgt, chr(9) ORDER BY j.pos) AS refs
-    FROM j JOIN anchor a ON a.line_no = j.line_no WHERE j.src = a.asrc GROUP BY j.line_no, a.asrc"""))
+    ("anchor", "SELECT line_no, src AS asrc FROM j WHERE pos = 0 AND src IS NOT NULL"),
+    ("mr", """SELECT j.line_no, a.asrc AS src, string_agg(j.score || '|' || j.tgt, chr(9) ORDER BY j.pos) AS refs
+    FROM j JOIN anchor a ON a.line_no = j.line_no WHERE j.src = a.asrc GROUP BY j.line_no, a.asrc""")]
+oracle("multiref", S.ctes(_MULTIREF, "SELECT line_no, src, refs FROM mr"))
+# lines are numbered in the order in which the file has them
+oracle("multiref_file", S.ctes(_MULTIREF + [("num", "SELECT line_no, row_number() OVER (ORDER BY line_no) - 1 AS k FROM (SELECT DISTINCT line_no FROM items)")],
+                               "SELECT num.k AS line_no, src, refs FROM mr JOIN num ON num.line_no = mr.line_no"))
 
 # --- metrics -------------------------------------------------------------------
 from convkit.plans import metric_sql as MS  # noqa: E402
@@ -217,6 +221,8 @@ from convkit.plans import metric_sql as MS  # noqa: E402
 _EV = dict(n_refs=6, vshuman=1, clean=True)
 oracle("hyp_refs", MS.hyp_refs_sql(**_EV))
 oracle("bleu_corpus", MS.bleu_corpus_sql(**_EV))
+oracle("bleu_corpus_lengths", MS.bleu_lengths_sql(**_EV))
+oracle("bleu_pool_mean", MS.bleu_pool_sql(**_EV))
 oracle("bleu_sentence", MS.bleu_sentence_sql(**_EV))
 oracle("nist", MS.nist_sql(**_EV))
 oracle("cider", MS.cider_sql(**_EV))
@@ -269,5 +275,4 @@ oracle("refined_rows", S.ctes(_SENT + [("tags", ORACLE_BLAND), ("ws", """
     FROM ws w JOIN (SELECT conv_id, turn - 2 AS turn, round(CAST({_next} AS DOUBLE), 6) + 0.0 AS reward FROM conversations WHERE turn >= 2) r
       ON r.conv_id = w.conv_id AND r.turn = w.turn"""))
 oracle("hyp_scan", S.ctes([("hy", A["hypotheses"])], f"""
-    SELECT 'last' AS system, row_number() OVER (ORDER BY line_no) - 1 AS line_no, key, {S.minimal_norm('hyp')} AS hyp
-    FROM hy WHERE system = 'last'"""))
+    SELECT system, row_number() OVER (PARTITION BY system ORDER BY line_no) - 1 AS line_no, key, {S.minimal_norm('hyp')} AS hyp FROM hy"""))

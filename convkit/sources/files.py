@@ -7,7 +7,7 @@ Sinks are ordinary DataFrame writers: task-level files, no driver gather.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
@@ -146,6 +146,12 @@ def read_extract(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return r.parquet(path)
 
 
+def read_months(spark: SparkSession, path: str, months: list[str], schema) -> list[DataFrame]:
+    """One frame per month, each from that month's folder of an extract alone."""
+    own = Ty.StructType([f for f in schema.fields if f.name != "month"])
+    return [spark.read.schema(own).parquet(f"{path}/month={m}").withColumn("month", F.lit(m)) for m in months]
+
+
 def read_keys(spark: SparkSession, path: str, task: str = "conv") -> DataFrame:
     """IO4: key lines 'link TAB comment TAB kind' (or a hash); the
     conversation stage ignores lines ending in TAB 'dep'."""
@@ -197,21 +203,31 @@ def read_refs(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     return r.groupBy("key").agg(F.max_by("refs", "_ord").alias("refs"))
 
 
-def read_test_ids(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """J8 input: test-id lines 'score,id TAB score,id ...', each item split at
-    its first comma only; with ``header`` the first line of every file is
-    left out. One row per item: line_no, pos, score, rid."""
+MULTIREF = "multiref"
+
+
+def read_test_ids(spark: SparkSession, path: str) -> DataFrame:
+    """J8 input: lines 'multiref TAB score,id TAB score,id ...'. The first
+    cell names the kind of line; lines of other kinds are read as well and
+    flagged (``known`` is false). An item is split at its first comma only.
+    One row per item: line_no, known, pos (from 0), score, rid. Lines without
+    items have no rows but keep their number."""
     t = spark.read.text(path).withColumn("_ord", _line_order())
-    if header:
-        w = Window.partitionBy("_ord.file").orderBy("_ord")
-        t = t.withColumn("_r", F.row_number().over(w)).filter("_r > 1").drop("_r")
-    t = t.filter(F.trim("value") != "")
     x = global_index(t, [F.col("_ord.file"), F.col("_ord.block"), F.col("_ord.line")], "line_no")
-    x = x.select("line_no", F.posexplode(F.split("value", "\t")).alias("pos", "item"))
-    return x.select("line_no", "pos", F.substring_index("item", ",", 1).alias("score"),
+    c = F.split(F.regexp_replace("value", r"\s+$", ""), "\t")
+    x = x.select("line_no", (F.get(c, 0) == MULTIREF).alias("known"),
+                 F.posexplode(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0)))).alias("pos", "item"))
+    return x.select("line_no", "known", "pos", F.substring_index("item", ",", 1).alias("score"),
                     F.expr("substr(item, instr(item, ',') + 1)").alias("rid"))
 
 
+def write_test_ids(items: DataFrame, path: str, order: list[str]) -> None:
+    """Lines that :func:`read_test_ids` reads, in the given order: rows with
+    ``items``, an array of (score, rid)."""
+    cells = F.transform("items", lambda i: F.concat(i["score"], F.lit(","), i["rid"]))
+    items.orderBy(*order).select(F.array_join(F.concat(F.array(F.lit(MULTIREF)), cells), "\t").alias("value")).write.mode("overwrite").text(path)
+
+
 def _numbered_lines(spark: SparkSession, path: str, keep: Column | None = None) -> DataFrame:
     """(line_no, line) of text files in the order of their names and lines."""
     t = spark.read.text(path).withColumnRenamed("value", "line").withColumn("_ord", _line_order())

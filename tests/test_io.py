@@ -153,18 +153,24 @@ def test_pairs_with_line_breaks_and_short_rows(spark):
 
 
 def test_test_ids_and_multiref(spark):
+    """Cell 0 of a line names its kind, the items begin at cell 1."""
     from convkit.operators import corpus as CO
     d = tempfile.mkdtemp(prefix="convkit-io-")
-    write(f"{d}/ids.txt", "score,keys\n0.5,t3_a,t1_b,t1_c\t0.4,t3_a,t1_b,t1_d\t0.3,gone\n0.9,gone\t0.8,t3_a,t1_b,t1_c\n0.7,t3_a,t1_b,t1_c\t0.6,t3_z,x,y\n")
+    write(f"{d}/ids.txt", "multiref\t0.5,t3_a,t1_b,t1_c\t0.4,t3_a,t1_b,t1_d\t0.3,gone  \nmultiref\t0.9,gone\t0.8,t3_a,t1_b,t1_c\n"
+                          "multiref\nother\t0.7,t3_a,t1_b,t1_c\t0.6,t3_z,x,y\n")
     t = IO.read_test_ids(spark, f"{d}/ids.txt")
-    assert [(r["line_no"], r["pos"], r["score"], r["rid"]) for r in t.orderBy("line_no", "pos").collect()][:2] == [
-        (0, 0, "0.5", "t3_a,t1_b,t1_c"), (0, 1, "0.4", "t3_a,t1_b,t1_d")]
-    assert IO.read_test_ids(spark, f"{d}/ids.txt", header=False).filter("line_no = 0").first()["rid"] == "keys"
+    rows = [(r["line_no"], r["known"], r["pos"], r["score"], r["rid"]) for r in t.orderBy("line_no", "pos").collect()]
+    assert rows[:3] == [(0, True, 0, "0.5", "t3_a,t1_b,t1_c"), (0, True, 1, "0.4", "t3_a,t1_b,t1_d"), (0, True, 2, "0.3", "gone")]
+    assert {r[0] for r in rows} == {0, 1, 3} and {r[0] for r in rows if not r[1]} == {3}
     data = spark.createDataFrame([("t3_a,t1_b,t1_c", "src", "old", 0), ("t3_a,t1_b,t1_c", "src", "“new”", 1), ("t3_a,t1_b,t1_d", "src", "two", 2),
                                   ("t3_z,x,y", "other", "no", 3)], "keys string, src string, tgt string, data_line int")
     got = {r["line_no"]: (r["src"], r["refs"]) for r in CO.multiref(t, data).collect()}
-    # the first reference anchors the source: line 1 has none, line 2's second one has another source
-    assert got == {0: ("src", '0.5|"new"\t0.4|two'), 2: ("src", '0.7|"new"')}
+    # the first reference anchors the source: line 1 has none, line 3's second one has another source
+    assert got == {0: ("src", '0.5|"new"\t0.4|two'), 3: ("src", '0.7|"new"')}
+    items = spark.createDataFrame([(2, [("0.1", "a,b")]), (1, [("0.2", "c"), ("0.3", "d")])], "n int, items array<struct<score:string,rid:string>>")
+    IO.write_test_ids(items, f"{d}/back", ["n"])
+    assert [(r["line_no"], r["score"], r["rid"]) for r in IO.read_test_ids(spark, f"{d}/back").orderBy("line_no", "pos").collect()] == [
+        (0, "0.2", "c"), (0, "0.3", "d"), (1, "0.1", "a,b")]
 
 
 def test_extract_in_files_of_bounded_size(spark):

@@ -159,9 +159,15 @@ def test_hypothesis_without_references_ends_the_job(spark):
 def test_first_lines_in_key_order(spark):
     hy = spark.createDataFrame([(s, k, k) for s in "ab" for k in ("k3", "k1", "k2", "k10")], "system string, key string, hyp string")
     rf = spark.createDataFrame([(k, ["a"]) for k in ("k1", "k2", "k3", "k10")], "key string, refs array<string>")
-    got = ME.hyp_refs(hy, rf, n_lines=2).filter("system is not null").collect()
+    got = ME.first_lines(ME.hyp_refs(hy, rf), 2).collect()
     assert sorted((r["system"], r["key"]) for r in got) == [("a", "k1"), ("a", "k10"), ("b", "k1"), ("b", "k10")]
-    assert {r["n_lines"] for r in ME.system_report(ME.ngram_table(ME.hyp_refs(hy, rf, n_lines=3))).collect()} == {3}
+    # only entropy and mean length take the first lines
+    t = ME.hyp_refs(hy, rf)
+    whole, cut = (ME.system_report(ME.ngram_table(t), h).collect() for h in (None, ME.first_lines(t, 3)))
+    words = {r["system"]: [x["hyp"].split() for x in sorted(hy.filter(hy.system == r["system"]).collect(), key=lambda x: x["key"])] for r in whole}
+    for a, b in zip(sorted(whole, key=lambda r: r["system"]), sorted(cut, key=lambda r: r["system"])):
+        assert all(a[c] == pytest.approx(b[c], nan_ok=True) for c in a.asDict() if c not in ("system", "meteor", "avg_len") and "entropy" not in c)
+        assert b["avg_len"] == pytest.approx(sum(map(len, words[b["system"]][:3])) / 3)
 
 
 def test_lcs_of_batches():
@@ -191,3 +197,52 @@ def test_distinct_and_entropy_invariants(spark):
     p = [2 / 5, 2 / 5, 1 / 5]
     assert e[1] == pytest.approx(-sum(x * math.log(x) for x in p))
     assert 4 not in e or e[4] == pytest.approx(0.0)
+
+
+def _pool_bleu(hyp, pool):
+    """One line against all texts of the pool, by the definition."""
+    hw, refs = hyp.split(), [r.split() for r in pool]
+    closest = min((abs(len(r) - len(hw)), len(r)) for r in refs)[1]
+    ratio, prod, out = (len(hw) + 1e-15) / (closest + 1e-9), 1.0, []
+    for n in range(1, 5):
+        most = Counter()
+        for r in refs:
+            for g, c in grams(r, n).items():
+                most[g] = max(most[g], c)
+        right = sum(min(c, most[g]) for g, c in grams(hw, n).items())
+        prod *= (right + 1e-15) / (max(0, len(hw) - n + 1) + 1e-9)
+        out.append(prod ** (1 / n) * (math.exp(1 - 1 / ratio) if ratio < 1 else 1))
+    return out
+
+
+def test_bleu_against_a_pool(spark):
+    import random
+    rng = random.Random(2)
+    word = "a b c d e f".split()
+    pool = [" ".join(rng.choice(word) for _ in range(rng.choice([0, 1, 2, 4, 7, 12, 30]))) for _ in range(40)] + ["a a a a b", "a a a a b"]
+    hyps = [("s", str(i), " ".join(rng.choice(word + ["zz"]) for _ in range(rng.randrange(0, 40)))) for i in range(60)]
+    h = spark.createDataFrame(hyps, "system string, key string, text string")
+    p = spark.createDataFrame(list(enumerate(pool)), "rid int, text string")
+    got = {r["key"]: [r[f"bleu{k}"] for k in range(1, 5)] for r in ME.bleu_pool(h, p).collect()}
+    assert set(got) == {k for _, k, _ in hyps}
+    for _, k, text in hyps:
+        assert got[k] == pytest.approx(_pool_bleu(text, pool), rel=1e-9, abs=1e-12)
+    assert {r["bleu1"] for r in ME.bleu_pool(h, p.limit(0)).collect()} == {None}
+
+
+def test_effective_reference_lengths(spark):
+    g = prep(spark)
+    for effective, pick in (("shortest", min), ("average", lambda x: sum(x) / len(x)), ("closest", None)):
+        got = {r["system"]: r["bleu1"] for r in ME.bleu_corpus(g, effective).collect()}
+        for system in "st":
+            mine = [(h.split(), [r.split() for r in REFS[k]]) for s, k, h in HYPS if s == system]
+            length = sum(len(h) for h, _ in mine)
+            target = sum(pick([len(r) for r in rs]) if pick else min((abs(len(r) - len(h)), len(r)) for r in rs)[1] for h, rs in mine)
+            right = sum(min(c, max(grams(r, 1)[w] for r in rs)) for h, rs in mine for w, c in grams(h, 1).items())
+            ratio = (length + 1e-15) / (target + 1e-9)
+            assert got[system] == pytest.approx((right + 1e-15) / (length + 1e-9) * (math.exp(1 - 1 / ratio) if ratio < 1 else 1))
+    # without an option: the average for a single segment, else the closest
+    several = ME.bleu_corpus(g, None).orderBy("system").collect()
+    assert several == ME.bleu_corpus(g).orderBy("system").collect()
+    one = g.filter("key = 'k1'")
+    assert ME.bleu_corpus(one, None).orderBy("system").collect() == ME.bleu_corpus(one, "average").orderBy("system").collect()

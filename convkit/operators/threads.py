@@ -223,7 +223,12 @@ def thread_pairs(comments: DataFrame, subs: DataFrame, **kw) -> DataFrame:
         # once (compact, normalised) instead of re-scanning the dumps per use
         from convkit.session import materialize
         s, c = materialize(s, "extract-subs"), materialize(c, "extract-comments")
-    inst = conv_instances(c, s, **kw)
+    return kept_pairs(c, s, **kw)
+
+
+def kept_pairs(comments: DataFrame, subs: DataFrame, **kw) -> DataFrame:
+    """L1 from what the extract stage admitted."""
+    inst = conv_instances(comments, subs, **kw)
     return (inst.filter(F.col("skip_reason").isNull())
                 .select("month", "sid", "pid", "cid", T.join_turns("context").alias("context"), "response"))
 

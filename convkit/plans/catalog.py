@@ -687,6 +687,8 @@ def q_history_window(spark, sf):
 # --- streaming (ST1, ST2): run to completion, read the written result ---------
 from convkit.streaming import admission as SA  # noqa: E402
 from convkit.streaming import history as SH  # noqa: E402
+from convkit.streaming import store as ST  # noqa: E402
+from convkit.streaming import upserts as UP  # noqa: E402
 from convkit.streaming.runner import run_to_table, stream_source  # noqa: E402
 
 
@@ -697,6 +699,32 @@ def q_history_stream(spark, sf):
     return SH.latest(out)
 
 
+@query("history_store")
+def q_history_store(spark, sf):
+    """ST1 with its state in RocksDB."""
+    msgs = AD.history_messages_from(stream_source(spark, sf, "conversations"))
+    with ST.rocksdb(spark):
+        out = run_to_table(ST.stored_updates(msgs), "update", tag="history-store")
+    return SH.latest(out)
+
+
+@query("thread_pairs_stream")
+def q_thread_pairs_stream(spark, sf):
+    """S2 on streams: the repeated lines come after the first run of each job,
+    which then goes on from its state."""
+    base = scratch_path(spark, f"thread-stream-{uuid.uuid4().hex[:12]}")
+    rows = {"subs": AD.repeated(AD.submissions(spark, sf), "title"), "comments": AD.repeated(AD.comments(spark, sf), "body")}
+
+    def stream(name):
+        return spark.readStream.schema(rows[name].schema).parquet(f"{base}/{name}-in")
+    for line in (1, 2):
+        for name, df in rows.items():
+            df.filter(F.col("line_no") == line).write.mode("append").parquet(f"{base}/{name}-in")
+        subs = MAT(UP.submission_upserts(stream("subs"), "line_no", f"{base}/subs"), "stream-subs")
+        comments = UP.comment_upserts(stream("comments"), subs, "line_no", f"{base}/comments")
+    return TH.kept_pairs(MAT(comments, "stream-comments"), subs, **THREAD_PARAMS)
+
+
 @query("stream_admission")
 def q_stream_admission(spark, sf):
     s = SA.admitted_stream(stream_source(spark, sf, "conversations"), AD.submissions(spark, sf))

@@ -238,6 +238,8 @@ for _k, _v in FS.sqls().items():
 
 # --- streaming: must equal the batch rule on the same input --------------------------
 oracle("history_stream", ORACLE["history_final"])
+oracle("history_store", ORACLE["history_final"])
+oracle("thread_pairs_stream", ORACLE["thread_pairs_repeats"])
 oracle("stream_admission", ORACLE["comment_admission"])
 oracle("stream_quality", ORACLE["quality_filter"])
 

@@ -95,3 +95,31 @@ def test_silent_user_starts_anew():
             self.removed = True
     s = State()
     assert list(update((1,), iter([]), s)) == [] and s.removed
+
+
+def test_last_wins_over_micro_batches(spark, tmp_path):
+    """Repeats in other batches, late ones too, and a replayed batch: one row per key, that of the last line."""
+    from convkit.operators import threads as TH
+    from convkit.streaming import upserts as UP
+    schema = "month string, link_id string, name string, body string, line_no int"
+    batches = [[("m", "t", "a", "one", 1), ("m", "t", "b", "b1", 2), ("m", "t", "a", "two", 3)],
+               [("m", "t", "a", "four", 5), ("m", "t", "b", "late", 1)],
+               [("m", "t", "a", "late", 4), ("m", "u", "a", "other", 0)]]
+    src, job = str(tmp_path / "src"), str(tmp_path / "job")
+
+    def run():
+        s = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src)
+        return UP.upserted(TH.last_wins(s, UP.COMMENT_KEY, "line_no"), job)
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/part{k}")
+        log = run()
+    got = {(r["link_id"], r["name"]): r["body"] for r in UP.merged(log, UP.COMMENT_KEY).collect()}
+    assert got == {("t", "a"): "four", ("t", "b"): "b1", ("u", "a"): "other"}
+    assert UP.merged(log, UP.COMMENT_KEY).columns == ["month", "link_id", "name", "body"]
+    before = sorted(map(tuple, UP.merged(log, UP.COMMENT_KEY).collect()))
+    commits = tmp_path / "job" / "checkpoint" / "commits"
+    last = max(int(p.name) for p in commits.iterdir() if p.name.isdigit())
+    for p in commits.iterdir():
+        if p.name.strip(".").split(".")[0] == str(last):
+            p.unlink()
+    assert sorted(map(tuple, UP.merged(run(), UP.COMMENT_KEY).collect())) == before

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convkit.llm import wordhash as H
-from convkit.llm.stages import written
+from convkit.llm.stages import fresh, written
 
 GRAM = 3
 SIMILARITY = 0.5
@@ -220,6 +220,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item."""
     bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid")).distinct()
-    named = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    cond = (named["_row"] == bad["_rid"]) & named["doc_id"].cast("long").eqNullSafe(bad["_id"])
+    row = fresh(docs, "_row")
+    named = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    cond = (named[row] == bad["_rid"]) & named["doc_id"].cast("long").eqNullSafe(bad["_id"])
     return named.join(bad, cond, "left_anti").select(*docs.columns)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from convkit.llm import dart
 from convkit.llm import wordhash as H
-from convkit.llm.stages import components, drop, written
+from convkit.llm.stages import components, drop, fresh, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -50,7 +50,7 @@ def bands(docs: DataFrame, words: int = WORDS, k: int = COORDINATES, per_band: i
     candidate cluster."""
     def run(batches):
         for batch in batches:
-            for part in H.slices(batch, "text", 2 << 20):
+            for part in H.slices(batch, "text", 1 << 20):
                 h, rows = H.word_hashes(part.column(1))
                 g, owner, _ = H.gram_hashes(h, rows, words)
                 has = np.flatnonzero(np.diff(rows) > 0)
@@ -60,6 +60,7 @@ def bands(docs: DataFrame, words: int = WORDS, k: int = COORDINATES, per_band: i
                 rid = part.column(0).to_numpy()[has]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(rid, b.shape[1])), pa.array(b.reshape(-1).view(np.int64))], names=["rid", "band"])
+            H.give_back()
 
     return docs.select(F.xxhash64("text").alias("rid"), "text").mapInArrow(run, "rid long, band long")
 
@@ -205,7 +206,8 @@ def near_dup_classes(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: the one with the least doc_id
     (one row only, if that row is repeated)."""
-    kept = near_dup_classes(docs).where("keep").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    named = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit(""))))
-    cond = named["_key"].eqNullSafe(kept["_key"]) & named["doc_id"].eqNullSafe(kept["_id"])
-    return (named.join(kept, cond, "left_semi").dropDuplicates(["_key", "doc_id"]).select(*docs.columns))
+    kept = near_dup_classes(docs).where("keep").select(F.col("doc_id").alias("_id"), F.col("key").alias("_md5")).distinct()
+    key = fresh(docs, "_key")
+    named = docs.withColumn(key, F.md5(F.coalesce("text", F.lit(""))))
+    cond = named[key].eqNullSafe(kept["_md5"]) & named["doc_id"].eqNullSafe(kept["_id"])
+    return named.join(kept, cond, "left_semi").dropDuplicates([key, "doc_id"]).select(*docs.columns)

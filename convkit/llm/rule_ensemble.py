@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convkit.llm import wordhash as H
-from convkit.llm.stages import drop, written
+from convkit.llm.stages import drop, fresh, written
 
 STATS = ["n_words", "word_bytes", "upper_share", "digit_share", "bang_rate", "pipe_rate", "symbol_rate",
          "stop_rate", "next_word_equal", "word_variety", "gram_repeat", "line_repeat", "words_per_line"]
@@ -41,10 +41,11 @@ class Rule:
     terms: tuple[tuple[str, bool, float], ...]
     weight: float = 0.0
 
-    def column(self) -> Column:
+    def column(self, of: str = "") -> Column:
+        """``of``: prefix of the statistics' names, such as that of a struct."""
         c = F.lit(True)
         for name, at_most, v in self.terms:
-            c = c & ((F.col(name) <= v) if at_most else (F.col(name) > v))
+            c = c & ((F.col(of + name) <= v) if at_most else (F.col(of + name) > v))
         return c
 
 
@@ -53,10 +54,10 @@ class Ensemble:
     rules: list[Rule]
     bias: float
 
-    def score_column(self) -> Column:
+    def score_column(self, of: str = "") -> Column:
         z = F.lit(float(self.bias))
         for r in self.rules:
-            z = z + F.when(r.column(), F.lit(float(r.weight))).otherwise(F.lit(0.0))
+            z = z + F.when(r.column(of), F.lit(float(r.weight))).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
@@ -130,6 +131,26 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     return base.mapInArrow(run, schema)
 
 
+_STRUCT = T.StructType([T.StructField(s, T.DoubleType()) for s in STATS])
+
+
+@F.arrow_udf(_STRUCT)
+def statistics_of(texts: pa.Array) -> pa.Array:
+    """The statistics of a text column as a struct; no other column goes to Python."""
+    parts = [statistics(p.column(0)) for p in H.slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", 1 << 20)]
+    H.give_back()
+    x = np.concatenate(parts) if parts else np.empty((0, len(STATS)))
+    return pa.StructArray.from_arrays([pa.array(x[:, i]) for i in range(len(STATS))], names=STATS)
+
+
+def accepted(docs: DataFrame, model: Ensemble, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score of ACCEPT or more, with their own columns only."""
+    q = fresh(docs, "_q")
+    # the marked function is evaluated once, below the rules
+    s = docs.withColumn(q, statistics_of.asNondeterministic()(F.col(text)))
+    return s.where(model.score_column(f"{q}.") >= ACCEPT).select(*docs.columns)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model may learn from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))

@@ -246,6 +246,25 @@ def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     return base.mapInArrow(run, schema)
 
 
+def rejects(spark, chain: Chain):
+    """Function of a text column: true where the last link finds it toxic.
+    Only the text goes to Python and only the verdict comes back; the other
+    columns stay where they are, whatever their names."""
+    model = spark.sparkContext.broadcast(chain)     # MAX_FEATURES rows at most
+
+    @F.arrow_udf(T.BooleanType())
+    def verdict(texts: pa.Array) -> pa.Array:
+        m = model.value
+        seen, out = _bitmap(m.keys), []
+        for part in H.slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", 1 << 20):
+            row, hashed = row_features(part.column(0))
+            out.append(m.predict(*_known(m.keys, row, hashed, seen), part.num_rows)[:, -1] >= THRESHOLD)
+        H.give_back()
+        return pa.array(np.concatenate(out) if out else np.empty(0, dtype=bool))
+
+    return verdict
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = MAX_ROWS_PER_CLASS) -> Chain:
     """Chain from a bounded labelled sample (the only rows that reach the driver)."""
     sample = sorted(labelled_sample(docs, labels, per_class).collect(), key=lambda r: (r["_id"], r["text"] or ""))

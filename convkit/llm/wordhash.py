@@ -159,6 +159,23 @@ def _fold(words: np.ndarray) -> int:
     return h
 
 
+@lru_cache(maxsize=None)
+def _trim():
+    import ctypes
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):       # another C library
+        return None
+
+
+def give_back() -> None:
+    """Return freed memory of Arrow and NumPy to the system: a worker lives on
+    between tasks, beside the JVM of its executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim() is not None:
+        _trim()(0)
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20):
     """Row slices of a batch with at most ``limit`` bytes of text each (one row at least)."""
     _, off = text_buffer(batch.column(batch.schema.get_field_index(text)))

@@ -1,8 +1,11 @@
 """The pipeline, stage by stage and as a whole, and what is registered."""
 import ast
 import re
+from collections import Counter
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
 from convkit.llm import catalog, decontaminate, near_dedup, stages
 from llm_edge import SF001
@@ -56,6 +59,41 @@ def test_stages_and_run(spark):
     assert all(tuple(r) == want[r["doc_id"]] for r in got)
 
 
+CLASH = ["toxic", "p_coded", "p_toxic", "score", "predicted", "_q", "_q_x", "n_words", "_key", "_row", "_id", "rid", "key", "class_id", "keep"]
+
+
+def test_stages_keep_the_columns_of_documents(spark):
+    """Extra columns with the names that stages use inside, null, empty and
+    repeated rows, and rows without id: what stays, stays as it was."""
+    own = stages.documents(spark, SF001).limit(60)
+    text = "The quiet river runs past the old stone bridge. " * 8
+    odd = [(None, "An unlabelled line of plain words that nobody has to fear at all."), (9001, None), (9002, ""), (9003, text), (9003, text), (9004, text + "End."),
+           (None, None)]
+    more = spark.createDataFrame(odd, "doc_id long, text string").selectExpr("doc_id", "text", "'en' as lang", "'odd' as source", "cast(0 as bigint) as n_chars")
+    docs = own.unionByName(more)
+    for c in CLASH:
+        docs = docs.withColumn(c, F.concat(F.lit(c + "-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    docs = stages.written(docs, "test-clash")
+    rows = Counter(map(tuple, docs.collect()))
+    gone = {}
+    for name, stage in C.STAGES[:-1]:
+        out = stages.written(stage(spark, docs, SF001), f"test-clash-{name}")
+        assert out.columns == docs.columns
+        left = Counter(map(tuple, out.collect()))
+        assert not left - rows, name
+        gone[name], docs, rows = rows - left, out, left
+    ids = [r[0] for r in gone["near_dedup"].elements()]
+    assert 9003 in ids and not any(r[0] in (9001, 9002) for r in gone["toxicity"])
+    last = C.STAGES[-1][1](spark, docs, SF001)
+    assert last.count() == sum(rows.values()) and last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = stages.documents(spark, SF001).where("false").withColumn("toxic", F.lit("x"))
+    for _, stage in C.STAGES:
+        assert stage(spark, docs, SF001).count() == 0
+
+
 def test_rest_does_not_import_this_package():
     for p in (ROOT / "convkit").rglob("*.py"):
         if "llm" not in p.relative_to(ROOT).parts:

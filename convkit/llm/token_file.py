@@ -180,14 +180,16 @@ def piece_encoder(tokenizer_json: str):
     """Function of a list of texts: flat ids and the n + 1 row offsets.
 
     A byte-level tokenizer with the usual split pattern is called once per
-    distinct piece of its split; any other one for whole texts.
+    distinct piece of its split; any other one for whole texts. A text that
+    holds the string of a special token is encoded whole, as the library does
+    by default: the string is that token.
     """
     import json
 
     from tokenizers import Tokenizer
     t = Tokenizer.from_str(tokenizer_json)
-    t.encode_special_tokens = True          # their strings in a text are ordinary text
     spec = json.loads(tokenizer_json)
+    special = [a["content"] for a in spec.get("added_tokens", []) if a["content"]]
     pre = spec.get("pre_tokenizer") or {}
 
     def whole(texts):
@@ -223,10 +225,21 @@ def piece_encoder(tokenizer_json: str):
 
     cache = PieceCache(pieces)
 
-    def run(texts):
+    def by_pieces(texts):
         number, rows = cache.lookup(texts, PATTERN)
         ids, off = cache.gather(number)
         return ids, off[rows]
+
+    def run(texts):
+        marked = np.array([any(s in x for s in special) for x in texts], dtype=bool)
+        if not marked.any():
+            return by_pieces(texts)
+        ids, off = by_pieces(["" if m else x for x, m in zip(texts, marked)])
+        own, n = whole([x for x, m in zip(texts, marked) if m])
+        # marked rows are empty in ``off``: their ids go in where they stand
+        size = np.diff(off)
+        size[marked] = n
+        return np.insert(ids, np.repeat(off[:-1][marked], n), own), np.concatenate([[0], np.cumsum(size)])
     return run
 
 

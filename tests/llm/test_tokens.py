@@ -157,8 +157,7 @@ def tokenizer():
 
 def test_pieces_equal_whole_texts(tokenizer):
     t = Tokenizer.from_str(tokenizer)
-    t.encode_special_tokens = True
-    texts = _texts(800) + ["", "\n\n a", "a\n", "<|endoftext|> x", "\n"]
+    texts = _texts(800) + ["", "\n\n a", "a\n", "<|endoftext|> x", "a <|endoftext|>  b", "<|endoftext|>", "\n"]
     ids, off = token_file.piece_encoder(tokenizer)(texts)
     assert [ids[off[i]:off[i + 1]].tolist() for i in range(len(texts))] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
@@ -167,7 +166,6 @@ def test_other_tokenizers():
     with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
         spec = f.read()
     t = Tokenizer.from_str(spec)
-    t.encode_special_tokens = True
     ids, off = token_file.piece_encoder(spec)(["Hello there", "", "x y"])
     assert [ids[off[i]:off[i + 1]].tolist() for i in range(3)] == [t.encode(x, add_special_tokens=False).ids for x in ["Hello there", "", "x y"]]
 
@@ -175,8 +173,7 @@ def test_other_tokenizers():
 @pytest.mark.parametrize("file_tokens", [token_file.FILE_TOKENS, 300])
 def test_files_round_trip(spark, frame, tokenizer, tmp_path, file_tokens, monkeypatch):
     t = Tokenizer.from_str(tokenizer)
-    t.encode_special_tokens = True
-    rows = EDGE + [(i, x) for i, x in enumerate(_texts(200), 100)]
+    rows = EDGE + [(11, "a <|endoftext|> b"), (12, "<|endoftext|>")] + [(i, x) for i, x in enumerate(_texts(200), 100)]
     want, at = [], 0
     for i, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = t.encode(x or "", add_special_tokens=False).ids + [0]

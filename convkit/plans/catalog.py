@@ -791,6 +791,16 @@ def q_pair_sink_scan(spark, sf):
                     F.coalesce("context", F.lit("")).alias("context"), "response")
 
 
+@query("pairs_multiline")
+def q_pairs_multiline(spark, sf):
+    """IO7: quoted cells over several lines, as the turns' texts are."""
+    path = _scratch(spark, "turns-tsv")
+    c = table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("key"), "role", "text")
+    (c.write.option("sep", "\t").option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+      .option("ignoreTrailingWhiteSpace", False).csv(path))
+    return IO.read_pairs(spark, path, ["key", "role", "text"]).withColumn("text", F.coalesce("text", F.lit("")))
+
+
 @query("key_scan")
 def q_key_scan(spark, sf):
     path = _scratch(spark, "keys")

@@ -248,6 +248,7 @@ oracle("dump_scan", ORACLE["comment_admission"])
 oracle("dump_scan_xz", ORACLE["comment_admission"])
 oracle("extract_roundtrip", ORACLE["comment_admission"])
 oracle("pair_sink_scan", f"SELECT sid, pid, cid, context, response FROM ({ORACLE['thread_pairs']})")
+oracle("pairs_multiline", "SELECT concat_ws(':', conv_id, turn) AS key, role, coalesce(text, '') AS text FROM conversations")
 oracle("key_scan", S.ctes(TS.base_ctes(), "SELECT DISTINCT link_id, comment_id, 'keep' AS kind FROM keys"))
 oracle("blocklist_scan", S.ctes(TS.base_ctes(), """
     SELECT DISTINCT lower(split_part(permalink, '/', 3)) AS entry FROM submissions

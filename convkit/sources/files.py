@@ -14,7 +14,7 @@ from pyspark.sql import types as Ty
 from convkit.functions import text as T
 from convkit.operators.batching import chunk_ids
 from convkit.operators.ordering import global_index
-from convkit.sources import xz
+from convkit.sources import tsv, xz
 
 # Every field is read as text: a dump types its fields loosely, and a value of
 # another type must not cost the row.
@@ -184,11 +184,12 @@ def write_pairs(df: DataFrame, path: str, training_projection: bool = False, can
 
 def read_pairs(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """IO7: header-less TSV with CSV quoting rules (doubled quotes, quoted
-    cells over several lines). A row with fewer cells has NULLs at its end; a
-    row with more ends the job, since its cells can't be told apart."""
-    schema = Ty.StructType([Ty.StructField(n, Ty.StringType()) for n in names] + [Ty.StructField("_more", Ty.StringType())])
-    df = (spark.read.schema(schema).option("sep", "\t").option("quote", '"').option("escape", '"')
-               .option("multiLine", True).option("mode", "PERMISSIVE").csv(path))
+    cells over several lines), a large file by many tasks (see
+    :mod:`convkit.sources.tsv`). A row with fewer cells has NULLs at its end;
+    a row with more ends the job, since its cells can't be told apart."""
+    schema = ", ".join(f"`{n}` string" for n in [*names, "_more"])
+    cells = F.from_csv("record", schema, {"sep": "\t", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"})
+    df = tsv.records(spark, path).select(cells.alias("c")).select("c.*")
     extra = F.raise_error(F.concat(F.lit("a row has more cells than named: "), F.coalesce(names[0], F.lit(""))))
     return df.withColumn(names[0], F.when(F.col("_more").isNotNull(), extra.cast("string")).otherwise(F.col(names[0]))).drop("_more")
 

@@ -32,14 +32,17 @@ def test_gpt_norm_quirks(spark):
 
 
 def test_eval_clean(spark):
-    out = run(spark, T.eval_clean, [
-        " We don't mind:). see this one?https://example.org/page",
-        "look at [ Manual ] ( https://example.org )",
-        "They won't, we can't; I'm glad you're in",
-    ])
-    assert out[0] == "we do n't mind : ) . see this one ? __url__"
-    assert out[1] == "look at manual"
-    assert out[2] == "they will n't , we can n't i 'm glad you 're in"
+    """One input per rule: case, addresses, link brackets, kept signs, contractions, white space."""
+    cases = {
+        "Docs live at https://docs.example.net/v2?x=1 now": "docs live at __url__ now",
+        "Start with [guide] ( http://guide.example.net ) today": "start with guide today",
+        "WAIT, what; no: stop": "wait , what no : stop",
+        "Price - 5 (five) dollars": "price 5 ( five ) dollars",
+        "Shouldn't he've called? You'll know": "should n't he 've called ? you 'll know",
+        "It won't start and she can't push": "it will n't start and she can n't push",
+        "tabs\tand  gaps": "tabs and gaps",
+    }
+    assert run(spark, T.eval_clean, list(cases)) == list(cases.values())
 
 
 def test_unescape_and_quotes(spark):

@@ -112,3 +112,56 @@ def test_much_edited_copies_beside_exact_ones(spark, frame, sentence):
     want = {(d, i) for d, x in docs for i, y in items
             if grams(words(x)) & grams(words(y)) and _sw(words(x), words(y)) / (2 * len(words(y))) >= D.SIMILARITY}
     assert _found(D.leaks(frame(docs), spark.createDataFrame(items, "item_id long, text string"))) == want and len(want) >= 50
+
+
+def test_items_that_share_a_phrase_are_not_all_aligned(spark, frame):
+    """A phrase of all items and documents: few pairs pass the bound, none of the copies among them is lost."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(4000)}"
+    phrase = "which of the following is true"
+    items = [(i, " ".join([phrase, *(word() for _ in range(24))])) for i in range(100)]
+    docs = [(i, " ".join([*(word() for _ in range(40)), phrase, *(word() for _ in range(40))])) for i in range(100)]
+    kept = [(1000 + i, " ".join([*(word() for _ in range(40)), phrase, *(w for k, w in enumerate(t.split()[6:]) if k % 5 != 2), word()]))
+            for i, t in items[:30]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    seed = D.seeds(D.item_texts(bench))
+    found = D.passages(frame(docs + kept), seed)
+    near, _ = D.candidates(found, seed)
+    item = {r["tid"]: r["words"] for r in seed.collect()}
+    window = {(r["rid"], r["lo"]): r["window"] for r in found.collect()}
+    pairs = [(window[r["rid"], r["lo"]], item[r["tid"]]) for r in near.collect()]
+    assert len(pairs) < 0.05 * 130 * 100
+    assert D.in_reach(*zip(*pairs)).sum() < 0.01 * 130 * 100
+    assert _found(D.leaks(frame(docs + kept), bench)) == {(1000 + i, i) for i in range(30)}
+
+
+def test_common_seeds_equal_all_pairs(spark, frame, sentence, monkeypatch):
+    """Every seed treated as common, edits up to a third of the words."""
+    import re
+    monkeypatch.setattr(D, "RARE", 0)
+    monkeypatch.setattr(D, "FEW", 0)
+    rng = random.Random(13)
+    items = [(i, f"{sentence(rng.randrange(8, 24))} as shown in the table {sentence(8)}") for i in range(12)]
+    docs = [(10 * i + k, f"{sentence(20)} {_edit(rng, t, share)} {sentence(30)}")
+            for i, t in items for k, share in enumerate((0, 0.1, 0.2, 0.25, 0.3, 0.35))]
+    words = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    grams = lambda w: {tuple(w[i:i + 3]) for i in range(len(w) - 2)}
+    want = {(d, i) for d, x in docs for i, y in items
+            if grams(words(x)) & grams(words(y)) and _sw(words(x), words(y)) / (2 * len(words(y))) >= D.SIMILARITY}
+    assert _found(D.leaks(frame(docs), spark.createDataFrame(items, "item_id long, text string"))) == want and len(want) >= 50
+
+
+def test_short_items_within_long_documents(spark, frame, sentence):
+    bench = spark.createDataFrame([(1, "zebra"), (2, "blue Zebra"), (3, "a blue zebra")], "item_id long, text string")
+    docs = [(1, f"{sentence(30)} a blue, zebra {sentence(9)}"), (2, f"{sentence(9)} zebra blue"), (3, sentence(40)), (4, "blue")]
+    assert _found(D.leaks(frame(docs), bench)) == {(1, 1), (1, 2), (1, 3), (2, 1)}
+    assert _found(D.leaks(frame(docs), bench, block=2)) == {(1, 1), (1, 2), (1, 3), (2, 1)}
+
+
+def test_repeated_rows_without_id_beside_a_common_phrase(spark, frame, sentence):
+    phrase = "all of the above are right"
+    items = [(i, f"{phrase} {sentence(14)}") for i in range(8)]
+    docs = [(None, f"{sentence(9)} {items[0][1]}")] * 50 + [(i, f"{sentence(30)} {phrase}") for i in range(40)]
+    rows = D.leaks(frame(docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == {(None, 0)}
+    assert D.decontaminated(frame(docs), spark.createDataFrame(items, "item_id long, text string")).count() == 40

@@ -100,6 +100,59 @@ def weighted_sample(df: DataFrame, chunk_col: str, id_col: str, weight_col: str,
     return ev.filter(F.col("_t") == 1).select(chunk_col, "draw", F.col("_pick").alias(id_col))
 
 
+def exponents(epochs: int, decrease: float) -> list[float]:
+    """Exponent of each epoch; starts at 1 and falls to 0."""
+    out = [1.0]
+    while len(out) < epochs:
+        out.append(max(out[-1] - decrease, 0.0))
+    return out[:epochs]
+
+
+def weighted_epochs(df: DataFrame, chunk_col: str, id_col: str, class_col: str, len_col: str, epochs: int, decrease: float,
+                    batch_size: int, bucket_size: int | None = None, seed: int = 42) -> DataFrame:
+    """A12, W8 and W5 over several epochs: (epoch, chunk, draw, id, bucket,
+    batch_in_bucket, batch_key).
+
+    Per epoch and chunk, class weights by the epoch's exponent give the number
+    of draws; these are cut into buckets in drawn order, sorted by length
+    (longest first), cut into batches, and short batches are dropped. Rows of
+    a class weigh the same, so a draw is a class and a row number in it: no
+    interval per row. A chunk is bounded and shuffled once; everything after
+    that keeps its partitioning. Draws are hashes, as in weighted_sample.
+    Rows of a null class are a class of their own, the first one."""
+    bucket_size = bucket_size or 100 * batch_size
+    chunk = F.col(chunk_col)
+    member = F.struct(F.col(id_col).alias("id"), F.col(len_col).cast("long").alias("len"))
+    cls = df.repartition(chunk).groupBy(chunk_col, class_col).agg(F.sort_array(F.collect_list(member)).alias("rows"),
+                                                                   F.count(F.lit(1)).alias("cnt"))
+    plan = F.array(*[F.struct(F.lit(i).alias("epoch"), F.lit(x).alias("exponent")) for i, x in enumerate(exponents(epochs, decrease))])
+    cls = cls.select(chunk_col, class_col, "rows", "cnt", F.explode(plan).alias("p")).select(
+        chunk_col, class_col, "rows", "cnt", "p.epoch", F.pow(1.0 / F.col("cnt"), F.col("p.exponent")).alias("w"))
+    upto = Window.partitionBy(chunk_col, "epoch").orderBy(class_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cls = cls.withColumn("hi", F.sum(F.col("cnt") * F.col("w")).over(upto))
+    per = cls.groupBy(chunk_col, "epoch").agg(
+        F.sort_array(F.collect_list(F.struct("hi", "w", "cnt", "rows"))).alias("classes"), F.max("hi").alias("total"), F.min("w").alias("least"))
+    h = lambda d: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), chunk.cast("string"), d.cast("string")))
+    point = lambda d: F.conv(F.substring(h(d), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52)) * F.col("total")
+    seq = F.sequence(F.lit(1).cast("long"), F.bround(F.col("total") / F.col("least"), 0).cast("long"))
+    at = F.transform(seq, lambda d: F.struct(d.alias("draw"), point(d).alias("x")))
+    at = F.transform(at, lambda s: F.struct(
+        s["draw"].alias("draw"), s["x"].alias("x"),
+        F.coalesce(F.get(F.filter("classes", lambda c: c["hi"] > s["x"]), F.lit(0)), F.element_at("classes", -1)).alias("c")))
+    place = lambda s: F.floor((s["x"] - (s["c"]["hi"] - s["c"]["cnt"] * s["c"]["w"])) / s["c"]["w"])
+    at = F.transform(at, lambda s: F.struct(s["draw"].alias("draw"), F.get(
+        s["c"]["rows"], F.greatest(F.least(place(s), s["c"]["cnt"] - 1), F.lit(0)).cast("int")).alias("row")))
+    d = per.select("epoch", chunk_col, F.explode(at).alias("d")).select(
+        "epoch", chunk_col, "d.draw", F.col("d.row.id").alias(id_col), F.col("d.row.len").alias("_len"))
+    d = d.withColumn("bucket", F.floor((F.col("draw") - 1) / bucket_size))
+    w = Window.partitionBy(chunk_col, "epoch", "bucket").orderBy(F.col("_len").desc(), "draw")           # <= bucket_size rows
+    d = d.withColumn("batch_in_bucket", F.floor((F.row_number().over(w) - 1) / batch_size))
+    d = d.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(chunk_col, "epoch", "bucket", "batch_in_bucket")))
+    d = d.filter(F.col("_n") == batch_size).drop("_n", "_len")
+    names = [F.col(c).cast("string") for c in ("epoch", chunk_col, "bucket", "batch_in_bucket")]
+    return d.withColumn("batch_key", F.md5(F.concat_ws("|", F.lit(str(seed)), *names)))
+
+
 def rank_slice(df: DataFrame, chunk_col: str, rank: int, world: int) -> DataFrame:
     """Chunks rank::world."""
     return df.filter(F.pmod(F.col(chunk_col), F.lit(world)) == rank)

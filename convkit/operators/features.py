@@ -51,23 +51,28 @@ def flatten_eos(turn_ids, eos: int = EOS_ID) -> Column:
 def feature_len_guard(turn_ids, max_len: int) -> Column:
     """PF9: True when a turn is longer than max_len or the running length
     of the earlier turns (each + 1 eos) exceeds it."""
-    t = T._c(turn_ids)
-    lens = F.transform(t, lambda a: F.size(a))
-    before = F.transform(lens, lambda l, i: F.aggregate(F.slice(lens, 1, i), F.lit(0), lambda acc, x: acc + x + 1))
-    return F.exists(F.arrays_zip(lens.alias("l"), before.alias("b")),
-                    lambda z: (z["l"] > max_len) | (z["b"] > max_len))
+    zero = F.struct(F.lit(0).alias("before"), F.lit(False).alias("over"))
+
+    def step(acc, ids):
+        return F.struct((acc["before"] + F.size(ids) + 1).alias("before"),
+                        (acc["over"] | (F.size(ids) > max_len) | (acc["before"] > max_len)).alias("over"))
+
+    return F.aggregate(T._c(turn_ids), zero, step, lambda acc: acc["over"])
 
 
-def eval_features(context_ids, response_ids, max_len: int, eos: int = EOS_ID) -> Column:
+def eval_features(context_ids, response_ids, max_len: int, eos: int = EOS_ID, context_len: Column | None = None) -> Column:
     """struct(input_ids, position_ids, token_type_ids, lm_labels,
-    context_len, response_len) or NULL when there is no room."""
+    context_len, response_len) or NULL when there is no room.
+    ``context_len``: length of the whole context where ``context_ids`` holds
+    only the last tokens of it (``max_len`` of them, or all)."""
     c, r = T._c(context_ids), T._c(response_ids)
-    n = F.size(c) + F.size(r) + 2
+    size = F.size(c) if context_len is None else context_len
+    n = size + F.size(r) + 2
     over = n > max_len
-    cut_ctx = over & (F.size(c) > n - max_len)
-    drop = over & ~cut_ctx & (F.lit(max_len) - F.size(c) - 2 < 0)
-    c2 = F.when(cut_ctx, F.slice(c, n - max_len + 1, F.size(c))).otherwise(c)
-    r2 = F.when(over & ~cut_ctx, F.slice(r, 1, F.greatest(F.lit(max_len) - F.size(c) - 2, F.lit(0)))).otherwise(r)
+    cut_ctx = over & (size > n - max_len)
+    drop = over & ~cut_ctx & (F.lit(max_len) - size - 2 < 0)
+    c2 = F.when(cut_ctx, F.slice(c, F.size(c) - size + n - max_len + 1, F.size(c))).otherwise(c)
+    r2 = F.when(over & ~cut_ctx, F.slice(r, 1, F.greatest(F.lit(max_len) - size - 2, F.lit(0)))).otherwise(r)
     ids = F.concat(c2, F.array(F.lit(eos)), r2, F.array(F.lit(eos)))
     labels = F.concat(F.array_repeat(F.lit(IGNORE), F.size(c2)), r2, F.array(F.lit(eos)), F.array(F.lit(IGNORE)))
     st = F.struct(ids.alias("input_ids"),

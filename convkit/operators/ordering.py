@@ -60,3 +60,21 @@ def keyed_index(df: DataFrame, key: list[str], order: list[Column], name: str =
     r = global_index(df, [F.col(k) for k in key] + order, "_place")
     first = r.groupBy(*key).agg(F.min("_place").alias("_first"))
     return r.join(first, key).withColumn(name, F.col("_place") - F.col("_first")).drop("_place", "_first")
+
+
+def keyed_cumsum(df: DataFrame, key: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
+    """Sum of ``value`` over the earlier rows of the same key. A key may span
+    many ranges: its rows are summed range by range, and a range takes over
+    the totals of its first key from the ranges before it. That is one row
+    per range at most, so the broadcast is bounded; nulls are a key."""
+    r = _ranged(df.withColumn("_v", value.cast("long")), [F.col(k) for k in key] + order).withColumn("_p", F.expr(_RANGE))
+    w = Window.partitionBy("_p", *key).orderBy("_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = r.withColumn("_loc", F.sum("_v").over(w) - F.col("_v"))
+    before = Window.partitionBy(*key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)      # one row per range of a key
+    carry = r.groupBy("_p", *key).agg(F.sum("_v").alias("_t")).withColumn("_off", F.sum("_t").over(before))
+    carry = carry.filter(F.col("_off").isNotNull()).select(F.col("_p").alias("_q"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "_off")
+    cond = F.col("_p") == F.col("_q")
+    for i, k in enumerate(key):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = local.join(F.broadcast(carry), cond, "left").withColumn(name, F.col("_loc") + F.coalesce("_off", F.lit(0)))
+    return out.drop("_p", "_v", "_loc", "_off", "_mid", "_q", *[f"_k{i}" for i in range(len(key))])

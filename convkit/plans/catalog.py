@@ -439,6 +439,7 @@ def q_system_report_head(spark, sf):
 
 
 # --- features, batching, scoring ---------------------------------------------
+from convkit.operators import contexts as CX  # noqa: E402
 from convkit.operators import batching as BA  # noqa: E402
 from convkit.operators import features as FE  # noqa: E402
 from convkit.operators import scoring as SC  # noqa: E402
@@ -504,6 +505,27 @@ def q_eval_features(spark, sf):
                     F.col("e.context_len").alias("context_len"), F.col("e.response_len").alias("response_len"))
 
 
+def _encoded_turns(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return FE.encode_texts(c, ["conv_id", "turn"], "text", _vocab(spark, sf)).select("conv_id", "turn", "ids")
+
+
+@query("eval_features_windowed")
+def q_eval_features_windowed(spark, sf):
+    """F13 from context tails: no conversation is gathered in a row."""
+    e = CX.eval_rows(_encoded_turns(spark, sf), FEATURE_MAX_LEN)
+    return e.select(_row_id().alias("row_id"), _ints("e.input_ids").alias("input_ids"), _ints("e.position_ids").alias("position_ids"),
+                    _ints("e.token_type_ids").alias("token_type_ids"), _ints("e.lm_labels").alias("lm_labels"),
+                    F.col("e.context_len").alias("context_len"), F.col("e.response_len").alias("response_len"))
+
+
+@query("guarded_features")
+def q_guarded_features(spark, sf):
+    """F12 of the rows that PF9 keeps, from offsets."""
+    g = CX.guarded_rows(_encoded_turns(spark, sf), FEATURE_MAX_LEN)
+    return g.select(_row_id().alias("row_id"), _ints("input_ids").alias("input_ids"))
+
+
 @query("left_truncate")
 def q_left_truncate(spark, sf):
     e = _eval_feats(spark, sf)
@@ -621,6 +643,17 @@ def q_weighted_sample(spark, sf):
     return BA.weighted_sample(rows, "chunk_id", "row_id", "weight", ns)
 
 
+WEIGHTED = dict(epochs=4, decrease=0.4, batch_size=8, bucket_size=40)
+
+
+@query("weighted_epochs")
+def q_weighted_epochs(spark, sf):
+    """Batches of four epochs, exponents 1 to 0; the length is that of the response in characters."""
+    x = _turn_rows(spark, sf).select("row_id", "reward", F.length(F.element_at("turns", -1)).alias("len"))
+    x = BA.chunk_ids(x, [F.col("row_id")], chunk_size=100)
+    return BA.weighted_epochs(x, "chunk_id", "row_id", "reward", "len", **WEIGHTED)
+
+
 @query("concat_candidates")
 def q_concat_candidates(spark, sf):
     """Context: the first turn; candidates: the other turns of the conversation."""

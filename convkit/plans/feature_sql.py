@@ -93,6 +93,47 @@ def feature_len_guard_sql(max_len: int = 128) -> str:
         f"SELECT row_id, CAST(max(l > {max_len} OR b > {max_len}) AS INTEGER) AS rejected FROM g GROUP BY row_id")
 
 
+def guarded_sql(max_len: int = 128) -> str:
+    return S.ctes(feature_ctes() + [
+        ("g", """SELECT row_id, len(ids) AS l,
+                        coalesce(sum(len(ids) + 1) OVER (PARTITION BY row_id ORDER BY ti
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+                 FROM tids"""),
+        ("ok", f"SELECT row_id FROM g GROUP BY row_id HAVING max(l) <= {max_len} AND max(b) <= {max_len}")],
+        f"SELECT row_id, {ints(flatten_eos('turn_ids'))} AS input_ids FROM feat JOIN ok USING (row_id)")
+
+
+def weighted_epochs_sql(exponents=(1.0, 0.6, 0.19999999999999996, 0.0), batch: int = 8, bucket: int = 40) -> str:
+    ep = ", ".join(f"({i}, CAST({x!r} AS DOUBLE))" for i, x in enumerate(exponents))
+    return S.ctes([
+        ("u", UNROLL),
+        ("r0", """SELECT conv_id || '_' || turn AS row_id, CAST((conv_id + turn) % 3 - 1 AS DOUBLE) AS reward, length(response) AS len FROM u"""),
+        ("ch", "SELECT *, (row_number() OVER (ORDER BY row_id) - 1) // 100 AS chunk_id FROM r0"),
+        ("rn", "SELECT *, row_number() OVER (PARTITION BY chunk_id, reward ORDER BY row_id) - 1 AS n FROM ch"),
+        ("cc", "SELECT chunk_id, reward, count(*) AS cnt FROM ch GROUP BY ALL"),
+        ("w0", f"""SELECT e.epoch, c.chunk_id, c.reward, c.cnt, pow(1.0::DOUBLE / c.cnt, e.x) AS w
+                   FROM cc c CROSS JOIN (VALUES {ep}) AS e(epoch, x)"""),
+        ("w1", """SELECT *, sum(cnt * w) OVER (PARTITION BY epoch, chunk_id ORDER BY reward) AS hi FROM w0"""),
+        ("w2", "SELECT *, hi - cnt * w AS lo, row_number() OVER (PARTITION BY epoch, chunk_id ORDER BY reward DESC) = 1 AS is_last FROM w1"),
+        ("ns", "SELECT epoch, chunk_id, max(hi) AS total, CAST(round_even(max(hi) / min(w), 0) AS BIGINT) AS num FROM w1 GROUP BY ALL"),
+        ("dr", """SELECT epoch, chunk_id, draw, CAST('0x' || substr(md5('42|' || epoch || '|' || chunk_id || '|' || draw), 1, 13) AS BIGINT)
+                         / 4503599627370496.0 * total AS x
+                  FROM ns, LATERAL (SELECT unnest(range(1, num + 1)) AS draw)"""),
+        ("pk", """SELECT d.epoch, d.chunk_id, d.draw, arg_min(w.reward, w.reward) AS reward,
+                         arg_min(greatest(least(CAST(floor((d.x - w.lo) / w.w) AS BIGINT), w.cnt - 1), 0), w.reward) AS n
+                  FROM dr d JOIN w2 w ON w.epoch = d.epoch AND w.chunk_id = d.chunk_id AND (w.hi > d.x OR w.is_last)
+                  GROUP BY ALL"""),
+        ("dw", """SELECT p.epoch, p.chunk_id, p.draw, r.row_id, r.len FROM pk p
+                  JOIN rn r ON r.chunk_id = p.chunk_id AND r.reward = p.reward AND r.n = p.n"""),
+        ("b1", f"SELECT *, (draw - 1) // {bucket} AS bucket FROM dw"),
+        ("b2", f"""SELECT *, (row_number() OVER (PARTITION BY epoch, chunk_id, bucket ORDER BY len DESC, draw) - 1) // {batch} AS batch_in_bucket
+                   FROM b1"""),
+        ("b3", "SELECT *, count(*) OVER (PARTITION BY epoch, chunk_id, bucket, batch_in_bucket) AS size FROM b2")],
+        f"""SELECT epoch, chunk_id, draw, row_id, bucket, batch_in_bucket,
+                   md5('42|' || epoch || '|' || chunk_id || '|' || bucket || '|' || batch_in_bucket) AS batch_key
+            FROM b3 WHERE size = {batch}""")
+
+
 def two_turn_sql() -> str:
     return S.ctes(feature_ctes(), "SELECT row_id, array_to_string(CASE WHEN len(turns) > 2 THEN "
                                   "turns[len(turns) - 1:len(turns)] ELSE turns END, ' EOS ') AS turns FROM feat")
@@ -154,6 +195,9 @@ def sqls() -> dict[str, str]:
         "encode_features": encode_features_sql(),
         "feature_len_guard": feature_len_guard_sql(),
         "eval_features": eval_features_sql(),
+        "eval_features_windowed": eval_features_sql(),
+        "guarded_features": guarded_sql(),
+        "weighted_epochs": weighted_epochs_sql(),
         "left_truncate": left_truncate_sql(),
         "two_turn": two_turn_sql(),
         "prompt_prefix": prompt_prefix_sql(),

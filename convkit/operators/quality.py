@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convkit.functions import text as T
+from convkit.session import materialize
 
 # Fixed rule limits (must equal the original filter).
 MAX_WORD_CHARS = 30
@@ -78,22 +79,42 @@ def skip_audit(rejected: DataFrame, by=("skip_reason",)) -> DataFrame:
     return rejected.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _anchors(text) -> Column:
+    """The distinct lower-cased words of a text, and its other characters but white space."""
+    low = F.lower(text)
+    rest = F.regexp_replace(low, r"(?U)[\p{L}\p{N}_\s]+", "")
+    found = F.concat(F.split(low, r"[^\p{L}\p{N}_]+"), F.split(rest, ""))
+    return F.array_distinct(F.filter(found, lambda w: w != ""))
+
+
+def phrase_candidates(df: DataFrame, key: str, text_col: str, block_words: DataFrame) -> DataFrame:
+    """(key, phrase) of texts that hold a phrase's rarest word.
+
+    A text with a phrase has all its words, so any of them may find it. The
+    word in the fewest texts does: phrases that begin with a word of nearly
+    every text don't meet nearly every text. Phrases with a word that no text
+    has go. A phrase without words is found by its rarest character."""
+    bl = block_words.select(F.trim("entry").alias("phrase")).where("phrase <> '' and phrase not like '#%'").distinct()
+    word = F.filter(F.split(F.lower("phrase"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    parts = bl.select("phrase", F.explode(F.when(F.size(word) > 0, F.array_distinct(word)).otherwise(_anchors(F.col("phrase")))).alias("g"))
+    near = df.select(F.col(key).alias("_k"), F.explode(_anchors(F.col(text_col))).alias("g"))
+    # words of no phrase go before the count
+    freq = near.join(parts.select("g").distinct(), "g").groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    rarest = parts.join(freq, "g", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")).alias("x"))
+    rarest = rarest.where("x.df > 0").select("phrase", F.col("x.g").alias("g"))
+    return near.join(rarest, "g").select(F.col("_k").alias(key), "phrase")
+
+
 def blockword_hits(df: DataFrame, key: str, text_col: str, block_words: DataFrame) -> DataFrame:
     """J7 for large lists: the rule of :func:`blockword_regex` as a join.
 
-    Texts meet phrases on the phrase's first word (phrases of any length; a
-    phrase without word characters meets every text), then the whole phrase
-    is confirmed in the text. ``key`` must identify a row. Returns ``df``
-    with a boolean ``blocked`` column."""
-    word = r"[^\p{L}\p{N}_]+"
-    first = lambda c: F.coalesce(F.get(F.filter(F.split(c, word), lambda w: w != ""), 0), F.lit(""))
-    bl = block_words.select(F.trim("entry").alias("phrase")).where("phrase <> '' and phrase not like '#%'").distinct()
-    bl = bl.select("phrase", first(F.lower("phrase")).alias("g"))
-    toks = F.array_distinct(F.concat(F.split(F.lower(F.col(text_col)), word), F.array(F.lit(""))))
+    Texts meet phrases on the phrase's rarest word (:func:`phrase_candidates`),
+    then the whole phrase is confirmed in the text. ``key`` must identify a
+    row. ``df`` is written once, so what made it runs once. Returns it with a
+    boolean ``blocked`` column."""
+    df = materialize(df, "texts")
+    cand = phrase_candidates(df, key, text_col, block_words).withColumnRenamed(key, "_k")
     texts = df.select(F.col(key).alias("_k"), F.col(text_col).alias("_t"))
-    # words that start no phrase go before any text is carried along
-    near = df.select(F.col(key).alias("_k"), F.explode(toks).alias("g"))
-    cand = near.join(bl, "g").select("_k", "phrase").distinct()
     quoted = F.concat(F.lit(f"(?iu){_BEFORE}\\Q"), F.replace(F.col("phrase"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(f"\\E{_AFTER}"))
     hits = texts.join(cand, "_k").where(F.rlike("_t", quoted)).select("_k").distinct().withColumn("blocked", F.lit(True))
     return (df.join(hits, df[key] == hits["_k"], "left").drop("_k")

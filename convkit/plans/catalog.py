@@ -181,6 +181,20 @@ def q_blockword_hits(spark, sf):
         "name", F.col("blocked").cast("int").alias("blocked"))
 
 
+def _phrase_list(spark, sf):
+    """A list that grows with the table: words two to four of every conversation's first turn."""
+    c = table(spark, sf, "conversations").where("turn = 0").select(T.words("text").alias("w")).where(F.size("w") >= 4)
+    return c.select(F.array_join(F.slice("w", 2, 3), " ").alias("entry")).distinct()
+
+
+@query("blockword_list")
+def q_blockword_list(spark, sf):
+    """J7 by a long list of phrases, many of which begin with a frequent word."""
+    _, c = _admitted(spark, sf)
+    return Q.blockword_hits(c.select("name", "body"), "name", "body", _phrase_list(spark, sf)).select(
+        "name", F.col("blocked").cast("int").alias("blocked"))
+
+
 @query("skip_audit")
 def q_skip_audit(spark, sf):
     s, c = _admitted(spark, sf, materialize=True)

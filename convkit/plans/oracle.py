@@ -65,6 +65,14 @@ oracle("turn_weights", TS.thread_pairs_sql(leaves_only=True, block_subs=True, di
 # the same list as the query's
 BLOCK_WORDS = ["und der", "the and", "que la", "of the and in", "on, the", "thonsh"]
 oracle("blockword_hits", S.ctes(_B, f"SELECT name, CAST({S.block_match('body', BLOCK_WORDS)} AS INTEGER) AS blocked FROM adm"))
+_EDGE = "[^\\p{L}\\p{N}_]"
+oracle("blockword_list", S.ctes(_B + [
+    ("pl", f"""SELECT DISTINCT lower(trim(array_to_string(ws[2:4], ' '))) AS phrase FROM (
+                 SELECT {S.words('text')} AS ws FROM conversations WHERE turn = 0) WHERE len(ws) >= 4"""),
+    ("hit", f"""SELECT DISTINCT name FROM adm JOIN pl ON strpos(lower(body), phrase) > 0
+                AND regexp_matches(lower(body), '(^|{_EDGE})' || regexp_escape(phrase) || '({_EDGE}|$)')
+                WHERE phrase <> '' AND phrase NOT LIKE '#%'""")],
+    "SELECT name, CAST(name IN (SELECT name FROM hit) AS INTEGER) AS blocked FROM adm"))
 oracle("thread_pairs_blocked", TS.thread_pairs_sql(block_words=BLOCK_WORDS, **THREAD))
 oracle("thread_pairs_repeats", TS.thread_pairs_sql(repeats=True, **THREAD))
 oracle("skip_audit", S.ctes(TS.instances_ctes(block_subs=True, **THREAD), """

@@ -46,3 +46,16 @@ def test_doc_line_counts(spark):
     got = {r[0]: r[1] for r in Q.quality_filter(p).groupBy("skip_reason").count().collect()}
     assert got == {"keep": 7401, "toolong": 438, "emptytarget": 233, "allcaps": 168, "repetitions": 65,
                    "tags": 30, "longword": 9}
+
+
+def test_phrases_are_found_by_their_rarest_word(spark):
+    texts = [(i, f"the and of w{i} the, v{i % 50}") for i in range(400)] + [(400, None), (401, ""), (402, "*** the ??"), (403, "The\tW7 x"), (404, "a W7 the")]
+    phrases = [f"the w{i}" for i in range(0, 400, 2)] + [f"of W{i}" for i in range(0, 400, 4)] + ["the nowhere", "??", "***", "# comment", " ", "a w7"]
+    df = spark.createDataFrame(texts, "id long, t string")
+    bl = spark.createDataFrame([(p,) for p in phrases * 2], "entry string")
+    assert Q.phrase_candidates(df, "id", "t", bl).count() < 320                # 400 x 300 pairs by first words
+    got = {r["id"] for r in Q.blockword_hits(df, "id", "t", bl).where("blocked").collect()}
+    rx = Q.blockword_regex([p for p in phrases if p.strip() and not p.startswith("#")])
+    want = {r["id"] for r in df.where(F.col("t").rlike(rx)).collect()}
+    assert got == want == {*range(0, 400, 4), 402, 404}
+    assert Q.blockword_hits(df, "id", "t", bl.limit(0)).where("blocked").count() == 0

@@ -7,6 +7,8 @@ dropped), hence the ``(?U)`` flag on every whitespace regex.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,12 +68,17 @@ def tokenise(col, pattern: str = TOKEN_PATTERN) -> Column:
     return F.regexp_extract_all(_c(col), F.lit(pattern), 0)
 
 
+# A tokeniser is a function from a text Column to an array<string> Column:
+# built-in functions, or an Arrow-batched UDF around a library.
+Tokeniser = Callable[[Column], Column]
+
+
 def _cut_url(w: Column, lower_first: bool) -> Column:
     pos = F.locate("http", F.lower(w) if not lower_first else w)
     return F.when(pos > 0, F.concat(F.substring(w, F.lit(1), pos - 1), F.lit(" " + URL_TOKEN))).otherwise(w)
 
 
-def gpt_norm(col) -> Column:
+def gpt_norm(col, tokeniser: Tokeniser = tokenise) -> Column:
     """normaliser for training text."""
     ws = F.filter(words(col), lambda w: ~w.startswith("#"))
     txt = F.array_join(F.transform(ws, lambda w: F.trim(_cut_url(w, False))), " ")
@@ -83,10 +90,10 @@ def gpt_norm(col) -> Column:
     txt = F.regexp_replace(txt, GPT_KEEP_CLASS, " ")
     txt = F.replace(txt, F.lit("MENTION"), F.lit(MENTION_TOKEN))
     txt = F.replace(txt, F.lit("URL"), F.lit(URL_TOKEN))
-    return F.array_join(tokenise(txt), " ")
+    return F.array_join(tokeniser(txt), " ")
 
 
-def eval_clean(col) -> Column:
+def eval_clean(col, tokeniser: Tokeniser = tokenise) -> Column:
     """normaliser applied to hypotheses and references before metrics."""
     ws = words(F.lower(_c(col)))
     txt = F.array_join(F.transform(ws, lambda w: F.trim(_cut_url(w, True))), " ")
@@ -95,7 +102,7 @@ def eval_clean(col) -> Column:
     txt = F.replace(txt, F.lit(URL_TOKEN), F.lit("URL"))
     txt = F.regexp_replace(txt, EVAL_KEEP_CLASS, " ")
     txt = F.replace(txt, F.lit("URL"), F.lit(URL_TOKEN))
-    txt = F.concat(F.lit(" "), F.array_join(tokenise(F.lower(txt)), " "), F.lit(" "))
+    txt = F.concat(F.lit(" "), F.array_join(tokeniser(F.lower(txt)), " "), F.lit(" "))
     txt = F.replace(txt, F.lit(" won't "), F.lit(" will n't "))
     txt = F.replace(txt, F.lit(" can't "), F.lit(" can n't "))
     for a in CONTRACTIONS:

@@ -163,7 +163,7 @@ def conv_instances(comments: DataFrame, subs: DataFrame, *, max_len: int = 30, m
                                       .otherwise(F.col("turns"))))
     ch = ch.withColumn("skip_reason", F.coalesce("skip_reason",
                                                  F.when(F.size("turns") < min_depth, F.lit("min_depth"))))
-    ch = ch.withColumn("turns", F.transform("turns", T.gpt_norm)).withColumn("cid", F.col("name"))
+    ch = ch.withColumn("turns", F.transform("turns", lambda t: T.gpt_norm(t))).withColumn("cid", F.col("name"))
     if leaves_only and clean:
         if block_words is not None:
             ch = _weigh_by_list(ch, discard_hashes, block_words, hash_bits)

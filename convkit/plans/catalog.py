@@ -249,6 +249,28 @@ def q_distinct_n(spark, sf):
     return NS.distinct_n(c).select("n", F.round("distinct", 6).alias("distinct"))
 
 
+# a tokeniser of one's own: runs of letters, single digits, single other signs
+OWN_TOKENS = r"[a-z]+|[0-9]|[^\sa-z0-9]"
+
+
+@query("ngram_counts_tokeniser")
+def q_ngram_counts_tokeniser(spark, sf):
+    """F3 and A1 with a tokeniser given by the caller."""
+    own = lambda c: T.tokenise(c, OWN_TOKENS)
+    c = table(spark, sf, "conversations").select(T.eval_clean("text", own).alias("text"))
+    return NS.ngram_counts(c, "text", 4, tokeniser=own)
+
+
+@query("distinct_sketch")
+def q_distinct_sketch(spark, sf):
+    """A3 from sketches of three parts, merged; ``close``: within 3 % of the exact count."""
+    c = table(spark, sf, "conversations").withColumn("part", F.col("conv_id") % 3)
+    est = NS.distinct_of(NS.merge_sketches(NS.distinct_sketch(c, keys=["part"])))
+    exact = NS.ngram_counts(c).groupBy("n").agg(F.count(F.lit(1)).alias("exact"), F.sum("cnt").alias("tokens"))
+    near = F.abs(F.col("distinct") * F.col("tokens") / F.col("exact") - 1) <= 0.03
+    return est.join(exact, "n").select("n", "tokens", near.cast("int").alias("close"))
+
+
 @query("avg_len")
 def q_avg_len(spark, sf):
     return NS.avg_len(table(spark, sf, "conversations"), "text").select(F.round("avg_len", 6).alias("avg_len"))

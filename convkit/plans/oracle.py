@@ -115,6 +115,14 @@ oracle("ngram_entropy", S.ctes([_NG, _NC], """
     SELECT n, round(-sum(cnt / t * (ln(cnt) - ln(t))), 6) AS entropy
     FROM (SELECT *, sum(cnt) OVER (PARTITION BY n) AS t FROM nc) GROUP BY n"""))
 oracle("distinct_n", S.ctes([_NG, _NC], "SELECT n, round(count(*) / sum(cnt), 6) AS distinct FROM nc GROUP BY n"))
+oracle("distinct_sketch", S.ctes([_NG, _NC], "SELECT n, CAST(sum(cnt) AS BIGINT) AS tokens, 1 AS close FROM nc GROUP BY n"))
+_OWN = "[a-z]+|[0-9]|[^\\sa-z0-9]"
+oracle("ngram_counts_tokeniser", S.ctes([
+    ("ct", f"SELECT {S.eval_clean('text', _OWN)} AS x FROM conversations"),
+    ("tk", f"SELECT {S.tokenise('x', _OWN)} AS t FROM ct"),
+    ("og", "SELECT n, t[i:i + n - 1] AS g FROM tk, (SELECT unnest([1, 2, 3, 4]) AS n) k, "
+           "LATERAL (SELECT unnest(range(1, len(t) - n + 2)) AS i)")],
+    "SELECT n, array_to_string(g, ' ') AS ngram, count(*) AS cnt FROM og GROUP BY ALL"))
 oracle("avg_len", f"SELECT round(avg(len({S.words('text')})), 6) AS avg_len FROM conversations")
 oracle("vocab", f"""
     SELECT row_number() OVER (ORDER BY cnt DESC, word) AS rank, word, cnt

@@ -28,8 +28,8 @@ def minimal_norm(x: str) -> str:
     return f"replace(replace(replace(replace({x}, chr(92), ''), chr(10), ' '), chr(13), ' '), chr(9), ' ')"
 
 
-def tokenise(x: str) -> str:
-    return f"regexp_extract_all({x}, {q(T.TOKEN_PATTERN)})"
+def tokenise(x: str, pattern: str = T.TOKEN_PATTERN) -> str:
+    return f"regexp_extract_all({x}, {q(pattern)})"
 
 
 def _cut_url(w: str, lw: str) -> str:
@@ -49,13 +49,13 @@ def gpt_norm(x: str) -> str:
     return f"array_to_string({tokenise(t)}, ' ')"
 
 
-def eval_clean(x: str) -> str:
+def eval_clean(x: str, pattern: str = T.TOKEN_PATTERN) -> str:
     t = f"array_to_string(list_transform({words(f'lower({x})')}, lambda w: {_cut_url('w', 'w')}), ' ')"
     t = f"regexp_replace({t}, {q(r'\[([^\]]*)\] \( *__url__ *\)')}, '\\1', 'g')"
     t = f"replace({t}, '__url__', 'URL')"
     t = f"regexp_replace({t}, {q(T.EVAL_KEEP_CLASS)}, ' ', 'g')"
     t = f"replace({t}, 'URL', '__url__')"
-    t = f"' ' || array_to_string({tokenise(f'lower({t})')}, ' ') || ' '"
+    t = f"' ' || array_to_string({tokenise(f'lower({t})', pattern)}, ' ') || ' '"
     t = f"replace({t}, ' won''t ', ' will n''t ')"
     t = f"replace({t}, ' can''t ', ' can n''t ')"
     for a in T.CONTRACTIONS:

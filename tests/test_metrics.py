@@ -1,11 +1,15 @@
 """Metrics against brute-force Python on a small fixture, plus invariants."""
 
 import math
+import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from convkit.functions import text as T
 from convkit.operators import metrics as ME
+from convkit.operators import ngram_stats as NS
 
 HYPS = [("s", "k1", "the cat sat on the mat"), ("s", "k2", "a dog"), ("s", "k3", ""),
         ("t", "k1", "the cat the cat"), ("t", "k2", "a dog barks loudly today"), ("t", "k3", "hello  world")]
@@ -246,3 +250,23 @@ def test_effective_reference_lengths(spark):
     assert several == ME.bleu_corpus(g).orderBy("system").collect()
     one = g.filter("key = 'k1'")
     assert ME.bleu_corpus(one, None).orderBy("system").collect() == ME.bleu_corpus(one, "average").orderBy("system").collect()
+
+
+def test_merged_sketches_against_exact_counts(spark):
+    rng = random.Random(2)
+    rows = [(i % 5, " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60)))) for i in range(800)] + [(0, None), (1, "")]
+    df = spark.createDataFrame(rows, "month int, text string")
+    parts = NS.distinct_sketch(df, keys=["month"])
+    exact = {r["n"]: r["distinct"] for r in NS.distinct_n(NS.ngram_counts(df)).collect()}
+    got = {r["n"]: r["distinct"] for r in NS.distinct_of(NS.merge_sketches(parts)).collect()}
+    assert set(got) == set(exact) and all(abs(got[n] / exact[n] - 1) < 0.03 for n in exact)
+    assert NS.merge_sketches(parts.limit(0)).count() == 0
+
+
+def test_tokeniser_as_a_parameter(spark):
+    df = spark.createDataFrame([("Ab12 cd e",)], "text string")
+    signs = lambda c: F.split(F.regexp_replace(c, r"\s+", ""), "")
+    assert df.select(T.eval_clean("text", signs).alias("x")).first()["x"] == "a b 1 2 c d e"
+    assert df.select(T.gpt_norm("text", signs).alias("x")).first()["x"] == "A b 1 2 c d e"
+    got = {r["ngram"]: r["cnt"] for r in NS.ngram_counts(df, max_n=1, tokeniser=lambda c: F.split(F.lower(c), "[^a-z]+")).collect()}
+    assert got == {"ab": 1, "cd": 1, "e": 1}

@@ -136,6 +136,14 @@ def q_thread_pairs_repeats(spark, sf):
                            order="line_no", **THREAD_PARAMS)
 
 
+@query("thread_pairs_bucketed")
+def q_thread_pairs_bucketed(spark, sf):
+    """The extract as tables bucketed by thread: no shuffle at any level of the chain."""
+    from convkit.operators import buckets as BK
+    s, c = _admitted(spark, sf, materialize=True)
+    return BK.kept_pairs(BK.write(c, s), **THREAD_PARAMS)
+
+
 @query("thread_pairs_blocked")
 def q_thread_pairs_blocked(spark, sf):
     """Block phrases as a table in the extraction itself."""

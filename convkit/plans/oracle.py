@@ -74,6 +74,7 @@ oracle("blockword_list", S.ctes(_B + [
                 WHERE phrase <> '' AND phrase NOT LIKE '#%'""")],
     "SELECT name, CAST(name IN (SELECT name FROM hit) AS INTEGER) AS blocked FROM adm"))
 oracle("thread_pairs_blocked", TS.thread_pairs_sql(block_words=BLOCK_WORDS, **THREAD))
+oracle("thread_pairs_bucketed", ORACLE["thread_pairs"])
 oracle("thread_pairs_repeats", TS.thread_pairs_sql(repeats=True, **THREAD))
 oracle("skip_audit", S.ctes(TS.instances_ctes(block_subs=True, **THREAD), """
     SELECT skip_reason, subreddit, count(*) AS n FROM inst WHERE skip_reason IS NOT NULL GROUP BY ALL"""))

@@ -132,13 +132,20 @@ def rejects(spark: SparkSession, path: str, kind: str, partitioned: bool = False
     return df.agg(F.count_if("rejected").alias("malformed"), F.count_if(~F.col("rejected") & ~ok).alias("keyless"), F.count_if(ok).alias("kept"))
 
 
-def write_extract(df: DataFrame, path: str, split_size: int | None = None) -> None:
+def write_extract(df: DataFrame, path: str, split_size: int | None = None, buckets: int | None = None,
+                  by: str = "link_id", table: str | None = None) -> None:
     """IO3: extract stage output, partitioned by month; with ``split_size``
-    in files of at most so many rows."""
+    in files of at most so many rows. With ``buckets`` it is the external table
+    ``table``, bucketed by ``by`` with one file a bucket and month."""
+    if buckets:
+        df = df.repartition(buckets, by)        # rows of a bucket meet in one task
     w = df.write.mode("overwrite").partitionBy("month")
     if split_size:
         w = w.option("maxRecordsPerFile", split_size)
-    w.parquet(path)
+    if buckets:
+        w.format("parquet").bucketBy(buckets, by).option("path", path).saveAsTable(table)
+    else:
+        w.parquet(path)
 
 
 def read_extract(spark: SparkSession, path: str, schema=None) -> DataFrame:

@@ -101,24 +101,31 @@ def op7(spark, sf):
 
 
 _LICENCE_SQL = r"""
-WITH t(licence, notice) AS (VALUES {templates}),
-tw AS (SELECT licence, word, count(*) AS tf FROM (
-  SELECT licence, unnest(list_filter(string_split_regex(lower(notice), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ({stop}))) AS word FROM t) GROUP BY ALL),
-idf AS (SELECT word, ln((1 + {n}) / (1 + count(*))) + 1 AS idf FROM tw GROUP BY word),
-wt AS (SELECT licence, word, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY licence)) AS weight FROM tw JOIN idf USING (word)),
+WITH t(id, licence, notice) AS (VALUES {templates}),
+tw AS (SELECT id, licence, word, count(*) AS tf FROM (
+  SELECT id, licence, unnest(list_filter(string_split_regex(lower(notice), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ({stop}))) AS word FROM t) GROUP BY ALL),
+idf AS (SELECT word, (ln((1 + {n}) / (1 + count(DISTINCT licence))) + 1) * CASE WHEN word IN ({common}) THEN {usual} ELSE 1 END AS idf FROM tw GROUP BY word),
+wt AS (SELECT id, licence, word, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY id)) AS weight FROM tw JOIN idf USING (word)),
 f AS (SELECT DISTINCT concat(source, '/', lang, '/', doc_id, '.txt') AS path, lower(text) AS low FROM documents),
-u AS (SELECT path, unnest(range(len(l))) AS unit, unnest(l) AS line FROM (
-  SELECT path, string_split_regex(regexp_replace(low, '([.!?;])[ \t]', '\1' || chr(10), 'g'), chr(10)) AS l FROM f)),
+g AS (SELECT path, string_split_regex(regexp_replace(low, '([.!?;])[ \t]', '\1' || chr(10), 'g'), chr(10)) AS l FROM f),
+u AS (SELECT path, i * {window} + k - 1 AS unit, array_to_string(l[i + 1:i + k], ' ') AS line
+  FROM (SELECT path, l, unnest(range(len(l))) AS i FROM g), range(1, {window} + 1) r(k) WHERE i + k <= len(l)
+  UNION ALL SELECT path, -1, low FROM f),
 uw AS (SELECT path, unit, list_filter(string_split_regex(line, '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ({stop})) AS ws FROM u),
-x AS (SELECT path, unit, len(ws) AS n, unnest(ws) AS word FROM uw WHERE len(list_intersect(ws, (SELECT list(word) FROM idf))) > 0),
-xf AS (SELECT path, unit, n, word, count(*) * coalesce(any_value(idf), ln(1 + {n}) + 1) AS x FROM x LEFT JOIN idf USING (word) GROUP BY ALL),
+x AS (SELECT path, unit, len(ws) AS n, unnest(ws) AS word FROM uw WHERE len(list_intersect(ws, (SELECT list(word) FROM idf))) >= {shared}),
+xf AS (SELECT path, unit, n, word, count(*) * coalesce(any_value(idf), {other}) AS x FROM x LEFT JOIN idf USING (word) GROUP BY ALL),
 nm AS (SELECT path, unit, n, sqrt(sum(x * x)) AS norm FROM xf GROUP BY ALL),
-c AS (SELECT path, unit, n, licence, round(sum(x * weight) / any_value(norm), 6) AS cosine
-  FROM xf JOIN wt USING (word) JOIN nm USING (path, unit, n) GROUP BY ALL HAVING cosine >= {cosine}),
+c AS (SELECT path, unit, n, id, licence, round(sum(x * weight) / any_value(norm), 6) AS cosine
+  FROM xf JOIN wt USING (word) JOIN nm USING (path, unit, n) WHERE unit = -1 OR id < {full}
+  GROUP BY ALL HAVING cosine >= {cosine} AND count(*) >= {shared}),
 hit AS (SELECT *, row_number() OVER (PARTITION BY path, unit ORDER BY cosine DESC, licence) AS k FROM c QUALIFY k = 1),
-own AS (SELECT path, arg_min(licence, (-cosine, unit, licence)) AS licence, max(cosine) AS cosine, sum(n) AS lw FROM hit GROUP BY path),
+best AS (SELECT path, arg_min(licence, (-cosine, unit, licence)) AS licence, max(cosine) AS cosine, sum(n) FILTER (unit % {window} = 0) AS lw
+  FROM hit WHERE unit >= 0 GROUP BY path),
+own AS (SELECT path, coalesce(w.licence, best.licence) AS licence, coalesce(w.cosine, best.cosine) AS cosine, lw, w.licence IS NOT NULL AS whole
+  FROM best LEFT JOIN (SELECT * FROM hit WHERE unit = -1) w USING (path)),
 st AS (SELECT own.*, regexp_extract(path, '^(.*)/', 1) AS dir FROM own JOIN f USING (path)
-  WHERE lw >= {share} * len(list_filter(string_split_regex(low, '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ({stop})))),
+  WHERE whole OR regexp_matches(path, '{name}')
+    OR coalesce(lw, 0) >= {share} * len(list_filter(string_split_regex(low, '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ({stop})))),
 bd AS (SELECT dir, licence, cosine, path FROM st QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, path, licence) = 1),
 fd AS (SELECT path, regexp_extract(path, '^(.*)/', 1) AS d FROM f),
 r AS (SELECT fd.path, bd.licence, bd.cosine, bd.path AS source FROM fd
@@ -129,8 +136,10 @@ SELECT d.doc_id, f.path, coalesce(own.licence, r.licence) AS licence, coalesce(o
   CASE WHEN own.path IS NOT NULL THEN f.path ELSE r.source END AS source
 FROM documents d JOIN f ON f.path = concat(d.source, '/', d.lang, '/', d.doc_id, '.txt')
 LEFT JOIN own ON own.path = f.path LEFT JOIN r ON r.path = f.path
-""".format(templates=", ".join(f"('{k}', '{t}')" for k, t in licences.TEMPLATES), n=len(licences.TEMPLATES),
-           stop=", ".join(f"'{w}'" for w in licences.STOP), cosine=licences.COSINE, share=licences.FILE_SHARE)
+""".format(templates=", ".join(f"({i}, '{k}', '{t}')" for i, (k, t) in enumerate([*licences.TEMPLATES, *licences.FULL])),
+           n=len({k for k, _ in licences.TEMPLATES}), full=len(licences.TEMPLATES), other=licences.OTHER, shared=licences.SHARED,
+           window=licences.WINDOW, usual=licences.USUAL, common=", ".join(f"'{w}'" for w in licences.COMMON), name=licences.FILE_NAME, stop=", ".join(f"'{w}'" for w in licences.STOP),
+           cosine=licences.COSINE, share=licences.FILE_SHARE)
 
 
 @query("op8_licences", _LICENCE_SQL)

@@ -9,8 +9,8 @@ times idf, idf over the licences; words outside the templates weigh ``OTHER`` an
 stop words nothing. A unit holds a licence if its cosine to a template is at least
 ``COSINE`` and they share two words or more. Only units with an anchor word are
 scored: a template's anchors are its heaviest words, common ones last, as many as
-it takes that the rest can't reach ``COSINE`` (Cauchy-Schwarz), so the filter loses
-nothing.
+it takes that the rest can't reach ``COSINE`` (Cauchy-Schwarz); and of those the
+ones whose foreign words leave room for it. Both filters lose nothing.
 
 A file with such a unit is also scored whole, against the templates and the full
 texts, at the same threshold; the whole file's licence goes before its best
@@ -162,20 +162,41 @@ def anchors(templates=TEMPLATES, least: float = COSINE) -> list[str]:
     return sorted(found)
 
 
-def units(files: DataFrame, anchor: list[str]) -> DataFrame:
-    """(path, unit, words) of the windows with an anchor word, by the place of
-    their first segment and their length; unit -1 is the whole text of a file that has any."""
-    has = f"(?<![a-z0-9])({'|'.join(anchor)})(?![a-z0-9])"
+def _may_reach(words, templates, least: float):
+    """False only for words that can't reach ``least``: the squared weight of the
+    known ones is at most that of as many of the heaviest word, the other ones
+    weigh as so many distinct ones of the lightest, and the former's share is the
+    most that a squared cosine can be."""
+    idf, other, vec = vectors([*templates, *FULL])
+    known = sorted({w for i in range(len(templates)) for w in vec[i]})
+    heavy, light = max(idf[w] for w in known), min([other, *(x for w, x in idf.items() if w not in set(known))])
+    mine = F.filter(words, lambda w: w.isin(*known))
+    rest = F.size(F.array_distinct(words)) - F.size(F.array_distinct(mine))
+    most = F.size(mine) * (F.size(mine) - F.size(F.array_distinct(mine)) + 1)       # sum of squared counts
+    return (F.size(F.array_distinct(mine)) >= SHARED) & (rest * (least * light) ** 2 <= most * ((1 - least ** 2) * heavy ** 2) + 1e-6)
+
+
+def units(files: DataFrame, templates=TEMPLATES, least: float = COSINE) -> DataFrame:
+    """(path, unit, words, whole) of the windows with an anchor word that may
+    reach ``least``, by the place of their first segment and their length; one
+    row of each file carries the words of its whole text. All of it happens
+    where a text is read."""
+    has = f"(?<![a-z0-9])({'|'.join(anchors(templates, least))})(?![a-z0-9])"
     low = files.select("path", F.lower("text").alias("low")).where(F.col("low").rlike(has))
-    cut = F.split("low", r"\n|(?<=[.!?;])[ \t]")
     # the segments beside each one, null beyond the end
-    near = low.select("path", "low", cut.alias("l")).select(
-        "path", "low", F.posexplode(F.arrays_zip(*[F.slice("l", k + 1, F.size("l")).alias(f"s{k}") for k in range(WINDOW)])).alias("i", "s"))
-    near = near.where(F.concat_ws(" ", *[f"s.s{k}" for k in range(WINDOW)]).rlike(has))
-    windows = F.array(*[F.when(F.col(f"s.s{k}").isNotNull(), F.concat_ws(" ", *[f"s.s{j}" for j in range(k + 1)])) for k in range(WINDOW)])
-    one = near.select("path", "i", F.posexplode(windows).alias("k", "line")).where(F.col("line").rlike(has))
-    one = one.select("path", (F.col("i") * WINDOW + F.col("k")).cast("int").alias("unit"), _words("line").alias("words"))
-    return one.unionByName(low.select("path", F.lit(-1).alias("unit"), _words("low").alias("words"))).distinct()
+    near = low.select("path", "low", F.split("low", r"\n|(?<=[.!?;])[ \t]").alias("l")).select(
+        "path", "low", F.arrays_zip(*[F.slice("l", k + 1, F.size("l")).alias(f"s{k}") for k in range(WINDOW)]).alias("s"))
+
+    def windows(k):
+        line = lambda x: F.when(x[f"s{k}"].isNotNull(), F.concat_ws(" ", *[x[f"s{j}"] for j in range(k + 1)]))
+        return F.transform("s", lambda x, i: F.struct((i * WINDOW + k).cast("int").alias("unit"), line(x).alias("line")))
+
+    found = F.filter(F.concat(*[windows(k) for k in range(WINDOW)]), lambda x: x["line"].rlike(has))
+    found = F.transform(found, lambda x: F.struct(x["unit"].alias("unit"), _words(x["line"]).alias("words")))
+    found = F.filter(found, lambda x: _may_reach(x["words"], templates, least))
+    # outer: the array isn't built twice, to see first whether it is empty
+    one = near.select("path", "low", F.posexplode_outer(found).alias("i", "u")).where(F.col("u").isNotNull())
+    return one.select("path", "u.unit", "u.words", F.when(F.col("i") == 0, _words("low")).alias("whole"))
 
 
 def scored_units(u: DataFrame, whole: bool = False, templates=TEMPLATES, least: float = COSINE) -> DataFrame:
@@ -210,11 +231,11 @@ def scan(files: DataFrame, templates=TEMPLATES, least: float = COSINE, share: fl
     its own, ``directory`` for an inherited one, else null) and source (the
     path of the file that states it)."""
     files = files.select(F.coalesce("path", F.lit("")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
-    u = written(units(files, anchors(templates, least)), "licence-units")
-    hit = written(scored_units(u.where("unit >= 0"), templates=templates, least=least), "licence-hits")
+    u = written(units(files, templates, least), "licence-units")
+    hit = written(scored_units(u.select("path", "unit", "words").distinct(), templates=templates, least=least), "licence-hits")
     best = hit.groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "unit", "licence")).alias("best"),
                                    F.sum(F.when(F.col("unit") % WINDOW == 0, F.col("n"))).alias("licence_words"))
-    full = u.where("unit = -1").join(best.select("path"), "path", "left_semi")
+    full = u.where("whole is not null").join(best.select("path"), "path", "left_semi").select("path", F.lit(-1).alias("unit"), F.col("whole").alias("words")).distinct()
     size = full.groupBy("path").agg(F.min(F.size("words")).alias("n_words"))
     full = scored_units(full, True, templates, least).groupBy("path").agg(
         F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("whole"))

@@ -69,3 +69,26 @@ def test_whole_files_reach_their_directory(spark):
         assert got[f"{k}/src/code.py"] == (k, "directory", f"{k}/terms.txt")
     assert got["n/notice.py"][:2] == ("MIT", "file") and got["n/code.py"] == (None, None, None)
     assert got["m/a/code.py"] == ("GPL-3.0", "directory", "m/COPYING")
+
+
+def test_bound_loses_no_unit(spark):
+    """Every random unit that reaches the threshold passes the bound on its words."""
+    import math
+    import random
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+    idf, other, vec = licences.vectors([*licences.TEMPLATES, *licences.FULL])
+    rng, rows = random.Random(4), []
+    for i in range(3000):
+        w = list(vec[rng.randrange(len(licences.TEMPLATES))]) * rng.randrange(1, 3)
+        w = rng.sample(w, rng.randrange(1, len(w) + 1)) + rng.choices(["zebra", "piano", "damages", "events", "ox"], k=rng.randrange(9))
+        c = Counter(w)
+        norm = math.sqrt(sum((n * idf.get(x, other)) ** 2 for x, n in c.items()))
+        best = max((sum(c[x] * idf[x] * y for x, y in v.items()) / norm for v in list(vec.values())[:len(licences.TEMPLATES)]
+                    if len(set(c) & set(v)) >= licences.SHARED), default=0)
+        rows.append((w, best >= licences.COSINE))
+    got = spark.createDataFrame(rows, "words array<string>, reached boolean").withColumn(
+        "may", licences._may_reach(F.col("words"), licences.TEMPLATES, licences.COSINE))
+    assert got.where("reached and not may").count() == 0
+    assert got.where("reached").count() > 300 and got.where("not may").count() > 300

@@ -3,8 +3,8 @@ import textwrap
 
 from convkit.llm import licences
 
-# held out: none of these lines is a template, and none was looked at when the templates were chosen
-HELD_OUT = [
+# usual forms; some are a template in other wrapping, and some resemble lines that the templates were tried on
+VARIANTS = [
     ("The code in this repository is MIT-licensed", "MIT"),
     ("## License\n\nMIT License, see LICENSE.md", "MIT"),
     ("released under the terms of the MIT license", "MIT"),
@@ -45,10 +45,13 @@ def _found(spark, texts):
     return [got[f"d{i}/x.txt"]["licence"] for i in range(len(texts))]
 
 
-def test_recall_on_held_out_variants(spark):
-    got = _found(spark, [f"Some words before it.\n{t}\nand some words after it" for t, _ in HELD_OUT])
-    missed = [(t, want, have) for (t, want), have in zip(HELD_OUT, got) if want != have]
-    assert len(missed) <= 0.1 * len(HELD_OUT), missed
+def test_recall_on_variants(spark):
+    got = _found(spark, [f"Some words before it.\n{t}\nand some words after it" for t, _ in VARIANTS])
+    known = {tuple(licences.words(t)) for _, t in licences.TEMPLATES}
+    for some in (VARIANTS, [v for v in VARIANTS if tuple(licences.words(v[0])) not in known]):
+        missed = [(t, want, have) for (t, want), have in zip(VARIANTS, got) if want != have and (t, want) in some]
+        print(len(some), missed)
+        assert len(missed) <= 0.1 * len(some), missed
 
 
 def test_clean_lines_hold_none(spark):

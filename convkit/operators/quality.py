@@ -3,10 +3,11 @@ turn weights (J6)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convkit.functions import text as T
+from convkit.functions.ngrams import ngrams
 from convkit.session import materialize
 
 # Fixed rule limits (must equal the original filter).
@@ -79,36 +80,55 @@ def skip_audit(rejected: DataFrame, by=("skip_reason",)) -> DataFrame:
     return rejected.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _anchors(text) -> Column:
-    """The distinct lower-cased words of a text, and its other characters but white space."""
-    low = F.lower(text)
-    rest = F.regexp_replace(low, r"(?U)[\p{L}\p{N}_\s]+", "")
-    found = F.concat(F.split(low, r"[^\p{L}\p{N}_]+"), F.split(rest, ""))
-    return F.array_distinct(F.filter(found, lambda w: w != ""))
+# What stands between words.
+_GAP = r"[^\p{L}\p{N}_]+"
+
+
+def _signs(low) -> Column:
+    """The distinct characters of a lower-cased text but words and white space."""
+    return F.array_distinct(F.filter(F.split(F.regexp_replace(low, r"(?U)[\p{L}\p{N}_\s]+", ""), ""), lambda w: w != ""))
+
+
+# Words of a phrase that find it together; longer phrases have several such runs.
+ANCHOR_WORDS = 4
 
 
 def phrase_candidates(df: DataFrame, key: str, text_col: str, block_words: DataFrame) -> DataFrame:
-    """(key, phrase) of texts that hold a phrase's rarest word.
+    """(key, phrase) of texts that hold all words of a phrase in a row.
 
-    A text with a phrase has all its words, so any of them may find it. The
-    word in the fewest texts does: phrases that begin with a word of nearly
-    every text don't meet nearly every text. Phrases with a word that no text
-    has go. A phrase without words is found by its rarest character."""
+    A phrase stands between characters of no word, so its words are whole
+    words of the text, one after the other. Up to ``ANCHOR_WORDS`` of them are
+    looked up as one run: a text meets as many phrases as it has such runs, not
+    every phrase that shares a word with it. A longer phrase is found by its
+    run in the fewest texts, a phrase without words by its rarest character."""
     bl = block_words.select(F.trim("entry").alias("phrase")).where("phrase <> '' and phrase not like '#%'").distinct()
-    word = F.filter(F.split(F.lower("phrase"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    parts = bl.select("phrase", F.explode(F.when(F.size(word) > 0, F.array_distinct(word)).otherwise(_anchors(F.col("phrase")))).alias("g"))
-    near = df.select(F.col(key).alias("_k"), F.explode(_anchors(F.col(text_col))).alias("g"))
-    # words of no phrase go before the count
-    freq = near.join(parts.select("g").distinct(), "g").groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    rarest = parts.join(freq, "g", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")).alias("x"))
-    rarest = rarest.where("x.df > 0").select("phrase", F.col("x.g").alias("g"))
-    return near.join(rarest, "g").select(F.col("_k").alias(key), "phrase")
+    word = F.filter(F.split(F.lower("phrase"), _GAP), lambda w: w != "")
+    bl = bl.withColumn("_w", word).withColumn("n", F.least(F.size("_w"), F.lit(ANCHOR_WORDS)))
+    runs = F.lit(None).cast("array<string>")
+    for n in range(1, ANCHOR_WORDS + 1):
+        runs = F.when(F.col("n") == n, ngrams("_w", n)).otherwise(runs)
+    parts = bl.select("phrase", "n", F.explode(F.when(F.col("n") > 0, F.array_distinct(runs)).otherwise(_signs(F.lower("phrase")))).alias("g"))
+    # texts are cut into runs of the lengths that the list has: a single value of a few numbers
+    lengths = bl.agg(F.collect_set("n")).scalar()
+    tok = df.select(F.col(key).alias("_k"), F.lower(text_col).alias("_t"), lengths.alias("_n")).where(F.size("_n") > 0)
+    tok = tok.withColumn("_w", F.filter(F.split("_t", _GAP), lambda w: w != ""))
+    cut = lambda n, g: F.when(F.array_contains("_n", n), F.transform(F.array_distinct(g), lambda x: F.struct(F.lit(n).alias("n"), x.alias("g")))) \
+                        .otherwise(F.array().cast("array<struct<n:int,g:string>>"))
+    near = tok.select("_k", F.explode(F.concat(cut(0, _signs(F.col("_t"))), *[cut(n, ngrams("_w", n)) for n in range(1, ANCHOR_WORDS + 1)])).alias("x"))
+    near = near.select("_k", "x.n", "x.g")
+    # a phrase of one run needs no choice; runs that no other phrase has go before the count
+    several = parts.withColumn("_one", F.count(F.lit(1)).over(Window.partitionBy("phrase")) == 1)
+    one, more = several.where("_one").drop("_one"), several.where("not _one").drop("_one")
+    freq = near.join(more.select("n", "g").distinct(), ["n", "g"], "left_semi").groupBy("n", "g").agg(F.count(F.lit(1)).alias("df"))
+    rarest = more.join(freq, ["n", "g"], "left").groupBy("phrase", "n").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")).alias("x"))
+    rarest = one.unionByName(rarest.where("x.df > 0").select("phrase", "n", F.col("x.g").alias("g")))
+    return near.join(rarest, ["n", "g"]).select(F.col("_k").alias(key), "phrase")
 
 
 def blockword_hits(df: DataFrame, key: str, text_col: str, block_words: DataFrame) -> DataFrame:
     """J7 for large lists: the rule of :func:`blockword_regex` as a join.
 
-    Texts meet phrases on the phrase's rarest word (:func:`phrase_candidates`),
+    Texts meet phrases on the phrase's words in a row (:func:`phrase_candidates`),
     then the whole phrase is confirmed in the text. ``key`` must identify a
     row. ``df`` is written once, so what made it runs once. Returns it with a
     boolean ``blocked`` column."""

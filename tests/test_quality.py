@@ -1,6 +1,8 @@
 """PF6 rules one by one, first-wins order, and the counts on the driver's
 document lines (values from FIXTURES.md)."""
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from convkit.operators import quality as Q
@@ -59,3 +61,17 @@ def test_phrases_are_found_by_their_rarest_word(spark):
     want = {r["id"] for r in df.where(F.col("t").rlike(rx)).collect()}
     assert got == want == {*range(0, 400, 4), 402, 404}
     assert Q.blockword_hits(df, "id", "t", bl.limit(0)).where("blocked").count() == 0
+
+
+def test_phrases_of_frequent_words_meet_only_texts_that_hold_them(spark):
+    """Every word is in a third of the texts, so none of them tells phrases apart."""
+    ws = ["ab", "cd", "ef", "gh", "ij", "kl"]
+    combos = list(itertools.permutations(ws, 3))
+    texts = [(i, " ".join(c) + ("." if i % 2 else " mn") + " Op") for i, c in enumerate(combos * 3)] + [(1000, None), (1001, "ab, cd ef")]
+    phrases = [" ".join(c) for c in combos] + ["ab, cd", "ab cd ef mn op", "AB-CD EF", "cd ef gh ij kl ab", "ef mn op", "mn?"]
+    df = spark.createDataFrame(texts, "id long, t string")
+    bl = spark.createDataFrame([(p,) for p in phrases], "entry string")
+    assert Q.phrase_candidates(df, "id", "t", bl).count() < 2 * len(texts)       # 60 phrases a text by one word
+    rx = Q.blockword_regex(phrases)
+    got = {r["id"] for r in Q.blockword_hits(df, "id", "t", bl).where("blocked").collect()}
+    assert got == {r["id"] for r in df.where(F.col("t").rlike(rx)).collect()}

@@ -270,3 +270,22 @@ def test_tokeniser_as_a_parameter(spark):
     assert df.select(T.gpt_norm("text", signs).alias("x")).first()["x"] == "A b 1 2 c d e"
     got = {r["ngram"]: r["cnt"] for r in NS.ngram_counts(df, max_n=1, tokeniser=lambda c: F.split(F.lower(c), "[^a-z]+")).collect()}
     assert got == {"ab": 1, "cd": 1, "e": 1}
+
+
+def test_buckets_and_flushes_change_nothing(spark, monkeypatch):
+    """Corpus statistics summed in many small parts, for systems of repeated texts."""
+    rng = random.Random(5)
+    line = lambda: " ".join(rng.choice("a b c d e".split()) for _ in range(rng.randrange(9)))
+    h = spark.createDataFrame([(s, f"k{i}", line()) for s in "st" for i in range(40)], "system string, key string, hyp string")
+    r = spark.createDataFrame([(f"k{i}", [line() for _ in range(1 + i % 3)]) for i in range(40)], "key string, refs array<string>")
+    g = ME.ngram_table(ME.hyp_refs(h, r, n_refs=4)).repartition(2).persist()
+    assert g.count() == 40                                      # a row per segment, none per n-gram
+    def values():
+        rows = ME.cider(g).collect() + ME.system_report(g).collect()
+        return {tuple(str(v) for v in x[:2]): [v for v in x[2:] if v is not None] for x in rows}
+    whole = values()
+    monkeypatch.setattr(ME, "BUCKET_WORDS", 40), monkeypatch.setattr(ME, "FLUSH_GRAMS", 10)
+    parts = values()
+    assert whole.keys() == parts.keys() and len(whole) == 82
+    assert all(parts[k] == pytest.approx(v, rel=1e-9, abs=1e-12) for k, v in whole.items())
+    g.unpersist()

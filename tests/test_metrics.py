@@ -289,3 +289,18 @@ def test_buckets_and_flushes_change_nothing(spark, monkeypatch):
     assert whole.keys() == parts.keys() and len(whole) == 82
     assert all(parts[k] == pytest.approx(v, rel=1e-9, abs=1e-12) for k, v in whole.items())
     g.unpersist()
+
+
+def test_pool_writes_a_row_per_hypothesis_only(spark, monkeypatch):
+    """No n-gram is written; a hypothesis that comes twice counts once with both, one without text doesn't."""
+    written, real = [], ME.materialize
+
+    def counted(df, tag="stage"):
+        out = real(df, tag)
+        written.append(out.count())
+        return out
+    monkeypatch.setattr(ME, "materialize", counted)
+    h = spark.createDataFrame([("s", "k", "a b a"), ("s", "k", "a b a"), ("s", "m", "a b"), ("s", "n", None)], "system string, key string, text string")
+    p = spark.createDataFrame([(i, "a b a c") for i in range(30)], "rid int, text string")
+    assert {r["key"] for r in ME.bleu_pool(h, p).collect()} == {"k", "m"}
+    assert sum(written) == 2
